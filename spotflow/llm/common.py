@@ -79,3 +79,20 @@ def pieces_for(df: DataFrame, bytes_each: int, least: int = 12) -> int:
 def crc_mod(col, n: int):
     """crc32 of the id as text, modulo n: the fixed way in which rows are held out. Null stays null."""
     return F.crc32(col.cast("string").cast("binary")) % n
+
+
+_kept: dict = {}
+
+
+def once(key: str, make: Callable):
+    """What make() returns, made once in each Python worker; only the latest few keys are kept."""
+    if key not in _kept:
+        while len(_kept) >= 3:
+            _kept.pop(next(iter(_kept)))
+        _kept[key] = make()
+    return _kept[key]
+
+
+def send(spark: SparkSession, value):
+    """Broadcast (key, value); the key is for once()."""
+    return spark.sparkContext.broadcast((uuid.uuid4().hex, value))
