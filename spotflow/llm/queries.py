@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
+from .langid import held_out, identify, train
 from .media import document_media
 from .decontam import contamination
 from .tokens import count_tokens
@@ -60,3 +62,10 @@ FROM d LEFT JOIN c USING (doc_id) LEFT JOIN s USING (doc_id)
 @query
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_media(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = train(docs.where(~held_out(F.col("doc_id"))))
+    return identify(docs.select("doc_id", "text"), model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
