@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import math
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -65,15 +64,11 @@ def _forget_at_exit(spark: SparkSession, path: str) -> None:
     atexit.register(drop)
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of df's sources, for choosing bucket counts."""
+def input_bytes(df: DataFrame, column: str) -> int:
+    """Catalyst's size estimate of df's sources, for choosing bucket counts; where it has none, the column's bytes."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(leaves.apply(i).stats().sizeInBytes().longValue()) for i in range(leaves.size()))
-
-
-def pieces_for(df: DataFrame, bytes_each: int, least: int = 12) -> int:
-    """Partitions so that each holds about bytes_each of df's sources; grows in step with the input."""
-    return max(least, math.ceil(min(input_bytes(df), 1 << 60) / bytes_each))
+    known = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return known if known < 1 << 55 else int(df.agg(F.sum(F.octet_length(column))).first()[0] or 0)
 
 
 def crc_mod(col, n: int):
