@@ -1,0 +1,28 @@
+"""Connected components by label propagation with shortcuts; nothing is gathered on the driver but counts."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import stored
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node, label (the smallest node reachable) of every end of edges(a long, b long).
+
+    Repeated edges, either direction and loops are fine; rows with a null end are left out. Each round
+    takes the smallest label of a node and its neighbours and then follows one more step from the label,
+    so that long chains shrink by doubling; rounds are stored, so none is computed again.
+    """
+    both = edges.where("a IS NOT NULL AND b IS NOT NULL")
+    links = stored(both.select("a", "b").union(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    labels = stored(links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("label")), "labels")
+    while True:
+        reached = links.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        lower = labels.join(reached, "node", "left").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label"))
+        step = lower.select(F.col("node").alias("label"), F.col("label").alias("further"))
+        jumped = stored(lower.join(step, "label", "left").select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label")), "labels")
+        labels = jumped.select("node", "label")
+        if not jumped.where("label < old").limit(1).count():
+            return labels
