@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .pieces import encode
 from . import quality
 from .lmscore import score_texts
 from .simjoin import jaccard_components
@@ -143,3 +144,9 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     model = quality.train(docs, labels.where(~quality.held_out(F.col("doc_id"))))
     return quality.quality_scores(docs, model).select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@query
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
+    return coded.select("doc_id", "n_pieces", "ids_sha256", "round_trip")
