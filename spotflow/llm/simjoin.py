@@ -298,6 +298,16 @@ def linked_sets(docs: DataFrame, text: str, k: int, percent: int, star_rounds: i
     return labels
 
 
+def labelled(base: DataFrame, text: str, k: int, percent: int) -> DataFrame:
+    """base without text, with n_shingles and label: one for each component, null for texts without words."""
+    held = stored(members(base, text, k), "members")
+    labels = linked_sets(base, text, k, percent)
+    # texts without words spread over the join instead of meeting under one id
+    spread = F.when(F.col("n_shingles") > 0, F.col("set")).otherwise((F.rand(5) * (1 << 40)).cast("long"))
+    named = held.withColumn("set", spread).join(labels.withColumnRenamed("node", "set"), "set", "left")
+    return named.withColumn("label", F.when(F.col("n_shingles") > 0, F.coalesce("label", "set"))).drop("set")
+
+
 def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 4, percent: int = 85) -> DataFrame:
     """Every column of docs but text, then n_shingles and component_id.
 
@@ -308,12 +318,22 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
     is never a component's id: a component of null keys has a null id. Columns with a result's name are
     replaced. Shingles and sets are compared as 64-bit hashes.
     """
-    added = ["n_shingles", "component_id", "set"]
-    base = docs.select(*[c for c in docs.columns if c not in added])
-    held = stored(members(base, text, k), "members")
-    labels = linked_sets(base, text, k, percent)
-    named = held.join(labels.withColumnRenamed("node", "set"), "set", "left").withColumn("label", F.coalesce("label", "set"))
-    first = named.where("n_shingles > 0").groupBy("label").agg(F.min(key).alias("component_id"))
+    base = docs.select(*[c for c in docs.columns if c not in ("n_shingles", "component_id", "set", "label")])
     names = [c for c in base.columns if c != text]
-    linked = named.where("n_shingles > 0").join(first, "label").select(*names, "n_shingles", "component_id")
-    return linked.union(held.where("n_shingles = 0").select(*names, "n_shingles", F.col(key).alias("component_id")))
+    named = labelled(base, text, k, percent)
+    full = named.where("label IS NOT NULL")
+    first = full.groupBy("label").agg(F.min(key).alias("component_id"))
+    linked = full.join(first, "label").select(*names, "n_shingles", "component_id")
+    return linked.union(named.where("label IS NULL").select(*names, "n_shingles", F.col(key).alias("component_id")))
+
+
+def representatives(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 4, percent: int = 85) -> DataFrame:
+    """The rows of docs that stay when each component keeps one: that of the smallest key, of equal ones the first.
+
+    Texts without words are linked with nothing and stay. A null key counts as the largest.
+    """
+    base = docs.withColumn("_row", F.monotonically_increasing_id())
+    named = labelled(base.select("_row", F.col(key).alias("_key"), text), text, k, percent)
+    best = named.where("label IS NOT NULL").groupBy("label").agg(F.min(F.struct(F.col("_key").isNull().alias("none"), "_key", "_row")).alias("best")).select(F.col("best._row").alias("_row"))
+    stay = best.union(named.where("label IS NULL").select("_row"))
+    return base.join(stay, "_row", "left_semi").drop("_row")

@@ -5,7 +5,7 @@ from itertools import combinations
 import numpy as np
 
 from spotflow.llm.graph import components
-from spotflow.llm.simjoin import allocation, bands, jaccard_components, shingles, signatures
+from spotflow.llm.simjoin import allocation, bands, jaccard_components, representatives, shingles, signatures
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -71,7 +71,12 @@ def test_against_brute_force(spark):
     docs += [(5000, None), (5001, ""), (5002, " \t"), (None, docs[0][1]), (None, "lonely words are here now"), docs[3], docs[3], (6000, "z " * 30_000), (6001, "z " * 29_000)]
     df = spark.createDataFrame([(*d, 3, "x") for d in docs], "doc_id long, text string, component_id int, set string").repartition(3)
     got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(df).collect()]
-    assert sorted(got, key=str) == sorted(brute(docs), key=str)
+    want = brute(docs)
+    assert sorted(got, key=str) == sorted(want, key=str)
+    kept = [(r.doc_id, r.text) for r in representatives(df).select("doc_id", "text").collect()]
+    no_words = [d for d, w in zip(docs, want, strict=True) if not w[1]]
+    assert len(kept) == len({w[2] for w in want if w[1] and w[2] is not None}) + 1 + len(no_words)  # one component has null keys only
+    assert {k for k, t in kept if k is not None and t and t.split()} == {w[2] for w in want if w[1] and w[2] is not None}
 
 
 def test_components_of_a_long_chain(spark):
