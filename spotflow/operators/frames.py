@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 from ..functions import imaging
 from ..params import TrackingParams
 
-FRAMES = "video_id string, frame int, nrows int, ncols int, px array<float>"
-
 
 def frames_from_array(spark: SparkSession, video, video_id: str = "video") -> DataFrame:
     """A frames table from an array [frame, row, column]."""
@@ -25,7 +23,7 @@ def frames_from_array(spark: SparkSession, video, video_id: str = "video") -> Da
         raise ValueError("a video has the axes frame, row, column")
     n, h, w = a.shape
     table = pa.table({"video_id": [video_id] * n, "frame": pa.array(range(n), pa.int32()), "nrows": pa.array([h] * n, pa.int32()), "ncols": pa.array([w] * n, pa.int32()), "px": pa.array([f.ravel().astype(np.float32) for f in a], pa.list_(pa.float32()))})
-    return spark.createDataFrame(table.to_pandas(), FRAMES)
+    return spark.createDataFrame(table)
 
 
 def images(batch: pa.RecordBatch) -> Iterator[tuple[dict, np.ndarray]]:
