@@ -230,12 +230,15 @@ def named_texts(docs: DataFrame, text: str, k: int, nodes: DataFrame) -> DataFra
                 node = set_id(shingles(x, k))
                 if node in seen:
                     continue
-                h = np.array([node], np.int64).view(np.uint64)
-                at = [int(mix(h + U(seed))[0] % U(FILTER_BITS)) for seed in (1, 2)]
-                if all(use[i >> 3] >> (i & 7) & 1 for i in at):
-                    seen.add(node)
-                    found.append(node)
-                    texts.append(x)
+                seen.add(node)
+                found.append(node)
+                texts.append(x)
+            h = np.array(found, np.int64).view(np.uint64)
+            named = np.ones(len(h), bool)
+            for seed in (1, 2):
+                at = (mix(h + U(seed)) % U(FILTER_BITS)).astype(np.int64)
+                named &= (use[at >> 3] >> (at & 7) & 1).astype(bool)
+            found, texts = [found[i] for i in np.flatnonzero(named)], [texts[i] for i in np.flatnonzero(named)]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(texts, pa.string())], ["node", "text"])
 
     held = map_rows(docs.select(text), run, "node long, text string")
@@ -266,49 +269,112 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     return map_rows(both.select("a", "b", "ta", "tb"), run, "a long, b long", rows=1000)
 
 
-def linked_sets(docs: DataFrame, text: str, k: int, percent: int, star_rounds: int = 3) -> DataFrame:
+def tile_links(nodes: list[int], labels: list[int], left: np.ndarray, right: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Similar pairs of the sets at left and at right, one for each two components that they join.
+
+    Overlaps are products of the sets' incidence matrices, some thousand shingles at a time.
+    """
+    sizes = np.array([len(x) for x in sets], np.int64)
+    tokens = np.concatenate([np.zeros(0, np.uint64), *sets])
+    whose = np.repeat(np.arange(len(sets)), sizes)
+    _, place, often = np.unique(tokens, return_inverse=True, return_counts=True)
+    shared = often >= 2
+    rank = np.cumsum(shared) - 1
+    kept = shared[place]
+    columns, rows = rank[place[kept]], whose[kept]
+    order = np.argsort(columns, kind="stable")
+    columns, rows = columns[order], rows[order]
+    overlap = np.zeros((len(left), len(right)), np.float32)
+    width = 2048
+    for low in range(0, int(shared.sum()), width):
+        a, b = np.searchsorted(columns, [low, low + width])
+        part = np.zeros((len(sets), width), np.float32)
+        part[rows[a:b], columns[a:b] - low] = 1
+        overlap += part[left] @ part[right].T
+    total = sizes[left][:, None] + sizes[right][None, :] - overlap
+    root: dict[int, int] = {}
+
+    def top(k: int) -> int:
+        while root.get(k, k) != k:
+            k = root[k]
+        return k
+
+    found = []
+    for i, j in np.argwhere(100 * overlap.astype(np.float64) >= percent * total):
+        x, y = top(labels[left[i]]), top(labels[right[j]])
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            found.append((nodes[left[i]], nodes[right[j]]))
+    return found
+
+
+def compared_clusters(open_: DataFrame, texts: DataFrame, k: int, percent: int, tile_rows: int, tile_bytes: int) -> DataFrame:
+    """a, b: links between sets of different components that met in a bucket; open_: bucket, node, label.
+
+    Sets that buckets connect form a cluster. A cluster is dealt into parts of at most about tile_rows sets
+    and tile_bytes of text, and every two parts are compared in a task of their own, which returns no more
+    links than it has sets. No pair of sets is ever a row.
+    """
+    first = open_.groupBy("bucket").agg(F.min("node").alias("a"))
+    clusters = components(open_.join(first, "bucket").select("a", F.col("node").alias("b"))).withColumnRenamed("label", "cluster")
+    named = open_.select("node", "label").distinct().join(clusters, "node").join(texts, "node")
+    size = named.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / tile_rows), F.ceil(F.sum(F.octet_length("text")) / tile_bytes), F.lit(1)).cast("int").alias("parts"))
+    dealt = named.join(size, "cluster").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    tiled = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    tiles = tiled.select("cluster", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "node", "label", "text")
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, node, label, sets = [], [], [], []
+        for batch in batches:
+            part += batch.column(3).to_pylist()
+            node += batch.column(4).to_pylist()
+            label += batch.column(5).to_pylist()
+            sets += [shingles(x, k) for x in batch.column(6).to_pylist()]
+        at = np.array(part)
+        links = tile_links(node, label, np.flatnonzero(at == key[1].as_py()), np.flatnonzero(at == key[2].as_py()), sets, percent)
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["a", "b"])
+
+    return tiles.groupBy("cluster", "p", "q").applyInArrow(run, "a long, b long")
+
+
+def linked_sets(docs: DataFrame, text: str, k: int, percent: int, tile_rows: int = 1500, tile_bytes: int = 16 << 20) -> DataFrame:
     """node, label: components of the sets that have a similar one.
 
-    Each bucket first compares its sets with one leader, then with others, as long as it holds sets of
-    different components; what is left after `star_rounds` compares every pair of sets of different
-    components. So no link between different components is lost, and sets already known to belong
-    together aren't compared with one another.
+    Each bucket first compares its sets with its leader. Buckets that then hold sets of one component are
+    done; the sets of the others are compared cluster by cluster. So no link between different components
+    is lost, and sets already known to belong together need no further comparison.
     """
     met = stored(candidates(docs, text, k, percent), "met")
     texts = stored(named_texts(docs, text, k, met.select("node").union(met.select(F.col("leader").alias("node"))).distinct()), "texts")
     pairs = met.where("leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     labels = components(verified(pairs, texts, k, percent))
-    buckets = met.where("bucket IS NOT NULL").select("bucket", "node")
-    for turn in range(1, star_rounds + 1):
-        named = buckets.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
-        mixed = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "label")).alias("lead")).where("low < high").select("bucket", "lead")
-        open_ = stored(named.join(mixed, "bucket"), "open")
-        if not open_.limit(1).count():
-            return labels
-        buckets = open_.select("bucket", "node")
-        if turn < star_rounds:
-            tried = open_.where("label <> lead.label").select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b"))
-        else:
-            x, y = open_.select("bucket", F.col("node").alias("a"), F.col("label").alias("la")), open_.select("bucket", F.col("node").alias("b"), F.col("label").alias("lb"))
-            tried = x.join(y, "bucket").where("a < b AND la <> lb").select("a", "b")
-        links = stored(verified(tried.distinct(), texts, k, percent), "links")
-        if links.limit(1).count():
-            chain = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
-            labels = components(chain.union(links))
-    return labels
-
-
-def labelled(base: DataFrame, text: str, k: int, percent: int) -> DataFrame:
+    named = met.where("bucket IS NOT NULL").select("bucket", "node").join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
+    mixed = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
+    open_ = stored(named.join(mixed, "bucket"), "open")
+    if not open_.limit(1).count():
+        return labels
+    links = stored(compared_clusters(open_, texts, k, percent, tile_rows, tile_bytes), "links")
+    if not links.limit(1).count():
+        return labels
+    # the new links join whole components: only these are labelled again
+    ends = links.join(labels.withColumnRenamed("node", "a"), "a", "left").select("b", F.coalesce("label", "a").alias("x"))
+    ends = ends.join(labels.withColumnRenamed("node", "b"), "b", "left").select("x", F.coalesce("label", "b").alias("y"))
+    joined = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("lower"))
+    known = labels.union(joined.join(labels, "label", "left_anti").select(F.col("label").alias("node"), "label"))
+    return known.join(joined, "label", "left").select("node", F.coalesce("lower", "label").alias("label"))
+
+
+def labelled(base: DataFrame, text: str, k: int, percent: int, **tiles: int) -> DataFrame:
     """base without text, with n_shingles and label: one for each component, null for texts without words."""
     held = stored(members(base, text, k), "members")
-    labels = linked_sets(base, text, k, percent)
+    labels = linked_sets(base, text, k, percent, **tiles)
     # texts without words spread over the join instead of meeting under one id
     spread = F.when(F.col("n_shingles") > 0, F.col("set")).otherwise((F.rand(5) * (1 << 40)).cast("long"))
     named = held.withColumn("set", spread).join(labels.withColumnRenamed("node", "set"), "set", "left")
     return named.withColumn("label", F.when(F.col("n_shingles") > 0, F.coalesce("label", "set"))).drop("set")
 
 
-def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 4, percent: int = 85) -> DataFrame:
+def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 4, percent: int = 85, **tiles: int) -> DataFrame:
     """Every column of docs but text, then n_shingles and component_id.
 
     Two rows link when 100 * |intersection| >= percent * |union| of their sets of distinct k-word shingles
@@ -320,7 +386,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
     """
     base = docs.select(*[c for c in docs.columns if c not in ("n_shingles", "component_id", "set", "label")])
     names = [c for c in base.columns if c != text]
-    named = labelled(base, text, k, percent)
+    named = labelled(base, text, k, percent, **tiles)
     full = named.where("label IS NOT NULL")
     first = full.groupBy("label").agg(F.min(key).alias("component_id"))
     linked = full.join(first, "label").select(*names, "n_shingles", "component_id")

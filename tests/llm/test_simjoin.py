@@ -85,6 +85,23 @@ def test_components_of_a_long_chain(spark):
     assert all(got[i] == 3 for i in range(100, 161)) and got[7] == 7 and got[501] == 500
 
 
+def test_copies_linked_only_through_one_another(spark):
+    """Copies that each differ from the next: no leader is similar to all, some are similar to none."""
+    rng = random.Random(8)
+    vocab = [f"v{i}" for i in range(3000)]
+    base = [rng.choice(vocab) for _ in range(120)]
+    docs = []
+    for i in range(60):
+        w = list(base)
+        for j in rng.sample(range(120), rng.choice([1, 2, 3, 4, 5])):
+            w[j] = rng.choice(vocab)
+        docs.append((1000 - i, " ".join(w)))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    want = sorted(brute(docs))
+    for tiles in ({}, {"tile_rows": 7, "tile_bytes": 5000}):
+        assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(df, **tiles).collect()) == want
+
+
 def test_empty(spark):
     assert jaccard_components(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     assert len(shingles("a b")) == 1
