@@ -24,6 +24,8 @@ GATHER = 48 << 20
 SORT = 48 << 20
 #: Input bytes (as stored) for each bucket.
 BUCKET = 2 << 20
+#: How a packed super-k-mer's document, row, first word and number of windows are stored: as differences.
+FIELDS = ("<i8", "<i8", "<i4", "<i4")
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -144,7 +146,7 @@ class Packer:
         """One packed row for each bucket, and one for what is resolved already."""
         import zstandard
 
-        squeeze = zstandard.ZstdCompressor(level=1).compress
+        squeeze = zstandard.ZstdCompressor(level=3).compress
         buckets, raw, blobs = [], [], []
         into = np.array(self.into, np.int64)
         order = np.argsort(into, kind="stable")
@@ -152,7 +154,7 @@ class Packer:
         fields = [np.array(x, np.int64) for x in (self.docs, self.rows, self.starts, self.counts)]
         for a, b in zip(edges, [*edges[1:], len(order)][: len(edges)], strict=True):
             own = order[a:b]
-            blob = np.int64(len(own)).tobytes() + b"".join(f[own].tobytes() for f in fields) + b"\n".join([self.strings[i] for i in own])
+            blob = np.int64(len(own)).tobytes() + b"".join(np.diff(f[own], prepend=0).astype(t).tobytes() for f, t in zip(fields, FIELDS, strict=True)) + b"\n".join([self.strings[i] for i in own])
             buckets.append(int(into[own[0]]))
             raw.append(len(blob))
             blobs.append(squeeze(blob))
@@ -255,9 +257,13 @@ def judged(packed: DataFrame, window: int, sort_bytes: int = SORT) -> DataFrame:
             for blob in blobs:
                 whole = expand(blob)
                 n = int(np.frombuffer(whole[:8], np.int64)[0])
-                meta = np.frombuffer(whole[8 : 8 + 32 * n], np.int64).reshape(4, n)
+                at, meta = 8, []
+                for t in FIELDS:
+                    size = n * np.dtype(t).itemsize
+                    meta.append(np.cumsum(np.frombuffer(whole[at : at + size], t).astype(np.int64)))
+                    at += size
                 parts.append(tuple(meta))
-                strings.append(whole[8 + 32 * n :])
+                strings.append(whole[at:])
             if parts:
                 yield out(covered(parts, strings, window, (k, shares)))
 
