@@ -337,31 +337,47 @@ def compared_clusters(open_: DataFrame, texts: DataFrame, k: int, percent: int,
     return tiles.groupBy("cluster", "p", "q").applyInArrow(run, "a long, b long")
 
 
+def joined_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels after new links(a, b): only the components that these join are labelled again."""
+    ends = links.join(labels.withColumnRenamed("node", "a"), "a", "left").select("b", F.coalesce("label", "a").alias("x"))
+    ends = ends.join(labels.withColumnRenamed("node", "b"), "b", "left").select("x", F.coalesce("label", "b").alias("y"))
+    joined = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("lower"))
+    known = labels.union(joined.join(labels, "label", "left_anti").select(F.col("label").alias("node"), "label"))
+    return known.join(joined, "label", "left").select("node", F.coalesce("lower", "label").alias("label"))
+
+
 def linked_sets(docs: DataFrame, text: str, k: int, percent: int, tile_rows: int = 1500, tile_bytes: int = 16 << 20) -> DataFrame:
     """node, label: components of the sets that have a similar one.
 
-    Each bucket first compares its sets with its leader. Buckets that then hold sets of one component are
-    done; the sets of the others are compared cluster by cluster. So no link between different components
-    is lost, and sets already known to belong together need no further comparison.
+    Each set is first compared with the smallest leader that it met, then with those of its buckets' leaders
+    that are of another component. Buckets that hold sets of one component are then done; the sets of the
+    others are compared cluster by cluster. So no link between different components is lost, and sets
+    already known to belong together need no further comparison.
     """
     met = stored(candidates(docs, text, k, percent), "met")
     texts = stored(named_texts(docs, text, k, met.select("node").union(met.select(F.col("leader").alias("node"))).distinct()), "texts")
-    pairs = met.where("leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    labels = components(verified(pairs, texts, k, percent))
+    pairs = met.where("leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b"))
+    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    labels = components(verified(first, texts, k, percent))
+    apart = (
+        pairs.distinct()
+        .join(first.withColumnRenamed("a", "tried"), "b")
+        .where("a <> tried")
+        .join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left")
+        .join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
+        .where(F.coalesce("la", "a") != F.coalesce("lb", "b"))
+        .select("a", "b")
+    )
+    links = stored(verified(apart, texts, k, percent), "links")
+    if links.limit(1).count():
+        labels = stored(joined_labels(labels, links), "labels")
     named = met.where("bucket IS NOT NULL").select("bucket", "node").join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
     mixed = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
     open_ = stored(named.join(mixed, "bucket"), "open")
     if not open_.limit(1).count():
         return labels
     links = stored(compared_clusters(open_, texts, k, percent, tile_rows, tile_bytes), "links")
-    if not links.limit(1).count():
-        return labels
-    # the new links join whole components: only these are labelled again
-    ends = links.join(labels.withColumnRenamed("node", "a"), "a", "left").select("b", F.coalesce("label", "a").alias("x"))
-    ends = ends.join(labels.withColumnRenamed("node", "b"), "b", "left").select("x", F.coalesce("label", "b").alias("y"))
-    joined = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("lower"))
-    known = labels.union(joined.join(labels, "label", "left_anti").select(F.col("label").alias("node"), "label"))
-    return known.join(joined, "label", "left").select("node", F.coalesce("lower", "label").alias("label"))
+    return joined_labels(labels, links) if links.limit(1).count() else labels
 
 
 def labelled(base: DataFrame, text: str, k: int, percent: int, **tiles: int) -> DataFrame:
