@@ -12,8 +12,8 @@ from __future__ import annotations
 import hashlib
 import heapq
 from collections.abc import Iterator
-from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
@@ -51,22 +51,52 @@ def escaped(text: str) -> str:
     return SPACE + text.replace(" ", SPACE) if text else ""
 
 
-def escaped_column(text: Column) -> Column:
-    return F.when(F.length(text) > 0, F.concat(F.lit(SPACE), F.translate(text, " ", SPACE))).otherwise("")
+def lattice(units: DataFrame, pieces: DataFrame, key: str, shortest: int, longest: int) -> DataFrame:
+    """key, unit, n (characters) and edges of each unit: structs of cost, start, size, ends, inner.
 
-
-def edges_of(units: DataFrame, pieces: DataFrame, keys: list[str], shortest: int, longest: int) -> DataFrame:
-    """keys, n (characters) and edges: the lattice of each unit, as structs of score, start, size, ends, inner.
-
-    ends and inner are bit sets of the cuts at an edge's ends and within it.
+    ends and inner are bit sets of the cuts at an edge's ends and within it. Units are exploded to substrings
+    of shortest to longest characters and joined to the piece table by broadcast, which keeps a unit's edges
+    together; they are gathered in passing, without a shuffle or a sort.
     """
-    starts = units.withColumn("n", F.length("unit")).where(F.col("n").between(shortest, LONGEST)).select(*keys, "unit", "n", F.explode(F.sequence(F.lit(0), F.col("n") - shortest)).alias("start"))
+    starts = units.withColumn("n", F.length("unit")).where(F.col("n").between(shortest, LONGEST)).select(key, "unit", "n", F.explode(F.sequence(F.lit(0), F.col("n") - shortest)).alias("start"))
     sized = starts.select("*", F.explode(F.sequence(F.lit(shortest), F.least(F.lit(longest), F.col("n") - F.col("start")))).alias("size"))
-    parts = sized.select(*keys, "unit", "n", "start", "size", F.expr("substring(unit, start + 1, size)").alias("piece"))
-    found = parts.join(F.broadcast(pieces), "piece")  # one vocabulary: of fixed size
-    bit = lambda at: F.expr(f"shiftleft(1L, {at})")
-    edge = F.struct("score", "start", "size", bit("start").bitwiseOR(bit("start + size")).alias("ends"), (bit("start + size") - F.expr("shiftleft(2L, start)")).alias("inner"))
-    return found.groupBy(*keys, "unit", "n").agg(F.collect_list(edge).alias("edges"))
+    parts = sized.select(key, "unit", "n", "start", "size", F.expr("substring(unit, start + 1, size)").alias("piece"))
+    found = parts.join(F.broadcast(pieces), "piece").select(key, "unit", "n", "start", "size", (-F.col("score")).alias("cost"))  # one vocabulary: of fixed size
+    kinds = [pa.float64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+
+    def gathered(batch: pa.RecordBatch) -> pa.RecordBatch:
+        unit, keys = batch.column(1), batch.column(0)
+        coded = unit.dictionary_encode().indices.to_numpy()
+        of = keys.to_numpy(zero_copy_only=False)
+        begin = np.flatnonzero(np.append(True, (coded[1:] != coded[:-1]) | (of[1:] != of[:-1])))
+        start, size = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (3, 4))
+        one = np.int64(1)
+        ends = (one << start) | (one << (start + size))
+        inner = (one << (start + size)) - (one << (start + one))
+        edges = pa.StructArray.from_arrays([pa.array(x).cast(t) for x, t in zip((batch.column(5), start, size, ends, inner), kinds, strict=True)], ["cost", "start", "size", "ends", "inner"])
+        lists = pa.ListArray.from_arrays(pa.array(np.append(begin, batch.num_rows).astype(np.int32)), edges)
+        return pa.RecordBatch.from_arrays([keys.take(pa.array(begin)), unit.take(pa.array(begin)), batch.column(2).take(pa.array(begin)), lists], [key, "unit", "n", "edges"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The last unit of a batch waits for the next one."""
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            last = (batch.column(0)[-1], batch.column(1)[-1])
+            cut = batch.num_rows
+            while cut and (batch.column(0)[cut - 1], batch.column(1)[cut - 1]) == last:
+                cut -= 1
+            if cut:
+                whole = pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks().to_batches()
+                yield from map(gathered, whole)
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield from map(gathered, pa.Table.from_batches(held).combine_chunks().to_batches())
+
+    kind = dict(units.dtypes)[key]
+    return found.mapInArrow(gather, f"{key} {kind}, unit string, n int, edges array<struct<cost:double,start:int,size:int,ends:bigint,inner:bigint>>")
 
 
 def merged_cuts(edges: Column, n: Column) -> Column:
@@ -75,7 +105,7 @@ def merged_cuts(edges: Column, n: Column) -> Column:
 
     def merge(cuts: Column, _: Column) -> Column:
         able = F.filter(edges, lambda e: (cuts.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(cuts.bitwiseAND(e["inner"])) == 1))
-        best = F.array_min(F.transform(able, lambda e: F.struct((-e["score"]).alias("cost"), e["start"].alias("start"), e["inner"].alias("inner"))))
+        best = F.array_min(able)  # by cost, then start
         return cuts.bitwiseAND(F.bitwise_not(F.coalesce(best["inner"], F.lit(0).cast("long"))))
 
     return F.aggregate(F.sequence(F.lit(1), n - 1), every, merge)
@@ -90,7 +120,7 @@ def viterbi_cuts(edges: Column, n: Column, unknown: float) -> Column:
 
     def step(best: Column, end: Column) -> Column:
         arriving = F.filter(edges, lambda e: e["start"] + e["size"] == end)
-        ways = F.transform(arriving, lambda e: F.struct((F.get(best, e["start"])["score"] + e["score"]).alias("score"), e["size"].alias("size"), F.get(best, e["start"])["cuts"].alias("cuts")))
+        ways = F.transform(arriving, lambda e: F.struct((F.get(best, e["start"])["score"] - e["cost"]).alias("score"), e["size"].alias("size"), F.get(best, e["start"])["cuts"].alias("cuts")))
         last = F.get(best, end - 1)
         spelled = F.when(F.exists(arriving, lambda e: e["size"] == 1), F.array().cast("array<struct<score:double,size:int,cuts:bigint>>")).otherwise(F.array(F.struct((last["score"] + F.lit(unknown)).alias("score"), F.lit(1).alias("size"), last["cuts"].alias("cuts"))))
         top = F.array_max(F.concat(ways, spelled))
@@ -99,15 +129,13 @@ def viterbi_cuts(edges: Column, n: Column, unknown: float) -> Column:
     return F.element_at(F.aggregate(F.sequence(F.lit(1), n), first, step), -1)["cuts"]
 
 
-def unit_cuts(units: DataFrame, model: dict, keys: list[str]) -> DataFrame:
-    """keys, unit, cuts of units(keys, unit) of up to LONGEST characters; units without an edge have no row."""
-    spark = units.sparkSession
-    pieces = spark.createDataFrame(list(model["scores"].items()), "piece string, score double")
-    shortest = 2 if model["merges"] else 1
-    edges = edges_of(units, pieces, keys, shortest, model["longest"])
+def unit_cuts(units: DataFrame, model: dict, key: str) -> DataFrame:
+    """key, unit, cuts of units(key, unit) of up to LONGEST characters; units without an edge have no row."""
+    pieces = units.sparkSession.createDataFrame(list(model["scores"].items()), "piece string, score double")
+    edges = lattice(units, pieces, key, 2 if model["merges"] else 1, model["longest"])
     unknown = min(model["scores"].values()) - 10.0
     cuts = merged_cuts(F.col("edges"), F.col("n")) if model["merges"] else viterbi_cuts(F.col("edges"), F.col("n"), unknown)
-    return edges.select(*keys, "unit", cuts.alias("cuts"))
+    return edges.select(key, "unit", cuts.alias("cuts"))
 
 
 def parts_of(unit: str, cuts: int | None) -> list[str]:
@@ -194,8 +222,26 @@ class Codec:
         return whole[1:] if whole.startswith(" ") else whole
 
 
+def distinct_units(dealt: DataFrame, sent) -> DataFrame:
+    """_of, unit: the distinct units of each block of dealt(_block, text), all of whose rows share a task."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, set[str]] = {}
+        find = regex.compile(sent.value[1]["unit"]).findall
+        for batch in batches:
+            for block, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if x:
+                    seen.setdefault(block, set()).update(find(escaped(x)))
+        for block, units in seen.items():
+            rows = [u for u in units if len(u) <= LONGEST]
+            for i in range(0, len(rows), 20_000):
+                part = rows[i : i + 20_000]
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(part), pa.int32()), pa.array(part, pa.string())], ["_of", "unit"])
+
+    return dealt.select("_block", "text").mapInArrow(run, "_of int, unit string")
+
+
 def encode(docs: DataFrame, path: str, text: str = "text", block_bytes: int = BLOCK) -> DataFrame:
-    """Every column of docs, then ids (array), n_pieces, ids_sha256 (of the ids as decimal, comma-joined), round_trip.
+    """Every column of docs, then ids (array), n_pieces, ids_sha256 (of the ids as little-endian 32-bit numbers), round_trip.
 
     ids are those that the sentencepiece library gives for the whole text, without begin or end. round_trip
     says whether decoding gives the text back; the visible blank U+2581 in a text decodes as a blank.
@@ -203,52 +249,53 @@ def encode(docs: DataFrame, path: str, text: str = "text", block_bytes: int = BL
     meet in blocks by a hash of their row, about `block_bytes` each, so that each distinct unit of a block
     is segmented once and repeated or hot documents spread evenly. Columns with a result's name are replaced.
     """
-    added = ["ids", "n_pieces", "ids_sha256", "round_trip", "_block"]
+    added = ["ids", "n_pieces", "ids_sha256", "round_trip"]
     model = load_model(path)
     sent = send(docs.sparkSession, model)  # one vocabulary: of fixed size
     blocks = max(12, -(-input_bytes(docs, text) // block_bytes))
-    base = docs.select(*[c for c in docs.columns if c not in added]).withColumn("_block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int"))
-    dealt = base.repartition("_block")
+    names = [c for c in docs.columns if c not in (*added, "_block", "_text")]
+    base = docs.select(*names).withColumn("_block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int"))
+    dealt = base.repartition(blocks, "_block")
     # always true, but reads every column and can't move below the exchange: both branches use one and the same shuffle
     whole = dealt.where(F.pmod(F.xxhash64(*base.columns), F.lit(2)) + F.rand(1) >= 0)
-    units = whole.select(F.col("_block").alias("_of"), F.explode(F.array_distinct(F.regexp_extract_all(escaped_column(F.col(text)), F.lit(model["unit"]), F.lit(0)))).alias("unit")).distinct()
-    cuts = unit_cuts(units, model, ["_of"])
-    names = base.columns
+    cuts = unit_cuts(distinct_units(whole.select("_block", F.col(text).alias("text")), sent), model, "_of")
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         key, value = sent.value
         codec = once(key, lambda: Codec(value))
-        unit_ids = _UnitIds(codec, dict(zip(right.column("unit").to_pylist(), right.column("cuts").to_pylist(), strict=True)))
+        known = dict(zip(right.column("unit").to_pylist(), right.column("cuts").to_pylist(), strict=True))
+        if len(known) != right.num_rows:
+            raise RuntimeError("a unit's edges were torn apart")
+        get, find, decode_ids = _UnitIds(codec, known).__getitem__, codec.find, codec.decode
         out = []
         for batch in left.to_batches(max_chunksize=500):
-            ids, digests, trips = [], [], []
+            packed, sizes, digests, trips = [], [], [], []
             for x in batch.column(batch.schema.names.index(text)).to_pylist():
-                own = [i for u in codec.find(escaped(x or "")) for i in unit_ids[u]]
-                ids.append(own)
-                digests.append(hashlib.sha256(",".join(map(decimal, own)).encode()).hexdigest())
-                trips.append(codec.decode(own) == x)
-            made = [pa.array(ids, pa.list_(pa.int32())), pa.array([len(i) for i in ids], pa.int64()), pa.array(digests, pa.string()), pa.array(trips, pa.bool_())]
-            out.append(pa.RecordBatch.from_arrays([*(batch.column(batch.schema.names.index(n)) for n in names if n != "_block"), *made], [*(n for n in names if n != "_block"), *added[:4]]))
+                raw = b"".join(map(get, find(escaped(x or ""))))
+                own = np.frombuffer(raw, "<i4")
+                packed.append(raw)
+                sizes.append(len(own))
+                digests.append(hashlib.sha256(raw).hexdigest())
+                trips.append(decode_ids(own.tolist()) == x)
+            edges = np.cumsum([0, *sizes])
+            ids = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(np.frombuffer(b"".join(packed), "<i4")))
+            made = [ids, pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), pa.array(trips, pa.bool_())]
+            out.append(pa.RecordBatch.from_arrays([*(batch.column(batch.schema.names.index(n)) for n in names), *made], [*names, *added]))
         return pa.Table.from_batches(out)  # a block with units has documents
 
     columns = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema if f.name != "_block"), "ids array<int>, n_pieces long, ids_sha256 string, round_trip boolean"])
     return dealt.groupBy("_block").cogroup(cuts.groupBy("_of")).applyInArrow(finish, columns)
 
 
-@lru_cache(maxsize=1 << 17)
-def decimal(i: int) -> str:
-    return str(i)
-
-
 class _UnitIds(dict):
-    """Unit -> ids, made when first asked for."""
+    """Unit -> ids as bytes, made when first asked for."""
 
     def __init__(self, codec: Codec, cuts: dict[str, int]):
         super().__init__()
         self.codec, self.cuts = codec, cuts
 
-    def __missing__(self, unit: str) -> list[int]:
-        self[unit] = ids = self.codec.unit_ids(unit, self.cuts.get(unit))
+    def __missing__(self, unit: str) -> bytes:
+        self[unit] = ids = np.array(self.codec.unit_ids(unit, self.cuts.get(unit)), "<i4").tobytes()
         return ids
 
 
