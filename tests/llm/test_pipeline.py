@@ -1,3 +1,6 @@
+import random
+from itertools import combinations
+
 import public_tokenizers
 import sentencepiece
 
@@ -39,3 +42,28 @@ def test_each_stage_on_what_its_predecessor_kept(spark):
     coded = stages["encode"](spark, spark.createDataFrame(clean, kind), SF).collect()
     texts = {d[0]: d[1] for d in clean}
     assert len(coded) == len(clean) and all(r.ids == library.encode(texts[r.doc_id]) and r.round_trip for r in coded)
+
+
+def test_near_duplicates_of_five_words_and_four_fifths(spark):
+    rng = random.Random(4)
+    base = [f"b{i}" for i in range(200)]
+    docs = [" ".join(base), " ".join(base[:164]), " ".join(base[:150]), "one two three four", "one two three four"]
+    for _ in range(25):
+        words = [f"v{rng.randrange(5000)}" for _ in range(rng.choice([7, 12, 30, 90, 240]))]
+        for _ in range(rng.randint(1, 4)):
+            w = words[: len(words) - rng.randrange(1 + len(words) // 5)]
+            for _ in range(rng.randint(0, 2)):
+                w[rng.randrange(len(w))] = f"v{rng.randrange(5000)}"
+            docs.append(" ".join(w))
+    own = []
+    for t in docs:
+        ws = t.split(" ")
+        own.append({tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))})
+    low = list(range(len(docs)))
+    for i, j in combinations(range(len(docs)), 2):
+        if 5 * len(own[i] & own[j]) >= 4 * len(own[i] | own[j]):
+            a, b = sorted((low[i], low[j]))
+            low = [a if x == b else x for x in low]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(docs)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, SF).collect()}
+    assert kept == set(low) and 1 not in kept
