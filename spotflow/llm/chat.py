@@ -11,15 +11,17 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import map_rows, stored
 
 QUOTED = re.compile(r"[ \t]*((?:>[ \t]?)+)(.*)", re.DOTALL)
 ATTRIBUTION = re.compile(r".*\b(wrote|writes|said|schrieb|écrit|escribió)\s*:\s*", re.IGNORECASE | re.DOTALL)
-#: Turns in one row of a formatted conversation; longer conversations take several rows.
+#: Turns in one row of a formatted conversation; longer conversations take several rows, cut from one order.
 BLOCK = 256
 #: How precisely a passage was found: the whole message, one of its paragraphs, one of its lines.
 WHOLE, PARAGRAPH, LINE = 0, 1, 2
@@ -145,27 +147,95 @@ def reply_order(messages: list[dict]) -> list[dict]:
     return ordered
 
 
+def prefix_sums(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """df and before: the sum of value over all rows that come earlier by keys; rows of equal first two keys stay together.
+
+    Ranges are summed one by one; the driver sees one number for each.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, total = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            v = batch.column(batch.schema.get_field_index(value)).to_numpy(zero_copy_only=False)
+            upto = total + np.cumsum(v)
+            total = int(upto[-1]) if len(v) else total
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(upto - v, pa.int64()), pa.array(np.full(len(v), task), pa.int64())], [*batch.schema.names, "before", "task"])
+
+    columns = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), "before long, task long"])
+    held = stored(df.repartitionByRange(*keys[:2]).sortWithinPartitions(*keys).mapInArrow(run, columns), "sums")
+    base, total = [], 0
+    for r in held.groupBy("task").agg(F.sum(value).alias("n")).orderBy("task").collect():
+        base.append((r.task, total))
+        total += r.n
+    start = df.sparkSession.createDataFrame(base, "task long, start long")
+    return held.join(F.broadcast(start), "task").withColumn("before", F.col("before") + F.col("start")).drop("task", "start")
+
+
+def reply_places(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """id, place: each node's place when the trees of links(id, parent) are walked depth first, children by id.
+
+    nodes(id) are numbered from 0 with parents below their children. Sizes of subtrees, then distances from
+    the root, are summed by pointer doubling: as many stored rounds as the logarithm of the depth.
+    """
+    state = stored(nodes.join(links, "id", "left").select("id", "parent", F.col("parent").alias("up"), F.lit(1).cast("long").alias("size")), "sizes")
+    while state.where("up IS NOT NULL").limit(1).count():
+        more = state.where("up IS NOT NULL").groupBy(F.col("up").alias("id")).agg(F.sum("size").alias("more"))
+        above = state.where("up IS NOT NULL").select(F.col("id").alias("up"), F.col("up").alias("further"))
+        state = stored(state.join(more, "id", "left").join(above, "up", "left").select("id", "parent", F.col("further").alias("up"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")), "sizes")
+    placed = prefix_sums(state.select("id", F.coalesce("parent", F.lit(-1)).alias("parent"), "size"), ["parent", "id"], "size")
+    first = placed.where("parent >= 0").groupBy("parent").agg(F.min("before").alias("first"))
+    below = placed.where("parent >= 0").join(first, "parent").select("id", F.col("parent").alias("up"), (F.col("before") - F.col("first") + 1).alias("place"))
+    state = stored(below.union(placed.where("parent < 0").select("id", F.lit(None).cast("long"), F.col("before"))), "places")
+    while state.where("up IS NOT NULL").limit(1).count():
+        above = state.select(F.col("id").alias("up"), F.col("up").alias("further"), F.col("place").alias("more"))
+        state = stored(state.join(above, "up", "left").select("id", F.col("further").alias("up"), (F.col("place") + F.coalesce("more", F.lit(0))).alias("place")), "places")
+    return state.select("id", "place")
+
+
+def placed_messages(linked: DataFrame, block: int) -> DataFrame:
+    """linked with part and at, the message's place, for conversations of any length; none is gathered."""
+    order = ["conv_id", "turn", "role", "content", "reply_to"]
+    held = stored(prefix_sums(linked.select(*order).withColumn("one", F.lit(1).cast("long")), order, "one").withColumnRenamed("before", "id").drop("one"), "turns")
+    first = held.groupBy("conv_id", F.col("turn").alias("reply_to")).agg(F.min("id").alias("parent"))
+    links = held.where("reply_to < turn").join(first, ["conv_id", "reply_to"]).select("id", "parent")
+    places = reply_places(links, held.select("id"))
+    slot = held.select(F.col("id").alias("at"), part_of("turn", block).alias("part"))
+    return held.join(places.withColumnRenamed("place", "at"), "id").join(slot, "at").select(*order, "part", "at")
+
+
+def part_of(turn: str, block: int) -> Column:
+    return F.coalesce(F.floor(F.col(turn) / block), F.lit(0)).cast("long")
+
+
 def conversations(linked: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Formatted conversations: conv_id, part (turn div block), n_messages, n_linked, turns, chat.
+    """Formatted conversations: conv_id, part, n_messages, n_linked, turns, chat.
 
     chat holds the messages in reply order, `<|role|>` and content on lines of their own; empty messages
-    are kept. A conversation takes a row for each `block` turns, so that none is gathered whole; a reply
-    to another part stands at its own turn. Rows whose conversation is null form a group of their own by
-    turn; a null turn counts as part 0, first.
+    are kept. The order is that of the whole conversation, which takes rows one after the other so that none
+    is gathered whole: part p has as many messages as the conversation has turns from p * block on, below
+    (p + 1) * block. Rows whose conversation is null form a group of their own by turn; a null turn counts
+    as part 0, first. Conversations without a reply across such a border are ordered part by part, which
+    gives the same.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             turns, chats = [], []
             for rows in batch.column(batch.num_columns - 1).to_pylist():
-                ordered = reply_order(rows)
+                ordered = rows if rows[0]["at"] is not None else reply_order(rows)
                 turns.append([m["turn"] for m in ordered])
                 chats.append("\n".join(f"<|{m['role'] or ''}|>\n{m['content']}" for m in ordered))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(turns, pa.list_(pa.int64())), pa.array(chats, pa.string())], [*batch.schema.names[:-1], "turns", "chat"])
 
     kind = dict(linked.dtypes)["conv_id"]
-    grouped = linked.groupBy("conv_id", F.coalesce(F.floor(F.col("turn") / block), F.lit(0)).cast("long").alias("part")).agg(
+    held = stored(linked.select("conv_id", "turn", "role", "content", F.col("reply_to").cast("long").alias("reply_to")), "linked")
+    across = held.where(part_of("reply_to", block) < part_of("turn", block)).where("conv_id IS NOT NULL AND reply_to IS NOT NULL").select("conv_id").distinct()
+    messages = held.withColumn("part", part_of("turn", block)).withColumn("at", F.lit(None).cast("long"))
+    if across.limit(1).count():
+        across = stored(across, "across")
+        messages = messages.join(across, "conv_id", "left_anti").union(placed_messages(held.join(across, "conv_id", "left_semi"), block).select(*messages.columns))
+    grouped = messages.groupBy("conv_id", "part").agg(
         F.count("*").alias("n_messages"),
         F.count("reply_to").alias("n_linked"),
-        F.array_sort(F.collect_list(F.struct("turn", "role", "content", "reply_to"))).alias("messages"),
+        F.array_sort(F.collect_list(F.struct("at", "turn", "role", "content", "reply_to"))).alias("messages"),
     )
     return map_rows(grouped, run, f"conv_id {kind}, part long, n_messages long, n_linked long, turns array<bigint>, chat string", rows=500)

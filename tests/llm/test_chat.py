@@ -1,4 +1,6 @@
-from spotflow.llm.chat import conversations, link_quotes, parse_message
+import random
+
+from spotflow.llm.chat import conversations, link_quotes, parse_message, reply_order
 
 KIND = "conv_id long, turn long, role string, text string, reply_to int, hash string"
 
@@ -45,3 +47,27 @@ def test_repeated_passage_and_empty(spark):
     linked = link_quotes(df).collect()
     assert all(r.reply_to == (1 if r.turn % 2 == 0 and r.turn > 1 else None) for r in linked) and len(linked) == 400
     assert conversations(link_quotes(df.where("false"))).collect() == []
+
+
+def test_order_of_a_whole_conversation(spark):
+    """Replies far from what they answer, deep chains, repeated and null turns; parts follow one another in one order."""
+    rng = random.Random(5)
+    rows = []
+    for conv, n, reach in (("a", 700, 700), ("b", 60, 1), ("c", 90, 9), ("d", 3, 3), (None, 30, 0)):
+        for t in range(n):
+            asked = rng.choice([None, max(0, t - rng.randint(1, reach)), max(0, t - 1)]) if reach and t else None
+            asked = t - 1 if conv == "b" and t else asked
+            rows += [(conv, t * (3 if conv == "c" else 1), rng.choice(["user", "bot"]), f"{conv} {t} {k}", None if asked is None else asked * (3 if conv == "c" else 1)) for k in range(2 if t % 50 == 7 else 1)]
+    rows += [("a", None, "user", "no turn", None)]
+    df = spark.createDataFrame(rows, "conv_id string, turn long, role string, content string, reply_to long").repartition(3)
+    for block in (8, 256):
+        made = sorted(conversations(df, block).collect(), key=lambda r: r.part)
+        for conv in {r[0] for r in rows}:
+            own = sorted(([t is not None, t or 0, role, text, to] for c, t, role, text, to in rows if c == conv), key=str)
+            own = sorted(own, key=lambda m: m[:4])
+            want = reply_order([{"turn": m[1] if m[0] else None, "role": m[2], "content": m[3], "reply_to": m[4]} for m in own])
+            parts = [r for r in made if r.conv_id == conv]
+            assert [t for r in parts for t in r.turns] == [m["turn"] for m in want]
+            assert "\n".join(r.chat for r in parts) == "\n".join(f"<|{m['role']}|>\n{m['content']}" for m in want)
+            assert sum(r.n_linked for r in parts) == sum(m["reply_to"] is not None for m in want)
+            assert all(r.n_messages == len(r.turns) <= 1.1 * block + 2 for r in parts)
