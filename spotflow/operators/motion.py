@@ -55,6 +55,16 @@ def imsd(tracks: DataFrame, mpp: float, fps: float, max_lagtime: int = 100, part
     return long.groupBy("time").pivot("particle", particles).agg(F.first("msd"))
 
 
+def imsd_groups(tracks: DataFrame, mpp: float, fps: float, max_lagtime: int = 100, width: int = 10, scale: int | None = None) -> DataFrame:
+    """imsd of any number of particles with whole-number ids: time, first, and a column for each of first .. first + width - 1.
+
+    One row for each lag time and group of width ids, so neither a row nor the plan grows with the particles.
+    """
+    place = F.pmod(F.col("particle"), F.lit(width))
+    long = msd(tracks, max_lagtime, mpp, fps, scale=scale).withColumn("_place", place.cast("int"))
+    return long.groupBy("time", (F.col("particle") - place).alias("first")).pivot("_place", list(range(width))).agg(F.first("msd"))
+
+
 def imsd_long(wide: DataFrame) -> DataFrame:
     """time, particle, msd; empty cells have no row."""
     columns = [c for c in wide.columns if c != "time"]

@@ -299,6 +299,19 @@ def imsd_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return motion.imsd_long(motion.imsd(lens.tracks(spark, sf_dir), 1.0, 1.0, 10, [1, 2, 3])).select("time", "particle", F.round("msd", 4).alias("msd"))
 
 
+@query(f"WITH {_MSD} SELECT CAST(lag AS DOUBLE) AS time, particle - particle % 10 AS first, {', '.join(f'round(max(s * 0.0001 / n) FILTER (particle % 10 = {k}), 4) AS p{k}' for k in range(10))} FROM m GROUP BY 1, 2")
+def imsd_wide_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All particles, ten to a row."""
+    wide = motion.imsd_groups(lens.tracks(spark, sf_dir), 1.0, 1.0, 10, 10, scale=100)
+    return wide.select("time", "first", *(F.round(str(k), 4).alias(f"p{k}") for k in range(10)))
+
+
+@query(f"WITH {_MSD} SELECT CAST(lag AS DOUBLE) AS time, particle, round(s * 0.0001 / n, 4) AS msd FROM m")
+def imsd_long_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All particles, straight from the displacements."""
+    return motion.msd(lens.tracks(spark, sf_dir), 10, scale=100).select("time", "particle", F.round("msd", 4).alias("msd"))
+
+
 @query(f"WITH {SQL['ev']} SELECT user_id AS particle, round(least(5.0, avg((value / 100) * (value / 100)) / (4 * 0.036)), 6) AS d FROM ev GROUP BY user_id")
 def diffusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lens.tracks(spark, sf_dir).groupBy("particle").agg(F.round(motion.diffusion_constant(F.col("x") / 100, 0.036), 6).alias("d"))

@@ -44,6 +44,14 @@ def test_msd_by_hand(spark):
     assert [(r.lag, r.msd, r.n) for r in motion.msd(df, 6).orderBy("lag").collect()] == [(1, 2.5, 2), (2, 12.5, 2), (3, 20.0, 1), (4, 25.0, 1)]
 
 
+def test_imsd_of_all_particles(spark):
+    want = {(float(r.lag), r.particle, r.msd) for r in QUERIES["msd"](spark, SF).collect()}
+    assert len({p for _, p, _ in want}) > 3
+    assert {tuple(r) for r in QUERIES["imsd_long_all"](spark, SF).select("time", "particle", "msd").collect()} == want
+    wide = QUERIES["imsd_wide_all"](spark, SF).collect()
+    assert {(r.time, r.first + k, r[f"p{k}"]) for r in wide for k in range(10) if r[f"p{k}"] is not None} == want
+
+
 def test_set_zero_by_hand(spark):
     df = spark.createDataFrame([(1, k, v) for k, v in enumerate([4.0, 2.0, 6.0])], "particle int, frame int, x double")
     assert [r.x for r in motion.set_zero(df, "x").orderBy("frame").collect()] == [2.0, 0.0, 4.0]
