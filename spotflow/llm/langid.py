@@ -19,6 +19,9 @@ from .common import crc_mod, map_rows, once, send
 
 #: Buckets of hashed n-grams.
 BUCKETS = 1 << 14
+#: Bins of the histogram of similarities, and the modulus of the hash that chooses rows.
+BINS = 1 << 16
+SHARES = 1 << 40
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
 #: ASCII other than letters separates; what isn't ASCII stays.
@@ -55,18 +58,64 @@ def spherical_kmeans(rows: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centroids
 
 
+def share(n: int, per_language: int) -> int:
+    """Of SHARES hash values, those that choose about per_language of n rows; at least one."""
+    return SHARES if n <= per_language else max(1, per_language * SHARES // n)
+
+
+def inverse_frequencies(rows: DataFrame) -> np.ndarray:
+    """idf of each bucket over all of rows(text); a task sends at most BUCKETS + 1 numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = np.zeros(BUCKETS + 1, np.int64)  # the last is the number of texts
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                if has_letter(x):
+                    df[ngram_counts(x)[0]] += 1
+                    df[BUCKETS] += 1
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(df[at], pa.int64())], ["bucket", "n"])
+
+    df = np.zeros(BUCKETS + 1)
+    for r in map_rows(rows.select("text"), run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+        df[r.bucket] = r.n
+    return (np.log((1 + df[BUCKETS]) / (1 + df[:BUCKETS])) + 1).astype(np.float32)
+
+
+def own_similarity(rows: DataFrame, model: dict, part: float) -> float:
+    """The similarity with their own language that all but `part` of rows(text, lang) reach, from a histogram of all."""
+    sent = send(rows.sparkSession, model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use, seen = sent.value[1], np.zeros(BINS, np.int64)
+        columns = {name: np.flatnonzero(use["owner"] == k) for k, name in enumerate(use["langs"])}
+        for batch in batches:
+            for x, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if name in columns and has_letter(x):
+                    own = float(cosines(use, x)[columns[name]].max())
+                    seen[min(BINS - 1, max(0, int(own * BINS)))] += 1
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(seen[at], pa.int64())], ["bin", "n"])
+
+    seen = np.zeros(BINS, np.int64)
+    for r in map_rows(rows.select("text", "lang"), run, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect():
+        seen[r.bin] = r.n
+    return float(np.searchsorted(np.cumsum(seen), part * seen.sum(), side="right")) / BINS if seen.any() else 0.0
+
+
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 300, centroids: int = 4, slack: float = 0.25) -> dict:
-    """Fit on about `per_language` rows of each language, chosen by a hash of the key: a documented, bounded sample.
+    """Fit centroids on about `per_language` rows of each language, chosen by a hash of the key: a documented, bounded sample.
 
-    Rows without key, language or letters teach nothing. The rejection distance is `slack` times the
-    similarity that all but one in two hundred of the sample reach with their own language.
+    Rows without key, language or letters teach nothing. Document frequencies are those of all rows. The
+    rejection distance is `slack` times the similarity that all but one in two hundred of all rows reach with
+    their own language, to one part in BINS.
     """
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("key IS NOT NULL AND lang IS NOT NULL AND length(text) > 0")
     totals = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not totals:
         return {"langs": [], "owner": np.zeros(0, int), "centroids": np.zeros((BUCKETS, 0), np.float32), "idf": np.ones(BUCKETS, np.float32), "reject": 0.0}
-    part = [x for name, n in totals.items() for x in (F.lit(name), F.lit(int(min(1.0, per_language / n) * (1 << 20))))]
-    sample = rows.where(F.pmod(F.xxhash64("key", F.lit("langid")), F.lit(1 << 20)) < F.element_at(F.create_map(*part), F.col("lang")))
+    part = [x for name, n in totals.items() for x in (F.lit(name), F.lit(share(n, per_language)))]
+    sample = rows.where(F.pmod(F.xxhash64("key", F.lit("langid")), F.lit(SHARES)) < F.element_at(F.create_map(*part), F.col("lang")))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,12 +130,9 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
 
     collected = map_rows(sample.select("lang", "text"), vectors, "lang string, at binary, counts binary").collect()
     found = [(r.lang, np.frombuffer(r.at, "<i4"), np.frombuffer(r.counts, "<i4")) for r in sorted(collected)]
-    df = np.zeros(BUCKETS)
-    for _, a, _ in found:
-        df[a] += 1
-    idf = (np.log((1 + len(found)) / (1 + df)) + 1).astype(np.float32)
+    idf = inverse_frequencies(rows)
     langs = sorted({x[0] for x in found})
-    owner, kept, near = [], [], []
+    owner, kept = [], []
     for k, name in enumerate(langs):
         own = [x for x in found if x[0] == name]
         dense = np.zeros((len(own), BUCKETS), np.float32)
@@ -96,19 +142,23 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
         made = spherical_kmeans(dense, centroids)
         kept.append(made)
         owner += [k] * len(made)
-        near.append(np.max(dense @ made.T, axis=1))
-    reject = slack * float(np.quantile(np.concatenate(near), 0.005)) if near else 0.0
-    return {"langs": langs, "owner": np.array(owner), "centroids": np.ascontiguousarray(np.concatenate(kept).T.astype(np.float32)) if kept else np.zeros((BUCKETS, 0), np.float32), "idf": idf, "reject": reject}
+    model = {"langs": langs, "owner": np.array(owner), "centroids": np.ascontiguousarray(np.concatenate(kept).T.astype(np.float32)) if kept else np.zeros((BUCKETS, 0), np.float32), "idf": idf, "reject": 0.0}
+    return model | {"reject": slack * own_similarity(rows, model, 0.005)} if kept else model
+
+
+def cosines(model: dict, text: str) -> np.ndarray:
+    """Similarity with each centroid."""
+    at, counts = ngram_counts(text)
+    weights = (1 + np.log(counts)).astype(np.float32) * model["idf"][at]
+    return (weights @ model["centroids"][at]) / max(float(np.linalg.norm(weights)), 1e-12)
 
 
 def classify(model: dict, text: str | None) -> tuple[str, float, bool]:
     if not has_letter(text) or not model["langs"]:
         return UNKNOWN, 0.0, True
-    at, counts = ngram_counts(text)
-    weights = (1 + np.log(counts)).astype(np.float32) * model["idf"][at]
-    cosines = (weights @ model["centroids"][at]) / max(float(np.linalg.norm(weights)), 1e-12)
-    best = int(np.argmax(cosines))
-    score = min(1.0, max(0.0, float(cosines[best])))
+    found = cosines(model, text)
+    best = int(np.argmax(found))
+    score = min(1.0, max(0.0, float(found[best])))
     return model["langs"][model["owner"][best]], score, score < model["reject"]
 
 

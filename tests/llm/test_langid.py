@@ -1,6 +1,8 @@
 import random
 
-from spotflow.llm.langid import identify, train
+import numpy as np
+
+from spotflow.llm.langid import BINS, BUCKETS, cosines, identify, ngram_counts, share, train
 
 PARTS = {"en": ["the", "ing", "tion", "er", "and", "wh"], "de": ["sch", "ung", "ein", "ü", "keit", "pf"], "es": ["ción", "ado", "que", "ñ", "os", "mente"]}
 
@@ -36,3 +38,18 @@ def test_nothing_learned(spark):
     model = train(empty)
     assert identify(empty, model).collect() == []
     assert [r.lang_pred for r in identify(spark.createDataFrame([(1, "abc")], "doc_id long, text string"), model).collect()] == ["und"]
+
+
+def test_frequencies_and_threshold_are_of_all_rows(spark):
+    rows = corpus(900, 7) + [(9000, "12 34", "en"), (None, "the the", "en")]
+    model = train(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3), per_language=20, slack=0.5)
+    df = np.zeros(BUCKETS)
+    for _, x, _ in rows[:900]:
+        df[ngram_counts(x)[0]] += 1
+    assert np.allclose(model["idf"], np.log(901 / (1 + df)) + 1, rtol=1e-6)
+    own = np.sort([cosines(model, x)[model["owner"] == model["langs"].index(lang)].max() for _, x, lang in rows[:900]])
+    assert abs(model["reject"] / 0.5 - own[4]) <= 2 / BINS
+
+
+def test_share_of_many_rows():
+    assert share(10, 300) == 1 << 40 and share(10**9, 300) > 0 and abs(share(10**9, 300) * 10**9 / (1 << 40) - 300) < 1
