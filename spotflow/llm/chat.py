@@ -21,6 +21,7 @@ from .common import map_rows, stored
 
 QUOTED = re.compile(r"[ \t]*((?:>[ \t]?)+)(.*)", re.DOTALL)
 ATTRIBUTION = re.compile(r".*\b(wrote|writes|said|schrieb|écrit|escribió)\s*:\s*", re.IGNORECASE | re.DOTALL)
+PARAGRAPHS = re.compile(r"\n\s*\n")
 #: Turns in one row of a formatted conversation; longer conversations take several rows, cut from one order.
 BLOCK = 256
 #: How precisely a passage was found: the whole message, one of its paragraphs, one of its lines.
@@ -67,7 +68,7 @@ def parse_message(text: str | None) -> tuple[str, list[tuple[int, str]]]:
 def original_hashes(body: str) -> list[tuple[str, int]]:
     """Hashes under which a message can be quoted, the most precise kind for each."""
     found: dict[str, int] = {}
-    for kind, parts in ((WHOLE, [body]), (PARAGRAPH, re.split(r"\n\s*\n", body)), (LINE, body.split("\n"))):
+    for kind, parts in ((WHOLE, [body]), (PARAGRAPH, PARAGRAPHS.split(body)), (LINE, body.split("\n"))):
         for part in parts:
             if (h := passage_hash(part)) is not None:
                 found.setdefault(h, kind)
@@ -75,8 +76,8 @@ def original_hashes(body: str) -> list[tuple[str, int]]:
 
 
 def quote_hashes(quotes: list[tuple[int, str]]) -> list[tuple[int, str]]:
-    """Level and hash of each passage, and of each line of it."""
-    found = {(level, h) for level, passage in quotes for part in (passage, *passage.split("\n")) if (h := passage_hash(part)) is not None}
+    """Level and hash of each passage, and of each paragraph and line of it."""
+    found = {(level, h) for level, passage in quotes for part in (passage, *PARAGRAPHS.split(passage), *passage.split("\n")) if (h := passage_hash(part)) is not None}
     return sorted(found)
 
 

@@ -71,3 +71,13 @@ def test_order_of_a_whole_conversation(spark):
             assert "\n".join(r.chat for r in parts) == "\n".join(f"<|{m['role']}|>\n{m['content']}" for m in want)
             assert sum(r.n_linked for r in parts) == sum(m["reply_to"] is not None for m in want)
             assert all(r.n_messages == len(r.turns) <= 1.1 * block + 2 for r in parts)
+
+
+def test_quoted_paragraphs_with_wrapped_lines(spark):
+    rows = [
+        (1, 0, "user", "something else"),
+        (1, 1, "user", "one two three four\n\nfive six seven eight\n\nnine ten"),
+        (1, 2, "assistant", "> one two\n> three four\n>\n> five six\n> seven eight\nyes"),
+    ]
+    linked = link_quotes(spark.createDataFrame([(*r, 1, "h") for r in rows], KIND)).collect()
+    assert {r.turn: r.reply_to for r in linked} == {0: None, 1: None, 2: 1}
