@@ -136,6 +136,8 @@ class Sequence(HTMLParser):
 
     BLOCK = frozenset("address article aside blockquote body br dd details dialog div dl dt figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section table tbody td th tr ul".split())
     HIDDEN = frozenset("script style template noscript head".split())
+    #: What a head can hold; any other tag ends one whose end tag is left out.
+    IN_HEAD = frozenset("html head title base meta link script style noscript template".split())
     MEDIA = {"img": "src", "audio": "src", "video": "src", "source": "src", "embed": "src", "object": "data"}
 
     def __init__(self) -> None:
@@ -153,6 +155,8 @@ class Sequence(HTMLParser):
             self.items.append({"kind": "text", "text": text, "ref": None, "caption": None})
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if self.hidden == ["head"] and tag not in self.IN_HEAD:
+            self.hidden.pop()
         if tag in self.HIDDEN:
             self.hidden.append(tag)
         if self.hidden:
@@ -167,7 +171,7 @@ class Sequence(HTMLParser):
         elif tag in self.BLOCK:
             self.flush()
             if tag == "figure":
-                self.figures.append({"media": [], "caption": None})
+                self.figures.append({"media": [], "caption": None, "texts": []})
             elif tag == "figcaption" and self.figures:
                 self.caption = []
 
@@ -181,12 +185,19 @@ class Sequence(HTMLParser):
             if self.caption is not None and tag in ("figcaption", "figure"):
                 self.figures[-1]["caption"] = " ".join("".join(self.caption).split()) or None
                 self.caption = None
+                if text := self.figures[-1]["caption"]:
+                    self.flush()
+                    self.items.append({"kind": "text", "text": text, "ref": None, "caption": None})
+                    self.figures[-1]["texts"].append(self.items[-1])
             self.flush()
             if tag == "figure" and self.figures:
                 self.close_figure()
 
     def close_figure(self) -> None:
+        """A caption belongs to the figure's media, or is a text of its own where there are none."""
         figure = self.figures.pop()
+        for item in figure["texts"] if figure["media"] else []:
+            item["kind"] = None
         for item in figure["media"]:
             item["caption"] = figure["caption"] or item["caption"]
 
@@ -201,7 +212,7 @@ class Sequence(HTMLParser):
         self.flush()
         while self.figures:
             self.close_figure()
-        return [{"position": k, **x} for k, x in enumerate(self.items)]
+        return [{"position": k, **x} for k, x in enumerate(x for x in self.items if x["kind"])]
 
 
 def parse_page(html: str | None) -> list[dict]:

@@ -36,3 +36,11 @@ def test_order_and_captions(spark):
     assert [x.position for x in got[0].sequence] == list(range(5))
     assert got[0].sequence[1].payload_bytes == 192 and got[0].sequence[3].payload_bytes is None
     assert got[4].sequence[0].caption == "open"
+
+
+def test_head_without_end_and_figure_without_media():
+    short = lambda html: [(i["kind"], i["text"] or i["ref"], i["caption"]) for i in parse_page(html)]
+    assert short('<html><head><title>t</title><style>p {}</style><body><p>shown</p><img src="a">') == [("text", "shown", None), ("img", "a", None)]
+    assert short("<head><meta charset=x><noscript><p>no</p></noscript><p>one</p></head><p>two") == [("text", "one", None), ("text", "two", None)]
+    assert short("<p>a</p><figure><figcaption>table <b>one</b></figcaption><pre>1 2</pre></figure>b") == [("text", "a", None), ("text", "table one", None), ("text", "1 2", None), ("text", "b", None)]
+    assert short('<figure><figcaption>c</figcaption><img src="a" alt="x"></figure><figure><figcaption>d') == [("img", "a", "c"), ("text", "d", None)]
