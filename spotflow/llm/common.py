@@ -6,7 +6,9 @@ import atexit
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,24 +20,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of texts in one slice of a batch, however few rows that makes.
+SLICE = 4 << 20
+
+
+def row_bytes(batch: pa.RecordBatch) -> np.ndarray:
+    """Bytes of the strings and binaries of each row."""
+    total = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
+            total += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return total
+
+
+def slices(batch: pa.RecordBatch, rows: int, size: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """batch in parts of at most `rows` rows and about `size` bytes; a row is never cut."""
+    if not batch.num_rows:
+        return
+    upto = np.cumsum(row_bytes(batch))
+    begin = 0
+    while begin < batch.num_rows:
+        before = int(upto[begin - 1]) if begin else 0
+        end = min(begin + rows, max(begin + 1, int(np.searchsorted(upto, before + size, side="right"))))
+        yield batch.slice(begin, end - begin)
+        begin = end
+
+
 def map_rows(df: DataFrame, fn: Callable, schema: str, rows: int = 2000) -> DataFrame:
-    """mapInArrow over slices of at most `rows` rows: fn(iterator of RecordBatch) yields RecordBatch."""
+    """mapInArrow over slices of at most `rows` rows and about SLICE bytes: fn(iterator of RecordBatch) yields RecordBatch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def cut():
-            for b in batches:
-                for i in range(0, b.num_rows, rows):
-                    yield b.slice(i, rows)
-
-        yield from fn(cut())
+        yield from fn(part for b in batches for part in slices(b, rows))
 
     return df.mapInArrow(run, schema)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share: spark.checkpoint.dir; one in the warehouse where a local session names none."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         found = spark.conf.get("spark.sql.warehouse.dir", "spark-warehouse").rstrip("/") + "/_spotflow"
     return found.rstrip("/")
 
@@ -43,25 +68,58 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: cuts the lineage and survives lost executors.
 
-    The files go when the driver's Python ends.
+    The files go when the driver's Python ends, or with forget().
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/spotflow-{uuid.uuid4().hex}/{name}"
     df.write.option("compression", "zstd").parquet(path)
-    _forget_at_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    _pending[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._spotflow_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete the files of stored() tables that nothing will read again."""
+    for t in tables:
+        if (path := getattr(t, "_spotflow_path", None)) is not None:
+            _pending.pop(path, None)
+            _drop(t.sparkSession, path)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with as many underscores in front as it takes to clash with no column of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def numbered(df: DataFrame, column: str, name: str = "numbered") -> DataFrame:
+    """df with a number for each row, stored: whatever reads it sees the same rows under the same numbers.
+
+    Numbers given in passing differ between two readings of an input that isn't stored, whose rows may come
+    in another order or in other partitions.
+    """
+    return stored(df.withColumn(column, F.monotonically_increasing_id()), name)
+
+
+_pending: dict[str, SparkSession] = {}
+
 
+def _drop(spark: SparkSession, path: str) -> None:
+    try:
+        jvm = spark.sparkContext._jvm
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target.getParent(), True)
+    except Exception:  # the JVM may be gone already
+        pass
 
-def _forget_at_exit(spark: SparkSession, path: str) -> None:
-    def drop() -> None:
-        try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target.getParent(), True)
-        except Exception:  # the JVM may be gone already
-            pass
 
-    atexit.register(drop)
+@atexit.register
+def _drop_all() -> None:
+    for path, spark in _pending.items():
+        _drop(spark, path)
 
 
 def input_bytes(df: DataFrame, column: str) -> int:

@@ -3,29 +3,38 @@
 A window is `window` consecutive words. Its minimiser is the smallest hash of the `gram`-word sequences in
 it; consecutive windows with one minimiser are a super-k-mer, which travels as one packed string to the
 minimiser's bucket. Equal windows have equal minimisers, so a bucket can sort its windows and find, exactly,
-the smallest document in which each one starts.
+the smallest document in which each one starts. A bucket that a frequent minimiser makes too large is dealt
+out again by other minimisers of its windows, and in the end by the windows' own hash.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
-from .common import input_bytes, map_rows
-
-#: Bytes of packed strings that a task gathers before it hands them on, and that a bucket sorts at a time.
-GATHER = 48 << 20
-SORT = 48 << 20
-#: Input bytes (as stored) for each bucket.
-BUCKET = 2 << 20
-#: How a packed super-k-mer's document, row, first word and number of windows are stored: as differences.
+from pyspark.sql.types import IntegralType
+
+from .common import free_name, map_rows, stored
+
+#: Bytes that the super-k-mers gathered by a task take in memory before it hands them on, and what one takes
+#: beside its string: the string's and the dict's overhead and six list entries.
+GATHER, ENTRY = 80 << 20, 300
+#: Bytes of unpacked strings that a bucket sorts, and beyond which it is dealt out again in FAN buckets: by
+#: other minimisers in the first SALTED rounds, by window up to round DEALT. What is large even then holds few
+#: windows, each very often.
+SORT, FAN, SALTED, DEALT = 16 << 20, 256, 2, 4
+#: Bytes of text for each bucket.
+BUCKET = 3 << 19
+#: Keys that are broadcast where they have several texts; more are joined.
+SENT_KEYS = 100_000
+#: How a packed super-k-mer's document, tag, first word and number of windows are stored: as differences.
 FIELDS = ("<i8", "<i8", "<i4", "<i4")
+RUNS = ("doc", "tag", "first", "last")
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -64,52 +73,58 @@ def sliding_min(v: np.ndarray, n: int) -> np.ndarray:
 class Packer:
     """Gathers a task's super-k-mers; equal ones of several documents leave as the smallest document's only.
 
-    The others are resolved at once: their windows start in a smaller document of the same task.
+    The others are resolved at once: their windows start in a smaller document of the same task. A document
+    is its key and a tag that tells texts of one key apart.
     """
 
-    def __init__(self, window: int, gram: int, buckets: int):
-        self.window, self.gram, self.buckets = window, gram, buckets
+    def __init__(self, window: int, gram: int, buckets: int, gather_bytes: int, salt: int = 0, below: int = 0):
+        """below: the bucket of which these are parts, whose numbers follow from its own; salt: which minimisers."""
+        self.window, self.gram, self.buckets, self.gather = window, gram, buckets, gather_bytes
+        self.salt, self.below = np.uint64(salt * 0x51ED270B), below * buckets
         self.clear()
 
     def clear(self) -> None:
         self.seen: dict[bytes, int] = {}
         self.strings: list[bytes] = []
         self.docs: list[int] = []
-        self.rows: list[int] = []
+        self.tags: list[int] = []
         self.starts: list[int] = []
         self.counts: list[int] = []
         self.into: list[int] = []
-        self.done: list[tuple[int, int, int]] = []
+        self.done: list[tuple[int, int, int, int]] = []
         self.size = 0
 
-    def add(self, rows: list[int], docs: list[int | None], texts: list[str | None]) -> None:
+    def add(self, docs: list[int | None], tags: list[int], texts: list[str | None]) -> None:
         words: list[bytes] = []
-        first, ids, row_of = [], [], []
-        for row, doc, text in zip(rows, docs, texts, strict=True):
+        sizes, keys, marks = [], [], []
+        for doc, tag, text in zip(docs, tags, texts, strict=True):
             if doc is None or not text:
                 continue
             own = text.encode("utf-8").split()
             if len(own) >= self.window:
-                first.append(len(words))
-                ids.append(doc)
-                row_of.append(row)
+                sizes.append(len(own))
+                keys.append(doc)
+                marks.append(tag)
                 words += own
-        if not words:
-            return
+        if words:
+            self.cut(words, np.array(sizes), keys, marks, np.zeros(len(sizes), np.int64))
+
+    def add_packed(self, blob: bytes) -> None:
+        (docs, tags, starts, counts), strings = unpacked(blob)
+        self.cut(strings.split(), counts + self.window - 1, docs.tolist(), tags.tolist(), starts)
+
+    def cut(self, words: list[bytes], sizes: np.ndarray, docs: list[int], tags: list[int], offset: np.ndarray) -> None:
+        """Super-k-mers of runs of words, each of a window at least, which begin at a word of their documents."""
         n = len(words)
         hashes = mix(np.fromiter(map(crc32, words), np.uint64, n) + BASE)
         lengths = np.fromiter(map(len, words), np.int64, n)
         ends = np.cumsum(lengths + 1)
         begins = ends - lengths - 1
-        grams = mix(rolling(hashes, self.gram))
-        least = sliding_min(grams, self.window - self.gram + 1)
-        start_of = np.array(first, np.int64)
-        end_of = np.append(start_of[1:], n)
-        owner = np.repeat(np.arange(len(first)), end_of - start_of)
-        usable = np.zeros(n, bool)
-        usable[: len(least)] = True
-        usable[: len(least)] &= owner[: len(least)] == owner[self.window - 1 : self.window - 1 + len(least)]
-        at = np.flatnonzero(usable)
+        least = sliding_min(mix(rolling(hashes, self.gram) + self.salt), self.window - self.gram + 1)
+        end_of = np.cumsum(sizes)
+        start_of = end_of - sizes
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        at = np.flatnonzero(owner[: len(least)] == owner[self.window - 1 : self.window - 1 + len(least)])
         value = least[at]
         fresh = np.ones(len(at), bool)
         fresh[1:] = (value[1:] != value[:-1]) | (owner[at[1:]] != owner[at[:-1]]) | (at[1:] != at[:-1] + 1)
@@ -118,53 +133,78 @@ class Packer:
         word_at = at[begin]
         left, right = begins[word_at], ends[word_at + count + self.window - 2] - 1
         whose = owner[word_at]
-        self.keep(b" ".join(words), left.tolist(), right.tolist(), whose.tolist(), (word_at - start_of[whose]).tolist(), count.tolist(), (value[begin] % np.uint64(self.buckets)).astype(np.int64).tolist(), ids, row_of)
-
-    def keep(self, packed: bytes, left, right, whose, starts, counts, into, ids, row_of) -> None:
-        seen, docs = self.seen, self.docs
-        for a, b, k, start, count, bucket in zip(left, right, whose, starts, counts, into, strict=True):
-            s, doc = packed[a:b], ids[k]
+        packed = b" ".join(words)
+        into = (value[begin] % np.uint64(self.buckets)).astype(np.int64) + self.below
+        fields = (x.tolist() for x in (left, right, whose, word_at - start_of[whose] + offset[whose], count, into))
+        self.keep((packed[a:b], docs[k], tags[k], start, many, bucket) for a, b, k, start, many, bucket in zip(*fields, strict=True))
+
+    def keep(self, found: Iterable[tuple[bytes, int, int, int, int, int]]) -> None:
+        """String, document, tag, first word, number of windows and bucket of each super-k-mer."""
+        seen, docs, window = self.seen, self.docs, self.window
+        for s, doc, tag, start, count, bucket in found:
             old = seen.get(s)
-            if old is not None and docs[old] < doc:
-                self.done.append((row_of[k], start, start + count + self.window - 1))
-                continue
-            if old is not None and docs[old] > doc:
-                self.done.append((self.rows[old], self.starts[old], self.starts[old] + count + self.window - 1))
-                docs[old], self.rows[old], self.starts[old] = doc, row_of[k], start
+            if old is not None and docs[old] != doc:
+                if docs[old] < doc:
+                    self.done.append((doc, tag, start, start + count + window - 1))
+                else:
+                    self.done.append((docs[old], self.tags[old], self.starts[old], self.starts[old] + count + window - 1))
+                    docs[old], self.tags[old], self.starts[old] = doc, tag, start
+                self.size += 100
                 continue
             if old is None:
                 seen[s] = len(docs)
             docs.append(doc)
-            self.rows.append(row_of[k])
+            self.tags.append(tag)
             self.starts.append(start)
             self.counts.append(count)
             self.into.append(bucket)
             self.strings.append(s)
-            self.size += b - a + 60
+            self.size += len(s) + ENTRY
 
-    def leave(self) -> Iterator[pa.RecordBatch]:
-        """One packed row for each bucket, and one for what is resolved already."""
+    def full(self) -> bool:
+        return self.size > self.gather
+
+    def leave(self) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
+        """Buckets, bytes before compression and packed super-k-mers; then, with 0 bytes, what is resolved already."""
         import zstandard
 
         squeeze = zstandard.ZstdCompressor(level=3).compress
-        buckets, raw, blobs = [], [], []
         into = np.array(self.into, np.int64)
         order = np.argsort(into, kind="stable")
         edges = np.flatnonzero(np.diff(into[order], prepend=-1)) if len(order) else np.zeros(0, np.int64)
-        fields = [np.array(x, np.int64) for x in (self.docs, self.rows, self.starts, self.counts)]
+        fields = [np.array(x, np.int64) for x in (self.docs, self.tags, self.starts, self.counts)]
+        strings, done = self.strings, self.done
+        self.clear()
+        buckets, raw, blobs = [], [], []
         for a, b in zip(edges, [*edges[1:], len(order)][: len(edges)], strict=True):
             own = order[a:b]
-            blob = np.int64(len(own)).tobytes() + b"".join(np.diff(f[own], prepend=0).astype(t).tobytes() for f, t in zip(fields, FIELDS, strict=True)) + b"\n".join([self.strings[i] for i in own])
+            blob = np.int64(len(own)).tobytes() + b"".join(np.diff(f[own], prepend=0).astype(t).tobytes() for f, t in zip(fields, FIELDS, strict=True)) + b"\n".join([strings[i] for i in own])
             buckets.append(int(into[own[0]]))
             raw.append(len(blob))
             blobs.append(squeeze(blob))
-        if self.done:
-            buckets.append(self.done[0][0] % self.buckets)
+            if len(blobs) == 256:
+                yield buckets, raw, blobs
+                buckets, raw, blobs = [], [], []
+        if done:
+            buckets.append(done[0][0] % self.buckets)
             raw.append(0)
-            blobs.append(squeeze(np.array(self.done, np.int64).tobytes()))
-        self.clear()
-        for i in range(0, len(blobs), 256):
-            yield pa.RecordBatch.from_arrays([pa.array(buckets[i : i + 256], pa.int32()), pa.array(raw[i : i + 256], pa.int64()), pa.array(blobs[i : i + 256], pa.binary())], ["bucket", "raw", "packed"])
+            blobs.append(squeeze(np.array(done, np.int64).tobytes()))
+        if blobs:
+            yield buckets, raw, blobs
+
+
+def unpacked(blob: bytes) -> tuple[tuple[np.ndarray, ...], bytes]:
+    """Documents, tags, first words and numbers of windows of packed super-k-mers, and their strings, one a line."""
+    import zstandard
+
+    whole = zstandard.ZstdDecompressor().decompress(blob)
+    n = int(np.frombuffer(whole[:8], np.int64)[0])
+    at, fields = 8, []
+    for t in FIELDS:
+        size = n * np.dtype(t).itemsize
+        fields.append(np.cumsum(np.frombuffer(whole[at : at + size], t).astype(np.int64)))
+        at += size
+    return tuple(fields), whole[at:]
 
 
 class Numbers(dict):
@@ -175,15 +215,13 @@ class Numbers(dict):
         return n
 
 
-def covered(parts: list[tuple[np.ndarray, ...]], strings: list[bytes], window: int, share: tuple[int, int]) -> np.ndarray:
-    """Rows, first words and ends of runs of windows that a smaller document has too.
-
-    share (k, n): only windows whose hash leaves k modulo n, for buckets that are too large to sort at once.
-    """
-    docs, rows, starts, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+def covered(parts: list[tuple[np.ndarray, ...]], strings: list[bytes], window: int) -> np.ndarray:
+    """Documents, tags, first words and ends of runs of windows that a smaller document has too."""
+    docs, tags, starts, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
     words = b"\n".join(strings).split()
-    numbers = Numbers()
-    ids = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
+    strings.clear()
+    ids = np.fromiter(map(Numbers().__getitem__, words), np.int64, len(words))
+    del words
     sizes = counts + window - 1
     ends = np.cumsum(sizes)
     whose = np.repeat(np.arange(len(sizes)), sizes)
@@ -193,8 +231,6 @@ def covered(parts: list[tuple[np.ndarray, ...]], strings: list[bytes], window: i
     for j in range(1, window):
         usable[ends - j] = False
     at = np.flatnonzero(usable)
-    if share[1] > 1:
-        at = at[value[at] % np.uint64(share[1]) == np.uint64(share[0])]
     order = at[np.argsort(value[at], kind="stable")]
     sorted_value = value[order]
     new = np.ones(len(order), bool)
@@ -202,7 +238,7 @@ def covered(parts: list[tuple[np.ndarray, ...]], strings: list[bytes], window: i
     group = np.cumsum(new) - 1
     first = np.flatnonzero(new)
     if not len(first):
-        return np.zeros((0, 3), np.int64)
+        return np.zeros((0, 4), np.int64)
     doc = docs[whose[order]]
     smallest = np.minimum.reduceat(doc, first)
     leader = order[first]
@@ -221,53 +257,94 @@ def covered(parts: list[tuple[np.ndarray, ...]], strings: list[bytes], window: i
         hit[own] = [doc[i] > low[k] for i, k in zip(own, keys, strict=True)]
     found = np.sort(order[hit])
     if not len(found):
-        return np.zeros((0, 3), np.int64)
+        return np.zeros((0, 4), np.int64)
     run = np.ones(len(found), bool)
     run[1:] = (found[1:] != found[:-1] + 1) | (whose[found[1:]] != whose[found[:-1]])
     a = np.flatnonzero(run)
     b = np.append(a[1:], len(found)) - 1
     k = whose[found[a]]
     offset = ends[k] - sizes[k]
-    return np.stack([rows[k], starts[k] + found[a] - offset, starts[k] + found[b] - offset + window], axis=1)
+    return np.stack([docs[k], tags[k], starts[k] + found[a] - offset, starts[k] + found[b] - offset + window], axis=1)
 
 
-def judged(packed: DataFrame, window: int, sort_bytes: int = SORT) -> DataFrame:
-    """row, first, last (exclusive) of word runs to remove."""
+def covered_windows(blobs: list[bytes], window: int) -> Iterator[np.ndarray]:
+    """The same for packed windows of few sorts, whatever their number: a blob is unpacked at a time, twice."""
+    low: dict[bytes, int] = {}
 
-    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
+    def keys(strings: bytes) -> list[bytes]:
+        return [b" ".join(s.split()[:window]) for s in strings.split(b"\n")]
 
-        expand = zstandard.ZstdDecompressor().decompress
-        blobs, total = [], 0
+    for blob in blobs:
+        fields, strings = unpacked(blob)
+        for doc, k in zip(fields[0].tolist(), keys(strings), strict=True):
+            if doc < low.setdefault(k, doc):
+                low[k] = doc
+    for blob in blobs:
+        (docs, tags, starts, counts), strings = unpacked(blob)
+        hit = docs > np.array([low[k] for k in keys(strings)])
+        yield np.stack([docs, tags, starts, starts + counts + window - 1], axis=1)[hit]
 
-        def out(found: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1].astype(np.int32)), pa.array(found[:, 2].astype(np.int32))], ["row", "first", "last"])
 
-        for batch in batches:
-            for raw, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if raw:
+def judged(packed: DataFrame, window: int, gram: int, gather_bytes: int = GATHER, sort_bytes: int = SORT) -> DataFrame:
+    """doc, tag, first, last (exclusive) of word runs to remove.
+
+    A task holds at most about sort_bytes of a bucket. What a larger one holds goes, in passing, to FAN
+    smaller buckets, equal super-k-mers of different documents resolved on the way; these are judged in the
+    next round.
+    """
+    schema = "bucket long, raw long, packed binary, doc long, tag long, first int, last int"
+    names = [f.split()[0] for f in schema.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+
+    def rows(part: dict, n: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(part[c]).cast(k) if c in part else pa.nulls(n, k) for c, k in zip(names, kinds, strict=True)], names)
+
+    def runs(found: np.ndarray) -> pa.RecordBatch:
+        return rows({c: found[:, k] for k, c in enumerate(RUNS)}, len(found))
+
+    def judge(level: int):
+        def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            import zstandard
+
+            blobs, total = [], 0
+            again: Packer | None = None
+
+            def left() -> Iterator[pa.RecordBatch]:
+                for into, raw, packed in again.leave():
+                    yield rows({"bucket": into, "raw": raw, "packed": packed}, len(into))
+
+            for batch in batches:
+                for raw, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                    if not raw:
+                        yield runs(np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.int64).reshape(-1, 4))
+                        continue
                     blobs.append(blob)
                     total += raw
-                else:
-                    yield out(np.frombuffer(expand(blob), np.int64).reshape(-1, 3))
-        # a bucket beyond sort_bytes is read several times, each time for other windows
-        shares = max(1, -(-total // sort_bytes))
-        for k in range(shares):
-            parts, strings = [], []
-            for blob in blobs:
-                whole = expand(blob)
-                n = int(np.frombuffer(whole[:8], np.int64)[0])
-                at, meta = 8, []
-                for t in FIELDS:
-                    size = n * np.dtype(t).itemsize
-                    meta.append(np.cumsum(np.frombuffer(whole[at : at + size], t).astype(np.int64)))
-                    at += size
-                parts.append(tuple(meta))
-                strings.append(whole[at:])
-            if parts:
-                yield out(covered(parts, strings, window, (k, shares)))
-
-    return packed.groupBy("bucket").applyInArrow(run, "row long, first int, last int")
+                    if again is None and total > sort_bytes and len(blobs) > 1 and level < DEALT:
+                        again = Packer(window, gram if level < SALTED else window, FAN, gather_bytes, level + 1, key[0].as_py())
+                    while again is not None and blobs:
+                        again.add_packed(blobs.pop())
+                        if again.full():
+                            yield from left()
+            if again is not None:
+                yield from left()
+            elif total > sort_bytes and len(blobs) > 1:
+                yield from map(runs, covered_windows(blobs, window))
+            elif blobs:
+                parts, strings = zip(*map(unpacked, blobs), strict=True)
+                yield runs(covered(list(parts), list(strings), window))
+
+        return run
+
+    found, level = None, 0
+    while True:
+        out = stored(packed.groupBy("bucket").applyInArrow(judge(level), schema), "judged")
+        own = out.where("bucket IS NULL").select(*RUNS)
+        found = own if found is None else found.union(own)
+        packed = out.where("bucket IS NOT NULL").select("bucket", "raw", "packed")
+        if not packed.limit(1).count():
+            return found
+        level += 1
 
 
 def remove_runs(words: list[bytes], runs: list[tuple[int, int]]) -> list[bytes]:
@@ -280,30 +357,59 @@ def remove_runs(words: list[bytes], runs: list[tuple[int, int]]) -> list[bytes]:
     return [w for w, g in zip(words, np.cumsum(gone[:-1]).tolist(), strict=True) if not g]
 
 
+def identified(docs: DataFrame, text: str, key: str) -> tuple[DataFrame, str, int]:
+    """docs with a tag, the tag's name and the bytes of all texts. Key and tag say which text a row has.
+
+    The tag is 0 for a key with one text, else the text's 64-bit hash: a row's identity comes from what it
+    holds and is the same however often, and in whatever order, docs is read.
+    """
+    texts = docs.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(
+        F.min(F.xxhash64(text)).alias("low"), F.max(F.xxhash64(text)).alias("high"), F.sum(F.octet_length(text)).alias("size")
+    )
+    sums = texts.agg(F.sum("size").alias("size"), F.count_if(F.col("low") < F.col("high")).alias("several")).first()
+    tag = free_name(docs, "_tag")
+    if not sums.several:
+        return docs.withColumn(tag, F.lit(0).cast("long")), tag, sums.size or 0
+    several = texts.where("low < high").select(F.col("key").alias(key), F.lit(True).alias(tag))
+    if sums.several <= SENT_KEYS:
+        several = F.broadcast(several)
+    return docs.join(several, key, "left").withColumn(tag, F.when(F.col(tag), F.xxhash64(text)).otherwise(F.lit(0).cast("long"))).select(*docs.columns, tag), tag, sums.size or 0
+
+
 def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int = 13, gram: int = 4, gather_bytes: int = GATHER, sort_bytes: int = SORT) -> DataFrame:
     """Every column of docs, then n_words, n_removed, kept (words left, joined by blanks), kept_sha256.
 
     A word goes if a window over it also starts in a document with a smaller key; all windows are judged on
     the input. Words are runs of other bytes than blanks and 0x09-0x0D. Null texts have no words. Rows whose
-    key is null lose nothing and take nothing away; rows with equal keys don't take from one another.
-    Columns with a result's name are replaced; texts shorter than a window are kept whole.
+    key is null lose nothing and take nothing away; rows with equal keys don't take from one another, and
+    equal rows have equal results. Keys are whole numbers; others raise. Columns with a result's name are
+    replaced; texts shorter than a window are kept whole. docs is read three times: store it first if it is
+    dear to compute.
     """
+    if not isinstance(docs.schema[key].dataType, IntegralType):
+        raise ValueError(f"{key} has to be of whole numbers")
     added = ["n_words", "n_removed", "kept", "kept_sha256"]
-    base = docs.select(*[c for c in docs.columns if c not in (*added, "_row")]).withColumn("_row", F.monotonically_increasing_id())
-    buckets = max(64, -(-input_bytes(docs, text) // BUCKET))
+    base, tag, size = identified(docs.select(*[c for c in docs.columns if c not in added]), text, key)
+    buckets = max(64, -(-size // BUCKET))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = Packer(window, gram, buckets)
+        packer = Packer(window, gram, buckets, gather_bytes)
+
+        def left() -> Iterator[pa.RecordBatch]:
+            for columns in packer.leave():
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["bucket", "raw", "packed"])
+
         for batch in batches:
             packer.add(*(c.to_pylist() for c in batch.columns))
-            if packer.size > gather_bytes:
-                yield from packer.leave()
-        yield from packer.leave()
+            if packer.full():
+                yield from left()
+        yield from left()
 
-    packed = map_rows(base.select("_row", F.col(key).cast("long"), text), pack, "bucket int, raw long, packed binary", rows=500)
-    runs = judged(packed, window, sort_bytes).groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("_runs"))
-    joined = base.join(runs.withColumnRenamed("row", "_row"), "_row", "left").drop("_row")
-    names = [c for c in joined.columns if c != "_runs"]
+    packed = map_rows(base.select(F.col(key).cast("long"), tag, text), pack, "bucket long, raw long, packed binary")
+    held = free_name(base, "_runs")
+    runs = judged(packed, window, gram, gather_bytes, sort_bytes).groupBy(F.col("doc").alias(key), F.col("tag").alias(tag)).agg(F.collect_set(F.struct("first", "last")).alias(held))
+    names = [c for c in base.columns if c != tag]
+    joined = base.join(runs, [key, tag], "left").select(*names, held)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -320,4 +426,4 @@ def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", window
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), pa.array(digest, pa.string())], [*names, *added])
 
     columns = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.select(*names).schema), "n_words long, n_removed long, kept string, kept_sha256 string"])
-    return map_rows(joined.select(*names, "_runs"), finish, columns)
+    return map_rows(joined, finish, columns)

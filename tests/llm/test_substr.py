@@ -22,7 +22,7 @@ def brute(docs, window):
         yield i, len(ws), len(gone), hashlib.sha256(kept.encode()).hexdigest()
 
 
-@pytest.mark.parametrize(("window", "gram", "gather", "sort"), [(13, 4, 48 << 20, 48 << 20), (4, 2, 2000, 300)])
+@pytest.mark.parametrize(("window", "gram", "gather", "sort"), [(13, 4, 48 << 20, 48 << 20), (4, 2, 2000, 300), (4, 2, 30_000, 900)])
 def test_against_brute_force(spark, window, gram, gather, sort):
     rng = random.Random(window)
     vocab = ["a", "bb", "é", "d e", "ff"] if window == 4 else [f"w{i}" for i in range(30)]
@@ -35,5 +35,36 @@ def test_against_brute_force(spark, window, gram, gather, sort):
     assert sorted(map(tuple, got), key=str) == sorted(brute(docs, window), key=str)
 
 
+def test_input_that_comes_out_of_a_join(spark):
+    """Its rows come in another order, and in other partitions, each time that it is read."""
+    rng = random.Random(2)
+    shared = [" ".join(rng.choice("abcdefghij") * 3 for _ in range(20)) for _ in range(30)]
+    docs = [(i, " ".join(rng.choice(shared) for _ in range(rng.randint(1, 3))) + f" t{i}") for i in range(1500)]
+    left = spark.createDataFrame(docs, "doc_id long, text string").repartition(40)
+    right = spark.createDataFrame([(i, "x" * 3000) for i, _ in docs], "doc_id long, wide string").repartition(7)
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    try:
+        found = deduplicate(left.hint("merge").join(right, "doc_id"))
+        got = found.select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert sorted(map(tuple, got)) == sorted(brute(docs, 13)) and "wide" in found.columns
+
+
+def test_many_rows_of_one_key(spark):
+    """A bucket that no dealing out makes smaller: the same windows under the same key."""
+    rng = random.Random(9)
+    passage = " ".join(rng.choice("abcdefgh") * 2 for _ in range(30))
+    docs = [(7, f"{passage} u{i}" if i % 3 else passage) for i in range(300)] + [(3, passage[10:]), (9, passage)]
+    got = deduplicate(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), window=5, gram=2, gather_bytes=4000, sort_bytes=500)
+    assert sorted(map(tuple, got.select("doc_id", "n_words", "n_removed", "kept_sha256").collect())) == sorted(brute(docs, 5))
+
+
+def test_keys_have_to_be_numbers(spark):
+    with pytest.raises(ValueError):
+        deduplicate(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
 def test_empty(spark):
     assert deduplicate(spark.createDataFrame([], "doc_id long, text string")).collect() == []
