@@ -1,8 +1,11 @@
 """Language-model scores: the marginal probability of a text over all its segmentations into pieces.
 
-An existing unigram vocabulary weights the pieces. A word's segmentations form a lattice; a forward
-recursion in log space sums over all of them. Every distinct word of the corpus is scored once and joined
-back to the texts: the commonest words, a bounded number, by broadcast, all others by a shuffle on the word.
+An existing unigram vocabulary weights the pieces. A word's segmentations form a lattice; a forward recursion
+in log space sums over all of them, whole batches of words at a time. The weights start from the vocabulary's
+scores and are fitted to the distinct training words by expectation and maximisation over their lattices. A
+training word has one more edge, from end to end, whose weight is its count. Every distinct word of the
+corpus is scored once and joined back to the texts: the commonest words, a bounded number, by broadcast, all
+others by a shuffle on the word.
 """
 
 from __future__ import annotations
@@ -12,26 +15,34 @@ from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, map_rows, once, send, stored
+from .common import crc_mod, forget, map_rows, numbered, once, send, slices, stored
 
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 LN10 = math.log(10.0)
-#: Words that are joined by broadcast: of fixed number, longer ones than HOT_BYTES never.
-HOT_WORDS, HOT_BYTES = 1 << 18, 64
-#: Distinct words that a task counts before it hands them on.
-COUNTED = 1 << 18
+#: Words that are joined by broadcast: at most so many, longer ones than HOT_BYTES never.
+HOT_WORDS, HOT_BYTES = 1 << 17, 64
+#: Distinct words, and bytes of texts, that a task counts before it hands them on.
+COUNTED, COUNTED_BYTES = 1 << 18, 48 << 20
+#: Words and bytes of words whose lattices are worked on at a time.
+LATTICE_ROWS, LATTICE_BYTES = 20_000, 1 << 18
+#: Rounds of expectation and maximisation.
+ROUNDS = 2
+#: Bins to an octave of counts, for finding the commonest words.
+BINS = 16
+HASH_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def load_pieces(path: str, shift: float = 2.7) -> dict:
-    """Log probabilities of the pieces of a sentencepiece model, of its byte pieces and of the end.
+    """Log probabilities of the pieces of a sentencepiece model, of a single byte and of the end.
 
     Scores of a unigram model are log probabilities already. Other models score by rank; rank r of n
     is given probability proportional to 1 / (r + shift), which is what frequencies by rank look like,
-    and pieces without rank (single bytes, the end, runs of blanks) that of the last rank.
+    and pieces without rank (single bytes, the end) that of the last rank. They are where fitting starts.
     """
     import sentencepiece
 
@@ -54,26 +65,121 @@ def load_pieces(path: str, shift: float = 2.7) -> dict:
     return {"pieces": pieces, "byte": rare, "end": rare, "longest": max(map(len, pieces)), "space": "▁"}
 
 
+class Lattices:
+    """The lattices of batches of words, each with the blank before it, as flat arrays of edges.
+
+    Edges are all pieces that occur, and the bytes of a character that is no piece. Pieces are found by 64-bit
+    hashes of their characters, which are checked to differ for different pieces.
+    """
+
+    def __init__(self, pieces: dict):
+        self.space, self.longest = pieces["space"], pieces["longest"]
+        names = list(pieces["pieces"])
+        hashes = np.array([self._hash(np.frombuffer(p.encode("utf-32-le"), np.uint32)) for p in names], np.uint64)
+        order = np.argsort(hashes)
+        self.names = [names[i] for i in order]
+        self.hashes = hashes[order]
+        if (self.hashes[1:] == self.hashes[:-1]).any():
+            raise ValueError("pieces share a hash")
+        self.byte = len(names)  # the edge number of a byte; the end's is the next one
+        self.logs = np.array([*(pieces["pieces"][p] for p in self.names), pieces["byte"], pieces["end"]])
+
+    @staticmethod
+    def _value(chars: np.ndarray) -> np.ndarray:
+        x = (chars.astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
+        return x ^ (x >> np.uint64(29))
+
+    @classmethod
+    def _hash(cls, chars: np.ndarray) -> int:
+        h = np.zeros(1, np.uint64)
+        for v in cls._value(chars):
+            h = h * HASH_BASE + v
+        return int(h[0])
+
+    def edges(self, words: list[str]) -> dict:
+        """node: the first node of each word; size: its characters; edges by their end: from, to, which, times, word, step."""
+        size = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        chars = np.frombuffer((self.space + self.space.join(words)).encode("utf-32-le"), np.uint32)
+        word = np.repeat(np.arange(len(words)), size)
+        begin = np.cumsum(size) - size
+        place = np.arange(len(chars)) - begin[word]
+        left = size[word] - place
+        value = self._value(chars)
+        at, h = np.arange(len(chars)), np.zeros(len(chars), np.uint64)
+        starts, lengths, which = [], [], []
+        single = np.zeros(len(chars), bool)
+        for length in range(1, self.longest + 1):
+            keep = left[at] >= length
+            at, h = at[keep], h[keep] * HASH_BASE + value[at[keep] + length - 1]
+            if not len(at):
+                break
+            found = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            hit = np.flatnonzero(self.hashes[found] == h)
+            starts.append(at[hit])
+            lengths.append(np.full(len(hit), length))
+            which.append(found[hit])
+            if length == 1:
+                single[at[hit]] = True
+        spelled = np.flatnonzero(~single)
+        starts.append(spelled)
+        lengths.append(np.ones(len(spelled), np.int64))
+        which.append(np.full(len(spelled), self.byte))
+        begins, lengths, which = (np.concatenate(x) for x in (starts, lengths, which))
+        times = np.ones(len(begins))
+        c = chars[spelled]
+        times[len(times) - len(spelled) :] = 1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000)
+        owner = word[begins]
+        start = begins + owner  # a word of n characters has n + 1 nodes
+        end = start + lengths
+        step = place[begins] + lengths
+        order = np.lexsort((end, step))
+        return {"node": begin + np.arange(len(words)), "size": size, "from": start[order], "to": end[order], "which": which[order], "times": times[order], "word": owner[order], "step": step[order]}
+
+    @staticmethod
+    def _sweep(total: int, first: np.ndarray, source: np.ndarray, target: np.ndarray, cost: np.ndarray, step: np.ndarray) -> np.ndarray:
+        """Log of the summed weights of all ways to each node; edges sorted by step and target."""
+        out = np.full(total, -np.inf)
+        out[first] = 0.0
+        if not len(step):
+            return out
+        new = np.flatnonzero(np.append(True, (target[1:] != target[:-1]) | (step[1:] != step[:-1])))
+        turns = np.flatnonzero(np.append(True, step[1:] != step[:-1]))
+        of = np.searchsorted(new, turns)
+        for a, b, x, y in zip(turns, [*turns[1:], len(step)], of, [*of[1:], len(new)], strict=True):
+            out[target[new[x:y]]] = np.logaddexp.reduceat(out[source[a:b]] + cost[a:b], new[x:y] - a)
+        return out
+
+    def marginals(self, words: list[str], logs: np.ndarray | None = None) -> np.ndarray:
+        """Natural log of the summed probability of all segmentations of each word."""
+        if not words:
+            return np.zeros(0)
+        e = self.edges(words)
+        return self._forward(e, self.logs if logs is None else logs)[e["node"] + e["size"]]
+
+    def _forward(self, e: dict, logs: np.ndarray) -> np.ndarray:
+        total = int(e["node"][-1] + e["size"][-1]) + 1
+        return self._sweep(total, e["node"], e["from"], e["to"], logs[e["which"]] * e["times"], e["step"])
+
+    def expected(self, words: list[str], logs: np.ndarray) -> np.ndarray:
+        """How often each piece is expected in the words' segmentations, and single bytes; 0 for the end."""
+        out = np.zeros(len(logs))
+        if not words:
+            return out
+        e = self.edges(words)
+        forward = self._forward(e, logs)
+        last = e["node"] + e["size"]
+        cost = logs[e["which"]] * e["times"]
+        # backward: from each word's last node; an edge's turn comes by the distance of its start from there
+        turn = last[e["word"]] - e["from"]
+        order = np.lexsort((e["from"], turn))
+        backward = self._sweep(len(forward), last, e["to"][order], e["from"][order], cost[order], turn[order])
+        share = np.exp(forward[e["from"]] + cost + backward[e["to"]] - forward[last][e["word"]])
+        return out + np.bincount(e["which"], weights=share * e["times"], minlength=len(out))
+
+
 def word_log10(pieces: dict, word: str) -> float:
     """log10 of the summed probability of all segmentations of a word with the blank before it."""
-    known, byte, longest = pieces["pieces"].get, pieces["byte"], pieces["longest"]
-    text = pieces["space"] + word
-    n = len(text)
-    forward = [-math.inf] * (n + 1)
-    forward[0] = 0.0
-    for i in range(n):
-        here = forward[i]
-        if here == -math.inf:
-            continue
-        single = known(text[i])
-        if single is None:  # a character without a piece is spelled in bytes
-            single = byte * len(text[i].encode("utf-8", "replace"))
-        for j in range(i + 1, min(i + longest, n) + 1):
-            p = single if j == i + 1 else known(text[i:j])
-            if p is not None:
-                a, b = forward[j], here + p
-                forward[j] = b if a == -math.inf else (a + math.log1p(math.exp(b - a)) if a >= b else b + math.log1p(math.exp(a - b)))
-    return forward[n] / LN10
+    return float(Lattices(pieces).marginals([word])[0]) / LN10
 
 
 def folded_words(text: str | None) -> list[bytes]:
@@ -85,92 +191,158 @@ def held_out(key: Column) -> Column:
     return F.coalesce(crc_mod(key, 10) == 0, F.lit(True))
 
 
-def word_table(docs: DataFrame, vocabulary: dict) -> DataFrame:
-    """word, n (in training texts), lp (log10 of its marginal probability); docs: text, held_out.
-
-    Words that only held-out texts have come with n = 0.
-    """
-    sent = send(docs.sparkSession, vocabulary)  # one vocabulary file: of fixed size
+def word_table(docs: DataFrame) -> DataFrame:
+    """word, n (in training texts) of docs(text, held_out); words that only held-out texts have come with n = 0."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
+        size = 0
 
         def leave() -> Iterator[pa.RecordBatch]:
-            rows = list(counts.items())
-            counts.clear()
-            for i in range(0, len(rows), 50_000):
-                part = rows[i : i + 50_000]
+            while counts:
+                part = [counts.popitem() for _ in range(min(len(counts), 50_000))]
                 yield pa.RecordBatch.from_arrays([pa.array([w.decode("utf-8") for w, _ in part], pa.string()), pa.array([n for _, n in part], pa.int64())], ["word", "n"])
 
         for batch in batches:
             for x, out in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = folded_words(x)
+                size += len(x or "")
                 if out:
-                    for w in folded_words(x):
+                    for w in own:
                         counts[w] += 0
                 else:
-                    counts.update(folded_words(x))
-            if len(counts) > COUNTED:
+                    counts.update(own)
+            if len(counts) > COUNTED or size > COUNTED_BYTES:
                 yield from leave()
+                size = 0
         yield from leave()
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pieces = sent.value[1]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([word_log10(pieces, w) for w in batch.column(0).to_pylist()], pa.float64())], ["word", "n", "lp"])
+    return map_rows(docs.select("text", "held_out"), count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def lattice_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield from slices(batch, LATTICE_ROWS, LATTICE_BYTES)
+
+
+def fitted(lattices: Lattices, words: DataFrame, texts: int, rounds: int = ROUNDS) -> np.ndarray:
+    """Log weights after some rounds of expectation and maximisation over the lattices of words(word).
+
+    Each distinct training word counts once: the pieces speak for words that training hasn't seen, and what
+    recurs has an edge of its own. Expected counts are smoothed by as many observations of the weights at
+    the start as there are pieces. The driver gets one number a piece.
+    """
+    logs = lattices.logs
+    prior = np.exp(logs) * np.append(np.ones(lattices.byte), [256.0, 1.0])
+    prior /= prior.sum()
+    for _ in range(rounds):
+        sent = send(words.sparkSession, (lattices, logs))  # one vocabulary: of fixed size
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            total = None
+            for batch in lattice_slices(batches):
+                use, logs = sent.value[1]
+                own = use.expected(batch.column(0).to_pylist(), logs)
+                total = own if total is None else total + own
+            if total is not None:
+                at = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], ["which", "n"])
+
+        found = words.select("word").mapInArrow(run, "which int, n double").groupBy("which").agg(F.sum("n").alias("n")).toArrow()
+        counts = np.zeros(len(logs))
+        counts[found.column("which").to_numpy()] = found.column("n").to_numpy()
+        counts[-1] = texts
+        if not counts.any():
+            break
+        share = (counts + lattices.byte * prior) / (counts.sum() + lattices.byte)
+        logs = np.log(share)
+        logs[lattices.byte] -= math.log(256.0)  # any of the bytes
+    return logs
+
 
-    counted = map_rows(docs.select("text", "held_out"), count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return counted.mapInArrow(score, "word string, n long, lp double")
+def hot_threshold(words: DataFrame, most: int) -> int:
+    """The least n for which at most `most` words(word, n) occur n times or more; a word has to occur twice."""
+    bins = words.where((F.col("n") > 1) & (F.octet_length("word") <= HOT_BYTES)).groupBy(F.floor(F.log2("n") * BINS).alias("bin")).agg(F.count("*").alias("words"), F.min("n").alias("least")).collect()
+    least, total = 1 << 62, 0
+    for r in sorted(bins, reverse=True):
+        total += r.words
+        if total > most:
+            break
+        least = r.least
+    return least
 
 
-def score_texts(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", hot_words: int = HOT_WORDS) -> DataFrame:
+def score_texts(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", hot_words: int = HOT_WORDS, rounds: int = ROUNDS) -> DataFrame:
     """key, held_out, n_tokens, n_known, train_tokens, base_score, score of every text.
 
     Tokens are the words, A-Z lower-cased, and one end. base_score is the add-0.1 unigram score by the
-    counts of the training texts; score is the log10 probability of the text under the piece model: the
-    sum over words of their marginals, and the end. A null or empty text is its end alone. A null key is
-    held out. Repeated rows are separate texts, each counted and scored. Other columns are dropped.
+    counts of the training texts. score is the log10 probability of the text under the model: the sum over
+    its tokens of c / (N + V) + V / (N + V) * s, where c is the token's training count, N all and V the
+    distinct training tokens, and s the marginal of its lattice of pieces (the end is a piece of its own);
+    without training tokens it is s. A null or empty text is its end alone. A null key is held out. Repeated
+    rows are separate texts, each counted and scored. Other columns are dropped. Rows are numbered once and
+    stored.
     """
     spark = docs.sparkSession
-    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(text).alias("text"), held_out(F.col(key)).alias("held_out"))
-    vocabulary = load_pieces(path)
-    words = stored(word_table(base, vocabulary), "words")
+    base = numbered(docs.select(F.col(key).alias("key"), F.col(text).alias("text"), held_out(F.col(key)).alias("held_out")), "row")
+    lattices = Lattices(load_pieces(path))
+    counted = stored(word_table(base), "counted")
     ends = base.where(~F.col("held_out")).count()
-    sums = words.agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
+    sums = counted.agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
     total, distinct = (sums.n or 0) + ends, (sums.v or 0) + (ends > 0)
     under = total + 0.1 * (distinct + 1)
-    base_of = lambda n: math.log10((n + 0.1) / under)
-    hot = words.where((F.col("n") > 1) & (F.octet_length("word") <= HOT_BYTES)).orderBy(F.desc("n"), "word").limit(hot_words).collect()
-    sent = send(spark, [(r.word, r.n, r.lp) for r in hot])  # at most hot_words of HOT_BYTES
-    end = (base_of(ends), vocabulary["end"] / LN10, int(ends > 0))
+    logs = fitted(lattices, counted.where("n > 0"), ends, rounds)
+    new = math.log(distinct / (total + distinct)) if total else 0.0
+    own = lambda n: np.log(np.maximum(n, 1e-300) / max(total + distinct, 1))
+    log10_of = lambda n, spelled: np.where(n > 0, np.logaddexp(own(n), new + spelled), new + spelled) / LN10
+    sent = send(spark, (lattices, logs))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in lattice_slices(batches):
+            use, logs = sent.value[1]
+            n = batch.column(1).to_numpy(zero_copy_only=False).astype(float)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(log10_of(n, use.marginals(batch.column(0).to_pylist(), logs)))], ["word", "n", "lp"])
+
+    words = stored(counted.select("word", "n").mapInArrow(score, "word string, n long, lp double"), "words")
+    forget(counted)
+    hot = words.where((F.col("n") >= hot_threshold(words, hot_words)) & (F.octet_length("word") <= HOT_BYTES)).toArrow()  # at most hot_words of HOT_BYTES
+    common = send(spark, (hot.column("word").cast(pa.binary()).combine_chunks(), np.log10((hot.column("n").to_numpy() + 0.1) / under), hot.column("lp").to_numpy()))
+    end = (math.log10((ends + 0.1) / under), float(log10_of(np.array([float(ends)]), logs[-1:])[0]), int(ends > 0))
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row of the sums over common words for each text, with word null, and one for each other word in it."""
-        name, value = sent.value
-        known = once(name, lambda: {w.encode("utf-8"): (base_of(n), lp, 1) for w, n, lp in value})
+        name, (spelt, bases, lps) = common.value
+        get = once(name, lambda: {w: i for i, w in enumerate(spelt.to_pylist())}).get
         for batch in batches:
-            rows, word, times, n_tokens, n_known, base_sum, lp_sum = [], [], [], [], [], [], []
-            for row, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            flat: list[bytes] = []
+            sizes = []
+            for x in batch.column(1).to_pylist():
                 own = folded_words(x)
-                b, p, k = [end[0]], [end[1]], end[2]
-                rare: list[tuple[str, int]] = []
-                for w, n in Counter(own).items():
-                    found = known.get(w)
-                    if found is None:
-                        rare.append((w.decode("utf-8"), n))
-                    else:
-                        b.append(found[0] * n)
-                        p.append(found[1] * n)
-                        k += n
-                m = len(rare)
-                rows += repeat(row, m + 1)
-                word += [None, *(w for w, _ in rare)]
-                times += [0, *(n for _, n in rare)]
-                n_tokens += [len(own) + 1, *repeat(0, m)]
-                n_known += [k, *repeat(0, m)]
-                base_sum += [math.fsum(b), *repeat(0.0, m)]
-                lp_sum += [math.fsum(p), *repeat(0.0, m)]
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((rows, word, times, n_tokens, n_known, base_sum, lp_sum), kinds, strict=True)], names)
+                flat += own
+                sizes.append(len(own))
+            n = batch.num_rows
+            owner = np.repeat(np.arange(n), sizes)
+            at = np.fromiter(map(get, flat, repeat(-1)), np.int64, len(flat))
+            known = np.flatnonzero(at >= 0)
+            sums = [np.bincount(owner[known], weights=w, minlength=n) for w in (np.ones(len(known)), bases[at[known]], lps[at[known]])]
+            other = np.flatnonzero(at < 0)
+            rare = Counter(zip(owner[other].tolist(), map(flat.__getitem__, other.tolist()), strict=True))
+            rows = batch.column(0).to_numpy()
+            m = len(rare)
+            own_words = pa.array([w.decode("utf-8") for _, w in rare], pa.string())
+            blank = np.zeros(m)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate([rows, rows[np.fromiter((k for k, _ in rare), np.int64, m)]]), pa.int64()),
+                    pa.concat_arrays([pa.nulls(n, pa.string()), own_words]),
+                    pa.array(np.concatenate([np.zeros(n, np.int64), np.fromiter(rare.values(), np.int64, m)])),
+                    pa.array(np.concatenate([np.array(sizes, np.int64) + 1, blank.astype(np.int64)])),
+                    pa.array(np.concatenate([sums[0].astype(np.int64) + end[2], blank.astype(np.int64)])),
+                    pa.array(np.concatenate([sums[1] + end[0], blank])),
+                    pa.array(np.concatenate([sums[2] + end[1], blank])),
+                ],
+                names,
+            )
 
     names = ["row", "word", "times", "n_tokens", "n_known", "base", "lp"]
     parts = map_rows(base.select("row", "text"), part, "row long, word string, times long, n_tokens long, n_known long, base double, lp double", rows=1000)
