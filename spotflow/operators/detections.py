@@ -101,25 +101,79 @@ def subpixel_bias(points: DataFrame, bins: int = 10, *columns: str) -> DataFrame
     return stacked.where("value IS NOT NULL").groupBy("axis", F.least(F.floor(F.pmod("value", F.lit(1.0)) * bins), F.lit(bins - 1)).cast("int").alias("bin")).agg(F.count("*").alias("count"))
 
 
-def nearest(left: DataFrame, right: DataFrame, limit: float, left_id: str, right_id: str, y: str = "y", x: str = "x") -> DataFrame:
-    """left_id, right_id, distance of the nearest point of right within limit (exclusive), ties to the smaller id.
+def pairs_within(left: DataFrame, right: DataFrame, limit: float, left_id: str, right_id: str, by: list[str] | None = None, y: str = "y", x: str = "x") -> DataFrame:
+    """by, a, b, d2: the distances below limit of a distance matrix, never the others.
 
     Cells of side limit make this an equi-join; no pair beyond a neighbourhood is looked at.
     """
-    a = with_cells(left.select(F.col(left_id).alias("a"), F.col(y).alias("ya"), F.col(x).alias("xa")), limit, "ya", "xa", spread=False)
-    b = with_cells(right.select(F.col(right_id).alias("b"), F.col(y).alias("yb"), F.col(x).alias("xb")), limit, "yb", "xb", spread=True)
+    keys = by or []
+    a = with_cells(left.select(*keys, F.col(left_id).alias("a"), F.col(y).alias("ya"), F.col(x).alias("xa")), limit, "ya", "xa", spread=False)
+    b = with_cells(right.select(*keys, F.col(right_id).alias("b"), F.col(y).alias("yb"), F.col(x).alias("xb")), limit, "yb", "xb", spread=True)
     d2 = (F.col("ya") - F.col("yb")) * (F.col("ya") - F.col("yb")) + (F.col("xa") - F.col("xb")) * (F.col("xa") - F.col("xb"))
-    near = a.join(b, ["_cy", "_cx"]).withColumn("d2", d2).where(F.col("d2") < limit * limit)
-    return near.groupBy(F.col("a").alias(left_id)).agg(F.min(F.struct("d2", "b")).alias("best")).select(left_id, F.col("best.b").alias(f"nearest_{right_id}"), F.sqrt("best.d2").alias("distance"))
+    return a.join(b, [*keys, "_cy", "_cx"]).withColumn("d2", d2).where(F.col("d2") < limit * limit).select(*keys, "a", "b", "d2")
+
+
+def nearest(left: DataFrame, right: DataFrame, limit: float, left_id: str, right_id: str, y: str = "y", x: str = "x", by: list[str] | None = None, others: bool = False) -> DataFrame:
+    """by, left_id, right_id, distance of the nearest point of right within limit (exclusive), ties to the smaller id.
+
+    With others, a point of right with the same id doesn't count, as where a table is compared with itself.
+    """
+    near = pairs_within(left, right, limit, left_id, right_id, by, y, x)
+    if others:
+        near = near.where("a <> b")
+    return near.groupBy(*(by or []), F.col("a").alias(left_id)).agg(F.min(F.struct("d2", "b")).alias("best")).select(*(by or []), left_id, F.col("best.b").alias(f"nearest_{right_id}"), F.sqrt("best.d2").alias("distance"))
+
+
+def distance_ranks(left: DataFrame, right: DataFrame, limit: float, left_id: str, right_id: str, by: list[str] | None = None) -> DataFrame:
+    """by, left_id, right_id, distance, rank: the points within limit of each point, from 0 at the nearest."""
+    near = pairs_within(left, right, limit, left_id, right_id, by)
+    w = Window.partitionBy(*(by or []), "a").orderBy("d2", "b")
+    return near.select(*(by or []), F.col("a").alias(left_id), F.col("b").alias(right_id), F.sqrt("d2").alias("distance"), (F.row_number().over(w) - 1).alias("rank"))
+
+
+def matched(left: DataFrame, right: DataFrame, limit: float = 0.01, by: tuple[str, ...] = ("frame",), order: str = "seq") -> DataFrame:
+    """by, order of left, of right, distance: detections of two engines that are each other's nearest within limit."""
+    keys = list(by)
+    there = nearest(left, right, limit, order, order, by=keys).withColumnsRenamed({order: "left_id", f"nearest_{order}": "right_id"})
+    back = nearest(right, left, limit, order, order, by=keys).select(*keys, F.col(order).alias("right_id"), F.col(f"nearest_{order}").alias("left_id"))
+    return there.join(back, [*keys, "left_id", "right_id"])
 
 
 def relabelled(tracks: DataFrame, particle: str, order: str, by: list[str] | None = None) -> DataFrame:
-    """particle numbered by first appearance in order; one row for each track is ranked, not each detection."""
+    """particle numbered by first appearance in order; one row for each track is ranked, not each detection.
+
+    Without by, the tracks are ranked range by range, and the ranges' sizes are added up on the driver.
+    """
     keys = [*(by or []), particle]
     first = tracks.groupBy(*keys).agg(F.min(order).alias("_first"))
-    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_first")
+    if not by:
+        ranged = checkpointed(first.repartitionByRange("_first").withColumn("_range", F.spark_partition_id()))
+        w = Window.partitionBy("_range").orderBy("_first")
+        sizes = sorted((r["_range"], r["count"]) for r in ranged.groupBy("_range").count().collect())
+        before = [(k, sum(n for _, n in sizes[:i])) for i, (k, _) in enumerate(sizes)]
+        offset = tracks.sparkSession.createDataFrame(before, "_range int, _before long")  # a row for each range
+        ranked = ranged.withColumn("_n", F.row_number().over(w) - 1).join(F.broadcast(offset), "_range").select(particle, (F.col("_n") + F.col("_before")).alias("_new"))
+        return tracks.join(ranked, particle).withColumn(particle, F.col("_new")).drop("_new")
+    w = Window.partitionBy(*by).orderBy("_first")
     return tracks.join(first.withColumn("_new", (F.row_number().over(w) - 1).cast("bigint")).drop("_first"), keys).withColumn(particle, F.col("_new")).drop("_new")
 
 
+def by_particle(tracks: DataFrame, by: list[str] | None = None, frame: str = "frame") -> DataFrame:
+    """Tracks one after the other, each by frame: sorted ranges, not one sorted whole."""
+    keys = [*(by or []), "particle", frame]
+    return tracks.repartitionByRange(*keys).sortWithinPartitions(*keys)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage in the checkpoint folder; one of our own only where a local session has none."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        context.setCheckpointDir(named or df.sparkSession.conf.get("spark.sql.warehouse.dir", "spark-warehouse").rstrip("/") + "/_checkpoints")
+    return df.checkpoint()
+
+
 def unique_ids(tracks: DataFrame, run_id: str, particle: str = "particle") -> DataFrame:
     return tracks.withColumn(particle, F.concat_ws("_", F.col(particle).cast("string"), F.lit(run_id)))

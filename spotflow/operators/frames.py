@@ -97,13 +97,13 @@ def mean_frames(frames: DataFrame, *by: str) -> DataFrame:
 
 
 def illumination(frames: DataFrame, sigma: float = 30.0) -> np.ndarray:
-    """The blurred temporal mean, 1 at its brightest; one frame's pixels reach the driver."""
+    """The blurred temporal mean, 1 at its brightest; one frame's pixels reach the driver. sigma 0 doesn't blur."""
     rows = mean_frames(frames).collect()
     h, w = max(r.u for r in rows) + 1, max(r.v for r in rows) + 1
     mean = np.zeros((h, w))
     for r in rows:
         mean[r.u, r.v] = r.p
-    profile = imaging.blur(mean, sigma)
+    profile = imaging.blur(mean, sigma) if sigma else mean
     return profile / profile.max()
 
 
@@ -143,8 +143,8 @@ def background_pixels(frames: DataFrame, cutoff: float = 0.985) -> DataFrame:
     return map_images(frames, mask)
 
 
-def locate_frame(image: np.ndarray, params: TrackingParams) -> dict[str, np.ndarray]:
-    """Detections of one frame in raster order of their candidates."""
+def locate_frame(image: np.ndarray, params: TrackingParams, minmass: float | None = None) -> dict[str, np.ndarray]:
+    """Detections of one frame in raster order of their candidates; minmass stands in for that of params."""
     raw = image.max() - image if params.invert else image
     p = imaging.bandpass(raw, params.variance, params.smoothing_size, params.threshold) if params.preprocess else np.where(raw >= params.threshold, raw, 0.0)
     planes = imaging.centres(p, params.diameter)
@@ -153,7 +153,7 @@ def locate_frame(image: np.ndarray, params: TrackingParams) -> dict[str, np.ndar
         top &= p > np.percentile(p, params.percentile)
     u, v = np.nonzero(top & (planes[0] > 0))
     y, x, mass = imaging.walk(u, v, planes, params.max_iterations, params.shift_threshold)
-    kept = mass > params.minmass
+    kept = mass > (params.minmass if minmass is None else minmass)
     u, v, y, x, mass = (a[kept] for a in (u, v, y, x, mass))
     if params.maxsize is not None:
         kept = imaging.character(p, u, v, mass, params.diameter)[0] < params.maxsize
@@ -179,14 +179,18 @@ def locate_frame(image: np.ndarray, params: TrackingParams) -> dict[str, np.ndar
 
 
 def locate(frames: DataFrame, params: TrackingParams) -> DataFrame:
-    """Detections of all frames: video_id, frame, seq (order in the frame), and the parameters' columns but particle."""
+    """Detections of all frames: video_id, frame, seq (order in the frame), and the parameters' columns but particle.
+
+    A column minmass of frames holds for its frame instead of the parameter, so that videos can differ.
+    """
+    own_minmass = ["minmass"] if "minmass" in frames.columns else []
     names = [n for n, _ in params.columns() if n not in ("frame", "particle")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             video, frame, seq, found = [], [], [], {n: [] for n in names}
             for row, image in images(batch):
-                own = locate_frame(image, params)
+                own = locate_frame(image, params, row.get("minmass"))
                 n = len(own["mass"])
                 video += [row["video_id"]] * n
                 frame += [row["frame"]] * n
@@ -196,7 +200,7 @@ def locate(frames: DataFrame, params: TrackingParams) -> DataFrame:
             columns = [pa.array(np.concatenate([np.zeros(0), *found[k]]), pa.float64(), from_pandas=True) for k in names]
             yield pa.RecordBatch.from_arrays([pa.array(video, pa.string()), pa.array(frame, pa.int32()), pa.array(seq, pa.int32()), *columns], ["video_id", "frame", "seq", *names])
 
-    return frames.select("video_id", "frame", "nrows", "ncols", "px").mapInArrow(run, ", ".join(["video_id string, frame int, seq int", *(f"{n} double" for n in names)]))
+    return frames.select("video_id", "frame", "nrows", "ncols", "px", *own_minmass).mapInArrow(run, ", ".join(["video_id string, frame int, seq int", *(f"{n} double" for n in names)]))
 
 
 def stages(frames: DataFrame, params: TrackingParams) -> dict[str, DataFrame]:
@@ -261,6 +265,16 @@ def walked(frames: DataFrame, diameter: int, separation: float, iterations: int
     return _pixel_rows(frames, pick, ["y", "x", "mass"])
 
 
+def refined(frames: DataFrame, diameter: int, separation: float, iterations: int = 10) -> DataFrame:
+    """y, x, mass, signal of every candidate, refined with the centroid taken anew at each step, by its pixel."""
+    def pick(p: np.ndarray):
+        u, v = np.nonzero(imaging.maxima(p, separation) & (p > 0))
+        y, x, mass, signal = imaging.refine(p, u, v, diameter // 2, iterations)
+        return u, v, {"y": y, "x": x, "mass": mass, "signal": signal}
+
+    return _pixel_rows(frames, pick, ["y", "x", "mass", "signal"])
+
+
 def characterised(frames: DataFrame, diameter: int) -> DataFrame:
     """Rg, ecc and signal of every pixel whose disc has mass, of frames processed already."""
     def pick(p: np.ndarray):

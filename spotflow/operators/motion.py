@@ -31,14 +31,16 @@ def last_rows(tracks: DataFrame, by: list[str], order: str) -> DataFrame:
 def msd(tracks: DataFrame, max_lag: int, mpp: float = 1.0, fps: float = 1.0, by: list[str] | None = None, scale: int | None = None) -> DataFrame:
     """by, lag, time, msd, n: mean squared displacement over pairs exactly lag frames apart.
 
-    With scale, coordinates are whole multiples of 1/scale and are summed as integers, so that the result
+    A detection looks no further ahead than its own track reaches. With scale, coordinates are whole multiples of 1/scale and are summed as integers, so that the result
     doesn't depend on the order of rows.
     """
     keys = by or ["particle"]
     exact = (lambda c: F.round(F.col(c) * scale).cast("bigint")) if scale else F.col
     now = tracks.select(*keys, F.col("frame").alias("_f"), exact("x").alias("_x"), exact("y").alias("_y"))
     later = now.select(*keys, *(F.col(c).alias(c + "2") for c in ("_f", "_x", "_y")))
-    lagged = now.withColumn("lag", F.explode(F.sequence(F.lit(1), F.lit(max_lag)))).withColumn("_f2", F.col("_f") + F.col("lag"))
+    reach = F.least(F.lit(max_lag), F.max("_f").over(Window.partitionBy(*keys)) - F.col("_f")).cast("int")
+    ahead = now.withColumn("_reach", reach).where("_reach >= 1")
+    lagged = ahead.withColumn("lag", F.explode(F.sequence(F.lit(1), F.col("_reach")))).drop("_reach").withColumn("_f2", F.col("_f") + F.col("lag"))
     pairs = lagged.join(later, [*keys, "_f2"])
     dx, dy = F.col("_x2") - F.col("_x"), F.col("_y2") - F.col("_y")
     found = pairs.groupBy(*keys, "lag").agg(F.sum(dx * dx + dy * dy).alias("_s"), F.count("*").alias("n"))

@@ -147,3 +147,23 @@ def write_yaml(path: str, values: dict) -> None:
     with open(path, "w", encoding="utf-8") as out:
         for k, v in values.items():
             out.write(f"{k}:\n" + "".join(f"- {x}\n" for x in v) if isinstance(v, (list, tuple)) else f"{k}: {'null' if v is None else v}\n")
+
+
+def update_yaml(path: str, **values) -> None:
+    """Write new values of some keys into a parameter file, in place: other lines, comments too, stay as they are."""
+    with open(path, encoding="utf-8") as source:
+        lines = source.read().split("\n")
+    missing = dict(values)
+    for i, line in enumerate(lines):
+        name, colon, rest = line.partition(":")
+        if colon and name.strip() in missing:
+            comment = rest[rest.index(" #") :] if " #" in rest else ""
+            lines[i] = f"{name}: {missing.pop(name.strip())}{comment}"
+    if missing:
+        raise ValueError(f"{path} has no {sorted(missing)}")
+    with open(path, "w", encoding="utf-8") as out:
+        out.write("\n".join(lines))
+
+
+def update_mm_and_sep(path: str, mean_multiplier: float, sep: int) -> None:
+    update_yaml(path, mean_multiplier=mean_multiplier, sep=sep)

@@ -130,14 +130,10 @@ def mean_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fr.mean_frames(lens.frames(spark, sf_dir), "video_id").select("video_id", "u", "v", *r6("p"))
 
 
-@query(f"WITH {SQL['px']}, m AS (SELECT u, v, avg(p) AS m FROM px GROUP BY u, v), t AS (SELECT max(m) AS t FROM m) SELECT video_id, frame, px.u, px.v, round(p / (m / t + 2), 6) AS p FROM px JOIN m ON px.u = m.u AND px.v = m.v CROSS JOIN t")
+@query(f"WITH {SQL['px']}, m AS (SELECT u, v, avg(p - -1) / 2 AS m FROM px GROUP BY u, v), t AS (SELECT max(m) AS t FROM m) SELECT video_id, frame, px.u, px.v, round((p - -1) / (m / t * 2), 6) AS p FROM px JOIN m ON px.u = m.u AND px.v = m.v CROSS JOIN t")
 def illumination_divide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frames over a profile from their own temporal mean; the profile is as small as one frame."""
-    frames = lens.frames(spark, sf_dir)
-    mean = fr.mean_frames(frames)
-    profile = mean.agg(F.sort_array(F.collect_list(F.struct("u", "v", "p"))).alias("m"), F.max("p").alias("t")).select(F.transform("m", lambda x: x["p"] / F.col("t") + 2).alias("profile"))
-    divided = frames.crossJoin(F.broadcast(profile)).withColumn("px", F.zip_with("px", "profile", lambda p, q: p / q)).drop("profile")
-    return fr.pixels(divided).select("video_id", "frame", "u", "v", *r6("p"))
+    """Frames over a profile from their own temporal mean, not blurred, at gain 2 and offset -1."""
+    return fr.pixels(fr.illumination_corrected(lens.frames(spark, sf_dir), 0.0, 2.0, -1.0)).select("video_id", "frame", "u", "v", *r6("p"))
 
 
 @query(f"WITH {SQL['px']} SELECT video_id, frame, u, v, round((p - 3.5) / 1.7, 6) AS p FROM px WHERE u < 5 AND v < 3")
@@ -288,26 +284,15 @@ def msd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return motion.msd(lens.tracks(spark, sf_dir), 10, scale=100).select("particle", "lag", F.round("msd", 4).alias("msd"), "n")
 
 
-@query(f"WITH {_MSD} SELECT CAST(lag AS DOUBLE) AS time, round(max(s * 0.0001 / n) FILTER (particle = 1), 4) AS p1, round(max(s * 0.0001 / n) FILTER (particle = 2), 4) AS p2, round(max(s * 0.0001 / n) FILTER (particle = 3), 4) AS p3 FROM m GROUP BY lag")
-def imsd_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = motion.imsd(lens.tracks(spark, sf_dir), 1.0, 1.0, 10, [1, 2, 3])
-    return wide.select("time", *(F.round(str(k), 4).alias(f"p{k}") for k in (1, 2, 3)))
-
-
-@query(f"WITH {_MSD} SELECT CAST(lag AS DOUBLE) AS time, CAST(particle AS VARCHAR) AS particle, round(s * 0.0001 / n, 4) AS msd FROM m WHERE particle IN (1, 2, 3)")
-def imsd_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return motion.imsd_long(motion.imsd(lens.tracks(spark, sf_dir), 1.0, 1.0, 10, [1, 2, 3])).select("time", "particle", F.round("msd", 4).alias("msd"))
-
-
 @query(f"WITH {_MSD} SELECT CAST(lag AS DOUBLE) AS time, particle - particle % 10 AS first, {', '.join(f'round(max(s * 0.0001 / n) FILTER (particle % 10 = {k}), 4) AS p{k}' for k in range(10))} FROM m GROUP BY 1, 2")
-def imsd_wide_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def imsd_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All particles, ten to a row."""
     wide = motion.imsd_groups(lens.tracks(spark, sf_dir), 1.0, 1.0, 10, 10, scale=100)
     return wide.select("time", "first", *(F.round(str(k), 4).alias(f"p{k}") for k in range(10)))
 
 
 @query(f"WITH {_MSD} SELECT CAST(lag AS DOUBLE) AS time, particle, round(s * 0.0001 / n, 4) AS msd FROM m")
-def imsd_long_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def imsd_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All particles, straight from the displacements."""
     return motion.msd(lens.tracks(spark, sf_dir), 10, scale=100).select("time", "particle", F.round("msd", 4).alias("msd"))
 
@@ -325,12 +310,8 @@ def track_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {SQL['ev']}, {SQL['trk']}, m AS (SELECT particle, avg(x) AS x, avg(y) AS y FROM trk GROUP BY particle), d AS (SELECT a.particle, b.particle AS other, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2 FROM m a JOIN m b ON a.particle <> b.particle) SELECT particle, min_by(other, d2) AS nearest_other, round(sqrt(min(d2)), 6) AS distance FROM d WHERE d2 < 25 GROUP BY particle")
 def nearest_track(spark: SparkSession, sf_dir: str) -> DataFrame:
     means = motion.track_spread(lens.tracks(spark, sf_dir))
-    other = means.withColumnRenamed("particle", "other")
-    cells = det.with_cells(means, 5.0, "y", "x", spread=False).select("particle", F.col("y").alias("ya"), F.col("x").alias("xa"), "_cy", "_cx")
-    near = cells.join(det.with_cells(other, 5.0, "y", "x", spread=True), ["_cy", "_cx"]).where("particle <> other")
-    d2 = (F.col("ya") - F.col("y")) * (F.col("ya") - F.col("y")) + (F.col("xa") - F.col("x")) * (F.col("xa") - F.col("x"))
-    best = near.withColumn("d2", d2).where("d2 < 25").groupBy("particle").agg(F.min(F.struct("d2", "other")).alias("b"))
-    return best.select("particle", F.col("b.other").alias("nearest_other"), F.round(F.sqrt("b.d2"), 6).alias("distance"))
+    found = det.nearest(means, means, 5.0, "particle", "particle", others=True)
+    return found.select("particle", F.col("nearest_particle").alias("nearest_other"), *r6("distance"))
 
 
 @query("WITH r AS (SELECT min(value) AS a, max(value) AS b, count(*) AS n FROM events) SELECT CAST(least(floor((value - a) / ((b - a) / 50)), 49) AS INTEGER) AS bin, count(*) AS count, round(count(*) / (any_value(n) * any_value((b - a) / 50)), 8) AS density FROM events CROSS JOIN r GROUP BY 1")

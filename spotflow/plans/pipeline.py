@@ -12,13 +12,16 @@ from pyspark.sql import functions as F
 from ..functions.calibration import random_pixel_calibration
 from ..operators import frames as fr
 from ..operators import motion, photometry
-from ..operators.detections import relabelled, unique_ids
+from ..operators.detections import checkpointed, relabelled, unique_ids
 from ..operators.link import link
 from ..params import LabParams, TrackingParams
 from ..sources.ets import read_ets
 from ..sources.tables import read_frames, write_results
 from ..sources.tiff import manifest, read_tiff
 
+#: Videos whose mass limits are broadcast; beyond it they are joined.
+SENT_VIDEOS = 500_000
+
 
 def batch(frames: DataFrame, diameter: int, **params) -> DataFrame:
     """Detections of a frames table, linked if search_range is given; columns as TrackingParams has them.
@@ -52,10 +55,22 @@ def first_frame_mean(frames: DataFrame) -> float:
     return float(row[0] or 0.0)
 
 
+def first_frame_means(frames: DataFrame) -> DataFrame:
+    """video_id and mean: the mean pixel of each video's first frame."""
+    first = frames.groupBy("video_id").agg(F.min("frame").alias("frame"))
+    return frames.join(first, ["video_id", "frame"], "left_semi").select("video_id", F.explode("px").alias("p")).groupBy("video_id").agg(F.avg("p").alias("mean"))
+
+
+def with_minmass(frames: DataFrame, multiplier: float) -> DataFrame:
+    """frames with minmass: the multiplier times the mean of the first frame of their own video."""
+    means = checkpointed(first_frame_means(frames).select("video_id", (F.coalesce("mean", F.lit(0.0)) * multiplier).alias("minmass")))
+    small = means.count() <= SENT_VIDEOS
+    return frames.join(F.broadcast(means) if small else means, "video_id")
+
+
 def detections_of(frames: DataFrame, params: LabParams) -> DataFrame:
-    smooth = fr.blurred(frames, 0.5)
-    minmass = first_frame_mean(smooth) * params.mean_multiplier
-    return fr.locate(smooth, TrackingParams(params.object_size, minmass=minmass, separation=params.sep))
+    smooth = with_minmass(fr.blurred(frames, 0.5), params.mean_multiplier)
+    return fr.locate(smooth, TrackingParams(params.object_size, separation=params.sep))
 
 
 def tracker(frames: DataFrame, params: LabParams, colour: str = "red") -> tuple[DataFrame, DataFrame]:
@@ -76,7 +91,10 @@ def tracker(frames: DataFrame, params: LabParams, colour: str = "red") -> tuple[
 
 
 def run_experiments(spark: SparkSession, params: LabParams, run_id: str = "run", colour: str = "red") -> tuple[DataFrame, DataFrame]:
-    """tracker() over all TIFF videos of all experiments at once, written by type and replicate if save_path is set."""
+    """tracker() over all TIFF videos of all experiments at once, written by type and replicate if save_path is set.
+
+    Each video has its own mass limit, from its own first frame.
+    """
     if not params.exp_types or len(params.exp_types) != len(params.exp_type_folders):
         raise ValueError("exp_types and exp_type_folders have to be of one length, 1 at least")
     listed = None
@@ -89,7 +107,7 @@ def run_experiments(spark: SparkSession, params: LabParams, run_id: str = "run",
         frames = one if frames is None else frames.union(one)
     tracks, msds = tracker(frames, params, colour)
     named = listed.withColumnRenamed("path", "video_id")
-    label = lambda df: unique_ids(df.join(F.broadcast(named), "video_id"), run_id).withColumn("particle", F.concat_ws("_", "particle", "experiment_type", "replicate"))  # noqa: E731  one row a video
+    label = lambda df: unique_ids(df.join(named, "video_id"), run_id).withColumn("particle", F.concat_ws("_", "particle", "experiment_type", "replicate"))
     tracks, msds = label(tracks), label(msds)
     if params.save_path:
         write_results(tracks, f"{params.save_path}/tracked")

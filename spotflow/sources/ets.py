@@ -1,4 +1,4 @@
-"""ETS image files as frames: the chunk table is read once, then each (channel, frame range) is a partition."""
+"""ETS image files as frames: the chunk table is read first, then a task reads ranges of frames."""
 
 from __future__ import annotations
 
@@ -6,39 +6,48 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ranges import FRAMES, Read, framed, reader
+
 #: Numpy kinds of the format's sample codes.
 KINDS = {1: "<i1", 2: "<u1", 3: "<i2", 4: "<u2", 5: "<i4", 6: "<u4", 9: "<f4"}
 
 
-def parse_header(data: bytes) -> dict:
+def parse_header(source: bytes | Read) -> dict:
     """Sample code, width, height, and the offset of every chunk by (channel, frame)."""
-    if data[:4] != b"SIS\0":
+    read = reader(source)
+    head = read(0, 44)
+    if head[:4] != b"SIS\0":
         raise ValueError("not an ETS file")
-    dimensions, more, = struct.unpack_from("<IQ", data, 12)
-    table, count = struct.unpack_from("<QI", data, 32)
-    if data[more : more + 4] != b"ETS\0":
+    dimensions, more = struct.unpack_from("<IQ", head, 12)
+    table, count = struct.unpack_from("<QI", head, 32)
+    second = read(more, 36)
+    if second[:4] != b"ETS\0":
         raise ValueError("the ETS header is missing")
-    code = struct.unpack_from("<I", data, more + 8)[0]
+    code = struct.unpack_from("<I", second, 8)[0]
     if code not in KINDS:
         raise ValueError(f"unknown ETS sample code {code}")
-    width, height = struct.unpack_from("<II", data, more + 28)
+    width, height = struct.unpack_from("<II", second, 28)
     step = 4 + 4 * dimensions + 8 + 8
+    entries = read(table, count * step)
     chunks = {}
     for k in range(count):
-        at = table + k * step + 4
-        place = struct.unpack_from(f"<{dimensions}I", data, at)
-        offset = struct.unpack_from("<Q", data, at + 4 * dimensions)[0]
+        place = struct.unpack_from(f"<{dimensions}I", entries, k * step + 4)
+        offset = struct.unpack_from("<Q", entries, k * step + 4 + 4 * dimensions)[0]
         chunks[place[4] if dimensions > 4 else 0, place[2]] = offset
     return {"code": code, "width": width, "height": height, "chunks": chunks}
 
 
-def chunk(data: bytes, header: dict, offset: int) -> np.ndarray:
+def chunk(source: bytes | Read, header: dict, offset: int) -> np.ndarray:
     n = header["width"] * header["height"]
-    return np.frombuffer(data, KINDS[header["code"]], n, offset).reshape(header["height"], header["width"])
+    data = reader(source)(offset, n * np.dtype(KINDS[header["code"]]).itemsize)
+    return np.frombuffer(data, KINDS[header["code"]], n).reshape(header["height"], header["width"])
+
+
+def listed_chunk(read: Read, one: dict) -> np.ndarray:
+    return chunk(read, one, one["offset"]).astype(np.float32)
 
 
 def write_ets(videos: dict[int, dict[int, np.ndarray]], code: int = 4) -> bytes:
@@ -59,25 +68,21 @@ def write_ets(videos: dict[int, dict[int, np.ndarray]], code: int = 4) -> bytes:
     return bytes(body)
 
 
-def read_ets(spark: SparkSession, path: str, channel: int | None = None, compact_missing: bool = False, glob: str = "*.ets") -> DataFrame:
+def read_ets(spark: SparkSession, path: str, channel: int | None = None, compact_missing: bool = False, glob: str = "*.ets", frames: int = FRAMES) -> DataFrame:
     """video_id (path), channel, frame, nrows, ncols, px; samples by the file's code, missing frames left out.
 
-    frame keeps the file's numbers; with compact_missing they are counted through.
+    frame keeps the file's numbers; with compact_missing they are counted through. With a channel, the bytes of
+    the others aren't read.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path).select("path", "content")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                header, counts = parse_header(data), {}
-                for (c, f), offset in sorted(header["chunks"].items()):
-                    if channel is not None and c != channel:
-                        continue
-                    k = counts[c] = counts.get(c, -1) + 1
-                    p = chunk(data, header, offset).astype(np.float32)
-                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([c], pa.int32()), pa.array([k if compact_missing else f], pa.int32()), pa.array([p.shape[0]], pa.int32()), pa.array([p.shape[1]], pa.int32()), pa.array([p.ravel()], pa.list_(pa.float32()))], ["video_id", "channel", "frame", "nrows", "ncols", "px"])
-
-    return files.mapInArrow(run, "video_id string, channel int, frame int, nrows int, ncols int, px array<float>")
+
+    def listed(read: Read) -> Iterator[dict]:
+        header, counts = parse_header(read), {}
+        for (c, f), offset in sorted(header["chunks"].items()):
+            if channel is None or c == channel:
+                k = counts[c] = counts.get(c, -1) + 1
+                yield {"channel": c, "frame": k if compact_missing else f, "offset": offset} | {n: header[n] for n in ("code", "width", "height")}
+
+    return framed(spark, path, glob, listed, listed_chunk, ["channel", "frame"], frames)
 
 
 def channels(spark: SparkSession, path: str) -> DataFrame:

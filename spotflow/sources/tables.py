@@ -35,6 +35,41 @@ def write_results(df: DataFrame, path: str, kind: str = "parquet", by: tuple[str
     writer.option("header", True).csv(path) if kind == "csv" else writer.parquet(path)
 
 
+#: What the files of a run's tables are called.
+RUN_KINDS = {"tracked": "full_tracked_", "msd": "MSD_"}
+TRACE_KINDS = {"tracks": "_dynamic_tracks.csv", "traces": "_dynamic_signal_in_static_positions.csv", "static": "_static_df.csv"}
+
+
+def write_run(tables: dict[str, DataFrame], save: str, experiment: str, replicate: int | str) -> list[str]:
+    """A run's tables (tracked, msd) as CSV folders named by save, experiment and replicate; their paths."""
+    paths = []
+    for kind, df in tables.items():
+        paths.append(f"{save}__{experiment}__{replicate}__{RUN_KINDS[kind]}.csv")
+        df.write.mode("overwrite").option("header", True).csv(paths[-1])
+    return paths
+
+
+def gathered_runs(spark: SparkSession, paths: list[str], save: str | None = None) -> dict[str, DataFrame]:
+    """The runs' tables together, told apart by their names; with save also written as all_tracked.csv and all_msd.csv."""
+    found = {}
+    for kind, part in RUN_KINDS.items():
+        own = [p for p in paths if part in p.rstrip("/").rsplit("/", 1)[-1]]
+        if own:
+            found[kind] = merged_results(spark, own, "csv")
+            if save:
+                found[kind].write.mode("overwrite").option("header", True).csv(f"{save}/all_{kind}.csv")
+    return found
+
+
+def write_traces(found: dict[str, DataFrame], save: str, video: int) -> list[str]:
+    """The results of extract_traces for one pair of videos, under the video's counter; their paths."""
+    paths = []
+    for kind, name in TRACE_KINDS.items():
+        paths.append(f"{save}/{video}{name}")
+        found[kind].write.mode("overwrite").option("header", True).csv(paths[-1])
+    return paths
+
+
 def merged_results(spark: SparkSession, paths: list[str], kind: str = "parquet") -> DataFrame:
     """All runs under one schema; columns that a run lacks are null."""
     if not paths:

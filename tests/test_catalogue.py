@@ -47,11 +47,42 @@ def test_msd_by_hand(spark):
 def test_imsd_of_all_particles(spark):
     want = {(float(r.lag), r.particle, r.msd) for r in QUERIES["msd"](spark, SF).collect()}
     assert len({p for _, p, _ in want}) > 3
-    assert {tuple(r) for r in QUERIES["imsd_long_all"](spark, SF).select("time", "particle", "msd").collect()} == want
-    wide = QUERIES["imsd_wide_all"](spark, SF).collect()
+    assert {tuple(r) for r in QUERIES["imsd_long"](spark, SF).select("time", "particle", "msd").collect()} == want
+    wide = QUERIES["imsd_wide"](spark, SF).collect()
     assert {(r.time, r.first + k, r[f"p{k}"]) for r in wide for k in range(10) if r[f"p{k}"] is not None} == want
 
 
+def test_imsd_by_named_particles(spark):
+    df = spark.createDataFrame([(p, t, float(p * t), 0.0) for p in (1, 2) for t in range(3)], "particle int, frame int, x double, y double")
+    wide = motion.imsd(df, 1.0, 1.0, 5, [1, 2])
+    assert sorted(map(tuple, wide.collect())) == [(1.0, 1.0, 4.0), (2.0, 4.0, 16.0)]
+    assert sorted(map(tuple, motion.imsd_long(wide).collect())) == [(1.0, "1", 1.0), (1.0, "2", 4.0), (2.0, "1", 4.0), (2.0, "2", 16.0)]
+
+
+def test_lags_end_with_their_track(spark):
+    """A short track beside a long one makes no rows that find nothing."""
+    df = spark.createDataFrame([(1, t, 1.0, 1.0) for t in range(50)] + [(2, t, 0.0, 0.0) for t in range(3)], "particle int, frame int, x double, y double")
+    got = {(r.particle, r.lag): r.n for r in motion.msd(df, 40).collect()}
+    assert got == {(1, k): 50 - k for k in range(1, 41)} | {(2, 1): 2, (2, 2): 1}
+
+
+def test_distances_of_two_engines(spark):
+    a = spark.createDataFrame([(0, 1, 0.0, 0.0), (0, 2, 5.0, 5.0), (1, 3, 0.0, 0.0)], "frame int, seq int, y double, x double")
+    b = spark.createDataFrame([(0, 8, 0.004, 0.0), (0, 9, 0.006, 0.0), (1, 7, 9.0, 9.0)], "frame int, seq int, y double, x double")
+    assert [tuple(r)[:3] for r in det.matched(a, b).collect()] == [(0, 1, 8)]
+    ranks = det.distance_ranks(a, b, 0.01, "seq", "seq", ["frame"]).collect()
+    assert sorted((r[0], r[1], r[2], r.rank) for r in ranks) == [(0, 1, 8, 0), (0, 1, 9, 1)]
+    assert det.nearest(a, a, 9.0, "seq", "seq", by=["frame"], others=True).count() == 2
+
+
+def test_order_by_particle_and_labels_over_ranges(spark):
+    rows = [(p, t) for t in range(40) for p in range(30, 0, -1)]
+    df = spark.createDataFrame(rows, "particle int, frame int").repartition(5)
+    assert [tuple(r) for r in det.by_particle(df).collect()] == sorted(rows)
+    named = spark.createDataFrame([(f"p{i}", (i * 37) % 500) for i in range(500)], "particle string, seq int").repartition(4)
+    assert all(r.particle == r.seq for r in det.relabelled(named, "particle", "seq").collect())
+
+
 def test_set_zero_by_hand(spark):
     df = spark.createDataFrame([(1, k, v) for k, v in enumerate([4.0, 2.0, 6.0])], "particle int, frame int, x double")
     assert [r.x for r in motion.set_zero(df, "x").orderBy("frame").collect()] == [2.0, 0.0, 4.0]

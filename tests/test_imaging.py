@@ -4,7 +4,7 @@ import pytest
 from spotflow.functions import imaging as im
 from spotflow.functions.calibration import bessel_i1e, chi2_survival, fit_pixel, fit_spot
 from spotflow.operators.frames import locate_frame
-from spotflow.params import LabParams, TrackingParams, write_yaml
+from spotflow.params import LabParams, TrackingParams, update_mm_and_sep, write_yaml
 
 RAMP = np.add.outer(10.0 * np.arange(9), np.arange(9.0))
 
@@ -68,6 +68,24 @@ def test_close_losers_against_all_pairs():
     assert im.close_losers(y, x, m, 3.0).tolist() == want
 
 
+def test_refinement_against_loops():
+    image = spot_image([(10.3, 12.8, 500), (25.6, 30.2, 800), (3.0, 3.0, 300)])
+    u, v = np.array([9, 27, 0, 20]), np.array([11, 31, 1, 5])
+    image[16:25, 1:10] = 0
+    got = im.refine(image, u, v, 3, 6)
+    for k in range(len(u)):
+        a, b = min(max(u[k], 3), image.shape[0] - 4), min(max(v[k], 3), image.shape[1] - 4)
+        for step in range(7):
+            cells = [(i, j, image[a + i, b + j]) for i in range(-3, 4) for j in range(-3, 4) if i * i + j * j <= 9]
+            mass = sum(p for *_, p in cells)
+            c = [sum(x[axis] * x[2] for x in cells) / mass if mass else 0.0 for axis in (0, 1)]
+            moved = tuple(min(max(at + (int(np.sign(d)) if abs(d) > 0.6 else 0), 3), n - 4) for at, d, n in zip((a, b), c, image.shape, strict=True))
+            if moved == (a, b) or step == 6:
+                break
+            a, b = moved
+        assert (got[0][k], got[1][k], got[2][k], got[3][k]) == pytest.approx((a + c[0], b + c[1], mass, max(p for *_, p in cells)))
+
+
 def test_parameters(tmp_path):
     for bad in ({"diameter": 4}, {"diameter": 5, "noise_size": 7}, {"diameter": 5, "bg_radius": 3}, {"diameter": 5, "max_iterations": 0}, {"diameter": 5, "smoothing_size": 4}):
         with pytest.raises(ValueError):
@@ -80,6 +98,11 @@ def test_parameters(tmp_path):
     assert (p.sep, p.exp_types, p.pixel_size, p.memory) == (9, ("a", "b"), 0.2, 1)
     with pytest.raises(ValueError):
         LabParams.load(nothing=1)
+    with pytest.raises(ValueError):
+        update_mm_and_sep(path, 1.5, 4)
+    (tmp_path / "q.yml").write_text("# of the lab\nsep: 7 # pixels\nmean_multiplier: 0.8\nmemory: 2\n")
+    update_mm_and_sep(str(tmp_path / "q.yml"), 1.5, 4)
+    assert (tmp_path / "q.yml").read_text() == "# of the lab\nsep: 4 # pixels\nmean_multiplier: 1.5\nmemory: 2\n"
 
 
 def test_special_functions():

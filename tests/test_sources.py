@@ -3,9 +3,11 @@ import pytest
 
 from spotflow.plans.pipeline import LabParams, batch, batch_array, batch_file, extract_traces, parse_ets, run_experiments, sweep, tracker
 from spotflow.operators.frames import frames_from_array
-from spotflow.sources.ets import channels, read_ets, write_ets
-from spotflow.sources.tables import merged_results, read_detections, read_frames, write_results
-from spotflow.sources.tiff import content_hashes, directories, manifest, page, read_tiff, unpack_bits, write_tiff
+from spotflow.sources.ets import channels, chunk, parse_header, read_ets, write_ets
+from spotflow.__main__ import main, parsed
+from spotflow.plans.pipeline import detections_of
+from spotflow.sources.tables import gathered_runs, merged_results, read_detections, read_frames, write_results, write_run, write_traces
+from spotflow.sources.tiff import content_hashes, directories, listed_page, manifest, page, pages, read_tiff, unpack_bits, unpack_lzw, write_tiff
 from test_imaging import spot_image
 
 
@@ -33,6 +35,75 @@ def test_tiff_round_trip(spark, tmp_path):
         read_frames(spark, "a.png")
 
 
+def counting(data):
+    """A reader that notes what it is asked for."""
+    asked = []
+
+    def read(at, n):
+        asked.append((at, n))
+        return data[at : at + n]
+
+    return read, asked
+
+
+def test_a_range_reads_its_own_bytes_only():
+    a = (np.random.default_rng(0).random((6, 16, 16)) * 200).astype(np.uint16)
+    data = write_tiff(a)
+    read, asked = counting(data)
+    found = list(pages(read))
+    assert sum(n for _, n in asked) < 6 * 150 and len(found) == 6
+    asked.clear()
+    assert (listed_page(read, found[4]) == a[4]).all() and [n for _, n in asked] == [512]
+    images = {c: {f: np.full((16, 16), 10 * c + f) for f in range(3)} for c in (0, 1)}
+    read, asked = counting(write_ets(images))
+    header = parse_header(read)
+    assert sum(n for _, n in asked) < 500
+    asked.clear()
+    assert (chunk(read, header, header["chunks"][1, 2]) == 12).all() and [n for _, n in asked] == [512]
+
+
+def test_ranges_of_frames_are_tasks(spark, tmp_path):
+    a = (np.random.default_rng(0).random((10, 5, 7)) * 200).astype(np.uint8)
+    (tmp_path / "a.tif").write_bytes(write_tiff(a))
+    frames = read_tiff(spark, str(tmp_path), frames=2)
+    assert frames.rdd.getNumPartitions() == 5
+    assert [(r.frame, r.px) for r in frames.orderBy("frame").collect()] == [(k, a[k].ravel().tolist()) for k in range(10)]
+
+
+def test_lzw_and_differences():
+    def packed(data):
+        """An encoder by the book: a new code for each longest known string and the byte behind it."""
+        out, bits, codes, width, held = 0, 0, {bytes([k]): k for k in range(256)}, 9, b""
+        emit = [(256, 9)]
+        for k in range(len(data)):
+            c = data[k : k + 1]
+            if held + c in codes:
+                held += c
+                continue
+            emit.append((codes[held], width))
+            codes[held + c] = len(codes) + 2
+            held = c
+            if len(codes) + 2 >= (1 << width) and width < 12:
+                width += 1
+            if len(codes) + 2 >= 4094:
+                emit.append((codes[held], width))
+                emit.append((256, width))
+                codes, width, held = {bytes([k]): k for k in range(256)}, 9, b""
+        emit += ([(codes[held], width)] if held else []) + [(257, width)]
+        for code, n in emit:
+            out, bits = out << n | code, bits + n
+        return (out << (-bits % 8)).to_bytes((bits + 7) // 8, "big")
+
+    rng = np.random.default_rng(2)
+    for data in (b"", b"a", b"aaaaaaa" * 50, bytes(rng.integers(0, 4, 700).astype(np.uint8)), bytes(rng.integers(0, 256, 20_000).astype(np.uint8))):
+        assert unpack_lzw(packed(data)) == data
+    image = rng.integers(0, 60_000, (6, 9)).astype("<u2")
+    steps = np.diff(image.astype(np.int64), axis=1, prepend=0).astype(np.uint16).astype("<u2")
+    data = packed(steps.tobytes())
+    tags = {256: [9], 257: [6], 258: [16], 259: [5], 273: [0], 279: [len(data)], 317: [2], -1: [False]}
+    assert (page(data, tags) == image).all()
+
+
 def test_ets_round_trip(spark, tmp_path):
     rng = np.random.default_rng(1)
     images = {c: {f: rng.integers(0, 999, (4, 6)) for f in frames} for c, frames in {0: (0, 1, 3), 2: (1,)}.items()}
@@ -53,6 +124,34 @@ def test_tables(spark, tmp_path):
     assert set(merged.columns) == {"a", "b", "experiment_type", "replicate"} and merged.count() == 2
 
 
+def test_runs_by_name(spark, tmp_path):
+    save = str(tmp_path / "out")
+    paths = [p for k in (0, 1) for p in write_run({"tracked": spark.createDataFrame([(k, 1.5)], "particle int, x double"), "msd": spark.createDataFrame([(k, 2.0)], "particle int, msd double")}, save, "exp", k)]
+    assert paths[0] == f"{save}__exp__0__full_tracked_.csv" and paths[3] == f"{save}__exp__1__MSD_.csv"
+    found = gathered_runs(spark, paths, str(tmp_path / "all"))
+    assert found["tracked"].columns == ["particle", "x"] and found["msd"].columns == ["particle", "msd"] and found["msd"].count() == 2
+    assert spark.read.csv(str(tmp_path / "all" / "all_tracked.csv"), header=True).count() == 2
+    one = spark.createDataFrame([(1,)], "a int")
+    assert [p.rsplit("/", 1)[1] for p in write_traces({"tracks": one, "traces": one, "static": one}, str(tmp_path), 3)] == ["3_dynamic_tracks.csv", "3_dynamic_signal_in_static_positions.csv", "3_static_df.csv"]
+
+
+def test_command_line(spark, tmp_path):
+    (tmp_path / "v.tif").write_bytes(write_tiff(video()))
+    main([str(tmp_path / "v.tif"), "--filter", "--diameter", "7", "--minmass", "100", "--separation", "6", "--out", str(tmp_path / "found")])
+    want = batch_file(spark, str(tmp_path / "v.tif"), 7, minmass=100, separation=6, search_range=9.0)
+    assert spark.read.parquet(str(tmp_path / "found")).count() == want.count() > 0
+    assert parsed([]).minmass == 800 and parsed(["--debug", "x.ets"]).debug
+
+
+def test_each_video_has_its_own_mass_limit(spark):
+    """A dim video beside a bright one keeps the particles that it has alone."""
+    bright, dim = video(3).astype(np.float32) * 20, video(3).astype(np.float32)
+    p = LabParams(object_size=7, sep=6, mean_multiplier=3.0)
+    alone = [detections_of(frames_from_array(spark, a, n), p).count() for a, n in ((bright, "b"), (dim, "d"))]
+    both = detections_of(frames_from_array(spark, bright, "b").union(frames_from_array(spark, dim, "d")), p).groupBy("video_id").count().collect()
+    assert {r.video_id: r["count"] for r in both} == dict(zip("bd", alone, strict=True)) and min(alone) > 0
+
+
 def test_batch_and_frame_split(spark, tmp_path):
     a = video()
     p = dict(minmass=100, separation=6, search_range=4.0, cpu_processed=True, sig_radius=3, bg_radius=6)
