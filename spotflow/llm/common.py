@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -138,14 +139,21 @@ _kept: dict = {}
 
 
 def once(key: str, make: Callable):
-    """What make() returns, made once in each Python worker; only the latest few keys are kept."""
+    """What make() returns, made once in each Python worker; only the latest key is kept."""
     if key not in _kept:
-        while len(_kept) >= 3:
-            _kept.pop(next(iter(_kept)))
+        _kept.clear()
         _kept[key] = make()
     return _kept[key]
 
 
+def returned() -> None:
+    """Gives memory that a finished task has freed back to the system: its worker may idle beside others."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def send(spark: SparkSession, value):
     """Broadcast (key, value); the key is for once()."""
     return spark.sparkContext.broadcast((uuid.uuid4().hex, value))

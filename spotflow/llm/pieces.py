@@ -1,33 +1,44 @@
 """SentencePiece encoding and decoding through a relational lattice.
 
-Texts are cut into units that no vocabulary piece crosses. The distinct units of a block of documents are
-exploded into substrings of bounded length, equi-joined to the piece table and grouped again to the edges
-of each unit's lattice, over which a higher-order aggregate finds the segmentation. For unigram models it is
-Viterbi's best path; for BPE models, whose encoding is in general no best path of any sum of scores, it
-takes the best-ranked merge of two neighbours again and again.
+Texts are cut into units that no vocabulary piece crosses. The common units, and those that a task meets for the
+first time, are exploded into substrings of bounded length, equi-joined to the piece table and grouped again to the edges of
+each unit's lattice, over which a higher-order aggregate finds the segmentation. For unigram models it is
+Viterbi's best path; for BPE models, whose encoding is in general no best path of any sum of scores, it takes
+the merges of neighbours by rank. The texts travel behind their units through the same stage: nothing is
+shuffled, stored or numbered.
 """
 
 from __future__ import annotations
 
 import hashlib
 import heapq
+import math
+import re
+from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import input_bytes, once, send
+from .common import once, returned, send, slices
 
 SPACE = "▁"
-#: Units that no piece crosses, from fine to coarse; the first that holds for a vocabulary is used.
-UNITS = (r"▁*(?:\p{L}+|[^\p{L}▁]+)|▁+", r"▁*[^▁]+|▁+")
+#: Units that no piece crosses, from fine to coarse; the first that holds for a vocabulary is used. The fine ones
+#: are runs of letters and runs of anything else.
+UNITS = (r"▁*(?:[^\W\d_²³¹¼½¾]+|(?:(?!▁)[\W\d_²³¹¼½¾])+)|▁+", r"▁*[^▁]+|▁+")
 #: Units of up to this many characters go through the relational lattice: its cuts are the bits of a long.
 LONGEST = 62
-#: Stored bytes of documents that share a block.
-BLOCK = 24 << 20
+#: Documents sampled to see which units are common, and how many of these are segmented before all others and
+#: broadcast, if they aren't longer than COMMON_SIZE. Where a unit is segmented makes no difference to its ids.
+SAMPLE, COMMON, COMMON_SIZE = 16_000, 160_000, 32
+#: Units that a task remembers besides, and their bytes; beyond it they are segmented again, with the same result.
+REMEMBERED, REMEMBERED_BYTES = 150_000, 8 << 20
+#: Rows and bytes of texts that travel as one; larger arrays burden the JVM's heap.
+CRATE_ROWS, CRATE_BYTES = 1000, 1 << 18
 
 
 def load_model(path: str) -> dict:
@@ -42,8 +53,41 @@ def load_model(path: str) -> dict:
     spelled = {int(model.id_to_piece(i)[3:5], 16): i for i in range(size) if model.is_byte(i)}
     scores = {p: model.get_score(i) for p, i in plain.items()}
     merges = all(float(s).is_integer() for s in scores.values())  # BPE models score by rank
-    unit = next(u for u in (*UNITS, r"(?s).+") if all(regex.fullmatch(u, p) for p in plain))
-    return {"ids": plain, "scores": scores, "bytes": spelled, "unknown": model.unk_id(), "merges": merges, "unit": unit, "longest": max(map(len, plain))}
+    unit = next(u for u in (*UNITS, r"(?s).+") if all(re.fullmatch(u, p) for p in plain))
+    return {"ids": plain, "scores": scores, "bytes": spelled, "unknown": model.unk_id(), "merges": merges, "disordered": disordered(scores) if merges else set(), "unit": unit, "longest": max(map(len, plain))}
+
+
+def as_unigrams(model: dict, shift: float = 2.7) -> dict:
+    """The model as a unigram model: where scores are ranks, rank r has a log weight of -log(r + shift)."""
+    if not model["merges"]:
+        return model
+    ranks = ranked(model)
+    return model | {"merges": False, "disordered": set(), "scores": {p: -math.log(ranks[s] + 1 + shift) for p, s in model["scores"].items()}}
+
+
+def disordered(scores: dict[str, float]) -> set[str]:
+    """Pieces which, on their own, come about by merges that aren't in the order of rank, start and size.
+
+    A unit without such a piece can take its merges in one pass over its edges in that order, instead of the
+    best one again and again. For suppose that a merge made another one possible that comes before it: the
+    latter's piece spans cuts that no merge has removed, so that the merges within it so far are those of the
+    piece on its own, in the order that they have there, and it would come before the last of them there, too.
+    """
+    found = set()
+    for piece in scores:
+        parts, last = list(piece), (-float("inf"), 0, 0)
+        while len(parts) > 1:
+            best = min(((-s, i) for i in range(len(parts) - 1) if (s := scores.get(parts[i] + parts[i + 1])) is not None), default=None)
+            if best is None:
+                break
+            i = best[1]
+            whole = parts[i] + parts[i + 1]
+            this = (best[0], sum(map(len, parts[:i])), len(whole))
+            if this <= last:
+                found.add(piece)
+            last = this
+            parts[i : i + 2] = [whole]
+    return found
 
 
 def escaped(text: str) -> str:
@@ -51,64 +95,93 @@ def escaped(text: str) -> str:
     return SPACE + text.replace(" ", SPACE) if text else ""
 
 
-def lattice(units: DataFrame, pieces: DataFrame, key: str, shortest: int, longest: int) -> DataFrame:
-    """key, unit, n (characters) and edges of each unit: structs of cost, start, size, ends, inner.
+def ranked(model: dict) -> dict[float, int]:
+    """Score -> rank: the better the smaller."""
+    return {score: k for k, score in enumerate(sorted(set(model["scores"].values()), reverse=True))}
+
+
+def piece_table(units: DataFrame, model: dict) -> DataFrame:
+    """key (hash of the piece), piece, code: its rank and, in the last bit, whether it is disordered."""
+    ranks = ranked(model)
+    rows = [(p, ranks[s] << 13 | (p in model["disordered"])) for p, s in model["scores"].items()]
+    return units.sparkSession.createDataFrame(rows, "piece string, code long").withColumn("key", F.xxhash64("piece"))
 
-    ends and inner are bit sets of the cuts at an edge's ends and within it. Units are exploded to substrings
-    of shortest to longest characters and joined to the piece table by broadcast, which keeps a unit's edges
-    together; they are gathered in passing, without a shuffle or a sort.
+
+def lattice(units: DataFrame, model: dict) -> DataFrame:
+    """number, unit, ordered, edges and whole of units(number, unit, whole), in their order.
+
+    Rows without a unit carry something else in `whole` and pass untouched. Units are exploded to substrings
+    of bounded length and joined to the piece table by broadcast, on their hash and then letter by letter;
+    that keeps a unit's edges together behind a row of its own, and they are grouped in passing, without a
+    shuffle or a sort of rows. An edge travels as one number: rank, start, size and the mark of disorder. For
+    merges the edges are two bit sets, of the cuts at an edge's ends and of those within it, by rank, start
+    and size; else they are cost, start and size. A unit is ordered if all its pieces are. Units of more than
+    LONGEST characters have no edges.
     """
-    starts = units.withColumn("n", F.length("unit")).where(F.col("n").between(shortest, LONGEST)).select(key, "unit", "n", F.explode(F.sequence(F.lit(0), F.col("n") - shortest)).alias("start"))
-    sized = starts.select("*", F.explode(F.sequence(F.lit(shortest), F.least(F.lit(longest), F.col("n") - F.col("start")))).alias("size"))
-    parts = sized.select(key, "unit", "n", "start", "size", F.expr("substring(unit, start + 1, size)").alias("piece"))
-    found = parts.join(F.broadcast(pieces), "piece").select(key, "unit", "n", "start", "size", (-F.col("score")).alias("cost"))  # one vocabulary: of fixed size
-    kinds = [pa.float64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-
-    def gathered(batch: pa.RecordBatch) -> pa.RecordBatch:
-        unit, keys = batch.column(1), batch.column(0)
-        coded = unit.dictionary_encode().indices.to_numpy()
-        of = keys.to_numpy(zero_copy_only=False)
-        begin = np.flatnonzero(np.append(True, (coded[1:] != coded[:-1]) | (of[1:] != of[:-1])))
-        start, size = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (3, 4))
+    merges, longest = model["merges"], model["longest"]
+    shortest = 2 if merges else 1
+    costs = -np.array(list(ranked(model)))
+    n = F.length("unit")
+    own = F.sequence(F.lit(-1), n - shortest)
+    starts = units.select("number", "unit", "whole", F.explode(F.when(F.col("unit").isNotNull() & n.between(shortest, LONGEST), own).otherwise(F.array(F.lit(-1)))).alias("start"))
+    sizes = F.sequence(F.lit(shortest), F.least(F.lit(longest), n - F.col("start")))
+    sized = starts.select("*", F.explode(F.when(F.col("start") >= 0, sizes).otherwise(F.array(F.lit(0)))).alias("size"))
+    alone = F.col("start") < 0
+    parts = sized.withColumn("part", F.when(~alone, F.expr("substring(unit, start + 1, size)"))).withColumn("key", F.when(~alone, F.xxhash64("part")))
+    joined = parts.join(F.broadcast(piece_table(units, model)), "key", "left").where("piece = part OR start < 0")  # one vocabulary: of fixed size
+    code = F.when(alone, -1 - F.col("number").cast("long")).otherwise(F.col("code") + F.col("start") * 128 + F.col("size") * 2)
+    found = joined.select(code.alias("code"), F.when(alone, F.col("unit")).alias("unit"), F.when(alone, F.col("whole")).alias("whole"))
+    fields = [("ends", pa.int64()), ("inner", pa.int64())] if merges else [("cost", pa.float64()), ("start", pa.int32()), ("size", pa.int32())]
+
+    def grouped(batch: pa.RecordBatch) -> pa.RecordBatch:
+        code = batch.column(0).to_numpy(zero_copy_only=False)
+        first = code < 0
+        begin, own = np.flatnonzero(first), np.flatnonzero(~first)
+        run = (np.cumsum(first) - 1)[own]
+        edge = np.sort(run << 40 | code[own]) if merges else code[own]
+        start, size, rank = edge >> 7 & 63, edge >> 1 & 63, edge >> 13 & 0x7FFFFFF
         one = np.int64(1)
-        ends = (one << start) | (one << (start + size))
-        inner = (one << (start + size)) - (one << (start + one))
-        edges = pa.StructArray.from_arrays([pa.array(x).cast(t) for x, t in zip((batch.column(5), start, size, ends, inner), kinds, strict=True)], ["cost", "start", "size", "ends", "inner"])
-        lists = pa.ListArray.from_arrays(pa.array(np.append(begin, batch.num_rows).astype(np.int32)), edges)
-        return pa.RecordBatch.from_arrays([keys.take(pa.array(begin)), unit.take(pa.array(begin)), batch.column(2).take(pa.array(begin)), lists], [key, "unit", "n", "edges"])
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if merges:
+            edges = [pa.array((one << start) | (one << (start + size))), pa.array((one << (start + size)) - (one << (start + one)))]
+        else:
+            edges = [pa.array(costs[rank]), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32))]
+        counts = np.append(0, np.cumsum(np.bincount(run, minlength=len(begin)))).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(counts), pa.StructArray.from_arrays(edges, [name for name, _ in fields]))
+        ordered = np.ones(len(begin), bool)
+        ordered[run[(code[own] & 1).astype(bool)]] = False
+        at = pa.array(begin)
+        return pa.RecordBatch.from_arrays([pa.array((-1 - code[begin]).astype(np.int32)), batch.column(1).take(at), pa.array(ordered), lists, batch.column(2).take(at)], ["number", "unit", "ordered", "edges", "whole"])
+
+    def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The last unit of a batch waits for the next one."""
         held: list[pa.RecordBatch] = []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            last = (batch.column(0)[-1], batch.column(1)[-1])
-            cut = batch.num_rows
-            while cut and (batch.column(0)[cut - 1], batch.column(1)[cut - 1]) == last:
-                cut -= 1
-            if cut:
-                whole = pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks().to_batches()
-                yield from map(gathered, whole)
+            begin = np.flatnonzero(batch.column(0).to_numpy(zero_copy_only=False) < 0)
+            cut = int(begin[-1]) if len(begin) else 0
+            if len(begin):
+                yield from map(grouped, pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks().to_batches())
                 held = []
             held.append(batch.slice(cut))
         if held:
-            yield from map(gathered, pa.Table.from_batches(held).combine_chunks().to_batches())
+            yield from map(grouped, pa.Table.from_batches(held).combine_chunks().to_batches())
 
-    kind = dict(units.dtypes)[key]
-    return found.mapInArrow(gather, f"{key} {kind}, unit string, n int, edges array<struct<cost:double,start:int,size:int,ends:bigint,inner:bigint>>")
+    kinds = {pa.float64(): "double", pa.int32(): "int", pa.int64(): "bigint"}
+    return found.mapInArrow(group, f"number int, unit string, ordered boolean, edges array<struct<{','.join(f'{name}:{kinds[kind]}' for name, kind in fields)}>>, whole binary")
 
 
-def merged_cuts(edges: Column, n: Column) -> Column:
-    """Bit set of cuts after all merges: the best score first, of equal ones the leftmost."""
-    every = F.expr("shiftleft(2L, n) - 1L")
+def merged_cuts(edges: Column, n: Column, ordered: Column) -> Column:
+    """Bit set of cuts after all merges: the best rank first, of equal ones the leftmost; edges come in that order."""
+    every = F.call_function("shiftleft", F.lit(2).cast("long"), n) - F.lit(1).cast("long")
+
+    def able(cuts: Column, e: Column) -> Column:
+        return (cuts.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(cuts.bitwiseAND(e["inner"])) == 1)
 
     def merge(cuts: Column, _: Column) -> Column:
-        able = F.filter(edges, lambda e: (cuts.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(cuts.bitwiseAND(e["inner"])) == 1))
-        best = F.array_min(able)  # by cost, then start
+        best = F.get(F.filter(edges, lambda e: able(cuts, e)), F.lit(0))
         return cuts.bitwiseAND(F.bitwise_not(F.coalesce(best["inner"], F.lit(0).cast("long"))))
 
-    return F.aggregate(F.sequence(F.lit(1), n - 1), every, merge)
+    once_over = F.aggregate(edges, every, lambda cuts, e: F.when(able(cuts, e), cuts.bitwiseAND(F.bitwise_not(e["inner"]))).otherwise(cuts))
+    return F.when(ordered, once_over).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), every, merge))
 
 
 def viterbi_cuts(edges: Column, n: Column, unknown: float) -> Column:
@@ -129,13 +202,12 @@ def viterbi_cuts(edges: Column, n: Column, unknown: float) -> Column:
     return F.element_at(F.aggregate(F.sequence(F.lit(1), n), first, step), -1)["cuts"]
 
 
-def unit_cuts(units: DataFrame, model: dict, key: str) -> DataFrame:
-    """key, unit, cuts of units(key, unit) of up to LONGEST characters; units without an edge have no row."""
-    pieces = units.sparkSession.createDataFrame(list(model["scores"].items()), "piece string, score double")
-    edges = lattice(units, pieces, key, 2 if model["merges"] else 1, model["longest"])
-    unknown = min(model["scores"].values()) - 10.0
-    cuts = merged_cuts(F.col("edges"), F.col("n")) if model["merges"] else viterbi_cuts(F.col("edges"), F.col("n"), unknown)
-    return edges.select(key, "unit", cuts.alias("cuts"))
+def unit_cuts(units: DataFrame, model: dict) -> DataFrame:
+    """number, unit, cuts, whole of units(number, unit, whole); cuts are null where a unit has no edges."""
+    edges = lattice(units, model)
+    n, unknown = F.length("unit"), min(model["scores"].values()) - 10.0
+    cuts = merged_cuts(F.col("edges"), n, F.col("ordered")) if model["merges"] else viterbi_cuts(F.col("edges"), n, unknown)
+    return edges.select("number", "unit", F.when(F.size("edges") > 0, cuts).alias("cuts"), "whole")
 
 
 def parts_of(unit: str, cuts: int | None) -> list[str]:
@@ -199,8 +271,10 @@ class Codec:
 
     def __init__(self, model: dict):
         self.model, self.ids = model, model["ids"]
-        self.find = regex.compile(model["unit"]).findall
+        self.find = re.compile(model["unit"]).findall
         spelled = {i: bytes([b]) for b, i in model["bytes"].items()}
+        self.names, self.numbers = pa.array(self.ids), np.array([*self.ids.values(), 0], np.int32)
+        self.spelled = np.array([model["bytes"].get(b, model["unknown"]) for b in range(256)], np.int32)
         self.raw = {i: p.replace(SPACE, " ").encode("utf-8") for p, i in self.ids.items()} | spelled | {model["unknown"]: " ⁇ ".encode()}
 
     def part_ids(self, part: str) -> list[int]:
@@ -217,86 +291,230 @@ class Codec:
             parts = parts_of(unit, cuts)
         return [i for p in parts for i in self.part_ids(p)]
 
+    def cut_ids(self, units: pa.StringArray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all units at their cuts, and how many each has."""
+        offsets = np.frombuffer(units.buffers()[1], np.int32)[units.offset : units.offset + len(units) + 1].astype(np.int64)
+        data = np.frombuffer(units.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+        offsets = offsets - offsets[0]
+        chars = np.flatnonzero((data & 0xC0) != 0x80)
+        first = np.searchsorted(chars, offsets[:-1])
+        unit = np.repeat(np.arange(len(units)), np.diff(np.append(first, len(chars))))
+        place = np.arange(len(chars)) - first[unit]
+        cut = (cuts[unit] >> place & 1).astype(bool) | (place == 0)
+        begin, unit = chars[cut], unit[cut]
+        size = np.diff(np.append(begin, len(data)))
+        parts = pa.StringArray.from_buffers(len(begin), pa.py_buffer(np.append(begin, len(data)).astype(np.int32)), pa.py_buffer(data))
+        found = pc.fill_null(pc.index_in(parts, value_set=self.names), -1).to_numpy(zero_copy_only=False)
+        unknown = np.flatnonzero(found < 0)
+        many = np.ones(len(begin), np.int64)
+        if self.model["bytes"]:
+            many[unknown] = size[unknown]
+        values = np.repeat(self.numbers[found], many)
+        at = np.cumsum(many) - many
+        of = np.repeat(unknown, many[unknown])
+        within = np.arange(len(of)) - np.repeat(np.cumsum(many[unknown]) - many[unknown], many[unknown])
+        values[at[of] + within] = self.spelled[data[begin[of] + within]] if self.model["bytes"] else self.model["unknown"]
+        return values, np.bincount(unit, weights=many, minlength=len(units)).astype(np.int64)
+
+    def all_ids(self, units: pa.StringArray, cuts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same for units of any length; cuts are null where a unit has no edges."""
+        known = pc.fill_null(cuts, -1).to_numpy(zero_copy_only=False)
+        long = np.flatnonzero(pc.utf8_length(units).to_numpy(zero_copy_only=False) > LONGEST)
+        values, counts, last = [], [], 0
+        for k in [*long.tolist(), len(units)]:
+            if k > last:
+                found = self.cut_ids(units.slice(last, k - last), known[last:k])
+                values.append(found[0])
+                counts.append(found[1])
+            if k < len(units):
+                values.append(np.array(self.unit_ids(units[k].as_py(), None), np.int32))
+                counts.append(np.array([len(values[-1])]))
+            last = k + 1
+        return np.concatenate(values), np.concatenate(counts)
+
     def decode(self, ids: list[int]) -> str:
         whole = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
         return whole[1:] if whole.startswith(" ") else whole
 
 
-def distinct_units(dealt: DataFrame, sent) -> DataFrame:
-    """_of, unit: the distinct units of each block of dealt(_block, text), all of whose rows share a task."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, set[str]] = {}
-        find = regex.compile(sent.value[1]["unit"]).findall
-        for batch in batches:
-            for block, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if x:
-                    seen.setdefault(block, set()).update(find(escaped(x)))
-        for block, units in seen.items():
-            rows = [u for u in units if len(u) <= LONGEST]
-            for i in range(0, len(rows), 20_000):
-                part = rows[i : i + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(part), pa.int32()), pa.array(part, pa.string())], ["_of", "unit"])
+class Numbers(dict):
+    """Units numbered in order of appearance, after the common ones; `fresh` are those that haven't left yet."""
+
+    def __init__(self, common: dict[str, int]) -> None:
+        super().__init__()
+        self.common, self.next, self.size = common, len(common), 0
+        self.fresh: list[str] = []
 
-    return dealt.select("_block", "text").mapInArrow(run, "_of int, unit string")
+    def __missing__(self, unit: str) -> int:
+        n = self.common.get(unit)
+        if n is None:
+            n = self.next
+            self.next += 1
+            self.fresh.append(unit)
+            self.size += len(unit)
+        self[unit] = n
+        return n
 
+    def full(self) -> bool:
+        return self.next - len(self.common) > REMEMBERED or self.size > REMEMBERED_BYTES
 
-def encode(docs: DataFrame, path: str, text: str = "text", block_bytes: int = BLOCK) -> DataFrame:
+
+def common_units(docs: DataFrame, text: str, model: dict, sent) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """At most COMMON units that are frequent in about SAMPLE documents, their ids, and how many each has."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = re.compile(sent.value[1]["unit"]).findall
+        for batch in batches:
+            for part in slices(batch, CRATE_ROWS, CRATE_BYTES):
+                counts: Counter = Counter()
+                for x in part.column(0).to_pylist():
+                    counts.update(find(escaped(x or "")))
+                kept = [(u, n) for u, n in counts.items() if len(u) <= COMMON_SIZE]
+                yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], ["unit", "n"])
+
+    chosen = docs.select(text).where(F.rand(17) < min(1.0, SAMPLE / max(docs.count(), 1)))
+    counted = chosen.mapInArrow(count, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n")).where("n > 1")
+    units = counted.orderBy(F.desc("n"), "unit").limit(COMMON).toArrow().column("unit").combine_chunks()
+    listed = docs.sparkSession.createDataFrame(pa.table({"number": pa.array(range(len(units)), pa.int32()), "unit": units, "whole": pa.nulls(len(units), pa.binary())}), "number int, unit string, whole binary")
+    cuts = unit_cuts(listed, model).select("number", "unit", "cuts").toArrow().sort_by("number")
+    if cuts.num_rows != len(units):
+        raise RuntimeError("units were lost")
+    units = cuts.column("unit").cast(pa.string()).combine_chunks()
+    values, counts = Codec(model).all_ids(units, cuts.column("cuts").combine_chunks()) if len(units) else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+    return units, values, counts
+
+
+def crated(docs: DataFrame, text: str, sent, common) -> DataFrame:
+    """number, unit, whole: for each crate of rows the units that its task meets for the first time, then the crate.
+
+    A crate has the rows' columns and the numbers of their texts' units. Its row's number is that of the units so
+    far; an empty crate says that all but the common ones are forgotten and that numbers go on from these.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, value = common.value
+        known = once(key, lambda: {u: n for n, u in enumerate(value[0].to_pylist())})
+        find, numbers = re.compile(sent.value[1]["unit"]).findall, Numbers(known)
+        for batch in batches:
+            for part in slices(batch, CRATE_ROWS, CRATE_BYTES):
+                first, flat, edges = numbers.next, [], [0]
+                for x in part.column(part.schema.names.index(text)).to_pylist():
+                    flat.append(np.fromiter(map(numbers.__getitem__, find(escaped(x or ""))), np.int32))
+                    edges.append(edges[-1] + len(flat[-1]))
+                lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(np.concatenate(flat)))
+                sink = pa.BufferOutputStream()
+                whole = pa.RecordBatch.from_arrays([*part.columns, lists], [f"c{k}" for k in range(part.num_columns + 1)])
+                with pa.ipc.new_stream(sink, whole.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as out:
+                    out.write_batch(whole)
+                crates = [sink.getvalue().to_pybytes()]
+                units, numbers.fresh = numbers.fresh, []
+                last = numbers.next
+                if numbers.full():
+                    numbers = Numbers(known)
+                    crates.append(b"")
+                place = np.append(np.arange(first, last), [last] * len(crates)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(units + [None] * len(crates), pa.string()), pa.array([None] * len(units) + crates, pa.binary())], ["number", "unit", "whole"])
+        del numbers
+        returned()
+
+    return docs.mapInArrow(run, "number int, unit string, whole binary")
+
+
+def extended(held: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
+    """held with more behind its first `used` values, in twice the room where it is full."""
+    if used + len(more) > len(held):
+        held = np.concatenate([held[:used], np.zeros(max(used, len(more)), held.dtype)])
+    held[used : used + len(more)] = more
+    return held
+
+
+class UnitIds:
+    """Ids of units by number; the common ones come first."""
+
+    def __init__(self, codec: Codec, values: np.ndarray, counts: np.ndarray):
+        self.codec, self.common = codec, (values, counts)
+        self.clear()
+
+    def clear(self) -> None:
+        self.known, self.size = 0, 0
+        self.values, self.counts, self.begin = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int64)
+        self.take(*self.common)
+
+    def take(self, values: np.ndarray, counts: np.ndarray) -> None:
+        self.begin = extended(self.begin, self.known, self.size + np.cumsum(counts) - counts)
+        self.counts = extended(self.counts, self.known, counts)
+        self.values = extended(self.values, self.size, values)
+        self.known += len(counts)
+        self.size += len(values)
+
+    def add(self, numbers: np.ndarray, units: pa.StringArray, cuts: pa.Array) -> None:
+        if not np.array_equal(numbers, np.arange(self.known, self.known + len(numbers))):
+            raise RuntimeError("units were lost or came in another order")
+        self.take(*self.codec.all_ids(units, cuts))
+
+    def of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the units with these numbers, one after the other, and how many there are up to each."""
+        many = self.counts[numbers]
+        upto = np.append(0, np.cumsum(many, dtype=np.int64))
+        return self.values[np.repeat(self.begin[numbers] - upto[:-1], many) + np.arange(upto[-1])], upto
+
+
+def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """Every column of docs, then ids (array), n_pieces, ids_sha256 (of the ids as little-endian 32-bit numbers), round_trip.
 
     ids are those that the sentencepiece library gives for the whole text, without begin or end. round_trip
     says whether decoding gives the text back; the visible blank U+2581 in a text decodes as a blank.
-    Null and empty texts have no pieces and a null text decodes as empty, which is no round trip. Documents
-    meet in blocks by a hash of their row, about `block_bytes` each, so that each distinct unit of a block
-    is segmented once and repeated or hot documents spread evenly. Columns with a result's name are replaced.
+    Null and empty texts have no pieces and a null text decodes as empty, which is no round trip. Repeated
+    rows and null keys stay as they are. Units that a sample shows to be common are segmented first, any other
+    once for all the rows of a task in which it is remembered. Columns with a result's name are replaced.
+    Units that are lost on the way raise. docs is read three times.
     """
     added = ["ids", "n_pieces", "ids_sha256", "round_trip"]
+    if text in added:
+        raise ValueError(f"the text column can't be named {text}")
     model = load_model(path)
     sent = send(docs.sparkSession, model)  # one vocabulary: of fixed size
-    blocks = max(12, -(-input_bytes(docs, text) // block_bytes))
-    names = [c for c in docs.columns if c not in (*added, "_block", "_text")]
-    base = docs.select(*names).withColumn("_block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int"))
-    dealt = base.repartition(blocks, "_block")
-    # always true, but reads every column and can't move below the exchange: both branches use one and the same shuffle
-    whole = dealt.where(F.pmod(F.xxhash64(*base.columns), F.lit(2)) + F.rand(1) >= 0)
-    cuts = unit_cuts(distinct_units(whole.select("_block", F.col(text).alias("text")), sent), model, "_of")
-
-    def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        key, value = sent.value
-        codec = once(key, lambda: Codec(value))
-        known = dict(zip(right.column("unit").to_pylist(), right.column("cuts").to_pylist(), strict=True))
-        if len(known) != right.num_rows:
-            raise RuntimeError("a unit's edges were torn apart")
-        get, find, decode_ids = _UnitIds(codec, known).__getitem__, codec.find, codec.decode
-        out = []
-        for batch in left.to_batches(max_chunksize=500):
-            packed, sizes, digests, trips = [], [], [], []
-            for x in batch.column(batch.schema.names.index(text)).to_pylist():
-                raw = b"".join(map(get, find(escaped(x or ""))))
-                own = np.frombuffer(raw, "<i4")
-                packed.append(raw)
-                sizes.append(len(own))
-                digests.append(hashlib.sha256(raw).hexdigest())
-                trips.append(decode_ids(own.tolist()) == x)
-            edges = np.cumsum([0, *sizes])
-            ids = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(np.frombuffer(b"".join(packed), "<i4")))
-            made = [ids, pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), pa.array(trips, pa.bool_())]
-            out.append(pa.RecordBatch.from_arrays([*(batch.column(batch.schema.names.index(n)) for n in names), *made], [*names, *added]))
-        return pa.Table.from_batches(out)  # a block with units has documents
-
-    columns = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema if f.name != "_block"), "ids array<int>, n_pieces long, ids_sha256 string, round_trip boolean"])
-    return dealt.groupBy("_block").cogroup(cuts.groupBy("_of")).applyInArrow(finish, columns)
-
-
-class _UnitIds(dict):
-    """Unit -> ids as bytes, made when first asked for."""
-
-    def __init__(self, codec: Codec, cuts: dict[str, int]):
-        super().__init__()
-        self.codec, self.cuts = codec, cuts
+    base = docs.select(*[c for c in docs.columns if c not in added])
+    names = base.columns
+    common = send(docs.sparkSession, common_units(base, text, model, sent))  # at most COMMON units of COMMON_SIZE
+    cuts = unit_cuts(crated(base, text, sent, common), model)
 
-    def __missing__(self, unit: str) -> bytes:
-        self[unit] = ids = np.array(self.codec.unit_ids(unit, self.cuts.get(unit)), "<i4").tobytes()
-        return ids
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, value = sent.value
+        units = UnitIds(once(key, lambda: Codec(value)), *common.value[1][1:])
+        for batch in batches:
+            numbers = batch.column(0).to_numpy(zero_copy_only=False)
+            crates = np.flatnonzero(pc.is_valid(batch.column(3)).to_numpy(zero_copy_only=False)).tolist()
+            begin = 0
+            for end in [*crates, batch.num_rows]:
+                if end > begin:
+                    units.add(numbers[begin:end], batch.column(1).slice(begin, end - begin), batch.column(2).slice(begin, end - begin))
+                begin = end + 1
+                if end < batch.num_rows:
+                    if numbers[end] != units.known:
+                        raise RuntimeError("units were lost")
+                    whole = batch.column(3)[end].as_buffer()
+                    if not whole.size:
+                        units.clear()
+                    else:
+                        yield from map(coded, repeat(units), pa.ipc.open_stream(whole))
+        del units
+        returned()
+
+    def coded(units: UnitIds, batch: pa.RecordBatch) -> pa.RecordBatch:
+        lists = batch.column(batch.num_columns - 1)
+        ids, upto = units.of(lists.values.to_numpy())
+        edges = upto[lists.offsets.to_numpy()]
+        raw, decode_ids = ids.astype("<i4").tobytes(), units.codec.decode
+        digests, trips = [], []
+        for x, a, b in zip(batch.column(names.index(text)).to_pylist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            digests.append(hashlib.sha256(raw[4 * a : 4 * b]).hexdigest())
+            trips.append(decode_ids(ids[a:b].tolist()) == x)
+        made = [pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(ids)), pa.array(np.diff(edges)), pa.array(digests, pa.string()), pa.array(trips, pa.bool_())]
+        return pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], [*names, *added])
+
+    columns = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema), "ids array<int>, n_pieces long, ids_sha256 string, round_trip boolean"])
+    return cuts.mapInArrow(finish, columns)
 
 
 def decode(coded: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
