@@ -1,28 +1,49 @@
-"""Connected components by label propagation with shortcuts; nothing is gathered on the driver but counts."""
+"""Connected components by contraction; nothing is gathered on the driver but counts."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import forget, stored
+
+
+def rooted(parents: DataFrame) -> DataFrame:
+    """node, label: the root of each node of a stored forest parents(node, label), by pointer doubling."""
+    while True:
+        above = parents.select(F.col("node").alias("label"), F.col("label").alias("further"))
+        jumped = stored(parents.join(above, "label").select("node", F.col("further").alias("label"), (F.col("further") != F.col("label")).alias("moved")), "parents")
+        forget(parents)
+        parents = jumped
+        if not jumped.where("moved").limit(1).count():
+            return parents
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, label (the smallest node reachable) of every end of edges(a long, b long).
 
-    Repeated edges, either direction and loops are fine; rows with a null end are left out. Each round
-    takes the smallest label of a node and its neighbours and then follows one more step from the label,
-    so that long chains shrink by doubling; rounds are stored, so none is computed again.
+    Repeated edges, either direction and loops are fine; rows with a null end are left out. In each round
+    every node joins the smallest of its neighbours, the trees that this makes become one node each, and
+    only links between different ones go on: nodes that have links are halved at least. Rounds are stored,
+    so none is computed again.
     """
-    both = edges.where("a IS NOT NULL AND b IS NOT NULL")
-    links = stored(both.select("a", "b").union(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = stored(links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("label")), "labels")
+    known = edges.where("a IS NOT NULL AND b IS NOT NULL")
+    links = stored(known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    rounds = []
     while True:
-        reached = links.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        lower = labels.join(reached, "node", "left").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label"))
-        step = lower.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        jumped = stored(lower.join(step, "label", "left").select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label")), "labels")
-        labels = jumped.select("node", "label")
-        if not jumped.where("label < old").limit(1).count():
-            return labels
+        ends = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        parents = ends.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("label"))
+        parents = rooted(stored(parents, "parents"))
+        rounds.append(parents)
+        tops = parents.select("node", "label")
+        left = links.where("a <> b").join(tops.toDF("a", "la"), "a").join(tops.toDF("b", "lb"), "b").where("la <> lb")
+        rest = stored(left.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct(), "links")
+        forget(links)
+        links = rest
+        if not links.limit(1).count():
+            break
+    forget(links)
+    labels = rounds.pop().select("node", "label")
+    while rounds:
+        labels = rounds.pop().select("node", "label").join(labels.toDF("label", "further"), "label", "left").select("node", F.coalesce("further", "label").alias("label"))
+    return labels

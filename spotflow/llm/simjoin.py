@@ -18,10 +18,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_rows, once, send, stored
+from .common import forget, free_name, map_rows, numbered, once, send, stored
 from .graph import components
 from .substr import mix, rolling
 
@@ -70,13 +70,14 @@ def allocation(band: int, percent: int) -> tuple[int, int, int, int]:
     if not limit:
         return 0, 0, 0, 0
     spare = 1 + limit // 4 if limit > 4 else 0
+    most = min((limit + 1) // 2, 64)  # beyond some, each further neighbourhood adds the same
 
     def cost(near: int) -> float:
         m = limit + 1 + spare - near
         c = low / m
         return (m - near - spare) + near * (1 + c) + 64 * max(0.0, m * math.exp(-c) - spare)
 
-    near = min(range((limit + 1) // 2 + 1), key=cost) if limit <= 4 else 0
+    near = min(range(most + 1), key=cost)
     return limit, limit + 1 + spare - near, near, spare
 
 
@@ -114,8 +115,8 @@ def signatures(tokens: np.ndarray, common: np.ndarray, percent: int) -> np.ndarr
     return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
 
-def members(docs: DataFrame, text: str, k: int) -> DataFrame:
-    """docs without text, and set (id of the shingle set) and n_shingles."""
+def members(docs: DataFrame, text: str, k: int, node: str) -> DataFrame:
+    """docs without text, and node (id of the shingle set) and n_shingles."""
     kept = [c for c in docs.columns if c != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,16 +126,16 @@ def members(docs: DataFrame, text: str, k: int) -> DataFrame:
                 tokens = shingles(x, k)
                 ids.append(set_id(tokens))
                 sizes.append(len(tokens))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(ids, pa.int64()), pa.array(sizes, pa.int64())], [*kept, "set", "n_shingles"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(ids, pa.int64()), pa.array(sizes, pa.int64())], [*kept, node, "n_shingles"])
 
-    columns = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema), "`set` long, n_shingles long"])
+    columns = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema), f"`{node}` long, n_shingles long"])
     return map_rows(docs.select(*kept, text), run, columns)
 
 
 def common_shingles(docs: DataFrame, text: str, k: int) -> np.ndarray:
     """Shingles in three or more of about SAMPLE documents; at most SAMPLE texts' worth."""
     total = docs.count()
-    chosen = docs.where(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 30)) < int(min(1.0, SAMPLE / max(total, 1)) * (1 << 30)))
+    chosen = docs.where(F.rand(11) < min(1.0, SAMPLE / max(total, 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,18 +209,20 @@ def candidates(docs: DataFrame, text: str, k: int, percent: int) -> DataFrame:
 def named_texts(docs: DataFrame, text: str, k: int, nodes: DataFrame) -> DataFrame:
     """set and text of one document for each of the sets in nodes(node long)."""
 
+    def places(h: np.ndarray) -> list[np.ndarray]:
+        return [(mix(h + U(seed)) % U(FILTER_BITS)).astype(np.int64) for seed in (1, 2)]
+
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(FILTER_BITS // 8, np.uint8)
         for batch in batches:
-            h = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for seed in (1, 2):
-                at = (mix(h + U(seed)) % U(FILTER_BITS)).astype(np.int64)
-                np.bitwise_or.at(table, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        yield pa.RecordBatch.from_arrays([pa.array([table.tobytes()], pa.binary())], ["bits"])
-
-    table = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in nodes.coalesce(2).mapInArrow(bits, "bits binary").toLocalIterator():
-        table |= np.frombuffer(r.bits, np.uint8)
+            at = np.unique(np.concatenate(places(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))))
+            word = at >> 6
+            begin = np.flatnonzero(np.append(True, word[1:] != word[:-1]))[: len(at)]
+            held = np.bitwise_or.reduceat(U(1) << (at & 63).astype(np.uint64), begin) if len(at) else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(word[begin].astype(np.int32)), pa.array(held.view(np.int64))], ["word", "bits"])
+
+    found = nodes.mapInArrow(bits, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()  # at most FILTER_BITS / 64 rows
+    table = np.zeros(FILTER_BITS // 64, np.uint64)
+    table[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
     sent = send(docs.sparkSession, table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,9 +238,8 @@ def named_texts(docs: DataFrame, text: str, k: int, nodes: DataFrame) -> DataFra
                 texts.append(x)
             h = np.array(found, np.int64).view(np.uint64)
             named = np.ones(len(h), bool)
-            for seed in (1, 2):
-                at = (mix(h + U(seed)) % U(FILTER_BITS)).astype(np.int64)
-                named &= (use[at >> 3] >> (at & 7) & 1).astype(bool)
+            for at in places(h):
+                named &= (use[at >> 6] >> (at & 63).astype(np.uint64) & U(1)).astype(bool)
             found, texts = [found[i] for i in np.flatnonzero(named)], [texts[i] for i in np.flatnonzero(named)]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(texts, pa.string())], ["node", "text"])
 
@@ -308,19 +310,25 @@ def tile_links(nodes: list[int], labels: list[int], left: np.ndarray, right: np.
     return found
 
 
-def compared_clusters(open_: DataFrame, texts: DataFrame, k: int, percent: int, tile_rows: int, tile_bytes: int) -> DataFrame:
-    """a, b: links between sets of different components that met in a bucket; open_: bucket, node, label.
+def compared_clusters(open_: DataFrame, clusters: DataFrame, texts: DataFrame, k: int, percent: int, tile_rows: int, tile_bytes: int) -> DataFrame:
+    """a, b: links between sets of different components of one cluster; open_: node, label; clusters: label, cluster.
 
-    Sets that buckets connect form a cluster. A cluster is dealt into parts of at most about tile_rows sets
-    and tile_bytes of text, and every two parts are compared in a task of their own, which returns no more
-    links than it has sets. No pair of sets is ever a row.
+    A cluster is dealt into parts of at most about tile_rows sets and tile_bytes of text: components that fill
+    parts have their own, the others share some. Every two parts are compared in a task of their own, unless
+    both are of one component, and it returns no more links than it has sets. No pair of sets is ever a row.
     """
-    first = open_.groupBy("bucket").agg(F.min("node").alias("a"))
-    clusters = components(open_.join(first, "bucket").select("a", F.col("node").alias("b"))).withColumnRenamed("label", "cluster")
-    named = open_.select("node", "label").distinct().join(clusters, "node").join(texts, "node")
-    size = named.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / tile_rows), F.ceil(F.sum(F.octet_length("text")) / tile_bytes), F.lit(1)).cast("int").alias("parts"))
-    dealt = named.join(size, "cluster").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    tiled = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    named = open_.join(clusters, "label").join(texts, "node")
+    size = named.groupBy("cluster", "label").agg(F.count("*").alias("sets"), F.sum(F.octet_length("text")).alias("bytes"))
+    alone = (F.col("sets") >= tile_rows) | (F.col("bytes") >= tile_bytes)
+    size = size.select("cluster", "label", alone.alias("alone"), F.when(alone, F.col("label")).otherwise(0).alias("share"), "sets", "bytes")
+    shares = size.groupBy("cluster", "alone", "share").agg(F.greatest(F.ceil(F.sum("sets") / tile_rows), F.ceil(F.sum("bytes") / tile_bytes), F.lit(1)).cast("int").alias("parts"))
+    of = Window.partitionBy("cluster")
+    upto = F.sum("parts").over(of.orderBy("alone", "share").rowsBetween(Window.unboundedPreceding, 0))
+    laid = shares.select("*", (upto - F.col("parts")).cast("int").alias("low"), F.sum("parts").over(of).cast("int").alias("total"))
+    laid = size.select("cluster", "label", "alone", "share").join(laid, ["cluster", "alone", "share"]).select("label", "alone", "parts", "low", "total")
+    dealt = named.join(laid, "label").withColumn("part", (F.col("low") + F.pmod(F.xxhash64("node"), F.col("parts"))).cast("int"))
+    others = F.filter(F.sequence(F.lit(0), F.col("total") - 1), lambda q: ~F.col("alone") | (q < F.col("low")) | (q >= F.col("low") + F.col("parts")))
+    tiled = dealt.select("cluster", "part", "node", "label", "text", F.explode(others).alias("other"))
     tiles = tiled.select("cluster", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "node", "label", "text")
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -346,23 +354,22 @@ def joined_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
     return known.join(joined, "label", "left").select("node", F.coalesce("lower", "label").alias("label"))
 
 
-def linked_sets(docs: DataFrame, text: str, k: int, percent: int, tile_rows: int = 1500, tile_bytes: int = 16 << 20) -> DataFrame:
+def linked_sets(docs: DataFrame, text: str, k: int, percent: int, tile_rows: int = 1000, tile_bytes: int = 4 << 20) -> DataFrame:
     """node, label: components of the sets that have a similar one.
 
-    Each set is first compared with the smallest leader that it met, then with those of its buckets' leaders
-    that are of another component. Buckets that hold sets of one component are then done; the sets of the
-    others are compared cluster by cluster. So no link between different components is lost, and sets
-    already known to belong together need no further comparison.
+    Each set is first compared with the smallest leader that it met, and with a set that it alone met in some
+    bucket. Buckets that hold sets of one component are then done; components that meet in the others form
+    clusters, whose sets are compared in tiles. So no link between different components is lost, sets already
+    known to belong together need no further comparison, and rows grow with sets and their buckets.
     """
     met = stored(candidates(docs, text, k, percent), "met")
     texts = stored(named_texts(docs, text, k, met.select("node").union(met.select(F.col("leader").alias("node"))).distinct()), "texts")
-    pairs = met.where("leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b"))
+    pairs = met.where("leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b"), "bucket")
     first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     labels = components(verified(first, texts, k, percent))
     apart = (
-        pairs.distinct()
-        .join(first.withColumnRenamed("a", "tried"), "b")
-        .where("a <> tried")
+        pairs.where("bucket IS NULL").select("a", "b")
+        .join(first, ["a", "b"], "left_anti")
         .join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left")
         .join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
         .where(F.coalesce("la", "a") != F.coalesce("lb", "b"))
@@ -370,27 +377,36 @@ def linked_sets(docs: DataFrame, text: str, k: int, percent: int, tile_rows: int
     )
     links = stored(verified(apart, texts, k, percent), "links")
     if links.limit(1).count():
-        labels = stored(joined_labels(labels, links), "labels")
+        labels = joined_labels(labels, links)
     named = met.where("bucket IS NOT NULL").select("bucket", "node").join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
-    mixed = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
-    open_ = stored(named.join(mixed, "bucket"), "open")
-    if not open_.limit(1).count():
-        return labels
-    links = stored(compared_clusters(open_, texts, k, percent, tile_rows, tile_bytes), "links")
-    return joined_labels(labels, links) if links.limit(1).count() else labels
-
-
-def labelled(base: DataFrame, text: str, k: int, percent: int, **tiles: int) -> DataFrame:
-    """base without text, with n_shingles and label: one for each component, null for texts without words."""
-    held = stored(members(base, text, k), "members")
-    labels = linked_sets(base, text, k, percent, **tiles)
+    named = stored(named, "named")
+    held = named.select("bucket", "label").distinct()
+    mixed = stored(held.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket", "low"), "mixed")
+    used = [met, texts, links, named, mixed]
+    if mixed.limit(1).count():
+        clusters = components(held.join(mixed, "bucket").select(F.col("low").alias("a"), F.col("label").alias("b")).distinct()).select(F.col("node").alias("label"), F.col("label").alias("cluster"))
+        open_ = stored(named.join(mixed.select("bucket"), "bucket", "left_semi").select("node", "label").distinct(), "open")
+        links = stored(compared_clusters(open_, clusters, texts, k, percent, tile_rows, tile_bytes), "links")
+        used += [open_, links]
+        if links.limit(1).count():
+            labels = joined_labels(labels, links)
+    labels = stored(labels, "labels")
+    forget(*used)
+    return labels
+
+
+def labelled(base: DataFrame, text: str, k: int, percent: int, label: str, **tiles: int) -> DataFrame:
+    """base without text, with n_shingles and a label: one for each component, null for texts without words."""
+    node = free_name(base, "_set")
+    held = stored(members(base, text, k, node), "members")
+    labels = linked_sets(base, text, k, percent, **tiles).select(F.col("node").alias(node), F.col("label").alias(label))
     # texts without words spread over the join instead of meeting under one id
-    spread = F.when(F.col("n_shingles") > 0, F.col("set")).otherwise((F.rand(5) * (1 << 40)).cast("long"))
-    named = held.withColumn("set", spread).join(labels.withColumnRenamed("node", "set"), "set", "left")
-    return named.withColumn("label", F.when(F.col("n_shingles") > 0, F.coalesce("label", "set"))).drop("set")
+    spread = F.when(F.col("n_shingles") > 0, F.col(node)).otherwise((F.rand(5) * (1 << 40)).cast("long"))
+    named = held.withColumn(node, spread).join(labels, node, "left")
+    return named.withColumn(label, F.when(F.col("n_shingles") > 0, F.coalesce(label, node))).drop(node)
 
 
-def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 4, percent: int = 85, **tiles: int) -> DataFrame:
+def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5, percent: int = 80, **tiles: int) -> DataFrame:
     """Every column of docs but text, then n_shingles and component_id.
 
     Two rows link when 100 * |intersection| >= percent * |union| of their sets of distinct k-word shingles
@@ -398,24 +414,27 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
     that links reach, its own included. Null and empty texts have 0 shingles and are linked with nothing.
     Rows with equal sets are one set, however many they are, repeated rows included. A null key links but
     is never a component's id: a component of null keys has a null id. Columns with a result's name are
-    replaced. Shingles and sets are compared as 64-bit hashes.
+    replaced. Shingles and sets are compared as 64-bit hashes. docs is read five times.
     """
-    base = docs.select(*[c for c in docs.columns if c not in ("n_shingles", "component_id", "set", "label")])
+    base = docs.select(*[c for c in docs.columns if c not in ("n_shingles", "component_id")])
     names = [c for c in base.columns if c != text]
-    named = labelled(base, text, k, percent, **tiles)
-    full = named.where("label IS NOT NULL")
-    first = full.groupBy("label").agg(F.min(key).alias("component_id"))
-    linked = full.join(first, "label").select(*names, "n_shingles", "component_id")
-    return linked.union(named.where("label IS NULL").select(*names, "n_shingles", F.col(key).alias("component_id")))
+    label = free_name(base, "_label")
+    named = labelled(base, text, k, percent, label, **tiles)
+    full = named.where(F.col(label).isNotNull())
+    first = full.groupBy(label).agg(F.min(key).alias("component_id"))
+    linked = full.join(first, label).select(*names, "n_shingles", "component_id")
+    return linked.union(named.where(F.col(label).isNull()).select(*names, "n_shingles", F.col(key).alias("component_id")))
 
 
-def representatives(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 4, percent: int = 85) -> DataFrame:
+def representatives(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs that stay when each component keeps one: that of the smallest key, of equal ones the first.
 
-    Texts without words are linked with nothing and stay. A null key counts as the largest.
+    Texts without words are linked with nothing and stay. A null key counts as the largest. Rows are numbered
+    once and stored, so that the row that stays is the one that was compared.
     """
-    base = docs.withColumn("_row", F.monotonically_increasing_id())
-    named = labelled(base.select("_row", F.col(key).alias("_key"), text), text, k, percent)
-    best = named.where("label IS NOT NULL").groupBy("label").agg(F.min(F.struct(F.col("_key").isNull().alias("none"), "_key", "_row")).alias("best")).select(F.col("best._row").alias("_row"))
-    stay = best.union(named.where("label IS NULL").select("_row"))
-    return base.join(stay, "_row", "left_semi").drop("_row")
+    row = free_name(docs, "_row")
+    base = numbered(docs, row)
+    named = labelled(base.select(F.col(row).alias("row"), F.col(key).alias("key"), F.col(text).alias("text")), "text", k, percent, "label")
+    best = named.where("label IS NOT NULL").groupBy("label").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "row")).alias("best")).select(F.col("best.row").alias(row))
+    stay = best.union(named.where("label IS NULL").select(F.col("row").alias(row)))
+    return base.join(stay, row, "left_semi").drop(row)
