@@ -14,10 +14,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_rows, stored
+from .common import forget, map_rows, numbered, stored
 
 QUOTED = re.compile(r"[ \t]*((?:>[ \t]?)+)(.*)", re.DOTALL)
 ATTRIBUTION = re.compile(r".*\b(wrote|writes|said|schrieb|écrit|escribió)\s*:\s*", re.IGNORECASE | re.DOTALL)
@@ -111,10 +111,11 @@ def link_quotes(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
     the most precise match counts, then the lowest turn. quoted_turns are all turns that its passages came
     from. Null texts are empty; a null conversation or turn links to nothing; repeated rows stay repeated;
     other columns are dropped. The earliest turn of each hash is found before the join, so that a passage
-    that a conversation repeats isn't paired with each of its copies.
+    that a conversation repeats isn't paired with each of its copies. Of messages with one turn the reply goes
+    to that turn. Rows are numbered once and stored.
     """
-    base = messages.select(F.col(conv).alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.col(role).alias("role"), F.col(text).alias("text")).withColumn("row", F.monotonically_increasing_id())
-    parsed = parsed_messages(base)
+    base = messages.select(F.col(conv).alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
+    parsed = parsed_messages(numbered(base, "row"))
     said = (
         parsed.where("conv_id IS NOT NULL AND turn IS NOT NULL")
         .select("conv_id", "turn", F.explode("said").alias("s"))
@@ -149,7 +150,7 @@ def reply_order(messages: list[dict]) -> list[dict]:
 
 
 def prefix_sums(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """df and before: the sum of value over all rows that come earlier by keys; rows of equal first two keys stay together.
+    """df and before: the sum of value over all rows that come earlier by keys.
 
     Ranges are summed one by one; the driver sees one number for each.
     """
@@ -163,7 +164,7 @@ def prefix_sums(df: DataFrame, keys: list[str], value: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(upto - v, pa.int64()), pa.array(np.full(len(v), task), pa.int64())], [*batch.schema.names, "before", "task"])
 
     columns = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), "before long, task long"])
-    held = stored(df.repartitionByRange(*keys[:2]).sortWithinPartitions(*keys).mapInArrow(run, columns), "sums")
+    held = stored(df.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(run, columns), "sums")
     base, total = [], 0
     for r in held.groupBy("task").agg(F.sum(value).alias("n")).orderBy("task").collect():
         base.append((r.task, total))
@@ -182,25 +183,27 @@ def reply_places(links: DataFrame, nodes: DataFrame) -> DataFrame:
     while state.where("up IS NOT NULL").limit(1).count():
         more = state.where("up IS NOT NULL").groupBy(F.col("up").alias("id")).agg(F.sum("size").alias("more"))
         above = state.where("up IS NOT NULL").select(F.col("id").alias("up"), F.col("up").alias("further"))
-        state = stored(state.join(more, "id", "left").join(above, "up", "left").select("id", "parent", F.col("further").alias("up"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")), "sizes")
+        old, state = state, stored(state.join(more, "id", "left").join(above, "up", "left").select("id", "parent", F.col("further").alias("up"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")), "sizes")
+        forget(old)
     placed = prefix_sums(state.select("id", F.coalesce("parent", F.lit(-1)).alias("parent"), "size"), ["parent", "id"], "size")
     first = placed.where("parent >= 0").groupBy("parent").agg(F.min("before").alias("first"))
     below = placed.where("parent >= 0").join(first, "parent").select("id", F.col("parent").alias("up"), (F.col("before") - F.col("first") + 1).alias("place"))
     state = stored(below.union(placed.where("parent < 0").select("id", F.lit(None).cast("long"), F.col("before"))), "places")
     while state.where("up IS NOT NULL").limit(1).count():
         above = state.select(F.col("id").alias("up"), F.col("up").alias("further"), F.col("place").alias("more"))
-        state = stored(state.join(above, "up", "left").select("id", F.col("further").alias("up"), (F.col("place") + F.coalesce("more", F.lit(0))).alias("place")), "places")
+        old, state = state, stored(state.join(above, "up", "left").select("id", F.col("further").alias("up"), (F.col("place") + F.coalesce("more", F.lit(0))).alias("place")), "places")
+        forget(old)
     return state.select("id", "place")
 
 
 def placed_messages(linked: DataFrame, block: int) -> DataFrame:
     """linked with part and at, the message's place, for conversations of any length; none is gathered."""
     order = ["conv_id", "turn", "role", "content", "reply_to"]
-    held = stored(prefix_sums(linked.select(*order).withColumn("one", F.lit(1).cast("long")), order, "one").withColumnRenamed("before", "id").drop("one"), "turns")
+    held = stored(prefix_sums(linked.select(*order, "crowded").withColumn("one", F.lit(1).cast("long")), order, "one").withColumnRenamed("before", "id").drop("one"), "turns")
     first = held.groupBy("conv_id", F.col("turn").alias("reply_to")).agg(F.min("id").alias("parent"))
     links = held.where("reply_to < turn").join(first, ["conv_id", "reply_to"]).select("id", "parent")
     places = reply_places(links, held.select("id"))
-    slot = held.select(F.col("id").alias("at"), part_of("turn", block).alias("part"))
+    slot = held.select(F.col("id").alias("at"), F.when(F.col("crowded"), F.floor(F.col("id") / block)).otherwise(part_of("turn", block)).alias("part"))
     return held.join(places.withColumnRenamed("place", "at"), "id").join(slot, "at").select(*order, "part", "at")
 
 
@@ -208,6 +211,20 @@ def part_of(turn: str, block: int) -> Column:
     return F.coalesce(F.floor(F.col(turn) / block), F.lit(0)).cast("long")
 
 
+def with_quotes(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "text", levels: int = 3) -> DataFrame:
+    """messages whose texts quote earlier turns, for tables in which nobody quotes.
+
+    A message quotes its turn modulo levels + 1 messages before it, as far as there are any: the one before
+    it at level 1, the one before that at level 2, and so on, each line behind as many marks, above its own text.
+    """
+    of = Window.partitionBy(conv).orderBy(turn)
+    marked = [
+        F.when(F.col(turn) % (levels + 1) >= level, F.regexp_replace(F.lag(F.col(text), level).over(of), "(?m)^", "> " * level))
+        for level in range(1, levels + 1)
+    ]
+    return messages.withColumn(text, F.concat_ws("\n", *marked, F.coalesce(F.col(text), F.lit(""))))
+
+
 def conversations(linked: DataFrame, block: int = BLOCK) -> DataFrame:
     """Formatted conversations: conv_id, part, n_messages, n_linked, turns, chat.
 
@@ -216,7 +233,8 @@ def conversations(linked: DataFrame, block: int = BLOCK) -> DataFrame:
     is gathered whole: part p has as many messages as the conversation has turns from p * block on, below
     (p + 1) * block. Rows whose conversation is null form a group of their own by turn; a null turn counts
     as part 0, first. Conversations without a reply across such a border are ordered part by part, which
-    gives the same.
+    gives the same. Where so many rows have the same turns, or no conversation, that a part would have more than
+    2 * block messages, parts are cut every `block` rows of all such conversations one after the other.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -229,11 +247,14 @@ def conversations(linked: DataFrame, block: int = BLOCK) -> DataFrame:
 
     kind = dict(linked.dtypes)["conv_id"]
     held = stored(linked.select("conv_id", "turn", "role", "content", F.col("reply_to").cast("long").alias("reply_to")), "linked")
-    across = held.where(part_of("reply_to", block) < part_of("turn", block)).where("conv_id IS NOT NULL AND reply_to IS NOT NULL").select("conv_id").distinct()
+    across = held.where(part_of("reply_to", block) < part_of("turn", block)).where("conv_id IS NOT NULL AND reply_to IS NOT NULL").select("conv_id", F.lit(False).alias("crowded"))
+    crowded = held.groupBy("conv_id", part_of("turn", block).alias("part")).count().where(F.col("count") > 2 * block).select("conv_id", F.lit(True).alias("crowded"))
+    whole = across.union(crowded).groupBy(F.col("conv_id").alias("long_id")).agg(F.max("crowded").alias("crowded"))
     messages = held.withColumn("part", part_of("turn", block)).withColumn("at", F.lit(None).cast("long"))
-    if across.limit(1).count():
-        across = stored(across, "across")
-        messages = messages.join(across, "conv_id", "left_anti").union(placed_messages(held.join(across, "conv_id", "left_semi"), block).select(*messages.columns))
+    if whole.limit(1).count():
+        whole = stored(whole, "whole")
+        same = F.col("conv_id").eqNullSafe(F.col("long_id"))
+        messages = messages.join(whole, same, "left_anti").union(placed_messages(held.join(whole, same), block).select(*messages.columns))
     grouped = messages.groupBy("conv_id", "part").agg(
         F.count("*").alias("n_messages"),
         F.count("reply_to").alias("n_linked"),

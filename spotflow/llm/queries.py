@@ -8,15 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
-from .pieces import encode
+from .common import stored, table
+from .pieces import SPACE, as_unigrams, encode, load_model, unit_cuts
 from . import quality
 from .lmscore import score_texts
 from .simjoin import jaccard_components
 from .substr import deduplicate
-from .chat import conversations, link_quotes
+from .chat import conversations, link_quotes, with_quotes
 from .langid import held_out, identify, train
-from .media import document_media
+from .media import document_media, interleaved, media_store, read_features
 from .decontam import contamination
 from .tokens import count_tokens
 
@@ -70,6 +70,16 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_media(table(spark, sf_dir, "documents"))
 
 
+@query
+def interleaved_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sequences of `pages`, their media resolved among the payloads of `documents`: how many items of which sort, and the texts."""
+    features = read_features(media_store(table(spark, sf_dir, "documents")))
+    made = interleaved(table(spark, sf_dir, "pages").select("page_id", "html"), stored(features, "features"))
+    texts = F.filter("sequence", lambda i: i["kind"] == "text")
+    media = F.filter("sequence", lambda i: i["ref"].isNotNull())
+    return made.select("page_id", F.size("sequence").alias("n_items"), F.size(texts).alias("n_texts"), F.size(media).alias("n_media"), F.sha2(F.concat_ws("\n", F.transform(texts, lambda i: i["text"])), 256).alias("texts_sha256"))
+
+
 @query
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -79,7 +89,57 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return conversations(link_quotes(table(spark, sf_dir, "conversations")))
+    """Nobody quotes in `conversations`: with_quotes() lets every message quote up to three before it, at as many levels."""
+    linked = link_quotes(with_quotes(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")))
+    made = conversations(linked)
+    return made.select("conv_id", "part", "n_messages", "n_linked", F.concat_ws(",", F.col("turns").cast("array<string>")).alias("turns"), F.sha2("chat", 256).alias("chat_sha256"))
+
+
+ORACLES["op5_chat_format"] = r"""
+WITH RECURSIVE m AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS own, turn % 4 AS depth,
+         lag(text, 1) OVER o AS q1, lag(text, 2) OVER o AS q2, lag(text, 3) OVER o AS q3
+  FROM conversations WINDOW o AS (PARTITION BY conv_id ORDER BY turn)
+), body AS (
+  SELECT conv_id, turn, role, trim(own, E' \t\n\r') AS content FROM m
+), said AS (
+  SELECT conv_id, turn, 0 AS kind, content AS part FROM body
+  UNION ALL SELECT conv_id, turn, 1, unnest(regexp_split_to_array(content, '\n\s*\n')) FROM body
+  UNION ALL SELECT conv_id, turn, 2, unnest(string_split(content, chr(10))) FROM body
+), said_normal AS (
+  SELECT conv_id, turn, kind, trim(trim(regexp_replace(lower(part), '\s+', ' ', 'g')), '"''“”„«»‚‘’ ….') AS part FROM said
+), first_said AS (
+  SELECT conv_id, part, min(turn) AS first_turn, arg_min(kind, turn * 3 + kind) AS kind FROM said_normal WHERE part <> '' GROUP BY conv_id, part
+), quoted AS (
+  SELECT conv_id, turn, 1 AS level, trim(q1, E' \t\n\r') AS passage FROM m WHERE depth >= 1 AND q1 IS NOT NULL
+  UNION ALL SELECT conv_id, turn, 2, trim(q2, E' \t\n\r') FROM m WHERE depth >= 2 AND q2 IS NOT NULL
+  UNION ALL SELECT conv_id, turn, 3, trim(q3, E' \t\n\r') FROM m WHERE depth >= 3 AND q3 IS NOT NULL
+), asked AS (
+  SELECT conv_id, turn, level, passage AS part FROM quoted
+  UNION SELECT conv_id, turn, level, unnest(regexp_split_to_array(passage, '\n\s*\n')) FROM quoted
+  UNION SELECT conv_id, turn, level, unnest(string_split(passage, chr(10))) FROM quoted
+), asked_normal AS (
+  SELECT conv_id, turn, level, trim(trim(regexp_replace(lower(part), '\s+', ' ', 'g')), '"''“”„«»‚‘’ ….') AS part FROM asked
+), best AS (
+  SELECT a.conv_id, a.turn, min(row(a.level, f.kind, f.first_turn)) AS b
+  FROM asked_normal a JOIN first_said f ON a.conv_id = f.conv_id AND a.part = f.part AND f.first_turn < a.turn GROUP BY a.conv_id, a.turn
+), linked AS (
+  SELECT body.*, (b).f3 AS reply_to FROM body LEFT JOIN (SELECT conv_id, turn, struct_pack(f1 := b[1], f2 := b[2], f3 := b[3]) AS b FROM best) USING (conv_id, turn)
+), walk(conv_id, turn, path) AS (
+  SELECT conv_id, turn, [turn] FROM linked WHERE reply_to IS NULL
+  UNION ALL
+  SELECT l.conv_id, l.turn, list_append(w.path, l.turn) FROM linked l JOIN walk w ON l.conv_id = w.conv_id AND l.reply_to = w.turn
+), placed AS (
+  SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY path) AS place FROM walk
+), slots AS (
+  SELECT conv_id, turn // 256 AS part, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM linked
+)
+SELECT l.conv_id, CAST(s.part AS BIGINT) AS part, count(*) AS n_messages, count(l.reply_to) AS n_linked,
+       string_agg(CAST(l.turn AS VARCHAR), ',' ORDER BY p.place) AS turns,
+       sha256(string_agg('<|' || coalesce(l.role, '') || '|>' || chr(10) || l.content, chr(10) ORDER BY p.place)) AS chat_sha256
+FROM linked l JOIN placed p ON l.conv_id = p.conv_id AND l.turn = p.turn JOIN slots s ON s.conv_id = p.conv_id AND s.place = p.place
+GROUP BY l.conv_id, s.part
+"""
 
 
 @query
@@ -108,7 +168,7 @@ FROM d LEFT JOIN kept USING (doc_id)
 
 @query
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
+    return jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"), k=4, percent=85).select("doc_id", "n_shingles", "component_id")
 
 
 ORACLES["op8_jaccard_join"] = r"""
@@ -150,3 +210,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
     return coded.select("doc_id", "n_pieces", "ids_sha256", "round_trip")
+
+
+@query
+def viterbi_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Viterbi as the fold: the best path of every distinct word of `benchmark`, the model's scores read as log weights by rank."""
+    model = load_model(public_tokenizers.path("piece_bpe_32k.model"))
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.split(F.coalesce("text", F.lit("")), r"\s+")).alias("word")).where("word <> ''").distinct()
+    cuts = unit_cuts(words.select(F.lit(0).alias("number"), F.concat(F.lit(SPACE), "word").alias("unit"), F.lit(None).cast("binary").alias("whole")), as_unigrams(model))
+    return cuts.select("unit", "cuts", (F.bit_count("cuts") - 1).alias("n_pieces"))

@@ -1,6 +1,6 @@
 import random
 
-from spotflow.llm.chat import conversations, link_quotes, parse_message, reply_order
+from spotflow.llm.chat import conversations, link_quotes, parse_message, reply_order, with_quotes
 
 KIND = "conv_id long, turn long, role string, text string, reply_to int, hash string"
 
@@ -81,3 +81,36 @@ def test_quoted_paragraphs_with_wrapped_lines(spark):
     ]
     linked = link_quotes(spark.createDataFrame([(*r, 1, "h") for r in rows], KIND)).collect()
     assert {r.turn: r.reply_to for r in linked} == {0: None, 1: None, 2: 1}
+
+
+def test_quotes_that_are_put_in_lead_back(spark):
+    """Each turn links to the one before it, or to the first that said the same, and quotes as deep as its turn says."""
+    rows = [(c, t, "user", f"message {t if t != 5 else 2} of {c}\nsecond line {t} {c}") for c in range(3) for t in range(9)]
+    linked = link_quotes(with_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()
+    assert len(linked) == len(rows)
+    for r in linked:
+        depth = min(r.turn % 4, r.turn)
+        assert r.n_quotes == depth and r.content == rows[r.conv_id * 9 + r.turn][3]
+        if depth:
+            assert r.reply_to == r.turn - 1
+        assert set(r.quoted_turns) >= {r.turn - k for k in range(1, depth + 1)}
+    assert sum(r.reply_to is not None for r in linked) == 3 * 6
+
+
+def test_conversation_of_100_000_turns(spark):
+    rng = random.Random(12)
+    asked = [None] + [rng.choice([None, rng.randrange(t), t - 1 if t % 7 else None]) for t in range(1, 100_000)]
+    df = spark.createDataFrame([(1, t, "u", str(t), a) for t, a in enumerate(asked)], "conv_id long, turn long, role string, content string, reply_to long").repartition(4)
+    got = [t for r in conversations(df).orderBy("part").collect() for t in r.turns]
+    assert got == [m["turn"] for m in reply_order([{"turn": t, "reply_to": a} for t, a in enumerate(asked)])]
+
+
+def test_crowded_turns_come_in_bounded_rows(spark):
+    """A third of all rows without a conversation, and one turn that is repeated very often."""
+    rows = [(None, 0, "u", f"n{i:04}", None) for i in range(500)] + [(1, 3, "u", f"r{i:04}", None) for i in range(500)] + [(2, t, "u", "x", None) for t in range(20)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, content string, reply_to long").repartition(3)
+    made = conversations(df, 32).collect()
+    assert all(r.n_messages <= 64 for r in made) and sum(r.n_messages for r in made) == len(rows)
+    for conv in (None, 1, 2):
+        parts = sorted((r for r in made if r.conv_id == conv), key=lambda r: r.part)
+        assert "\n".join(r.chat for r in parts) == "\n".join(f"<|u|>\n{r[3]}" for r in rows if r[0] == conv)
