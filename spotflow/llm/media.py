@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, stored
+from .common import free_name, map_rows, numbered, stored
 
 #: Payload bytes in one image row; a payload is padded with blanks to a positive multiple of it.
 ROW = 192
@@ -240,7 +240,11 @@ def sequences(pages: DataFrame, html: str = "html") -> DataFrame:
 
 
 def resolve(refs: DataFrame, features: DataFrame, ref: str = "ref") -> DataFrame:
-    """refs with the features of the payload that each reference names by digest; null where there is none."""
+    """refs with the features of the payload that each reference names by digest; null where there is none.
+
+    features should be stored, with one row for each digest: a join of plain shuffles lets adaptive execution
+    split the references to one digest, however many they are.
+    """
     names = [c for c in features.columns if c != "digest"]
     clean = refs.drop(*names, "_digest").withColumn("_digest", F.when(F.col(ref).startswith(PREFIX), F.substring(F.col(ref), len(PREFIX) + 1, 64)))
     # a reference without a digest matches nothing: spread, so that such rows don't meet in one task
@@ -252,13 +256,15 @@ def interleaved(pages: DataFrame, features: DataFrame, html: str = "html") -> Da
     """Pages with their sequence, each media struct resolved: position, kind, text, ref, caption and payload features.
 
     Pages without content have an empty sequence; references to payloads that aren't there keep null features.
+    Rows are numbered once and stored; features has one row for each digest.
     """
-    kept = [c for c in pages.columns if c not in (html, "sequence", "_row")]
-    parsed = sequences(pages.select(*kept, html).withColumn("_row", F.monotonically_increasing_id()), html)
-    items = resolve(parsed.select("_row", F.explode("sequence").alias("i")).select("_row", "i.*"), features)
-    names = [c for c in items.columns if c != "_row"]
-    lists = items.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct(*names))).alias("sequence"))
-    return parsed.drop("sequence").join(lists, "_row", "left").withColumn("sequence", F.coalesce("sequence", F.array().cast(lists.schema["sequence"].dataType))).drop("_row")
+    kept = [c for c in pages.columns if c not in (html, "sequence")]
+    row = free_name(pages, "_row")
+    parsed = stored(sequences(numbered(pages.select(*kept, html), row), html), "parsed")
+    items = resolve(parsed.select(F.col(row).alias("row"), F.explode("sequence").alias("i")).select("row", "i.*"), features)
+    names = [c for c in items.columns if c != "row"]
+    lists = items.groupBy(F.col("row").alias(row)).agg(F.array_sort(F.collect_list(F.struct(*names))).alias("sequence"))
+    return parsed.drop("sequence").join(lists, row, "left").withColumn("sequence", F.coalesce("sequence", F.array().cast(lists.schema["sequence"].dataType))).drop(row)
 
 
 def document_media(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -271,6 +277,6 @@ def document_media(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     html = F.concat(F.lit('<article><p>Text as samples.</p><figure><img alt="" src="'), F.lit(PREFIX), digest, F.lit('"><figcaption>document '), F.coalesce(F.col("key").cast("string"), F.lit("")), F.lit("</figcaption></figure></article>"))
     pages = base.select("key", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), html.alias("html"))
     refs = sequences(pages).select("key", "n_bytes", F.explode("sequence").alias("i")).where("i.ref IS NOT NULL").select("key", "n_bytes", "i.*")
-    features = read_features(stored(media_store(base), "media"))
+    features = stored(read_features(stored(media_store(base), "media")), "features")
     found = resolve(refs, features)
     return found.select(F.col("key").alias(key), "n_bytes", *(f.split()[0] for f in FEATURES.split(", ")), "caption")

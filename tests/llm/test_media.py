@@ -1,7 +1,7 @@
 import hashlib
 import zlib
 
-from spotflow.llm.media import decode_png, document_media, encode_png, interleaved, media_store, padded, parse_page, read_features
+from spotflow.llm.media import decode_png, document_media, encode_png, interleaved, media_features, media_store, padded, parse_page, read_features
 
 
 def test_round_trip():
@@ -25,6 +25,45 @@ def test_documents(spark):
     assert document_media(df.where("false")).collect() == []
 
 
+def test_feature_and_file_against_loops():
+    """The file as a reader of the format's specification sees it, and the feature by plain loops."""
+    payload = padded("Grüße, " * 70)
+    media = encode_png(payload)
+    assert media[:8] == bytes([137, 80, 78, 71, 13, 10, 26, 10])
+    at, chunks = 8, []
+    while at < len(media):
+        n = int.from_bytes(media[at : at + 4], "big")
+        chunks.append((media[at + 4 : at + 8], media[at + 8 : at + 8 + n]))
+        assert int.from_bytes(media[at + 8 + n : at + 12 + n], "big") == zlib.crc32(media[at + 4 : at + 8 + n])
+        at += 12 + n
+    assert [k for k, _ in chunks] == [b"IHDR", b"IDAT", b"IEND"]
+    head = chunks[0][1]
+    assert (int.from_bytes(head[:4], "big"), int.from_bytes(head[4:8], "big"), list(head[8:])) == (64, len(payload) // 192, [8, 2, 0, 0, 0])
+    lines = zlib.decompress(chunks[1][1])
+    assert b"".join(lines[i + 1 : i + 193] for i in range(0, len(lines), 193)) == payload and not any(lines[::193])
+    sums = [sum(payload[c::3]) for c in range(3)]
+    step = sum(abs(payload[i + 3] - payload[i]) for row in range(0, len(payload), 192) for i in range(row, row + 189))
+    assert media_features(media)[5] == f"rgb8 64x{len(payload) // 192} sum={sums[0]},{sums[1]},{sums[2]} distinct={len(set(payload))} step={step}"
+
+
+def test_one_digest_in_half_of_all_rows(spark):
+    df = spark.createDataFrame([(i, "same" if i % 2 else f"text {i}") for i in range(4000)], "doc_id long, text string").repartition(5)
+    got = document_media(df).collect()
+    assert len(got) == 4000 and len({r.media_sha256 for r in got}) == 2001 and len({r.feature for r in got if r.doc_id % 2}) == 1
+
+
+def test_pages_that_come_out_of_a_join(spark):
+    pages = [(i, f"<p>page {i}<img src=x{i}><p>end") for i in range(600)]
+    right = spark.createDataFrame([(i, "x" * 3000) for i, _ in pages], "page_id long, wide string").repartition(7)
+    features = read_features(media_store(spark.createDataFrame([("abc",)], "text string")))
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    try:
+        got = interleaved(spark.createDataFrame(pages, "page_id long, html string").repartition(40).hint("merge").join(right, "page_id"), features).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(got) == 600 and all([x.text or x.ref for x in r.sequence] == [f"page {r.page_id}", f"x{r.page_id}", "end"] for r in got)
+
+
 def test_order_and_captions(spark):
     digest = hashlib.sha256(padded("abc")).hexdigest()
     html = f"<head><title>t</title></head><p>one <b>two</b><figure><figcaption>cap &amp; x</figcaption><img src='sha256:{digest}'></figure>three<script>no</script><img alt='alt' src='http://x/y.png'><p>four"
