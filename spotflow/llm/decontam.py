@@ -7,14 +7,16 @@ block holds the patterns that end in it, and a candidate counts only after all i
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import repeat
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, once, send, stored
+from .common import free_name, map_rows, numbered, once, send
 
 #: A-Z become a-z; every other ASCII byte that is no digit and no a-z separates words.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -25,91 +27,117 @@ def fold_words(text: str | None) -> list[bytes]:
 
 
 class WuManber:
-    """Search tables for patterns of one length."""
+    """Search tables for patterns of one length.
 
-    def __init__(self, length: int, patterns: dict[tuple[bytes, ...], set[int]]):
-        self.length, self.block = length, min(2, length)
+    Words are numbers; a pattern is the place of its first word in the items' words, so that a window costs a
+    few numbers and no copy of its words. A bucket is named by a pattern's last block and its first word.
+    """
+
+    def __init__(self, length: int, flat: list[int], starts: list[int], words: int):
+        self.length, self.block, self.flat, self.words = length, min(2, length), flat, words
         self.jump = length - self.block + 1
-        self.shift: dict[tuple[bytes, ...], int] = {}
-        self.bucket: dict[tuple[bytes, ...], list[tuple[list[bytes], set[int]]]] = defaultdict(list)
-        for words, items in patterns.items():
+        self.shift: dict[int, int] = {}
+        self.bucket: dict[int, int | list[int]] = {}
+        shift, bucket = self.shift, self.bucket
+        for p in starts:
             for end in range(self.block, length + 1):
-                key = words[end - self.block : end]
-                self.shift[key] = min(self.shift.get(key, self.jump), length - end)
-            self.bucket[words[length - self.block :]].append((list(words), items))
-
-    def find(self, words: list[bytes]) -> Iterator[tuple[int, set[int]]]:
-        """Start and items of every occurrence."""
-        length, n, shift, jump, bucket = self.length, len(words), self.shift.get, self.jump, self.bucket
-        if length == 1:
-            for i, w in enumerate(words):
-                if (w,) in bucket:
-                    yield i, bucket[w,][0][1]
-            return
+                key = flat[p + end - 1] if length == 1 else flat[p + end - 2] * words + flat[p + end - 1]
+                if shift.get(key, self.jump) > length - end:
+                    shift[key] = length - end
+            key = key * words + flat[p]
+            held = bucket.get(key)
+            if held is None:
+                bucket[key] = p
+            elif isinstance(held, int):
+                bucket[key] = [held, p]
+            else:
+                held.append(p)
+
+    def find(self, words: list[int]) -> Iterator[tuple[int, list[int]]]:
+        """First word of every occurrence and the places of the patterns that occur there; unknown words are -1."""
+        length, n, shift, jump, bucket, flat, base = self.length, len(words), self.shift.get, self.jump, self.bucket.get, self.flat, self.words
         i = length - 1
         while i < n:
-            key = (words[i - 1], words[i])
+            b = words[i]
+            if length == 1:
+                key = b
+            else:
+                a = words[i - 1]
+                key = a * base + b if a >= 0 <= b else -1
             step = shift(key, jump)
             if step:
                 i += step
                 continue
             start = i - length + 1
-            here = words[start : i + 1]
-            for pattern, items in bucket[key]:
-                if pattern == here:
-                    yield start, items
-                    break
+            held = bucket(key * base + words[start])
+            if held is not None:
+                here = words[start : i + 1]
+                places = [p for p in ((held,) if isinstance(held, int) else held) if flat[p : p + length] == here]
+                if places:
+                    yield start, places
             i += 1
 
 
-def build(items: list[tuple[str | None, str | None]], window: int) -> tuple[list[WuManber], list[str | None]]:
-    by_length: dict[int, dict[tuple[bytes, ...], set[int]]] = defaultdict(lambda: defaultdict(set))
-    names = [name for name, _ in items]
-    for k, (_, text) in enumerate(items):
-        words = fold_words(text)
-        length = min(window, len(words))
-        for i in range(len(words) - length + 1 if length else 0):
-            by_length[length][tuple(words[i : i + length])].add(k)
-    return [WuManber(length, found) for length, found in sorted(by_length.items())], names
-
-
-def _search(df: DataFrame, items: list, window: int, text: str) -> DataFrame:
-    """Add the words hit and the items found to what df's columns _hits and _items hold already."""
-    spark = df.sparkSession
-    sent = send(spark, (items, window))  # at most item_bytes of texts
+class Benchmark:
+    """Search tables of items(name, text), one for each pattern length."""
+
+    def __init__(self, items: list[tuple[str | None, str | None]], window: int):
+        self.number: dict[bytes, int] = {}
+        flat: list[int] = []
+        self.names: list[str | None] = []
+        self.ends: list[int] = []
+        starts: dict[int, list[int]] = defaultdict(list)
+        for name, text in items:
+            words = fold_words(text)
+            length = min(window, len(words))
+            if length:
+                starts[length] += range(len(flat), len(flat) + len(words) - length + 1)
+                flat += [self.number.setdefault(w, len(self.number)) for w in words]
+                self.names.append(name)
+                self.ends.append(len(flat))
+        self.tables = [WuManber(length, flat, own, len(self.number) + 1) for length, own in sorted(starts.items())]
+
+    def search(self, text: str | None) -> tuple[int, list[int], list[str]]:
+        """How many words the text has, which are hit, and the items found."""
+        words = list(map(self.number.get, fold_words(text), repeat(-1)))
+        marked: set[int] = set()
+        seen: set[int] = set()
+        for t in self.tables:
+            for start, places in t.find(words):
+                marked.update(range(start, start + t.length))
+                seen.update(places)
+        found = {self.names[bisect_right(self.ends, p)] for p in seen}
+        return len(words), sorted(marked), sorted(n for n in found if n is not None)
+
+
+def _search(docs: DataFrame, items: list, window: int, columns: list[str], text: str, all_rows: bool) -> DataFrame:
+    """columns of docs, then n_words, hit_words and items; without all_rows only rows that are hit."""
+    sent = send(docs.sparkSession, (items, window))  # at most item_bytes of texts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, value = sent.value
-        tables, names = once(key, lambda: build(*value))
+        use = once(key, lambda: Benchmark(*value))
         for batch in batches:
-            at = batch.schema.names.index(text)
-            old_hits, old_items = batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
-            counts, hits, found = [], [], []
-            for x, h, it in zip(batch.column(at).to_pylist(), old_hits, old_items, strict=True):
-                words = fold_words(x)
-                marked, seen = set(h), set()
-                for t in tables:
-                    for start, which in t.find(words):
-                        marked.update(range(start, start + t.length))
-                        seen |= which
-                counts.append(len(words))
-                hits.append(sorted(marked))
-                found.append(sorted({names[k] for k in seen if names[k] is not None} | set(it)))
-            columns = batch.columns[: batch.num_columns - 3]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.string()))], batch.schema.names)
-
-    return map_rows(df, run, df.schema)
-
-
-def contamination(docs: DataFrame, items: DataFrame, window: int = 10, text: str = "text", item_key: str = "item_id", item_text: str = "text", item_bytes: int = 8 << 20) -> DataFrame:
+            found = [use.search(x) for x in batch.column(batch.num_columns - 1).to_pylist()]
+            made = [pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.int64(), pa.list_(pa.int32()), pa.list_(pa.string())))]
+            out = pa.RecordBatch.from_arrays([*(batch.column(batch.schema.names.index(c)) for c in columns), *made], [*columns, "n_words", "hit_words", "items"])
+            yield out if all_rows else out.filter(pa.array([bool(f[1]) for f in found]))
+
+    # the text comes last, a second time if it is one of the columns
+    read = docs.select(*columns, F.col(text).alias(free_name(docs, "_text")))
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema]
+    return map_rows(read, run, ", ".join([*kinds, "n_words long, hit_words array<int>, items array<string>"]))
+
+
+def contamination(docs: DataFrame, items: DataFrame, window: int = 10, text: str = "text", item_key: str = "item_id", item_text: str = "text", item_bytes: int = 2 << 20) -> DataFrame:
     """Every column of docs, then n_words, hit_words (positions), items (names, sorted), n_hit, n_items, items_sha256, contaminated.
 
     A word inside any occurrence of a pattern is hit. Null or empty texts have no words; null items and
     items without words have no pattern; an item whose id is null marks words but has no name to list;
     items with the same id count once. Repeated rows of docs give repeated results. Columns of docs that
     bear a result's name are replaced by the result. Items are searched for in groups whose texts sum to
-    about `item_bytes`, so that what is broadcast is bounded; with more than one group the rows are
-    stored between passes.
+    about `item_bytes`, of which a worker's tables take some forty times as much. With more than one group
+    the rows are numbered and stored once; a group's search returns the rows that it hits, and no texts.
     """
     added = ["n_words", "hit_words", "items", "n_hit", "n_items", "items_sha256", "contaminated"]
     if text in added:
@@ -117,16 +145,25 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, text: str
     named = items.select(F.col(item_key).cast("string").alias("name"), F.col(item_text).alias("text")).where(F.length("text") > 0)
     total = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(1, -(-total // item_bytes))
-    df = docs.drop(*added).withColumns({"n_words": F.lit(0).cast("long"), "hit_words": F.array().cast("array<int>"), "items": F.array().cast("array<string>")})
-    for g in range(groups):
-        part = named.where(F.pmod(F.xxhash64("name", "text"), F.lit(groups)) == g) if groups > 1 else named
-        df = _search(df, [tuple(r) for r in part.collect()], window, text)
-        if g + 1 < groups:
-            df = stored(df, f"searched_{g}")
+    docs = docs.drop(*added)
+    kept = docs.columns
+    if groups == 1:
+        df = _search(docs, [tuple(r) for r in named.collect()], window, kept, text, True)
+    else:
+        row = free_name(docs, "_row")
+        docs = numbered(docs, row)
+        hits = None
+        for g in range(groups):
+            part = [tuple(r) for r in named.where(F.pmod(F.xxhash64("name", "text"), F.lit(groups)) == g).collect()]
+            own = _search(docs, part, window, [row], text, False)
+            hits = own if hits is None else hits.union(own)
+        merged = hits.groupBy(row).agg(*(F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("hit_words", "items")))
+        counted = _search(docs, [], window, [row, *kept], text, True).drop("hit_words", "items")
+        none = {"hit_words": F.coalesce("hit_words", F.array().cast("array<int>")), "items": F.coalesce("items", F.array().cast("array<string>"))}
+        df = counted.join(merged, row, "left").select(*kept, "n_words", *(c.alias(k) for k, c in none.items()))
     return df.withColumns({
         "n_hit": F.size("hit_words").cast("long"),
         "n_items": F.size("items").cast("long"),
         "items_sha256": F.sha2(F.concat_ws(",", F.col("items")), 256),
         "contaminated": F.size("hit_words") > 0,
     })
-

@@ -1,10 +1,11 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import pytest
 
-from spotflow.llm.decontam import contamination
+from spotflow.llm.decontam import Benchmark, contamination
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -25,7 +26,7 @@ def brute(text, items, window=10):
     return len(words), len(hit), len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), bool(hit)
 
 
-@pytest.mark.parametrize("item_bytes", [8 << 20, 150])
+@pytest.mark.parametrize("item_bytes", [2 << 20, 150])
 def test_against_brute_force(spark, item_bytes):
     rng = random.Random(5)
     vocab = ["a", "b", "Ça", "dé", "e1", "F"]
@@ -39,6 +40,31 @@ def test_against_brute_force(spark, item_bytes):
     assert {r.name for r in got.collect()} == {"z"}
 
 
+def test_a_large_benchmark(spark):
+    """3 MB of items in groups: tables stay small, and each planted window is found."""
+    rng = random.Random(4)
+    vocab = [f"w{i}" for i in range(20_000)]
+    items = [(f"i{k}", " ".join(rng.choice(vocab) for _ in range(300))) for k in range(1700)]
+    words = {k: t.split() for k, t in items}
+    planted = rng.sample(sorted(words), 60)
+    docs = [(n, " ".join(["x"] * n + words[k][n % 200 : n % 200 + 10] + ["y"])) for n, k in enumerate(planted)]
+    df = spark.createDataFrame(docs + [(1000 + i, " ".join(rng.choice(vocab) for _ in range(500))) for i in range(40)], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in contamination(df, spark.createDataFrame(items, "item_id string, text string")).collect()}
+    assert len(got) == 100 and all(got[n]["items"] == [k] and got[n].n_hit == 10 for n, k in enumerate(planted))
+    assert not any(r.contaminated for i, r in got.items() if i >= 1000)
+
+
+def test_tables_are_some_forty_times_as_large_as_the_items():
+    rng = random.Random(4)
+    vocab = [f"w{i}" for i in range(20_000)]
+    items = [(str(k), " ".join(rng.choice(vocab) for _ in range(300))) for k in range(550)]
+    tracemalloc.start()
+    made = Benchmark(items, 10)
+    size = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert made.tables and size < 60 * sum(len(t) for _, t in items)
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")
