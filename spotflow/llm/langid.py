@@ -104,9 +104,10 @@ def own_similarity(rows: DataFrame, model: dict, part: float) -> float:
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 300, centroids: int = 4, slack: float = 0.25) -> dict:
-    """Fit centroids on about `per_language` rows of each language, chosen by a hash of the key: a documented, bounded sample.
+    """Fit centroids on about `per_language` rows of each language, chosen by a hash: a documented, bounded sample.
 
-    Rows without key, language or letters teach nothing. Document frequencies are those of all rows. The
+    The hash is of key and text, and equal rows count once in the sample, so that neither a frequent key nor a
+    repeated row can fill it. Rows without key, language or letters teach nothing. Document frequencies are those of all rows. The
     rejection distance is `slack` times the similarity that all but one in two hundred of all rows reach with
     their own language, to one part in BINS.
     """
@@ -115,7 +116,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     if not totals:
         return {"langs": [], "owner": np.zeros(0, int), "centroids": np.zeros((BUCKETS, 0), np.float32), "idf": np.ones(BUCKETS, np.float32), "reject": 0.0}
     part = [x for name, n in totals.items() for x in (F.lit(name), F.lit(share(n, per_language)))]
-    sample = rows.where(F.pmod(F.xxhash64("key", F.lit("langid")), F.lit(SHARES)) < F.element_at(F.create_map(*part), F.col("lang")))
+    sample = rows.where(F.pmod(F.xxhash64("key", "text", F.lit("langid")), F.lit(SHARES)) < F.element_at(F.create_map(*part), F.col("lang"))).distinct()
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

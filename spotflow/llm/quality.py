@@ -165,7 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     """Word vectors of all texts, and a network from about `sample` labelled rows chosen by a hash of the key.
 
     That sample is the documented bound of the fit. Rows with a null key or label teach nothing; a key with
-    several labels has their majority, 1 if even. With labels of one sort, or none, every score is their share, or 0.5.
+    several labels has their majority, 1 if even, and of its texts one counts, however many rows have the key. With labels of one sort, or none, every score is their share, or 0.5.
     """
     vectors = word_vectors(context_sums(docs, text))
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("key")).agg((F.avg(label) >= 0.5).cast("int").alias("y"))
@@ -173,12 +173,15 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     chosen = known.where(F.pmod(F.xxhash64("key", F.lit("quality")), F.lit(1 << 30)) < int(part * (1 << 30)))
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen), "key")  # about `sample` pairs of numbers
 
+    sent = send(docs.sparkSession, vectors)  # a table of fixed size
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = pooled(batch.column(2).to_pylist(), vectors)
+            made = pooled(batch.column(2).to_pylist(), sent.value[1])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in made], pa.binary())], ["key", "y", "x"])
 
-    found = sorted(map(tuple, map_rows(rows.select("key", "y", "text"), run, f"key {dict(rows.dtypes)['key']}, y int, x binary", rows=500).collect()))
+    made = map_rows(rows.select("key", "y", "text"), run, f"key {dict(rows.dtypes)['key']}, y int, x binary", rows=500)
+    found = sorted(map(tuple, made.groupBy("key").agg(F.min("y").alias("y"), F.min("x").alias("x")).collect()))
     y = np.array([f[1] for f in found], float)
     x = np.array([np.frombuffer(f[2], np.float32) for f in found], float)
     if len(set(y.tolist())) < 2:

@@ -51,5 +51,32 @@ def test_frequencies_and_threshold_are_of_all_rows(spark):
     assert abs(model["reject"] / 0.5 - own[4]) <= 2 / BINS
 
 
+def test_against_brute_force(spark):
+    """Nearest centroid by plain loops over byte n-grams; ties go to the first language."""
+    model = train(spark.createDataFrame(corpus(200, 3), "doc_id long, text string, lang string"))
+    texts = [x for _, x, _ in corpus(40, 4)] + ["Ä ö", "ß", "x"]
+    got = {r.text: r for r in identify(spark.createDataFrame([(x,) for x in texts], "text string"), model).collect()}
+    for x in texts:
+        weights = np.zeros(BUCKETS)
+        at, counts = ngram_counts(x)
+        for a, c in zip(at, counts, strict=True):
+            weights[a] = (1 + np.log(c)) * model["idf"][a]
+        norm = np.sqrt((weights**2).sum())
+        found = [(sum(weights * model["centroids"][:, j].astype(float)) / norm, -j) for j in range(model["centroids"].shape[1])]
+        best, j = max(found)
+        assert got[x].lang_pred == model["langs"][model["owner"][-j]] and abs(got[x].score - min(1, max(0, best))) < 1e-5
+        assert got[x].rejected == (got[x].score < model["reject"])
+    tied = {"langs": ["aa", "bb"], "owner": np.array([0, 1]), "centroids": np.ones((BUCKETS, 2), np.float32) / BUCKETS**0.5, "idf": np.ones(BUCKETS, np.float32), "reject": 0.0}
+    assert {r.lang_pred for r in identify(spark.createDataFrame([("abc",)], "text string"), tied).collect()} == {"aa"}
+
+
+def test_a_third_of_all_rows_has_one_key(spark):
+    rows = corpus(300, 1) + [(5, f"the ing and {'tion ' * (i % 40)}", "en") for i in range(400)] + [(6, "the the ing", "en")] * 300
+    model = train(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3), per_language=60)
+    got = identify(spark.createDataFrame(corpus(90, 2), "doc_id long, text string, lang string"), model).collect()
+    assert sum(r.lang_pred == r.lang for r in got) >= 85
+
+
 def test_share_of_many_rows():
+    assert share(10**10, 300) > 0 and share(10**12, 300) > 0
     assert share(10, 300) == 1 << 40 and share(10**9, 300) > 0 and abs(share(10**9, 300) * 10**9 / (1 << 40) - 300) < 1

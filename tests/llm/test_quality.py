@@ -55,6 +55,32 @@ def test_held_out_accuracy_and_edges(spark):
     assert np.mean([r.predicted == want[r.doc_id] for r in got if r.doc_id in want]) >= 0.95
 
 
+def test_pooling_against_loops(spark):
+    """Scores are the network's at the plain mean of the tokens' vectors."""
+    rows, labels = make(120, 5)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = train(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
+    got = {r.doc_id: r.score for r in quality_scores(docs, model).collect()}
+    for i, text in rows[:30]:
+        own = token_buckets([text])[0]
+        x = np.mean([model["vectors"][b] for b in own], axis=0, keepdims=True)
+        z = float(network_logits(model["net"], x)[0]) / model["net"]["temperature"]
+        assert abs(got[i] - 1 / (1 + np.exp(-z))) < 1e-4
+
+
+def test_labels_in_conflict_and_a_frequent_key(spark):
+    """The majority of a key's labels counts, 1 if even; many rows of one key are one example."""
+    rows, labels = make(200, 6)
+    bad = [(i, 1 - y) for i, y in labels[:40]]
+    docs = spark.createDataFrame(rows + [(3, f"REPEATED!! {i}") for i in range(300)], "doc_id long, text string")
+    kind = "doc_id long, quality int"
+    twice = spark.createDataFrame(labels * 2 + bad, kind)
+    one, other = (train(docs, x) for x in (spark.createDataFrame(labels, kind), twice))
+    assert np.allclose(one["net"]["w"][0], other["net"]["w"][0])
+    even = train(docs, spark.createDataFrame([(1, 0), (1, 1), (2, 1)], kind))
+    assert even["net"] is None and even["share"] == 1.0
+
+
 def test_one_sort_of_label(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, "c")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int")
