@@ -71,6 +71,12 @@ def gain_corrected(frames: DataFrame, gain: float, offset: float) -> DataFrame:
     return frames.withColumn("px", F.transform("px", lambda p: (p.cast("double") - offset) / gain))
 
 
+def to_bytes(frames: DataFrame) -> DataFrame:
+    """Whole numbers from 0 to 255, 255 at the brightest pixel of each frame; in the JVM."""
+    top = F.array_max(F.transform("px", lambda p: p.cast("double")))
+    return frames.withColumn("px", F.transform("px", lambda p: F.when(top > 0, F.round(F.greatest(p.cast("double"), F.lit(0.0)) * 255 / top)).otherwise(0.0)))
+
+
 def inverted(frames: DataFrame) -> DataFrame:
     return frames.withColumn("px", F.transform("px", lambda p: F.array_max("px") - p))
 
@@ -151,6 +157,10 @@ def locate_frame(image: np.ndarray, params: TrackingParams, minmass: float | Non
     top = imaging.maxima(p, params.separation)
     if params.percentile is not None:
         top &= p > np.percentile(p, params.percentile)
+    if params.margin:
+        inner = np.zeros(top.shape, bool)
+        inner[params.margin : top.shape[0] - params.margin, params.margin : top.shape[1] - params.margin] = True
+        top &= inner
     u, v = np.nonzero(top & (planes[0] > 0))
     y, x, mass = imaging.walk(u, v, planes, params.max_iterations, params.shift_threshold)
     kept = mass > (params.minmass if minmass is None else minmass)

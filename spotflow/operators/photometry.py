@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -82,8 +83,8 @@ def lab_roi(frames: DataFrame, detections: DataFrame, int_r2: float, bg_r2: floa
     columns = {at + c: "long" if c == "sig_pixel_size" else "double" for c in LAB if means or not c.endswith("mean")}
 
     def measure(image, y, x):
-        found = [imaging.lab_roi(image, a, b, int_r2, bg_r2, gap_r2) for a, b in zip(y, x, strict=True)]
-        return {c: _numbers(f[c.removeprefix(at)] for f in found) for c in columns}
+        found = imaging.lab_rois(image, y, x, int_r2, bg_r2, gap_r2)
+        return {c: _numbers(found[c.removeprefix(at)]) for c in columns}
 
     return corrected(_measure(frames, detections, list(by), measure, columns), colour)
 
@@ -99,30 +100,29 @@ def corrected(measured: DataFrame, colour: str = "red", nominal: int | None = No
 def constant_positions(frames: DataFrame, positions: DataFrame, int_r2: float, bg_r2: float, gap_r2: float = 0.0, colour: str = "red", means: bool = False, most: int = 100_000) -> DataFrame:
     """Traces of fixed positions (particle, y, x) in every frame, without a shuffle of frames.
 
-    Positions are broadcast, at most `most` of them; beyond it they are joined to the frames in groups.
+    Positions are broadcast, at most `most` of them; more are dealt into groups, each with its own pass over the frames.
     """
-    rows = positions.select("particle", "y", "x").limit(most + 1).collect()
+    found = positions.select("particle", "y", "x")
     at = prefix(colour)
     names = [c for c in LAB if means or not c.endswith("mean")]
-    if len(rows) > most:
-        spread = positions.select("particle", "y", "x").crossJoin(frames.select("video_id", "frame").distinct())
-        return lab_roi(frames, spread, int_r2, bg_r2, gap_r2, colour, means)
-    points = [(r.particle, r.y, r.x) for r in rows]
+    n = found.count()
+    if n > most:
+        # as many groups of positions as it takes; each is broadcast to a pass over the frames
+        groups = -(-n // most) * 2
+        parts = [constant_positions(frames, found.where(F.pmod(F.xxhash64("particle", "y", "x"), F.lit(groups)) == g), int_r2, bg_r2, gap_r2, colour, means, most) for g in range(groups)]
+        return functools.reduce(DataFrame.union, parts)
+    rows = found.collect()  # at most `most`
+    particles = np.array([r.particle for r in rows], np.int64)
+    ys, xs = (np.array([r[c] for r in rows], float) for c in ("y", "x"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from ..operators.frames import images
 
         for batch in batches:
-            out: dict[str, list] = {c: [] for c in ("video_id", "frame", "particle", "y", "x", *names)}
             for row, image in images(batch):
-                for k, y, x in points:
-                    found = imaging.lab_roi(image, y, x, int_r2, bg_r2, gap_r2)
-                    for c, value in (("video_id", row["video_id"]), ("frame", row["frame"]), ("particle", k), ("y", y), ("x", x)):
-                        out[c].append(value)
-                    for c in names:
-                        out[c] += _numbers([found[c]])
-            kinds = [pa.string(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), *(pa.int64() if c == "sig_pixel_size" else pa.float64() for c in names)]
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], ["video_id", "frame", "particle", "y", "x", *(at + c for c in names)])
+                measured = imaging.lab_rois(image, ys, xs, int_r2, bg_r2, gap_r2)
+                fixed = [pa.array([row["video_id"]] * len(rows), pa.string()), pa.array([row["frame"]] * len(rows), pa.int32()), pa.array(particles), pa.array(ys), pa.array(xs)]
+                yield pa.RecordBatch.from_arrays([*fixed, *(pa.array(measured[c], from_pandas=True) for c in names)], ["video_id", "frame", "particle", "y", "x", *(at + c for c in names)])
 
     schema = "video_id string, frame int, particle long, y double, x double, " + ", ".join(f"{at}{c} {'long' if c == 'sig_pixel_size' else 'double'}" for c in names)
     return corrected(frames.select("video_id", "frame", "nrows", "ncols", "px").mapInArrow(run, schema), colour)

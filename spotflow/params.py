@@ -31,6 +31,8 @@ class TrackingParams:
     gap_radius: float | None = None
     #: noise_size is the variance of the Gaussian instead of its standard deviation
     variance_mode: bool = False
+    #: maxima nearer to the border than so many pixels don't count
+    margin: int = 0
 
     def __post_init__(self) -> None:
         fill = lambda name, value: object.__setattr__(self, name, value if getattr(self, name) is None else getattr(self, name))
@@ -54,6 +56,8 @@ class TrackingParams:
             raise ValueError("percentile has to be from 0 to 100")
         if self.memory < 0:
             raise ValueError("memory can't be negative")
+        if self.margin < 0 or (self.maxsize is not None and self.maxsize <= 0):
+            raise ValueError("margin can't be negative, and maxsize has to be positive")
 
     @property
     def radius(self) -> int:

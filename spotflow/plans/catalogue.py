@@ -92,7 +92,7 @@ def maxima_percentile_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fr.maxima_of(lens.frames(spark, sf_dir), 3, percentile=64, margin=1).select("video_id", "frame", "u", "v", *r6("p"))
 
 
-@query(f"""WITH RECURSIVE {SQL['px']}, {band_sql(1, 3)}, {centre_sql(1)}, {maxima_sql(3)},
+_WALK = f"""WITH RECURSIVE {SQL['px']}, {band_sql(1, 3)}, {centre_sql(1)}, {maxima_sql(3)},
 full_ AS (SELECT band.frame, band.video_id, band.u, band.v, coalesce(mass, 0) AS mass, coalesce(c0, 0) AS c0, coalesce(c1, 0) AS c1 FROM band LEFT JOIN cen ON cen.frame = band.frame AND cen.u = band.u AND cen.v = band.v),
 stp AS (SELECT *, CASE WHEN c0 > 0.6 AND u < 7 THEN 1 WHEN c0 < -0.6 AND u > 0 THEN -1 ELSE 0 END AS du, CASE WHEN c1 > 0.6 AND v < 7 THEN 1 WHEN c1 < -0.6 AND v > 0 THEN -1 ELSE 0 END AS dv FROM full_),
 wlk AS (
@@ -101,12 +101,29 @@ wlk AS (
   UNION ALL
   SELECT s.video_id, s.frame, w.u0, w.v0, s.u + du, s.v + dv, s.u + du + c0, s.v + dv + c1, s.mass, du <> 0 OR dv <> 0, n + 1
   FROM wlk w JOIN stp s ON s.frame = w.frame AND s.u = w.nu AND s.v = w.nv WHERE w.going AND n < 10
-)
-SELECT video_id, frame, u0 AS u, v0 AS v, round(max_by(y, n), 6) AS y, round(max_by(x, n), 6) AS x, round(max_by(mass, n), 6) AS mass FROM wlk GROUP BY video_id, frame, u0, v0""")
+)"""
+
+
+@query(_WALK + "\nSELECT video_id, frame, u0 AS u, v0 AS v, round(max_by(y, n), 6) AS y, round(max_by(x, n), 6) AS x, round(max_by(mass, n), 6) AS mass FROM wlk GROUP BY video_id, frame, u0, v0")
 def walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fr.walked(fr.bandpassed(lens.frames(spark, sf_dir), 1, 3), 3, 3).select("video_id", "frame", "u", "v", *r6("y", "x", "mass"))
 
 
+#: Mass limit, largest radius of gyration and separation of the query below.
+_LIMITS = (30.0, 0.8, 3)
+
+
+@query(_WALK + f""", cand AS (SELECT video_id, frame, u0, v0, max_by(y, n) AS y, max_by(x, n) AS x, max_by(mass, n) AS mass FROM wlk GROUP BY ALL),
+rad AS (SELECT c.frame, c.u0, c.v0, sqrt(sum(b.p * (i * i + j * j)) / any_value(c.mass)) AS rg FROM cand c CROSS JOIN dsc JOIN band b ON b.frame = c.frame AND b.u = c.u0 + i AND b.v = c.v0 + j GROUP BY ALL),
+kept AS (SELECT cand.*, rg FROM cand JOIN rad USING (frame, u0, v0) WHERE mass > {_LIMITS[0]} AND rg < {_LIMITS[1]})
+SELECT video_id, frame, {rounded('y', 'x', 'mass', 'rg')} FROM kept a WHERE NOT EXISTS (SELECT 1 FROM kept b WHERE b.frame = a.frame AND (b.u0, b.v0) <> (a.u0, a.v0)
+  AND (b.y - a.y) * (b.y - a.y) + (b.x - a.x) * (b.x - a.x) < {_LIMITS[2] ** 2} AND (b.mass > a.mass OR b.mass = a.mass AND (b.u0, b.v0) < (a.u0, a.v0)))""")
+def locate_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Located particles over a mass, below a size, the brighter one of each close pair."""
+    params = TrackingParams(3, noise_size=1, smoothing_size=3, separation=_LIMITS[2], minmass=_LIMITS[0], maxsize=_LIMITS[1], cpu_processed=True)
+    return fr.locate(lens.frames(spark, sf_dir), params).select("video_id", "frame", *r6("y", "x", "mass"), F.round("Rg", 6).alias("rg"))
+
+
 @query(f"""WITH {SQL['px']}, pos AS (SELECT frame, video_id, u, v, greatest(p, 0) AS p FROM px), {lens.disc_sql(1)},
 a AS (SELECT a.frame, a.video_id, a.u, a.v, sum(b.p) AS mass, sqrt(sum(b.p * (i * i + j * j)) / nullif(sum(b.p), 0)) AS rg, max(b.p) AS signal,
   sqrt(pow(sum(b.p * sin(2 * atan2(j, i))), 2) + pow(sum(b.p * cos(2 * atan2(j, i))), 2)) / nullif(sum(b.p) - any_value(a.p), 0) AS ecc
@@ -247,6 +264,28 @@ def link_with_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link(_sparse(spark, sf_dir), 15, memory=2).select("video_id", "frame", "seq", "particle")
 
 
+def _lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events as a particle in a lane of its own, three pixels further a frame; every fifth frame is missing."""
+    track = lens.tracks(spark, sf_dir)
+    frame = F.col("frame") + F.floor(F.col("frame") / 5)
+    return track.select(F.lit("v").alias("video_id"), frame.cast("int").alias("frame"), F.col("event_id").alias("seq"), (F.col("particle") * 100.0).alias("y"), (frame * 3.0).alias("x"))
+
+
+_LANES = f"{SQL['ev']}, {SQL['trk']}, d AS (SELECT particle AS lane, frame + frame // 5 AS frame, frame // 5 AS g, event_id FROM trk)"
+
+
+@query(f"WITH {_LANES}, r AS (SELECT lane, g, min(frame) AS f0, arg_min(event_id, frame) AS e0 FROM d GROUP BY 1, 2), k AS (SELECT lane, g, row_number() OVER (ORDER BY f0, e0) - 1 AS particle FROM r) SELECT event_id, particle FROM d JOIN k USING (lane, g)")
+def link_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without memory a lane's track ends at each gap."""
+    return link(_lanes(spark, sf_dir), 15).select(F.col("seq").alias("event_id"), "particle")
+
+
+@query(f"WITH {_LANES}, k AS (SELECT lane, row_number() OVER (ORDER BY min(frame), lane) - 1 AS particle FROM d GROUP BY lane) SELECT event_id, particle FROM d JOIN k USING (lane)")
+def link_over_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With memory it is one track."""
+    return link(_lanes(spark, sf_dir), 15, memory=2).select(F.col("seq").alias("event_id"), "particle")
+
+
 @query("SELECT 'v' || CAST(user_id % 16 AS VARCHAR) AS video_id, count(*) AS n FROM events GROUP BY 1")
 def linked_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Linking loses and adds no detection, and no track has two in a frame."""

@@ -6,18 +6,19 @@ import dataclasses
 from itertools import product
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.calibration import random_pixel_calibration
+from ..functions.calibration import random_pixel_calibration, refined
 from ..operators import frames as fr
 from ..operators import motion, photometry
 from ..operators.detections import checkpointed, relabelled, unique_ids
 from ..operators.link import link
 from ..params import LabParams, TrackingParams
 from ..sources.ets import read_ets
-from ..sources.tables import read_frames, write_results
-from ..sources.tiff import manifest, read_tiff
+from ..sources.tables import read_frames, write_results, write_traces
+from ..sources.tiff import content_hashes, manifest, read_tiff
 
 #: Videos whose mass limits are broadcast; beyond it they are joined.
 SENT_VIDEOS = 500_000
@@ -143,19 +144,45 @@ class TraceParams:
     dynamic_mean_multiplier: float = 1.0
     dynamic_search_range: float = 4
     dynamic_memory: int = 0
+    static_fit: bool = False
+
+
+def kept_calibration(spark: SparkSession, path: str, cache: str) -> tuple[float, float]:
+    """Gain and offset of a video without particles; fitted once for each content and kept in a table at cache."""
+    sha1 = content_hashes(spark, path).first()["sha1"]
+    try:
+        known = spark.read.parquet(cache).where(F.col("sha1") == sha1).select("gain", "offset").first()
+    except AnalysisException:  # no table yet
+        known = None
+    if known is None:
+        known = random_pixel_calibration(read_frames(spark, path))
+        spark.createDataFrame([(sha1, *known)], "sha1 string, gain double, offset double").coalesce(1).write.mode("append").parquet(cache)
+    return float(known[0]), float(known[1])
+
+
+def extract_pairs(spark: SparkSession, static: list[str], dynamic: list[str], save: str, no_particle: str | None = None, params: TraceParams | None = None) -> list[str]:
+    """extract_traces for each static video and the dynamic one at its place, written under the pair's number; the paths."""
+    paths = []
+    for video, (still, moving) in enumerate(zip(static, dynamic, strict=True)):
+        empty = read_frames(spark, no_particle) if no_particle else None
+        paths += write_traces(extract_traces(read_frames(spark, still), read_frames(spark, moving), empty, params, str(video)), save, video)
+    return paths
 
 
 def extract_traces(static: DataFrame, dynamic: DataFrame, no_particle: DataFrame | None = None, params: TraceParams | None = None, run_id: str = "run") -> dict[str, DataFrame]:
     """static particles, their traces in the dynamic video, and dynamic tracks; both videos may hold one video_id.
 
     The camera's gain and offset come from a video without particles, if there is one. Illumination is
-    corrected by the dynamic video's own mean.
+    corrected by the dynamic video's own mean. With params.static_fit, static positions are those of Gaussians
+    fitted to the mean image.
     """
     p = params or TraceParams()
     gain, offset = random_pixel_calibration(no_particle) if no_particle is not None else (1.0, 0.0)
     still = fr.mean_frames(static).groupBy().agg(F.array_sort(F.collect_list(F.struct("u", "v", "p"))).alias("m"), (F.max("u") + 1).alias("nrows"), (F.max("v") + 1).alias("ncols"))
     mean_image = still.select(F.lit("static").alias("video_id"), F.lit(0).alias("frame"), "nrows", "ncols", F.transform("m", lambda x: x["p"]).alias("px"))
     located = fr.locate(mean_image, TrackingParams(p.static_diameter, minmass=first_frame_mean(mean_image) * p.static_mean_multiplier, separation=p.static_sep))
+    if p.static_fit:
+        located = refined(mean_image, located, p.static_diameter // 2)
     positions = located.withColumn("particle", F.col("seq").cast("bigint"))
     corrected = fr.illumination_corrected(dynamic, 30.0, gain, offset)
     traces = photometry.constant_positions(corrected, positions, p.lip_int_size, p.lip_BG_size, p.gap_size, means=True)

@@ -68,6 +68,18 @@ def test_close_losers_against_all_pairs():
     assert im.close_losers(y, x, m, 3.0).tolist() == want
 
 
+def test_lab_regions_of_many_positions_at_once():
+    rng = np.random.default_rng(4)
+    image = rng.random((20, 30)) * 100
+    y, x = np.append(rng.random(60) * 24 - 2, [0.0, -0.4, 40.0]), np.append(rng.random(60) * 34 - 2, [0.0, 29.9, 5.0])
+    for radii in ((9, 60, 0), (8, 70, 2), (0.1, 0.2, 5)):
+        got = im.lab_rois(image, y, x, *radii, chunk=17)
+        for k in range(len(y)):
+            want = im.lab_roi(image, y[k], x[k], *radii)
+            assert {n: got[n][k] for n in want} == pytest.approx(want, nan_ok=True)
+    assert im.row_medians(np.zeros((2, 0)), np.zeros((2, 0), bool)).tolist() == pytest.approx([np.nan] * 2, nan_ok=True)
+
+
 def test_refinement_against_loops():
     image = spot_image([(10.3, 12.8, 500), (25.6, 30.2, 800), (3.0, 3.0, 300)])
     u, v = np.array([9, 27, 0, 20]), np.array([11, 31, 1, 5])

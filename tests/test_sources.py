@@ -1,8 +1,8 @@
 import numpy as np
 import pytest
 
-from spotflow.plans.pipeline import LabParams, batch, batch_array, batch_file, extract_traces, parse_ets, run_experiments, sweep, tracker
-from spotflow.operators.frames import frames_from_array
+from spotflow.plans.pipeline import LabParams, TraceParams, batch, batch_array, batch_file, extract_pairs, extract_traces, parse_ets, run_experiments, sweep, tracker
+from spotflow.operators.frames import frames_from_array, to_bytes
 from spotflow.sources.ets import channels, chunk, parse_header, read_ets, write_ets
 from spotflow.__main__ import main, parsed
 from spotflow.plans.pipeline import detections_of
@@ -152,6 +152,37 @@ def test_each_video_has_its_own_mass_limit(spark):
     assert {r.video_id: r["count"] for r in both} == dict(zip("bd", alone, strict=True)) and min(alone) > 0
 
 
+def test_calibrations_are_kept_by_content(spark, tmp_path, monkeypatch):
+    from spotflow.plans import pipeline
+
+    fitted = []
+    monkeypatch.setattr(pipeline, "random_pixel_calibration", lambda frames: fitted.append(frames.count()) or (2.0 + len(fitted), 100.0))
+    a = video()
+    for name, data in (("a.tif", a), ("copy.tif", a), ("b.tif", a + 1)):
+        (tmp_path / name).write_bytes(write_tiff(data))
+    got = [pipeline.kept_calibration(spark, str(tmp_path / n), str(tmp_path / "cache")) for n in ("a.tif", "copy.tif", "b.tif", "a.tif")]
+    assert got == [(3.0, 100.0), (3.0, 100.0), (4.0, 100.0), (3.0, 100.0)] and len(fitted) == 2
+
+
+def test_pairs_of_videos(spark, tmp_path):
+    for name in ("s0.tif", "s1.tif", "d0.tif", "d1.tif"):
+        (tmp_path / name).write_bytes(write_tiff(video(4, seed=int(name[1]))))
+    at = lambda *names: [str(tmp_path / n) for n in names]
+    paths = extract_pairs(spark, at("s0.tif", "s1.tif"), at("d0.tif", "d1.tif"), str(tmp_path / "out"), params=TraceParams(static_fit=True))
+    assert len(paths) == 6 and spark.read.csv(paths[0], header=True).count() > 0
+    with pytest.raises(ValueError):
+        extract_pairs(spark, at("s0.tif"), [], str(tmp_path / "out"))
+
+
+def test_margin_and_bytes(spark):
+    frames = frames_from_array(spark, video(1))
+    near = batch(frames, 7, minmass=100, separation=6).toPandas()
+    inner = batch(frames, 7, minmass=100, separation=6, margin=14).toPandas()
+    assert 0 < len(inner) < len(near)
+    px = to_bytes(frames).first().px
+    assert max(px) == 255 and min(px) >= 0 and all(p == int(p) for p in px)
+
+
 def test_batch_and_frame_split(spark, tmp_path):
     a = video()
     p = dict(minmass=100, separation=6, search_range=4.0, cpu_processed=True, sig_radius=3, bg_radius=6)
