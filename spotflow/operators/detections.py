@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import stored
+
 
 def with_cells(points: DataFrame, size: float, y: str, x: str, spread: bool) -> DataFrame:
     """Grid cell of side `size`; with spread, a copy of each row for the nine cells round it."""
@@ -147,7 +149,7 @@ def relabelled(tracks: DataFrame, particle: str, order: str, by: list[str] | Non
     keys = [*(by or []), particle]
     first = tracks.groupBy(*keys).agg(F.min(order).alias("_first"))
     if not by:
-        ranged = checkpointed(first.repartitionByRange("_first").withColumn("_range", F.spark_partition_id()))
+        ranged = stored(first.repartitionByRange("_first").withColumn("_range", F.spark_partition_id()), "ranged")
         w = Window.partitionBy("_range").orderBy("_first")
         sizes = sorted((r["_range"], r["count"]) for r in ranged.groupBy("_range").count().collect())
         before = [(k, sum(n for _, n in sizes[:i])) for i, (k, _) in enumerate(sizes)]
@@ -164,16 +166,5 @@ def by_particle(tracks: DataFrame, by: list[str] | None = None, frame: str = "fr
     return tracks.repartitionByRange(*keys).sortWithinPartitions(*keys)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the checkpoint folder; one of our own only where a local session has none."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-        context.setCheckpointDir(named or df.sparkSession.conf.get("spark.sql.warehouse.dir", "spark-warehouse").rstrip("/") + "/_checkpoints")
-    return df.checkpoint()
-
-
 def unique_ids(tracks: DataFrame, run_id: str, particle: str = "particle") -> DataFrame:
     return tracks.withColumn(particle, F.concat_ws("_", F.col(particle).cast("string"), F.lit(run_id)))

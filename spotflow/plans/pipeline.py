@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 from ..functions.calibration import random_pixel_calibration, refined
 from ..operators import frames as fr
 from ..operators import motion, photometry
-from ..operators.detections import checkpointed, relabelled, unique_ids
+from ..operators.detections import relabelled, unique_ids
 from ..operators.link import link
 from ..params import LabParams, TrackingParams
 from ..sources.ets import read_ets
 from ..sources.tables import read_frames, write_results, write_traces
 from ..sources.tiff import content_hashes, manifest, read_tiff
+from ..storage import stored
 
 #: Videos whose mass limits are broadcast; beyond it they are joined.
 SENT_VIDEOS = 500_000
@@ -64,7 +65,7 @@ def first_frame_means(frames: DataFrame) -> DataFrame:
 
 def with_minmass(frames: DataFrame, multiplier: float) -> DataFrame:
     """frames with minmass: the multiplier times the mean of the first frame of their own video."""
-    means = checkpointed(first_frame_means(frames).select("video_id", (F.coalesce("mean", F.lit(0.0)) * multiplier).alias("minmass")))
+    means = stored(first_frame_means(frames).select("video_id", (F.coalesce("mean", F.lit(0.0)) * multiplier).alias("minmass")), "minmass")
     small = means.count() <= SENT_VIDEOS
     return frames.join(F.broadcast(means) if small else means, "video_id")
 

@@ -33,13 +33,13 @@ def hosts(pages: DataFrame) -> DataFrame:
 
 def reached(pages: DataFrame, start: DataFrame, rounds: int) -> DataFrame:
     """url and round of the stored pages that following links from start's urls reaches within so many rounds."""
-    from ..operators.link import checkpointed
+    from ..storage import stored
 
     edges = links(pages).join(pages.select("page_id", "url"), "page_id").select("url", "target").distinct()
-    seen = checkpointed(start.select("url").distinct().withColumn("round", F.lit(0)))
+    seen = stored(start.select("url").distinct().withColumn("round", F.lit(0)), "seen")
     for k in range(1, rounds + 1):
         fresh = seen.where(F.col("round") == k - 1).join(edges, "url").select(F.col("target").alias("url")).distinct().join(pages.select("url"), "url", "left_semi").join(seen, "url", "left_anti")
-        fresh = checkpointed(fresh.withColumn("round", F.lit(k)))
+        fresh = stored(fresh.withColumn("round", F.lit(k)), "fresh")
         if not fresh.limit(1).count():
             break
         seen = seen.union(fresh)
