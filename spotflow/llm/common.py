@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import forget, stored  # noqa: F401  for the operators
+
 #: Byte values that separate words in most operators: blank and 0x09-0x0D, which is what bytes.split() uses.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
@@ -56,38 +57,6 @@ def map_rows(df: DataFrame, fn: Callable, schema: str, rows: int = 2000) -> Data
     return df.mapInArrow(run, schema)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; one in the warehouse where a local session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-        found = spark.conf.get("spark.sql.warehouse.dir", "spark-warehouse").rstrip("/") + "/_spotflow"
-    return found.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: cuts the lineage and survives lost executors.
-
-    The files go when the driver's Python ends, or with forget().
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/spotflow-{uuid.uuid4().hex}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
-    _pending[path] = spark
-    out = spark.read.schema(df.schema).parquet(path)
-    out._spotflow_path = path
-    return out
-
-
-def forget(*tables: DataFrame) -> None:
-    """Delete the files of stored() tables that nothing will read again."""
-    for t in tables:
-        if (path := getattr(t, "_spotflow_path", None)) is not None:
-            _pending.pop(path, None)
-            _drop(t.sparkSession, path)
-
-
 def free_name(df: DataFrame, name: str) -> str:
     """name, with as many underscores in front as it takes to clash with no column of df."""
     taken = {c.lower() for c in df.columns}
@@ -105,24 +74,6 @@ def numbered(df: DataFrame, column: str, name: str = "numbered") -> DataFrame:
     return stored(df.withColumn(column, F.monotonically_increasing_id()), name)
 
 
-_pending: dict[str, SparkSession] = {}
-
-
-def _drop(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target.getParent(), True)
-    except Exception:  # the JVM may be gone already
-        pass
-
-
-@atexit.register
-def _drop_all() -> None:
-    for path, spark in _pending.items():
-        _drop(spark, path)
-
-
 def input_bytes(df: DataFrame, column: str) -> int:
     """Catalyst's size estimate of df's sources, for choosing bucket counts; where it has none, the column's bytes."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
