@@ -1,8 +1,11 @@
 import random
+from collections import Counter
 from itertools import combinations
 
 import public_tokenizers
+import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from test_decontam import brute as contaminated
@@ -67,3 +70,22 @@ def test_near_duplicates_of_five_words_and_four_fifths(spark):
     df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(docs)], "doc_id long, text string, lang string, source string, n_chars long")
     kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, SF).collect()}
     assert kept == set(low) and 1 not in kept
+
+
+@pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES])
+def test_stages_on_odd_tables(spark, name):
+    """Empty tables, rows that come three times, nulls, and extra columns with names that stages use themselves."""
+    stage = dict(corpus_pipeline.STAGES)[name]
+    full = spark.read.parquet(f"{SF}/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    kind = full.schema
+    assert stage(spark, spark.createDataFrame([], kind), SF).collect() == []
+    rows = [tuple(r) for r in full.where("doc_id < 25").collect()]
+    odd = [(None, "the same words as ever " * 8, "en", "s", 1), (900, "plain text here", None, None, None)]
+    df = spark.createDataFrame(rows * 3 + odd, kind)
+    for extra in ("_row", "_tag", "_runs", "set", "label", "kept", "ids", "items", "n_words", "rejected"):
+        df = df.withColumn(extra, F.lit("x"))
+    got = stage(spark, df, SF)
+    want = stage(spark, spark.createDataFrame(rows * 3 + odd, kind), SF)
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    copies = Counter(r.doc_id for r in got.collect() if r.doc_id is not None and r.doc_id < 25)
+    assert set(copies.values()) == ({1} if name == "near_duplicates" else {3})
