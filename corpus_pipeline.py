@@ -1,4 +1,8 @@
-"""The corpus pipeline: language, near duplicates, repeated passages, benchmark leaks, encoding."""
+"""The corpus pipeline: language, near duplicates, repeated passages, benchmark leaks, encoding.
+
+Each stage takes the columns of documents, drops any others, and works on all rows that its predecessor kept;
+repeated rows stay repeated but in near_duplicates, and an empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
