@@ -110,7 +110,7 @@ def walk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Mass limit, largest radius of gyration and separation of the query below.
-_LIMITS = (30.0, 0.8, 3)
+_LIMITS = (3.0, 0.75, 3)
 
 
 @query(_WALK + f""", cand AS (SELECT video_id, frame, u0, v0, max_by(y, n) AS y, max_by(x, n) AS x, max_by(mass, n) AS mass FROM wlk GROUP BY ALL),
