@@ -24,7 +24,7 @@ spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "fals
 import sys
 sys.path.insert(0, {os.path.dirname(os.path.dirname(os.path.abspath(__file__)))!r})
 import __spark_entry__
-print("rows", __spark_entry__.queries()["bandpass"](spark, {__spark_entry__.SMALL!r}).count())
+print("rows", __spark_entry__.queries()["bandpass"](spark, {__spark_entry__.SMALL!r}).count(), __spark_entry__.entry(spark).count())
 """
     own = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=own, capture_output=True, text=True, timeout=180)
