@@ -53,6 +53,7 @@ def map_rows(df: DataFrame, fn: Callable, schema: str, rows: int = 2000) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from fn(part for b in batches for part in slices(b, rows))
+        returned()
 
     return df.mapInArrow(run, schema)
 

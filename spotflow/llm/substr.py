@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from .common import free_name, map_rows, stored
+from .common import free_name, map_rows, returned, stored
 
 #: Bytes that the super-k-mers gathered by a task take in memory before it hands them on, and what one takes
 #: beside its string: the string's and the dict's overhead and six list entries.
@@ -328,6 +328,7 @@ def judged(packed: DataFrame, window: int, gram: int, gather_bytes: int = GATHER
                             yield from left()
             if again is not None:
                 yield from left()
+                returned()
             elif total > sort_bytes and len(blobs) > 1:
                 yield from map(runs, covered_windows(blobs, window))
             elif blobs:
