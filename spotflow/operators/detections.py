@@ -54,6 +54,33 @@ def trivial_links(edges: DataFrame, by: list[str]) -> DataFrame:
     return counted.where("_s = 1 AND _d = 1").drop("_s", "_d")
 
 
+def sole_links(points: DataFrame, search_range: float, by: list[str], order: str, frame: str = "frame", y: str = "y", x: str = "x") -> DataFrame:
+    """by, frame, src, dst: the trivial_links() of link_edges(), without making the edges.
+
+    Detections of one place are one row with their number. A detection that shares a small cell with two of
+    the other frame has no sole link (any two points of such a cell are in range), so only the others are
+    compared with their neighbourhoods, and of these comparisons only counts leave a task.
+    """
+    keys = [*by, frame]
+    held = points.groupBy(*keys, F.col(y).alias("_y"), F.col(x).alias("_x")).agg(F.count("*").alias("_n"), F.min(order).alias("_id"))
+    places = stored(held.where("abs(_y) < double('inf') AND abs(_x) < double('inf')"), "places")  # null and NaN are near nothing
+    src, dst = places.withColumn(frame, F.col(frame) + 1), places
+
+    def sole(own: DataFrame, other: DataFrame) -> DataFrame:
+        """keys, _id of places that hold one point with one point of the other frame in range, _other: that point."""
+        small = lambda df: with_cells(df, search_range / 1.5, "_y", "_x", spread=False)
+        crowd = small(other).groupBy(*keys, "_cy", "_cx").agg(F.sum("_n").alias("_m")).where("_m > 1").drop("_m")
+        few = small(own.where("_n = 1")).join(crowd, [*keys, "_cy", "_cx"], "left_anti").drop("_cy", "_cx")
+        there = other.select(*keys, F.col("_y").alias("_y2"), F.col("_x").alias("_x2"), F.col("_n").alias("_m"), F.col("_id").alias("_other"))
+        near = with_cells(few, search_range, "_y", "_x", spread=True).join(with_cells(there, search_range, "_y2", "_x2", spread=False), [*keys, "_cy", "_cx"])
+        d2 = (F.col("_y") - F.col("_y2")) * (F.col("_y") - F.col("_y2")) + (F.col("_x") - F.col("_x2")) * (F.col("_x") - F.col("_x2"))
+        return near.where(d2 < search_range * search_range).groupBy(*keys, "_id").agg(F.sum("_m").alias("_m"), F.min("_other").alias("_other")).where("_m = 1").drop("_m")
+
+    ahead = sole(src, dst).withColumnsRenamed({"_id": "src", "_other": "dst"})
+    back = sole(dst, src).withColumnsRenamed({"_id": "dst", "_other": "src"})
+    return ahead.join(back, [*keys, "src", "dst"]).select(*by, F.col(frame).alias("frame"), "src", "dst")
+
+
 def brightest(points: DataFrame, n: int, by: list[str], value: str, *ties: str) -> DataFrame:
     """The n rows of highest value of each group, ties in the given order."""
     w = Window.partitionBy(*by).orderBy(F.desc(value), *ties)

@@ -245,7 +245,7 @@ def link_edges_theta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_EDGES} SELECT frame, src, dst FROM (SELECT *, count(*) OVER (PARTITION BY frame, src) AS s, count(*) OVER (PARTITION BY frame, dst) AS d FROM e) WHERE s = 1 AND d = 1")
 def trivial_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return det.trivial_links(det.link_edges(lens.detections(spark, sf_dir), 15, [], "seq"), []).select("frame", "src", "dst")
+    return det.sole_links(lens.detections(spark, sf_dir), 15, [], "seq").select("frame", "src", "dst")
 
 
 def _sparse(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -117,3 +117,36 @@ def test_reach(spark):
     pages = spark.createDataFrame([page(1, "http://h/a", "/b", "/x.png"), page(2, "http://h/b", "/c"), page(3, "http://h/c", "/a"), page(4, "http://h/d")], "page_id int, url string, html string")
     got = web.reached(pages, spark.createDataFrame([("http://h/a",)], "url string"), 5)
     assert sorted((r.url[-1], r.round) for r in got.collect()) == [("a", 0), ("b", 1), ("c", 2)]
+
+
+def shuffled(spark):
+    """Rows that all stages so far have written for a shuffle."""
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_sole_links_are_found_without_the_edges(spark, tmp_path):
+    """A crowd of 1,500 points in each of two frames, whose 2,250,000 edges no shuffle has to carry."""
+    at = lambda t, n, value, k: f"SELECT timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, {6 * t}) AS ts, CAST(id AS BIGINT) AS id, CAST({value} AS DOUBLE) AS value, '{{\"k\": {k}}}' AS props FROM range({n})"
+    parts = [at(t, 1500, "20 + id % 3", 50) for t in (0, 1)] + [at(0, 1, 300, 5), at(1, 1, 310, 5), at(1, 1, "'NaN'", 5), at(0, 2, "500 + id", 5), at(1, 1, 505, 5), at(2, 1, 519.9, 5)]
+    events = spark.sql(" UNION ALL ".join(parts)).selectExpr("row_number() OVER (ORDER BY ts, value, id) AS event_id", "ts", "id AS user_id", "value", "props")
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    before = shuffled(spark)
+    got = rows(QUERIES["trivial_links"](spark, str(tmp_path)).toPandas())
+    assert shuffled(spark) - before < 50_000
+    c = duckdb.connect()
+    c.execute("SET timezone = 'UTC'")
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert got == rows(c.sql(ORACLES["trivial_links"]).df()) and len(got) == 2
+
+
+def test_sole_links_of_random_points(spark):
+    import random
+
+    rng = random.Random(3)
+    made = [("ab"[i % 2], rng.randint(0, 3), i, rng.choice([round(rng.random() * 40), rng.random() * 90]), rng.random() * 30) for i in range(400)]
+    made += [("a", 1, 400, None, 1.0), ("a", 2, 401, float("nan"), 1.0), ("a", 1, 402, -0.0, 80.0), ("a", 2, 403, 0.0, 80.0), ("a", 2, 404, 0.0, 95.0)]
+    df = spark.createDataFrame([(v, t, i, None if y is None else float(y), x) for v, t, i, y, x in made], "video_id string, frame int, seq long, y double, x double")
+    want = det.trivial_links(det.link_edges(df, 5.0, ["video_id"], "seq"), ["video_id"]).select("video_id", "frame", "src", "dst").collect()
+    assert sorted(det.sole_links(df, 5.0, ["video_id"], "seq").collect()) == sorted(want) and len(want) > 10
