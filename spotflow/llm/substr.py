@@ -32,6 +32,9 @@ SORT, FAN, SALTED, DEALT = 16 << 20, 256, 2, 4
 BUCKET = 3 << 19
 #: Keys that are broadcast where they have several texts; more are joined.
 SENT_KEYS = 100_000
+#: Bits that say which documents may have runs to remove: so many for each document that has, in words of 64,
+#: up to a bound beyond which more texts are joined than have to be.
+BITS, MOST_BITS = 16, 1 << 25
 #: How a packed super-k-mer's document, tag, first word and number of windows are stored: as differences.
 FIELDS = ("<i8", "<i8", "<i4", "<i4")
 RUNS = ("doc", "tag", "first", "last")
@@ -377,6 +380,18 @@ def identified(docs: DataFrame, text: str, key: str) -> tuple[DataFrame, str, in
     return docs.join(several, key, "left").withColumn(tag, F.when(F.col(tag), F.xxhash64(text)).otherwise(F.lit(0).cast("long"))).select(*docs.columns, tag), tag, sums.size or 0
 
 
+def divided(base: DataFrame, runs: DataFrame, key: str, doc: str) -> tuple[DataFrame, DataFrame]:
+    """base in two parts: rows whose key may be a doc of runs, and rows whose key is none. Only the former need a join."""
+    n = runs.agg(F.approx_count_distinct(doc)).first()[0]
+    bits = min(MOST_BITS, max(1 << 10, 1 << (BITS * n).bit_length()))
+    place = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(bits))
+    at, word, mask = (free_name(base, c) for c in ("_at", "_word", "_mask"))
+    marks = runs.select(place(doc).alias("_p")).groupBy(F.shiftright("_p", 6).alias(word)).agg(F.bit_or(F.expr("shiftleft(1L, CAST(_p & 63 AS INT))")).alias(mask))
+    known = base.withColumn(at, place(key)).withColumn(word, F.shiftright(at, 6)).join(F.broadcast(marks), word, "left")
+    hit = F.coalesce(F.expr(f"shiftright(`{mask}`, CAST(`{at}` & 63 AS INT)) & 1L") == 1, F.lit(False))
+    return known.where(hit).select(*base.columns), known.where(~hit).select(*base.columns)
+
+
 def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int = 13, gram: int = 4, gather_bytes: int = GATHER, sort_bytes: int = SORT) -> DataFrame:
     """Every column of docs, then n_words, n_removed, kept (words left, joined by blanks), kept_sha256.
 
@@ -384,7 +399,7 @@ def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", window
     the input. Words are runs of other bytes than blanks and 0x09-0x0D. Null texts have no words. Rows whose
     key is null lose nothing and take nothing away; rows with equal keys don't take from one another, and
     equal rows have equal results. Keys are whole numbers; others raise. Columns with a result's name are
-    replaced; texts shorter than a window are kept whole. docs is read three times: store it first if it is
+    replaced; texts shorter than a window are kept whole. docs is read four times: store it first if it is
     dear to compute.
     """
     if not isinstance(docs.schema[key].dataType, IntegralType):
@@ -408,9 +423,12 @@ def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", window
 
     packed = map_rows(base.select(F.col(key).cast("long"), tag, text), pack, "bucket long, raw long, packed binary")
     held = free_name(base, "_runs")
-    runs = judged(packed, window, gram, gather_bytes, sort_bytes).groupBy(F.col("doc").alias(key), F.col("tag").alias(tag)).agg(F.collect_set(F.struct("first", "last")).alias(held))
+    found = judged(packed, window, gram, gather_bytes, sort_bytes)
+    runs = found.groupBy(F.col("doc").alias(key), F.col("tag").alias(tag)).agg(F.collect_set(F.struct("first", "last")).alias(held))
     names = [c for c in base.columns if c != tag]
-    joined = base.join(runs, [key, tag], "left").select(*names, held)
+    touched, whole = divided(base, found, key, "doc")  # texts that lose nothing aren't shuffled
+    kind = runs.schema[held].dataType
+    joined = touched.join(runs, [key, tag], "left").select(*names, held).unionAll(whole.select(*names, F.lit(None).cast(kind).alias(held)))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

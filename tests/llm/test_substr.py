@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from spotflow.llm.substr import deduplicate
+from spotflow.llm.substr import deduplicate, divided
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -68,3 +68,33 @@ def test_keys_have_to_be_numbers(spark):
 
 def test_empty(spark):
     assert deduplicate(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def shuffled_bytes(spark):
+    """Bytes that all stages so far have written for a shuffle."""
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_texts_that_lose_nothing_are_not_shuffled(spark, tmp_path):
+    """Texts of ten long words, with no window of 13, beside a few that repeat a passage."""
+    rng = random.Random(4)
+    passage = " ".join(f"w{i}" for i in range(20))
+    docs = [(i, " ".join(rng.randbytes(100).hex() for _ in range(10))) for i in range(500)] + [(1000 + i, f"{passage} {i}") for i in range(5)] + [(None, passage)]
+    spark.createDataFrame(docs, "doc_id int, text string").write.parquet(str(tmp_path / "docs"))
+    before = shuffled_bytes(spark)
+    got = deduplicate(spark.read.parquet(str(tmp_path / "docs"))).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert shuffled_bytes(spark) - before < 200_000  # the texts are 1,000,000 bytes
+    assert sorted(map(tuple, got), key=str) == sorted(brute(docs, 13), key=str)
+
+
+@pytest.mark.parametrize("most", [1 << 25, 64])
+def test_documents_divided_by_bits(spark, monkeypatch, most):
+    monkeypatch.setattr("spotflow.llm.substr.MOST_BITS", most)
+    base = spark.createDataFrame([(i // 2 - 600,) for i in range(4000)] + [(None,)], "k long")
+    runs = spark.createDataFrame([(i * 37 - 600,) for i in range(50)] * 3, "doc long")
+    touched, whole = ([r.k for r in part.collect()] for part in divided(base, runs, "k", "doc"))
+    key = lambda k: (k is None, k)
+    assert sorted(touched + whole, key=key) == sorted((r.k for r in base.collect()), key=key)
+    assert not {i * 37 - 600 for i in range(50)} & set(whole) and (most == 64 or len(touched) < 500)
