@@ -150,3 +150,16 @@ def test_sole_links_of_random_points(spark):
     df = spark.createDataFrame([(v, t, i, None if y is None else float(y), x) for v, t, i, y, x in made], "video_id string, frame int, seq long, y double, x double")
     want = det.trivial_links(det.link_edges(df, 5.0, ["video_id"], "seq"), ["video_id"]).select("video_id", "frame", "src", "dst").collect()
     assert sorted(det.sole_links(df, 5.0, ["video_id"], "seq").collect()) == sorted(want) and len(want) > 10
+
+
+@pytest.mark.parametrize("grid", [True, False])
+def test_edges_of_copies_travel_as_places(spark, tmp_path, grid):
+    """40 places in each of two frames, 100 times each: what is shuffled are places, not their pairs or copies."""
+    made = spark.sql("SELECT CAST(id % 2 AS BIGINT) AS frame, id AS seq, CAST((id DIV 2) % 40 AS DOUBLE) AS y, 0.0D AS x FROM range(8000) UNION ALL SELECT 1L, 9000L, double('NaN'), 0.0D UNION ALL SELECT 0L, 9001L, null, 0.0D")
+    made.write.parquet(str(tmp_path / "points"))
+    before = shuffled(spark)
+    edges = det.link_edges(spark.read.parquet(str(tmp_path / "points")), 2.0, [], "seq", grid=grid)
+    got = edges.selectExpr("count(*) AS n", "sum(d2) AS s").first()
+    assert shuffled(spark) - before < 4000  # 8,000 points in 40 places a frame
+    assert tuple(got) == ((40 + 2 * 39) * 10_000, 2 * 39 * 10_000.0)
+    assert edges.where("src < 200 AND dst < 200").distinct().count() == edges.where("src < 200 AND dst < 200").count() > 0
