@@ -19,6 +19,7 @@ from .langid import held_out, identify, train
 from .media import document_media, interleaved, media_store, read_features
 from .decontam import contamination
 from .tokens import count_tokens
+from .whiten import by_component, whitened
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -219,3 +220,8 @@ def viterbi_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = table(spark, sf_dir, "benchmark").select(F.explode(F.split(F.coalesce("text", F.lit("")), r"\s+")).alias("word")).where("word <> ''").distinct()
     cuts = unit_cuts(words.select(F.lit(0).alias("number"), F.concat(F.lit(SPACE), "word").alias("unit"), F.lit(None).cast("binary").alias("whole")), as_unigrams(model))
     return cuts.select("unit", "cuts", (F.bit_count("cuts") - 1).alias("n_pieces"))
+
+
+@query
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return by_component(whitened(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")))
