@@ -18,6 +18,7 @@ from .chat import conversations, link_quotes, with_quotes
 from .langid import held_out, identify, train
 from .media import document_media, interleaved, media_store, read_features
 from .decontam import contamination
+from .repair import damaged, repair, summaries
 from .tokens import count_tokens
 from .whiten import by_component, whitened
 
@@ -225,3 +226,63 @@ def viterbi_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by_component(whitened(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")))
+
+
+@query
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summaries(repair(damaged(table(spark, sf_dir, "conversations"))))
+
+
+#: crc32 by its table; then a program over the rows of each conversation, the best (cost, audit) of each state carried on.
+ORACLES["op12_conversation_repair"] = r"""
+WITH RECURSIVE tab AS (
+  SELECT list(v ORDER BY b) AS t FROM (
+    SELECT b, list_reduce(list_prepend(b, range(0, 8)), lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END) AS v FROM range(0, 256) r(b))
+), h AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+           lambda x, c: xor(x // 256, t[xor(x & 255, c) + 1])), 4294967295) % 20 AS way
+  FROM conversations, tab
+), d AS (
+  SELECT conv_id, turn, CASE way WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE way WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM h, range(0, 2) c(copy) WHERE way <> 0 AND (copy = 0 OR way = 3)
+), n AS (
+  SELECT *, row_number() OVER o AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS again, left(role, 1) AS c, lag(left(role, 1)) OVER o AS before,
+         rtrim(text, E' \t\n\r\x0b\x0c') AS body
+  FROM d WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+), f AS (
+  SELECT *, CASE WHEN body = '' THEN 'b' WHEN again > 1 THEN 'd' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault FROM n
+), counted AS (
+  SELECT conv_id, count(*) AS rows, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+         count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (i > 1 AND before || c NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id
+), w(conv_id, i, b) AS (
+  SELECT conv_id, CAST(0 AS BIGINT), [struct_pack(q := 0, cost := CAST(0 AS BIGINT), audit := '', said := CAST([] AS VARCHAR[])),
+    struct_pack(q := 2, cost := 3, audit := 'I', said := ['user:']), struct_pack(q := 3, cost := 6, audit := 'II', said := ['user:', 'assistant:'])] FROM counted
+  UNION ALL
+  SELECT conv_id, i, b FROM (
+    WITH e AS (
+      SELECT f.conv_id, f.i, f.role, f.text, f.c, f.fault, unnest(w.b) AS s FROM w JOIN f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i + 1
+    ), moved AS (
+      SELECT conv_id, i, s.q AS q, s.cost + 4 AS cost, s.audit || 'D' AS audit, s.said AS said FROM e
+      UNION ALL SELECT conv_id, i, CASE WHEN c = 's' THEN 1 WHEN c = 'u' THEN 2 ELSE 3 END, s.cost + CASE fault WHEN 't' THEN 3 ELSE 0 END, s.audit || 'K', list_append(s.said, role || ':' || text)
+        FROM e WHERE fault NOT IN ('b', 'd') AND (c = 's' AND s.q = 0 OR c = 'u' AND s.q <> 2 OR c = 'a' AND s.q = 2)
+      UNION ALL SELECT conv_id, i, CASE WHEN s.q = 2 THEN 3 ELSE 2 END, s.cost + 3 + CASE fault WHEN 't' THEN 3 ELSE 0 END, s.audit || 'R', list_append(s.said, CASE WHEN s.q = 2 THEN 'assistant:' ELSE 'user:' END || text)
+        FROM e WHERE fault NOT IN ('b', 'd')
+    ), put AS (
+      SELECT * FROM moved
+      UNION ALL SELECT conv_id, i, CASE WHEN q = 2 THEN 3 ELSE 2 END, cost + 3, audit || 'I', list_append(said, CASE WHEN q = 2 THEN 'assistant:' ELSE 'user:' END) FROM moved
+      UNION ALL SELECT conv_id, i, CASE WHEN q = 2 THEN 2 ELSE 3 END, cost + 6, audit || 'II', list_concat(said, CASE WHEN q = 2 THEN ['assistant:', 'user:'] ELSE ['user:', 'assistant:'] END) FROM moved
+    ), best AS (
+      SELECT conv_id, i, q, min(struct_pack(q := q, cost := cost, audit := audit, said := said)) AS s FROM put GROUP BY conv_id, i, q
+    )
+    SELECT conv_id, i, list(s) AS b FROM best GROUP BY conv_id, i
+  )
+), done AS (
+  SELECT w.conv_id, min(struct_pack(cost := s.cost, audit := s.audit, said := s.said)) AS s
+  FROM (SELECT conv_id, i, unnest(b) AS s FROM w) w JOIN counted c ON c.conv_id IS NOT DISTINCT FROM w.conv_id AND c.rows = w.i WHERE s.q IN (0, 3) GROUP BY w.conv_id
+)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(s.cost, 0) AS cost, coalesce(s.audit, '') AS audit, sha256(coalesce(array_to_string(s.said, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN done ON done.conv_id IS NOT DISTINCT FROM a.conv_id
+"""
