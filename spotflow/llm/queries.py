@@ -19,6 +19,7 @@ from .langid import held_out, identify, train
 from .media import document_media, interleaved, media_store, read_features
 from .decontam import contamination
 from .repair import damaged, repair, summaries
+from .rules import COVERED_PERCENT, LONGEST, REPEAT_WORDS, repetition
 from .tokens import count_tokens
 from .whiten import by_component, whitened
 
@@ -286,3 +287,32 @@ SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coales
        coalesce(s.cost, 0) AS cost, coalesce(s.audit, '') AS audit, sha256(coalesce(array_to_string(s.said, chr(10)), '')) AS repaired_sha256
 FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN done ON done.conv_id IS NOT DISTINCT FROM a.conv_id
 """
+
+
+@query
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = repetition(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return made.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_covered", (F.col("longest_repeat") > LONGEST).alias("too_long"))
+
+
+ORACLES["op13_quality_rules"] = rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), l AS (
+  SELECT doc_id, sum(n - 1) AS n_dup_lines FROM (SELECT doc_id, line, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id, line) GROUP BY doc_id
+), w AS (
+  SELECT doc_id, k, i, list_slice(ws, i, i + k - 1) AS win FROM (SELECT doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM d, (VALUES (3), ({REPEAT_WORDS}), ({LONGEST + 1})) v(k) WHERE len(ws) >= k)
+), t AS (
+  SELECT doc_id, k, list(i) AS places FROM w GROUP BY doc_id, k, win HAVING count(*) > 1
+), c AS (
+  SELECT doc_id, k, count(DISTINCT p) AS n FROM (SELECT doc_id, k, unnest(range(i, i + k)) AS p FROM (SELECT doc_id, k, unnest(places) AS i FROM t)) GROUP BY doc_id, k
+), n AS (
+  SELECT doc_id, coalesce(max(n) FILTER (k = 3), 0) AS n_repeat_words, coalesce(max(n) FILTER (k = {REPEAT_WORDS}), 0) AS n_covered, coalesce(max(n) FILTER (k = {LONGEST + 1}), 0) > 0 AS too_long FROM c GROUP BY doc_id
+), r AS (
+  SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_covered, 0) AS n_covered, coalesce(too_long, false) AS too_long
+  FROM d LEFT JOIN l USING (doc_id) LEFT JOIN n USING (doc_id)
+)
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * n_covered <= {COVERED_PERCENT} * n_words AND NOT too_long AS kept FROM r
+"""
