@@ -35,20 +35,62 @@ def suppress_close(points: DataFrame, separation: float, by: list[str], order: s
     return left.join(other, on, "left_anti").drop("_cy", "_cx")
 
 
-def link_edges(points: DataFrame, search_range: float, by: list[str], order: str, frame: str = "frame", y: str = "y", x: str = "x", grid: bool = True) -> DataFrame:
-    """by, frame (of the later one), src, dst, d2: pairs of neighbouring frames nearer than search_range.
+def places(points: DataFrame, by: list[str], order: str, frame: str = "frame", y: str = "y", x: str = "x") -> DataFrame:
+    """by, frame, y, x, place (least of order), n of each position that detections of a frame have; null, NaN and infinite ones are nowhere."""
+    held = points.where((F.abs(y) < float("inf")) & (F.abs(x) < float("inf")))
+    return held.groupBy(*by, F.col(frame).alias("frame"), F.col(y).alias("y"), F.col(x).alias("x")).agg(F.min(order).alias("place"), F.count("*").alias("n"))
 
-    Detections of one place travel and are compared as one row; their pairs are made last, in passing.
+
+def place_edges(points: DataFrame, search_range: float, by: list[str], order: str, frame: str = "frame", y: str = "y", x: str = "x") -> DataFrame:
+    """by, frame (of the later one), src, dst, n_src, n_dst, d2: places of neighbouring frames nearer than search_range.
+
+    A place stands for all its detections, which place_members() lists, so copies add nothing to the pairs.
+    """
+    held = places(points, by, order, frame, y, x)
+    src = held.select(*by, (F.col("frame") + 1).alias("frame"), F.col("place").alias("src"), F.col("n").alias("n_src"), F.col("y").alias("y1"), F.col("x").alias("x1"))
+    dst = held.select(*by, "frame", F.col("place").alias("dst"), F.col("n").alias("n_dst"), F.col("y").alias("y2"), F.col("x").alias("x2"))
+    src, dst = with_cells(src, search_range, "y1", "x1", spread=True), with_cells(dst, search_range, "y2", "x2", spread=False)
+    d2 = (F.col("y1") - F.col("y2")) * (F.col("y1") - F.col("y2")) + (F.col("x1") - F.col("x2")) * (F.col("x1") - F.col("x2"))
+    near = src.join(dst, [*by, "frame", "_cy", "_cx"]).withColumn("d2", d2).where(F.col("d2") < search_range * search_range)
+    return near.select(*by, "frame", "src", "dst", "n_src", "n_dst", "d2")
+
+
+def place_members(points: DataFrame, by: list[str], order: str, frame: str = "frame", y: str = "y", x: str = "x") -> DataFrame:
+    """points with place: the least of order at their position; null where a detection is nowhere."""
+    held = places(points, by, order, frame, y, x).drop("n").withColumnsRenamed({"frame": "_f", "y": "_y", "x": "_x", **{b: f"_b{k}" for k, b in enumerate(by)}})
+    on = [F.col(frame) == F.col("_f"), F.col(y) == F.col("_y"), F.col(x) == F.col("_x"), *(F.col(b).eqNullSafe(F.col(f"_b{k}")) for k, b in enumerate(by))]
+    return points.join(held, on, "left").select(*points.columns, "place")
+
+
+def link_degrees(points: DataFrame, search_range: float, by: list[str], order: str, frame: str = "frame", y: str = "y", x: str = "x") -> DataFrame:
+    """points with n_before and n_after: how many detections of the frame before and of the one behind are in range.
+
+    Counted place by place and summed in passing: no edge of two detections is ever a row.
+    """
+    edges = place_edges(points, search_range, by, order, frame, y, x)
+    ends = F.explode(F.array(
+        F.struct((F.col("frame") - 1).alias("frame"), F.col("src").alias("place"), F.lit(0).cast("long").alias("before"), F.col("n_dst").alias("after")),
+        F.struct(F.col("frame"), F.col("dst").alias("place"), F.col("n_src").alias("before"), F.lit(0).cast("long").alias("after")),
+    ))
+    counts = edges.select(*by, ends.alias("e")).groupBy(*by, F.col("e.frame").alias("_f"), F.col("e.place").alias("_p")).agg(F.sum("e.before").alias("_before"), F.sum("e.after").alias("_after"))
+    counts = counts.withColumnsRenamed({b: f"_b{k}" for k, b in enumerate(by)})
+    on = [F.col(frame) == F.col("_f"), F.col("place") == F.col("_p"), *(F.col(b).eqNullSafe(F.col(f"_b{k}")) for k, b in enumerate(by))]
+    named = place_members(points, by, order, frame, y, x).join(counts, on, "left")
+    return named.select(*points.columns, F.coalesce("_before", F.lit(0)).alias("n_before"), F.coalesce("_after", F.lit(0)).alias("n_after"))
+
+
+def link_edges(points: DataFrame, search_range: float, by: list[str], order: str, frame: str = "frame", y: str = "y", x: str = "x") -> DataFrame:
+    """by, frame (of the later one), src, dst, d2: pairs of detections of neighbouring frames nearer than search_range.
+
+    Every edge is a row, copies of a place multiplied in passing: for tables without many of them; place_edges() has the same in less.
     """
-    held = points.groupBy(*by, F.col(frame).alias("frame"), F.col(y).alias("_y"), F.col(x).alias("_x")).agg(F.collect_list(order).alias("_ids"))
+    known = points.where((F.abs(y) < float("inf")) & (F.abs(x) < float("inf")))
+    held = known.groupBy(*by, F.col(frame).alias("frame"), F.col(y).alias("_y"), F.col(x).alias("_x")).agg(F.collect_list(order).alias("_ids"))
     src = held.select(*by, (F.col("frame") + 1).alias("frame"), F.col("_ids").alias("_src"), F.col("_y").alias("y1"), F.col("_x").alias("x1"))
     dst = held.select(*by, "frame", F.col("_ids").alias("_dst"), F.col("_y").alias("y2"), F.col("_x").alias("x2"))
-    keys = [*by, "frame"]
-    if grid:
-        src, dst = with_cells(src, search_range, "y1", "x1", spread=True), with_cells(dst, search_range, "y2", "x2", spread=False)
-        keys += ["_cy", "_cx"]
+    src, dst = with_cells(src, search_range, "y1", "x1", spread=True), with_cells(dst, search_range, "y2", "x2", spread=False)
     d2 = (F.col("y1") - F.col("y2")) * (F.col("y1") - F.col("y2")) + (F.col("x1") - F.col("x2")) * (F.col("x1") - F.col("x2"))
-    near = src.join(dst, keys).withColumn("d2", d2).where(F.col("d2") < search_range * search_range)
+    near = src.join(dst, [*by, "frame", "_cy", "_cx"]).withColumn("d2", d2).where(F.col("d2") < search_range * search_range)
     return near.select(*by, "frame", F.explode("_src").alias("src"), "_dst", "d2").select(*by, "frame", "src", F.explode("_dst").alias("dst"), "d2")
 
 

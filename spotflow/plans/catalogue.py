@@ -233,14 +233,24 @@ def close_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 _EDGES = f"{SQL['ev']}, {SQL['det']}, e AS (SELECT b.frame, a.seq AS src, b.seq AS dst, (a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x) AS d2 FROM det a JOIN det b ON b.frame = a.frame + 1 WHERE (a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x) < 225)"
 
 
-@query(f"WITH {_EDGES} SELECT frame, src, dst, round(d2, 6) AS d2 FROM e")
+_PLACES = f"{SQL['ev']}, {SQL['det']}, p AS (SELECT frame, y, x, min(seq) AS place, count(*) AS n FROM det WHERE y IS NOT NULL AND x IS NOT NULL GROUP BY ALL)"
+
+
+@query(f"WITH {_PLACES} SELECT b.frame, a.place AS src, b.place AS dst, a.n AS n_src, b.n AS n_dst, round((a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x), 6) AS d2 FROM p a JOIN p b ON b.frame = a.frame + 1 WHERE (a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x) < 225")
 def link_edges_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return det.link_edges(lens.detections(spark, sf_dir), 15, [], "seq").select("frame", "src", "dst", *r6("d2"))
+    """Places in range, with the number of detections at each; link_places says which these are."""
+    return det.place_edges(lens.detections(spark, sf_dir), 15, [], "seq").select("frame", "src", "dst", "n_src", "n_dst", *r6("d2"))
+
+
+@query(f"WITH {_PLACES} SELECT det.frame, seq, place FROM det LEFT JOIN p ON p.frame = det.frame AND p.y = det.y AND p.x = det.x")
+def link_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return det.place_members(lens.detections(spark, sf_dir), [], "seq").select("frame", "seq", "place")
 
 
-@query(f"WITH {_EDGES} SELECT frame, src, dst, round(d2, 6) AS d2 FROM e")
+@query(f"WITH {_EDGES}, s AS (SELECT src AS seq, count(*) AS n FROM e GROUP BY src), d AS (SELECT dst AS seq, count(*) AS n FROM e GROUP BY dst) SELECT det.frame, det.seq, coalesce(d.n, 0) AS n_before, coalesce(s.n, 0) AS n_after FROM det LEFT JOIN d ON d.seq = det.seq LEFT JOIN s ON s.seq = det.seq")
 def link_edges_theta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return det.link_edges(lens.detections(spark, sf_dir), 15, [], "seq", grid=False).select("frame", "src", "dst", *r6("d2"))
+    """Each detection's number of edges to the frame before and to the one behind."""
+    return det.link_degrees(lens.detections(spark, sf_dir), 15, [], "seq").select("frame", "seq", "n_before", "n_after")
 
 
 @query(f"WITH {_EDGES} SELECT frame, src, dst FROM (SELECT *, count(*) OVER (PARTITION BY frame, src) AS s, count(*) OVER (PARTITION BY frame, dst) AS d FROM e) WHERE s = 1 AND d = 1")

@@ -152,14 +152,46 @@ def test_sole_links_of_random_points(spark):
     assert sorted(det.sole_links(df, 5.0, ["video_id"], "seq").collect()) == sorted(want) and len(want) > 10
 
 
-@pytest.mark.parametrize("grid", [True, False])
-def test_edges_of_copies_travel_as_places(spark, tmp_path, grid):
+def test_edges_of_copies_travel_as_places(spark, tmp_path):
     """40 places in each of two frames, 100 times each: what is shuffled are places, not their pairs or copies."""
     made = spark.sql("SELECT CAST(id % 2 AS BIGINT) AS frame, id AS seq, CAST((id DIV 2) % 40 AS DOUBLE) AS y, 0.0D AS x FROM range(8000) UNION ALL SELECT 1L, 9000L, double('NaN'), 0.0D UNION ALL SELECT 0L, 9001L, null, 0.0D")
     made.write.parquet(str(tmp_path / "points"))
+    points = spark.read.parquet(str(tmp_path / "points"))
     before = shuffled(spark)
-    edges = det.link_edges(spark.read.parquet(str(tmp_path / "points")), 2.0, [], "seq", grid=grid)
+    edges = det.link_edges(points, 2.0, [], "seq")
     got = edges.selectExpr("count(*) AS n", "sum(d2) AS s").first()
     assert shuffled(spark) - before < 4000  # 8,000 points in 40 places a frame
     assert tuple(got) == ((40 + 2 * 39) * 10_000, 2 * 39 * 10_000.0)
     assert edges.where("src < 200 AND dst < 200").distinct().count() == edges.where("src < 200 AND dst < 200").count() > 0
+    before = shuffled(spark)
+    pairs = det.place_edges(points, 2.0, [], "seq").collect()
+    assert shuffled(spark) - before < 4000 and len(pairs) == 40 + 2 * 39 and {(r.n_src, r.n_dst) for r in pairs} == {(100, 100)}
+
+
+def test_places_stand_for_their_edges(spark):
+    """Pairs of places and their members together are the edges; degrees count them."""
+    import random
+    from collections import Counter
+
+    rng = random.Random(4)
+    made = [("ab"[i % 2] if i % 7 else None, rng.randint(0, 3), i, float(rng.randint(0, 12)), float(rng.randint(0, 3))) for i in range(300)]
+    made += [("a", 1, 400, None, 1.0), ("a", 2, 401, float("nan"), 1.0), ("a", 2, 402, float("inf"), 1.0)]
+    df = spark.createDataFrame(made, "video_id string, frame int, seq long, y double, x double")
+    edges = {(r.video_id, r.frame, r.src, r.dst) for r in det.link_edges(df.where("video_id IS NOT NULL"), 3.0, ["video_id"], "seq").collect()}
+    members = {}
+    for r in det.place_members(df, ["video_id"], "seq").collect():
+        members.setdefault(r.place, []).append(r.seq)
+    assert sorted(members.pop(None)) == [400, 401, 402] and sum(map(len, members.values())) == 300
+    pairs = det.place_edges(df, 3.0, ["video_id"], "seq").collect()
+    assert all((len(members[r.src]), len(members[r.dst])) == (r.n_src, r.n_dst) for r in pairs)
+    assert {(r.video_id, r.frame, a, b) for r in pairs for a in members[r.src] for b in members[r.dst]} == edges
+    degrees = {r.seq: (r.n_before, r.n_after) for r in det.link_degrees(df, 3.0, ["video_id"], "seq").collect()}
+    ahead, back = Counter(e[2] for e in edges), Counter(e[3] for e in edges)
+    assert degrees == {r[2]: (back[r[2]], ahead[r[2]]) for r in made}
+
+
+def test_columns_of_other_names(spark):
+    df = spark.createDataFrame([(0, 1, 0.0, 0.0, 7), (1, 2, 1.0, 0.0, 8), (1, 3, 1.0, 0.0, 9)], "t int, k long, v double, u double, n int")
+    assert [tuple(r) for r in det.place_edges(df, 2.0, [], "k", "t", "v", "u").collect()] == [(1, 1, 2, 1, 2, 1.0)]
+    assert {(r.k, r.place, r.n) for r in det.place_members(df, [], "k", "t", "v", "u").collect()} == {(1, 1, 7), (2, 2, 8), (3, 2, 9)}
+    assert {(r.k, r.n_before, r.n_after) for r in det.link_degrees(df, 2.0, [], "k", "t", "v", "u").collect()} == {(1, 0, 2), (2, 1, 0), (3, 1, 0)}
