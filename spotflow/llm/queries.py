@@ -18,7 +18,7 @@ from .chat import conversations, link_quotes, with_quotes
 from .langid import held_out, identify, train
 from .media import document_media, interleaved, media_store, read_features
 from .decontam import contamination
-from .repair import damaged, repair, summaries
+from .repair import damaged, repaired_parts, summaries
 from .rules import COVERED_PERCENT, LONGEST, REPEAT_WORDS, repetition
 from .tokens import count_tokens
 from .whiten import by_component, whitened
@@ -231,7 +231,7 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summaries(repair(damaged(table(spark, sf_dir, "conversations"))))
+    return summaries(*repaired_parts(damaged(table(spark, sf_dir, "conversations"))))
 
 
 #: crc32 by its table; then a program over the rows of each conversation, the best (cost, audit) of each state carried on.

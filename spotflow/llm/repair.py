@@ -348,7 +348,13 @@ _OUTCOME_KINDS = "first_turn bigint, last_turn bigint, turns bigint, blank bigin
 
 
 def repair(rows: DataFrame) -> DataFrame:
-    """Conversations as they should be, in segments: conv_id, part, chunk, whole, what was found, cost, audit and messages (role, text).
+    """Both of repaired_parts() as one table."""
+    short, long = repaired_parts(rows)
+    return short.unionByName(long)
+
+
+def repaired_parts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Conversations as they should be, whole ones and those that may be cut, in segments: conv_id, part, chunk, whole, what was found, cost, audit and messages (role, text).
 
     rows: conv_id, turn (whole numbers), role, text and there, copies, as damaged() makes them; other columns are
     left out. The cheapest edits give role initials (s?(ua)+)?: rows are kept, get the role of user or assistant (3), go (4;
@@ -371,11 +377,11 @@ def repair(rows: DataFrame) -> DataFrame:
     both = made.drop("matrix").join(behind, ["part", "chunk"]).select("conv_id", "part", "chunk", "initial", "fault", "copies", "last", "behind")
     ways = map_rows(both, exits, f"{conv}, part int, chunk int, exits array<int>, last boolean, behind array<bigint>")
     states = map_rows(ways.repartition("conv_id").sortWithinPartitions("conv_id", "part", "chunk"), folded_on, "part int, chunk int, behind array<bigint>, last boolean, state int")
-    return short.unionByName(map_rows(long.join(states, ["part", "chunk"]), solved, kinds, rows=4000))
+    return short, map_rows(long.join(states, ["part", "chunk"]), solved, kinds, rows=4000)
 
 
-def summaries(segments: DataFrame) -> DataFrame:
-    """A row for each conversation of repair(): conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit, repaired_sha256.
+def summaries(short: DataFrame, long: DataFrame) -> DataFrame:
+    """A row for each conversation of repaired_parts(): conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit, repaired_sha256.
 
     repaired_sha256 is of role:text of all messages, newline-joined; it is taken in passing, segment by segment.
     """
@@ -415,10 +421,10 @@ def summaries(segments: DataFrame) -> DataFrame:
         if now is not None:
             yield _summary([closed()], last)
 
-    conv = f"conv_id {dict(segments.dtypes)['conv_id']}"
+    conv = f"conv_id {dict(short.dtypes)['conv_id']}"
     kinds = f"{conv}, gaps bigint, blank bigint, duplicate bigint, truncated bigint, illegal bigint, cost bigint, audit string, repaired_sha256 string"
-    cut = segments.where("NOT whole").repartition("conv_id").sortWithinPartitions("conv_id", "part", "chunk")
-    return map_rows(segments.where("whole"), merge, kinds).unionByName(map_rows(cut, merge, kinds))
+    cut = long.repartition("conv_id").sortWithinPartitions("conv_id", "part", "chunk")
+    return map_rows(short, merge, kinds).unionByName(map_rows(cut, merge, kinds))
 
 
 def _summary(rows: list[dict], like: pa.RecordBatch) -> pa.RecordBatch:

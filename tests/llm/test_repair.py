@@ -9,7 +9,7 @@ import pytest
 
 from spotflow.llm import repair as rp
 from spotflow.llm.queries import ORACLES, QUERIES
-from spotflow.llm.repair import damaged, messages, repair, summaries
+from spotflow.llm.repair import damaged, messages, repair, repaired_parts, summaries
 
 SCHEMA = "conv_id long, turn long, role string, text string"
 
@@ -97,15 +97,15 @@ def test_against_recursion(spark, monkeypatch, size):
     rows += [rows[5]] * 3 + [rows[9]] * 2
     df = spark.createDataFrame([(*r, 1) for r in rows], SCHEMA + ", cost int").repartition(3)
     if size == 1024:
-        assert results(summaries(repair(damaged(df)))) == expected(rows)
+        assert results(summaries(*repaired_parts(damaged(df)))) == expected(rows)
     else:
         monkeypatch.setattr(rp, "SEGMENT_ROWS", size)
         one = df.where("conv_id is null or conv_id < 60")
-        segments = repair(damaged(one))
-        got = results(summaries(segments))
+        short, long = repaired_parts(damaged(one))
+        got = results(summaries(short, long))
         want = expected([r for r in rows if r[0] is None or r[0] < 60])
         assert got == want
-        assert segments.groupBy("conv_id").count().where("count > 3").count() > 20
+        assert long.groupBy("conv_id").count().where("count > 3").count() > 20
 
 
 def test_long_conversation_and_copies(spark):
@@ -114,7 +114,7 @@ def test_long_conversation_and_copies(spark):
     rows = [(7, t, rng.choice(["user", "assistant"]), f"text {t}" + rng.choice([".", "", "!"])) for t in range(3000)] + [(7, 5, "user", "same.")] * 500
     rows += [(100 + i % 500, i // 500, "user" if i // 500 % 2 == 0 else "assistant", f"t {i}.") for i in range(2000)]
     df = spark.createDataFrame(rows, SCHEMA).repartition(4)
-    got = results(summaries(repair(damaged(df))))
+    got = results(summaries(*repaired_parts(damaged(df))))
     after = spoiled(rows)
     small = {c: brute([r for r in after if r[0] == c]) for c in (100, 333, 599)}
     assert len(got) == 501 and {c: got[c] for c in small} == small
@@ -138,9 +138,9 @@ def test_messages_follow_the_form(spark):
 
 
 def test_empty_tables_and_conversations_that_lose_all(spark):
-    assert summaries(repair(damaged(spark.createDataFrame([], SCHEMA)))).collect() == []
+    assert summaries(*repaired_parts(damaged(spark.createDataFrame([], SCHEMA)))).collect() == []
     gone = next(t for t in range(1000) if zlib.crc32(f"1:{t}".encode()) % 20 == 0)
-    got = results(summaries(repair(damaged(spark.createDataFrame([(1, gone, "user", "Hm."), (2, None, None, None)], SCHEMA)))))
+    got = results(summaries(*repaired_parts(damaged(spark.createDataFrame([(1, gone, "user", "Hm."), (2, None, None, None)], SCHEMA)))))
     empty = hashlib.sha256(b"").hexdigest()
     assert got[1] == (0, 0, 0, 0, 0, 0, "", empty)
     assert got == expected([(1, gone, "user", "Hm."), (2, None, None, None)])
@@ -148,7 +148,7 @@ def test_empty_tables_and_conversations_that_lose_all(spark):
 
 def test_very_long_text(spark):
     rows = [(1, 0, "user", "word " * 600_000 + "?"), (1, 1, "assistant", "ok " * 500_000 + "."), (1, 2, "user", "x " * 700_000)]
-    assert results(summaries(repair(damaged(spark.createDataFrame(rows, SCHEMA))))) == expected(rows)
+    assert results(summaries(*repaired_parts(damaged(spark.createDataFrame(rows, SCHEMA))))) == expected(rows)
 
 
 def test_query_against_sql(spark):
