@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import forget, free_name, map_rows, numbered, once, send, stored
-from .graph import components
+from ..graph import components
 from .substr import mix, rolling
 
 #: Documents sampled to see which shingles are common; only the choice of subsets depends on it.
