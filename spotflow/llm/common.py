@@ -109,3 +109,43 @@ def returned() -> None:
 def send(spark: SparkSession, value):
     """Broadcast (key, value); the key is for once()."""
     return spark.sparkContext.broadcast((uuid.uuid4().hex, value))
+
+
+#: Bits of a filter of members; of fixed size.
+FILTER_BITS = 1 << 26
+
+
+def _filter_places(keys: np.ndarray) -> list[np.ndarray]:
+    from .substr import mix
+
+    return [(mix(keys + np.uint64(seed)) % np.uint64(FILTER_BITS)).astype(np.int64) for seed in (1, 2)]
+
+
+class Members:
+    """A filter of whole numbers: has() is true for all members, and for few others while these are fewer than some millions."""
+
+    def __init__(self, sent):
+        self.sent = sent
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        table, out = self.sent.value[1], np.ones(len(keys), bool)
+        for at in _filter_places(keys.view(np.uint64)):
+            out &= (table[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+        return out
+
+
+def member_filter(rows: DataFrame, column: str) -> Members:
+    """A filter of the column's values, made by the tasks and sent to them: FILTER_BITS / 8 bytes, however many there are."""
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.unique(np.concatenate(_filter_places(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))))
+            word = at >> 6
+            begin = np.flatnonzero(np.append(True, word[1:] != word[:-1]))[: len(at)]
+            held = np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), begin) if len(at) else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(word[begin].astype(np.int32)), pa.array(held.view(np.int64))], ["word", "bits"])
+
+    found = rows.select(column).mapInArrow(bits, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()  # at most FILTER_BITS / 64 rows
+    table = np.zeros(FILTER_BITS // 64, np.uint64)
+    table[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return Members(send(rows.sparkSession, table))

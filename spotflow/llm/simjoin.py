@@ -21,14 +21,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import forget, free_name, map_rows, numbered, once, send, stored
+from .common import forget, free_name, map_rows, member_filter, numbered, send, stored
 from ..graph import components
 from .substr import mix, rolling
 
 #: Documents sampled to see which shingles are common; only the choice of subsets depends on it.
 SAMPLE = 2000
-#: Bits of the filter that spares the shuffle most texts that no candidate names; of fixed size.
-FILTER_BITS = 1 << 26
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 U = np.uint64
 
@@ -209,26 +207,12 @@ def candidates(docs: DataFrame, text: str, k: int, percent: int) -> DataFrame:
 def named_texts(docs: DataFrame, text: str, k: int, nodes: DataFrame) -> DataFrame:
     """set and text of one document for each of the sets in nodes(node long)."""
 
-    def places(h: np.ndarray) -> list[np.ndarray]:
-        return [(mix(h + U(seed)) % U(FILTER_BITS)).astype(np.int64) for seed in (1, 2)]
-
-    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = np.unique(np.concatenate(places(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))))
-            word = at >> 6
-            begin = np.flatnonzero(np.append(True, word[1:] != word[:-1]))[: len(at)]
-            held = np.bitwise_or.reduceat(U(1) << (at & 63).astype(np.uint64), begin) if len(at) else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(word[begin].astype(np.int32)), pa.array(held.view(np.int64))], ["word", "bits"])
-
-    found = nodes.mapInArrow(bits, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()  # at most FILTER_BITS / 64 rows
-    table = np.zeros(FILTER_BITS // 64, np.uint64)
-    table[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
-    sent = send(docs.sparkSession, table)
+    named = member_filter(nodes, "node")  # spares the shuffle most texts that no candidate names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            use, found, texts = sent.value[1], [], []
+            found, texts = [], []
             for x in batch.column(0).to_pylist():
                 node = set_id(shingles(x, k))
                 if node in seen:
@@ -236,11 +220,8 @@ def named_texts(docs: DataFrame, text: str, k: int, nodes: DataFrame) -> DataFra
                 seen.add(node)
                 found.append(node)
                 texts.append(x)
-            h = np.array(found, np.int64).view(np.uint64)
-            named = np.ones(len(h), bool)
-            for at in places(h):
-                named &= (use[at >> 6] >> (at & 63).astype(np.uint64) & U(1)).astype(bool)
-            found, texts = [found[i] for i in np.flatnonzero(named)], [texts[i] for i in np.flatnonzero(named)]
+            at = np.flatnonzero(named.has(np.array(found, np.int64)))
+            found, texts = [found[i] for i in at], [texts[i] for i in at]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(texts, pa.string())], ["node", "text"])
 
     held = map_rows(docs.select(text), run, "node long, text string")
