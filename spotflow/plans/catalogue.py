@@ -269,9 +269,41 @@ def link_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link(_sparse(spark, sf_dir), 15).select("video_id", "frame", "seq", "particle")
 
 
-@query()
+def _bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events as a particle in a band of its own, 1,000 pixels from the next; sixteen videos with as many bands as there are users."""
+    track = lens.tracks(spark, sf_dir)
+    band = F.floor(F.col("particle") / 16) * 1000
+    return track.select(F.concat(F.lit("v"), F.col("particle") % 16).alias("video_id"), "frame", F.col("event_id").alias("seq"), (band + F.col("x")).cast("double").alias("y"), F.col("y").alias("x"))
+
+
+_BANDS = f"{SQL['ev']}, {SQL['trk']}, d AS (SELECT particle AS lane, 'v' || CAST(particle % 16 AS VARCHAR) AS video_id, frame, event_id AS seq, particle // 16 * 1000 + x AS y, y AS x FROM trk)"
+_NUMBERED = "n AS (SELECT video_id, id, row_number() OVER (PARTITION BY video_id ORDER BY {order}) - 1 AS particle FROM r WHERE seq = id) SELECT r.video_id, r.frame, r.seq, particle FROM r JOIN n ON n.video_id = r.video_id AND n.id = r.id"
+
+
+@query(f"""WITH {_BANDS}, b AS (SELECT *, coalesce((y - lag(y) OVER w) * (y - lag(y) OVER w) + (x - lag(x) OVER w) * (x - lag(x) OVER w) >= 225, true) AS fresh FROM d WINDOW w AS (PARTITION BY lane ORDER BY frame)),
+c AS (SELECT *, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY lane ORDER BY frame) AS part FROM b), r AS (SELECT *, first_value(seq) OVER (PARTITION BY lane, part ORDER BY frame) AS id FROM c), {_NUMBERED.format(order='frame, seq')}""")
+def link_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without memory a track goes on while the band's next detection is in range."""
+    return link(_bands(spark, sf_dir), 15).select("video_id", "frame", "seq", "particle")
+
+
+#: Ends of tracks: the latest detection, and those one and two frames before it unless their tracks went on.
+_MEMORY = f"""WITH RECURSIVE {_BANDS}, w AS (
+  SELECT lane, video_id, frame, seq, y, x, seq AS id, [struct_pack(age := 0, y := y, x := x, id := seq)] AS ends FROM d WHERE frame = 1
+  UNION ALL
+  SELECT lane, video_id, frame, seq, y, x, coalesce(best.id, seq), list_prepend(struct_pack(age := 0, y := y, x := x, id := coalesce(best.id, seq)),
+    list_transform(list_filter(ends, lambda e: e.age < 2 AND (best IS NULL OR e.id <> best.id)), lambda e: struct_pack(age := e.age + 1, y := e.y, x := e.x, id := e.id)))
+  FROM (
+    SELECT d.*, w.ends, list_sort(list_filter(list_transform(w.ends, lambda e: struct_pack(d2 := (e.y - d.y) * (e.y - d.y) + (e.x - d.x) * (e.x - d.x), y := e.y, x := e.x, age := e.age, id := e.id)), lambda e: e.d2 < 225))[1] AS best
+    FROM w JOIN d ON d.lane = w.lane AND d.frame = w.frame + 1
+  )
+), r AS (SELECT * FROM w), """
+
+
+@query(_MEMORY + _NUMBERED.format(order="frame, y, x, seq"))
 def link_with_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link(_sparse(spark, sf_dir), 15, memory=2).select("video_id", "frame", "seq", "particle")
+    """A particle that was lost for up to two frames may be nearer than the latest one."""
+    return link(_bands(spark, sf_dir), 15, memory=2).select("video_id", "frame", "seq", "particle")
 
 
 def _lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
