@@ -26,8 +26,8 @@ SIZE, ENTRIES = 32, 4
 COMMON = 1 << 17
 #: A context vector is kept in bytes: whole numbers from -127 to 127, of a vector of length 1 times this.
 FINE = 127.0
-#: Tokens whose sums or counts a task gathers before it passes them on.
-HELD = 1 << 18
+#: Tokens whose sums or counts a task gathers before it passes them on; entries beyond LARGE go on at once, the others are kept in two bytes.
+HELD, LARGE = 1 << 19, 8000
 U = np.uint64
 #: Byte classes: 0 white space, 1 letters and all that isn't ASCII, 2 digits, 3 other signs.
 CLASS = np.array([0 if b == 32 or 9 <= b <= 13 else 1 if b >= 128 or 65 <= b <= 90 or 97 <= b <= 122 else 2 if 48 <= b <= 57 else 3 for b in range(256)], np.uint8)
@@ -88,7 +88,8 @@ def summed(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
     begin = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))[: len(keys)]
-    return keys[begin], np.add.reduceat(rows[order], begin, axis=0, dtype=rows.dtype) if len(begin) else rows[:0]
+    wide = np.int32 if rows.dtype == np.int16 else rows.dtype
+    return keys[begin], np.add.reduceat(rows[order], begin, axis=0, dtype=wide) if len(begin) else rows[:0]
 
 
 def neighbour_sums(tokens: np.ndarray, owner: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -109,18 +110,30 @@ def neighbour_sums(tokens: np.ndarray, owner: np.ndarray, wanted: np.ndarray) ->
 
 
 def gathered(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Sums by token over the parts of a task, passed on whenever HELD tokens have come together."""
+    """Sums by token over the parts of a task, passed on whenever HELD tokens have come together; a token may come more than once."""
     keys, rows, size = [], [], 0
-    for k, r in parts:
+
+    def kept(k: np.ndarray, r: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        nonlocal size
+        if r.ndim > 1:
+            large = (np.abs(r) > LARGE).any(axis=1)
+            if large.any():
+                yield k[large], r[large]
+                k, r = k[~large], r[~large]
+            r = r.astype(np.int16)
         keys.append(k)
         rows.append(r)
         size += len(k)
+
+    for k, r in parts:
+        yield from kept(k, r)
         if size >= HELD:
             k, r = summed(np.concatenate(keys), np.concatenate(rows))
-            keys, rows, size = [k], [r], len(k)
-            if size >= HELD // 2:
+            keys, rows, size = [], [], 0
+            if len(k) >= HELD * 3 // 4:
                 yield k, r
-                keys, rows, size = [], [], 0
+            else:
+                yield from kept(k, r)
     if keys:
         yield summed(np.concatenate(keys), np.concatenate(rows))
 
