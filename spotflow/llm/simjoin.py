@@ -41,6 +41,13 @@ def shingles(text: str | None, k: int = 4) -> np.ndarray:
     return np.unique(mix(rolling(hashes, size) + U(size)))
 
 
+def similar(a: str, b: str, k: int, percent: int) -> bool:
+    """Whether the texts' shingle sets are similar enough, compared word by word and not by hashes."""
+    x, y = ({tuple(w[i : i + k]) for i in range(max(len(w) - k, 0) + 1)} for w in (t.encode("utf-8").translate(FOLD).split() for t in (a, b)))
+    shared = len(x & y)
+    return 100 * shared >= percent * (len(x) + len(y) - shared)
+
+
 def set_id(tokens: np.ndarray) -> int:
     return int(np.frombuffer(xxhash.xxh3_64_digest(tokens.tobytes()), ">i8")[0])
 
@@ -245,17 +252,18 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
                 if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
                     continue
                 shared = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * shared >= percent * (len(x) + len(y) - shared):
+                if 100 * shared >= percent * (len(x) + len(y) - shared) and similar(ta[i], tb[i], k, percent):
                     good.append(i)
             yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in good], pa.int64()), pa.array([b[i] for i in good], pa.int64())], ["a", "b"])
 
     return map_rows(both.select("a", "b", "ta", "tb"), run, "a long, b long", rows=1000)
 
 
-def tile_links(nodes: list[int], labels: list[int], left: np.ndarray, right: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+def tile_links(nodes: list[int], labels: list[int], left: np.ndarray, right: np.ndarray, sets: list[np.ndarray], texts: list[str], k: int, percent: int) -> list[tuple[int, int]]:
     """Similar pairs of the sets at left and at right, one for each two components that they join.
 
-    Overlaps are products of the sets' incidence matrices, some thousand shingles at a time.
+    Overlaps are products of the sets' incidence matrices, some thousand shingles at a time; the pairs
+    that they name are compared word by word.
     """
     sizes = np.array([len(x) for x in sets], np.int64)
     tokens = np.concatenate([np.zeros(0, np.uint64), *sets])
@@ -285,45 +293,46 @@ def tile_links(nodes: list[int], labels: list[int], left: np.ndarray, right: np.
     found = []
     for i, j in np.argwhere(100 * overlap.astype(np.float64) >= percent * total):
         x, y = top(labels[left[i]]), top(labels[right[j]])
-        if x != y:
+        if x != y and similar(texts[left[i]], texts[right[j]], k, percent):
             root[max(x, y)] = min(x, y)
             found.append((nodes[left[i]], nodes[right[j]]))
     return found
 
 
-def compared_clusters(open_: DataFrame, clusters: DataFrame, texts: DataFrame, k: int, percent: int, tile_rows: int, tile_bytes: int) -> DataFrame:
-    """a, b: links between sets of different components of one cluster; open_: node, label; clusters: label, cluster.
+def compared_buckets(open_: DataFrame, texts: DataFrame, k: int, percent: int, tile_rows: int, tile_bytes: int) -> DataFrame:
+    """a, b: links between sets of different components that meet in a bucket; open_: bucket, node, label.
 
-    A cluster is dealt into parts of at most about tile_rows sets and tile_bytes of text: components that fill
+    A bucket is dealt into parts of at most about tile_rows sets and tile_bytes of text: components that fill
     parts have their own, the others share some. Every two parts are compared in a task of their own, unless
     both are of one component, and it returns no more links than it has sets. No pair of sets is ever a row.
     """
-    named = open_.join(clusters, "label").join(texts, "node")
-    size = named.groupBy("cluster", "label").agg(F.count("*").alias("sets"), F.sum(F.octet_length("text")).alias("bytes"))
+    named = open_.join(texts, "node")
+    size = named.groupBy("bucket", "label").agg(F.count("*").alias("sets"), F.sum(F.octet_length("text")).alias("bytes"))
     alone = (F.col("sets") >= tile_rows) | (F.col("bytes") >= tile_bytes)
-    size = size.select("cluster", "label", alone.alias("alone"), F.when(alone, F.col("label")).otherwise(0).alias("share"), "sets", "bytes")
-    shares = size.groupBy("cluster", "alone", "share").agg(F.greatest(F.ceil(F.sum("sets") / tile_rows), F.ceil(F.sum("bytes") / tile_bytes), F.lit(1)).cast("int").alias("parts"))
-    of = Window.partitionBy("cluster")
+    size = size.select("bucket", "label", alone.alias("alone"), F.when(alone, F.col("label")).otherwise(0).alias("share"), "sets", "bytes")
+    shares = size.groupBy("bucket", "alone", "share").agg(F.greatest(F.ceil(F.sum("sets") / tile_rows), F.ceil(F.sum("bytes") / tile_bytes), F.lit(1)).cast("int").alias("parts"))
+    of = Window.partitionBy("bucket")
     upto = F.sum("parts").over(of.orderBy("alone", "share").rowsBetween(Window.unboundedPreceding, 0))
     laid = shares.select("*", (upto - F.col("parts")).cast("int").alias("low"), F.sum("parts").over(of).cast("int").alias("total"))
-    laid = size.select("cluster", "label", "alone", "share").join(laid, ["cluster", "alone", "share"]).select("label", "alone", "parts", "low", "total")
-    dealt = named.join(laid, "label").withColumn("part", (F.col("low") + F.pmod(F.xxhash64("node"), F.col("parts"))).cast("int"))
+    laid = size.select("bucket", "label", "alone", "share").join(laid, ["bucket", "alone", "share"]).select("bucket", "label", "alone", "parts", "low", "total")
+    dealt = named.join(laid, ["bucket", "label"]).withColumn("part", (F.col("low") + F.pmod(F.xxhash64("node"), F.col("parts"))).cast("int"))
     others = F.filter(F.sequence(F.lit(0), F.col("total") - 1), lambda q: ~F.col("alone") | (q < F.col("low")) | (q >= F.col("low") + F.col("parts")))
-    tiled = dealt.select("cluster", "part", "node", "label", "text", F.explode(others).alias("other"))
-    tiles = tiled.select("cluster", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "node", "label", "text")
+    tiled = dealt.select("bucket", "part", "node", "label", "text", F.explode(others).alias("other"))
+    tiles = tiled.select("bucket", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "node", "label", "text")
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, node, label, sets = [], [], [], []
+        part, node, label, sets, held = [], [], [], [], []
         for batch in batches:
             part += batch.column(3).to_pylist()
             node += batch.column(4).to_pylist()
             label += batch.column(5).to_pylist()
-            sets += [shingles(x, k) for x in batch.column(6).to_pylist()]
+            held += batch.column(6).to_pylist()
+        sets = [shingles(x, k) for x in held]
         at = np.array(part)
-        links = tile_links(node, label, np.flatnonzero(at == key[1].as_py()), np.flatnonzero(at == key[2].as_py()), sets, percent)
+        links = tile_links(node, label, np.flatnonzero(at == key[1].as_py()), np.flatnonzero(at == key[2].as_py()), sets, held, k, percent)
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["a", "b"])
 
-    return tiles.groupBy("cluster", "p", "q").applyInArrow(run, "a long, b long")
+    return tiles.groupBy("bucket", "p", "q").applyInArrow(run, "a long, b long")
 
 
 def joined_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -335,19 +344,31 @@ def joined_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
     return known.join(joined, "label", "left").select("node", F.coalesce("lower", "label").alias("label"))
 
 
-def linked_sets(docs: DataFrame, text: str, k: int, percent: int, tile_rows: int = 1000, tile_bytes: int = 4 << 20) -> DataFrame:
+#: Rounds in which the sets of a bucket are compared with one of them, before what is left is compared in tiles.
+ROUNDS = 3
+
+
+def unsettled(held: DataFrame, labels: DataFrame) -> DataFrame:
+    """bucket, node, label of the buckets in held(bucket, node) whose sets are of several components."""
+    named = held.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
+    mixed = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
+    return named.join(mixed, "bucket", "left_semi")
+
+
+def linked_sets(docs: DataFrame, text: str, k: int, percent: int, tile_rows: int = 1000, tile_bytes: int = 4 << 20, rounds: int = ROUNDS) -> DataFrame:
     """node, label: components of the sets that have a similar one.
 
     Each set is first compared with the smallest leader that it met, and with a set that it alone met in some
-    bucket. Buckets that hold sets of one component are then done; components that meet in the others form
-    clusters, whose sets are compared in tiles. So no link between different components is lost, sets already
-    known to belong together need no further comparison, and rows grow with sets and their buckets.
+    bucket. A bucket whose sets are of one component is then done. In each of the others a set is compared with all
+    those of other components, and leaves the bucket; links join components, which settles further buckets. What is
+    left after some such rounds is compared bucket by bucket, in tiles. So every two sets that share a bucket are compared
+    unless they are known to belong together, no others are, and rows grow with sets and their buckets.
     """
     met = stored(candidates(docs, text, k, percent), "met")
     texts = stored(named_texts(docs, text, k, met.select("node").union(met.select(F.col("leader").alias("node"))).distinct()), "texts")
     pairs = met.where("leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b"), "bucket")
     first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    labels = components(verified(first, texts, k, percent))
+    labels = stored(components(verified(first, texts, k, percent)), "labels")
     apart = (
         pairs.where("bucket IS NULL").select("a", "b")
         .join(first, ["a", "b"], "left_anti")
@@ -356,23 +377,33 @@ def linked_sets(docs: DataFrame, text: str, k: int, percent: int, tile_rows: int
         .where(F.coalesce("la", "a") != F.coalesce("lb", "b"))
         .select("a", "b")
     )
-    links = stored(verified(apart, texts, k, percent), "links")
-    if links.limit(1).count():
-        labels = joined_labels(labels, links)
-    named = met.where("bucket IS NOT NULL").select("bucket", "node").join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
-    named = stored(named, "named")
-    held = named.select("bucket", "label").distinct()
-    mixed = stored(held.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket", "low"), "mixed")
-    used = [met, texts, links, named, mixed]
-    if mixed.limit(1).count():
-        clusters = components(held.join(mixed, "bucket").select(F.col("low").alias("a"), F.col("label").alias("b")).distinct()).select(F.col("node").alias("label"), F.col("label").alias("cluster"))
-        open_ = stored(named.join(mixed.select("bucket"), "bucket", "left_semi").select("node", "label").distinct(), "open")
-        links = stored(compared_clusters(open_, clusters, texts, k, percent, tile_rows, tile_bytes), "links")
-        used += [open_, links]
+
+    def with_links(labels: DataFrame, links: DataFrame) -> DataFrame:
+        links = stored(links, "links")
         if links.limit(1).count():
-            labels = joined_labels(labels, links)
-    labels = stored(labels, "labels")
-    forget(*used)
+            joined = stored(joined_labels(labels, links), "labels")
+            forget(labels)
+            labels = joined
+        forget(links)
+        return labels
+
+    labels = with_links(labels, verified(apart, texts, k, percent))
+    held = stored(unsettled(met.where("bucket IS NOT NULL").select("bucket", "node"), labels), "held")
+    for _ in range(rounds):
+        if not held.limit(1).count():
+            break
+        # a bucket's new leader is one of its smallest component: those of large ones may be told apart from fewer
+        sizes = held.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.min("node").alias("node"))
+        leader = sizes.groupBy("bucket").agg(F.min(F.struct("n", "label", "node")).alias("least")).select("bucket", F.col("least.node").alias("a"), F.col("least.label").alias("la"))
+        asked = held.join(leader, "bucket").where("label <> la").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+        labels = with_links(labels, verified(asked, texts, k, percent))
+        others = held.join(leader.select("bucket", F.col("a").alias("node")), ["bucket", "node"], "left_anti").select("bucket", "node")
+        rest = stored(unsettled(others, labels), "held")
+        forget(held)
+        held = rest
+    if held.limit(1).count():
+        labels = with_links(labels, compared_buckets(held, texts, k, percent, tile_rows, tile_bytes))
+    forget(met, texts, held)
     return labels
 
 

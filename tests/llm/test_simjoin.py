@@ -117,7 +117,7 @@ def test_copies_linked_only_through_one_another(spark):
         docs.append((1000 - i, " ".join(w)))
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
     want = sorted(brute(docs))
-    for tiles in ({}, {"tile_rows": 7, "tile_bytes": 5000}):
+    for tiles in ({}, {"tile_rows": 7, "tile_bytes": 5000}, {"rounds": 0, "tile_rows": 7, "tile_bytes": 5000}):
         assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(df, k=4, percent=85, **tiles).collect()) == want
 
 
@@ -137,6 +137,30 @@ def test_rows_grow_with_a_group_and_not_with_its_square(spark):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(df, k=4, percent=85).collect()) == sorted(brute(docs))
 
 
+def test_buckets_that_share_components_are_not_compared_with_one_another(spark):
+    """A long row of texts, each like the next but one shares with it too little to link: no bucket holds the row."""
+    from spotflow.llm.simjoin import compared_buckets, unsettled
+
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randint(0, 9999)}" for _ in range(30)) for _ in range(12)]
+    held = spark.createDataFrame([(i // 2 * 10 + j, i + j) for i in range(0, 10, 2) for j in (0, 1, 2) if i + j < 12], "bucket long, node long")
+    labels = spark.createDataFrame([(0, 0), (1, 0), (2, 0)], "node long, label long")
+    left = unsettled(held, labels)
+    assert sorted(r.bucket for r in left.select("bucket").distinct().collect()) == sorted({r.bucket for r in left.collect()})
+    rows = [(5, 1, 1), (5, 2, 2), (6, 2, 2), (6, 3, 3)]
+    same = [(n, texts[0] if n in (1, 3) else texts[5]) for n in (1, 2, 3)]
+    got = compared_buckets(spark.createDataFrame(rows, "bucket long, node long, label long"), spark.createDataFrame(same, "node long, text string"), 4, 85, 100, 1 << 20).collect()
+    assert got == []  # 1 and 3 are alike, and share no bucket
+
+
+def test_links_rest_on_words(spark):
+    """Equal hashes of unlike texts make no link."""
+    from spotflow.llm.simjoin import similar
+
+    assert similar("a b c d e", "A b c d\te", 4, 85) and similar("One two", "one TWO", 4, 85)
+    assert not similar("a b c d e", "a b c d f", 4, 85) and not similar("a b", "a b c", 4, 85)
+
+
 def test_input_that_comes_out_of_a_join(spark):
     rng = random.Random(3)
     docs = [(i, " ".join(rng.choice("abcdefghijklmnop") * 2 for _ in range(30))) for i in range(700)]
