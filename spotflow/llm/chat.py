@@ -33,9 +33,9 @@ def normal(passage: str) -> str:
     return " ".join(passage.casefold().split()).strip("\"'“”„«»‚‘’ ….")
 
 
-def passage_hash(passage: str) -> str | None:
+def passage_hash(passage: str) -> bytes | None:
     n = normal(passage)
-    return hashlib.md5(n.encode("utf-8", "replace")).hexdigest() if n else None
+    return hashlib.md5(n.encode("utf-8", "replace")).digest() if n else None
 
 
 def parse_message(text: str | None) -> tuple[str, list[tuple[int, str]]]:
@@ -65,9 +65,9 @@ def parse_message(text: str | None) -> tuple[str, list[tuple[int, str]]]:
     return "\n".join(body).strip(), [(level, "\n".join(lines).strip()) for level, lines in quotes]
 
 
-def original_hashes(body: str) -> list[tuple[str, int]]:
+def original_hashes(body: str) -> list[tuple[bytes, int]]:
     """Hashes under which a message can be quoted, the most precise kind for each."""
-    found: dict[str, int] = {}
+    found: dict[bytes, int] = {}
     for kind, parts in ((WHOLE, [body]), (PARAGRAPH, PARAGRAPHS.split(body)), (LINE, body.split("\n"))):
         for part in parts:
             if (h := passage_hash(part)) is not None:
@@ -75,13 +75,13 @@ def original_hashes(body: str) -> list[tuple[str, int]]:
     return sorted(found.items())
 
 
-def quote_hashes(quotes: list[tuple[int, str]]) -> list[tuple[int, str]]:
+def quote_hashes(quotes: list[tuple[int, str]]) -> list[tuple[int, bytes]]:
     """Level and hash of each passage, and of each paragraph and line of it."""
     found = {(level, h) for level, passage in quotes for part in (passage, *PARAGRAPHS.split(passage), *passage.split("\n")) if (h := passage_hash(part)) is not None}
     return sorted(found)
 
 
-PARSED = "content string, n_quotes int, said array<struct<hash:string,kind:int>>, quoted array<struct<level:int,hash:string>>"
+PARSED = "content string, n_quotes int, said array<struct<hash:binary,kind:int>>, quoted array<struct<level:int,hash:binary>>"
 
 
 def parsed_messages(messages: DataFrame, text: str = "text") -> DataFrame:
@@ -98,7 +98,7 @@ def parsed_messages(messages: DataFrame, text: str = "text") -> DataFrame:
                 n.append(len(quotes))
                 said.append([{"hash": h, "kind": k} for h, k in original_hashes(body)])
                 quoted.append([{"level": level, "hash": h} for level, h in quote_hashes(quotes)])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(content, pa.string()), pa.array(n, pa.int32()), pa.array(said, pair(("hash", pa.string()), ("kind", pa.int32()))), pa.array(quoted, pair(("level", pa.int32()), ("hash", pa.string())))], [*kept, "content", "n_quotes", "said", "quoted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(content, pa.string()), pa.array(n, pa.int32()), pa.array(said, pair(("hash", pa.binary()), ("kind", pa.int32()))), pa.array(quoted, pair(("level", pa.int32()), ("hash", pa.binary())))], [*kept, "content", "n_quotes", "said", "quoted"])
 
     columns = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in messages.select(*kept).schema), PARSED])
     return map_rows(messages.select(*kept, text), run, columns)
@@ -112,10 +112,10 @@ def link_quotes(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
     from. Null texts are empty; a null conversation or turn links to nothing; repeated rows stay repeated;
     other columns are dropped. The earliest turn of each hash is found before the join, so that a passage
     that a conversation repeats isn't paired with each of its copies. Of messages with one turn the reply goes
-    to that turn. Rows are numbered once and stored.
+    to that turn. Rows are parsed and numbered once, and stored.
     """
     base = messages.select(F.col(conv).alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
-    parsed = parsed_messages(numbered(base, "row"))
+    parsed = numbered(parsed_messages(base), "row", "parsed")  # parsed once, for what is said, what is quoted and the result
     said = (
         parsed.where("conv_id IS NOT NULL AND turn IS NOT NULL")
         .select("conv_id", "turn", F.explode("said").alias("s"))
