@@ -247,8 +247,8 @@ def resolve(refs: DataFrame, features: DataFrame, ref: str = "ref") -> DataFrame
     """
     names = [c for c in features.columns if c != "digest"]
     clean = refs.drop(*names, "_digest").withColumn("_digest", F.when(F.col(ref).startswith(PREFIX), F.substring(F.col(ref), len(PREFIX) + 1, 64)))
-    # a reference without a digest matches nothing: spread, so that such rows don't meet in one task
-    clean = clean.withColumn("_digest", F.coalesce("_digest", F.concat(F.lit("?"), F.coalesce(F.xxhash64(ref), F.lit(0)).cast("string"), F.lit("?"), (F.rand(7) * 4096).cast("int").cast("string"))))
+    # a reference without a digest matches nothing: spread by what the row holds, so that such rows don't meet in one task
+    clean = clean.withColumn("_digest", F.coalesce("_digest", F.concat(F.lit("?"), F.xxhash64(*(c for c in clean.columns if c != "_digest")).cast("string"))))
     return clean.join(features.withColumnRenamed("digest", "_digest"), "_digest", "left").drop("_digest")
 
 
