@@ -288,10 +288,14 @@ def covered_windows(blobs: list[bytes], window: int) -> Iterator[np.ndarray]:
         yield np.stack([docs, tags, starts, starts + counts + window - 1], axis=1)[hit]
 
 
-def judged(packed: DataFrame, window: int, gram: int, gather_bytes: int = GATHER, sort_bytes: int = SORT) -> DataFrame:
-    """doc, tag, first, last (exclusive) of word runs to remove.
+#: Bytes of texts whose super-k-mers one task judges, on average.
+TASK = 16 << 20
 
-    A task holds at most about sort_bytes of a bucket. What a larger one holds goes, in passing, to FAN
+
+def judged(packed: DataFrame, window: int, gram: int, size: int, gather_bytes: int = GATHER, sort_bytes: int = SORT) -> DataFrame:
+    """doc, tag, first, last (exclusive) of word runs to remove, from texts of `size` bytes.
+
+    There are as many tasks as the texts' bytes ask for, so that none reads more when these grow. A task holds at most about sort_bytes of a bucket. What a larger one holds goes, in passing, to FAN
     smaller buckets, equal super-k-mers of different documents resolved on the way; these are judged in the
     next round.
     """
@@ -342,7 +346,8 @@ def judged(packed: DataFrame, window: int, gram: int, gather_bytes: int = GATHER
 
     found, level = None, 0
     while True:
-        out = stored(packed.groupBy("bucket").applyInArrow(judge(level), schema), "judged")
+        tasks = max(int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK))
+        out = stored(packed.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(judge(level), schema), "judged")
         own = out.where("bucket IS NULL").select(*RUNS)
         found = own if found is None else found.union(own)
         packed = out.where("bucket IS NOT NULL").select("bucket", "raw", "packed")
@@ -423,7 +428,7 @@ def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", window
 
     packed = map_rows(base.select(F.col(key).cast("long"), tag, text), pack, "bucket long, raw long, packed binary")
     held = free_name(base, "_runs")
-    found = judged(packed, window, gram, gather_bytes, sort_bytes)
+    found = judged(packed, window, gram, size, gather_bytes, sort_bytes)
     runs = found.groupBy(F.col("doc").alias(key), F.col("tag").alias(tag)).agg(F.collect_set(F.struct("first", "last")).alias(held))
     names = [c for c in base.columns if c != tag]
     touched, whole = divided(base, found, key, "doc")  # texts that lose nothing aren't shuffled
