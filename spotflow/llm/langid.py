@@ -22,6 +22,8 @@ BUCKETS = 1 << 14
 #: Bins of the histogram of similarities, and the modulus of the hash that chooses rows.
 BINS = 1 << 16
 SHARES = 1 << 40
+#: Languages in a model, some quarter MB each.
+MOST_LANGUAGES = 128
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
 #: ASCII other than letters separates; what isn't ASCII stays.
@@ -103,18 +105,21 @@ def own_similarity(rows: DataFrame, model: dict, part: float) -> float:
     return float(np.searchsorted(np.cumsum(seen), part * seen.sum(), side="right")) / BINS if seen.any() else 0.0
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 300, centroids: int = 4, slack: float = 0.25) -> dict:
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 300, centroids: int = 4, slack: float = 0.25, most: int = MOST_LANGUAGES) -> dict:
     """Fit centroids on about `per_language` rows of each language, chosen by a hash: a documented, bounded sample.
 
     The hash is of key and text, and equal rows count once in the sample, so that neither a frequent key nor a
     repeated row can fill it. Rows without key, language or letters teach nothing. Document frequencies are those of all rows. The
     rejection distance is `slack` times the similarity that all but one in two hundred of all rows reach with
-    their own language, to one part in BINS.
+    their own language, to one part in BINS. Of more than `most` languages, those with most rows are learned, of equal ones the first in
+    order: the model has BUCKETS numbers for each centroid and is sent to all tasks.
     """
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("key IS NOT NULL AND lang IS NOT NULL AND length(text) > 0")
-    totals = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
+    commonest = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most)
+    totals = {r.lang: r["count"] for r in commonest.collect()}
     if not totals:
         return {"langs": [], "owner": np.zeros(0, int), "centroids": np.zeros((BUCKETS, 0), np.float32), "idf": np.ones(BUCKETS, np.float32), "reject": 0.0}
+    rows = rows.where(F.col("lang").isin(*totals))
     part = [x for name, n in totals.items() for x in (F.lit(name), F.lit(share(n, per_language)))]
     sample = rows.where(F.pmod(F.xxhash64("key", "text", F.lit("langid")), F.lit(SHARES)) < F.element_at(F.create_map(*part), F.col("lang"))).distinct()
 

@@ -80,3 +80,10 @@ def test_a_third_of_all_rows_has_one_key(spark):
 def test_share_of_many_rows():
     assert share(10**10, 300) > 0 and share(10**12, 300) > 0
     assert share(10, 300) == 1 << 40 and share(10**9, 300) > 0 and abs(share(10**9, 300) * 10**9 / (1 << 40) - 300) < 1
+
+
+def test_a_column_full_of_languages(spark):
+    """Of more languages than a model holds, those with most rows are learned."""
+    rows = corpus(200, 5) + [(1000 + i, f"rare words {i}", f"x{i}") for i in range(400)]
+    model = train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most=4)
+    assert model["langs"] == ["de", "en", "es", "x0"]
