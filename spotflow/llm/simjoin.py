@@ -299,26 +299,26 @@ def tile_links(nodes: list[int], labels: list[int], left: np.ndarray, right: np.
     return found
 
 
-def compared_buckets(open_: DataFrame, texts: DataFrame, k: int, percent: int, tile_rows: int, tile_bytes: int) -> DataFrame:
-    """a, b: links between sets of different components that meet in a bucket; open_: bucket, node, label.
+def compared_groups(open_: DataFrame, texts: DataFrame, k: int, percent: int, tile_rows: int, tile_bytes: int) -> DataFrame:
+    """a, b: links between sets of different components in one group; open_: group, node, label.
 
-    A bucket is dealt into parts of at most about tile_rows sets and tile_bytes of text: components that fill
+    A group is dealt into parts of at most about tile_rows sets and tile_bytes of text: components that fill
     parts have their own, the others share some. Every two parts are compared in a task of their own, unless
     both are of one component, and it returns no more links than it has sets. No pair of sets is ever a row.
     """
     named = open_.join(texts, "node")
-    size = named.groupBy("bucket", "label").agg(F.count("*").alias("sets"), F.sum(F.octet_length("text")).alias("bytes"))
+    size = named.groupBy("group", "label").agg(F.count("*").alias("sets"), F.sum(F.octet_length("text")).alias("bytes"))
     alone = (F.col("sets") >= tile_rows) | (F.col("bytes") >= tile_bytes)
-    size = size.select("bucket", "label", alone.alias("alone"), F.when(alone, F.col("label")).otherwise(0).alias("share"), "sets", "bytes")
-    shares = size.groupBy("bucket", "alone", "share").agg(F.greatest(F.ceil(F.sum("sets") / tile_rows), F.ceil(F.sum("bytes") / tile_bytes), F.lit(1)).cast("int").alias("parts"))
-    of = Window.partitionBy("bucket")
+    size = size.select("group", "label", alone.alias("alone"), F.when(alone, F.col("label")).otherwise(0).alias("share"), "sets", "bytes")
+    shares = size.groupBy("group", "alone", "share").agg(F.greatest(F.ceil(F.sum("sets") / tile_rows), F.ceil(F.sum("bytes") / tile_bytes), F.lit(1)).cast("int").alias("parts"))
+    of = Window.partitionBy("group")
     upto = F.sum("parts").over(of.orderBy("alone", "share").rowsBetween(Window.unboundedPreceding, 0))
     laid = shares.select("*", (upto - F.col("parts")).cast("int").alias("low"), F.sum("parts").over(of).cast("int").alias("total"))
-    laid = size.select("bucket", "label", "alone", "share").join(laid, ["bucket", "alone", "share"]).select("bucket", "label", "alone", "parts", "low", "total")
-    dealt = named.join(laid, ["bucket", "label"]).withColumn("part", (F.col("low") + F.pmod(F.xxhash64("node"), F.col("parts"))).cast("int"))
+    laid = size.select("group", "label", "alone", "share").join(laid, ["group", "alone", "share"]).select("group", "label", "alone", "parts", "low", "total")
+    dealt = named.join(laid, ["group", "label"]).withColumn("part", (F.col("low") + F.pmod(F.xxhash64("node"), F.col("parts"))).cast("int"))
     others = F.filter(F.sequence(F.lit(0), F.col("total") - 1), lambda q: ~F.col("alone") | (q < F.col("low")) | (q >= F.col("low") + F.col("parts")))
-    tiled = dealt.select("bucket", "part", "node", "label", "text", F.explode(others).alias("other"))
-    tiles = tiled.select("bucket", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "node", "label", "text")
+    tiled = dealt.select("group", "part", "node", "label", "text", F.explode(others).alias("other"))
+    tiles = tiled.select("group", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "node", "label", "text")
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, node, label, sets, held = [], [], [], [], []
@@ -332,7 +332,7 @@ def compared_buckets(open_: DataFrame, texts: DataFrame, k: int, percent: int, t
         links = tile_links(node, label, np.flatnonzero(at == key[1].as_py()), np.flatnonzero(at == key[2].as_py()), sets, held, k, percent)
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["a", "b"])
 
-    return tiles.groupBy("bucket", "p", "q").applyInArrow(run, "a long, b long")
+    return tiles.groupBy("group", "p", "q").applyInArrow(run, "a long, b long")
 
 
 def joined_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -344,10 +344,6 @@ def joined_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
     return known.join(joined, "label", "left").select("node", F.coalesce("lower", "label").alias("label"))
 
 
-#: Rounds in which the sets of a bucket are compared with one of them, before what is left is compared in tiles.
-ROUNDS = 3
-
-
 def unsettled(held: DataFrame, labels: DataFrame) -> DataFrame:
     """bucket, node, label of the buckets in held(bucket, node) whose sets are of several components."""
     named = held.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
@@ -355,14 +351,23 @@ def unsettled(held: DataFrame, labels: DataFrame) -> DataFrame:
     return named.join(mixed, "bucket", "left_semi")
 
 
-def linked_sets(docs: DataFrame, text: str, k: int, percent: int, tile_rows: int = 1000, tile_bytes: int = 4 << 20, rounds: int = ROUNDS) -> DataFrame:
+def grouped_buckets(held: DataFrame) -> DataFrame:
+    """group, node, label: the buckets of held(bucket, node, label) whose smallest component is the same, together.
+
+    Such buckets have mostly the same sets, each of which is then in few groups, however many buckets it is in. A group
+    holds what meets one component, and nothing that is only reached from there.
+    """
+    group = held.groupBy("bucket").agg(F.min("label").alias("group"))
+    return held.join(group, "bucket").select("group", "node", "label").distinct()
+
+
+def linked_sets(docs: DataFrame, text: str, k: int, percent: int, tile_rows: int = 1000, tile_bytes: int = 4 << 20) -> DataFrame:
     """node, label: components of the sets that have a similar one.
 
     Each set is first compared with the smallest leader that it met, and with a set that it alone met in some
-    bucket. A bucket whose sets are of one component is then done. In each of the others a set is compared with all
-    those of other components, and leaves the bucket; links join components, which settles further buckets. What is
-    left after some such rounds is compared bucket by bucket, in tiles. So every two sets that share a bucket are compared
-    unless they are known to belong together, no others are, and rows grow with sets and their buckets.
+    bucket. A bucket whose sets are of one component is then done; the others are compared by groups of buckets,
+    in tiles. So every two sets that share a bucket are compared
+    unless they are known to belong together, and rows grow with sets and their buckets.
     """
     met = stored(candidates(docs, text, k, percent), "met")
     texts = stored(named_texts(docs, text, k, met.select("node").union(met.select(F.col("leader").alias("node"))).distinct()), "texts")
@@ -388,21 +393,9 @@ def linked_sets(docs: DataFrame, text: str, k: int, percent: int, tile_rows: int
         return labels
 
     labels = with_links(labels, verified(apart, texts, k, percent))
-    held = stored(unsettled(met.where("bucket IS NOT NULL").select("bucket", "node"), labels), "held")
-    for _ in range(rounds):
-        if not held.limit(1).count():
-            break
-        # a bucket's new leader is one of its smallest component: those of large ones may be told apart from fewer
-        sizes = held.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.min("node").alias("node"))
-        leader = sizes.groupBy("bucket").agg(F.min(F.struct("n", "label", "node")).alias("least")).select("bucket", F.col("least.node").alias("a"), F.col("least.label").alias("la"))
-        asked = held.join(leader, "bucket").where("label <> la").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-        labels = with_links(labels, verified(asked, texts, k, percent))
-        others = held.join(leader.select("bucket", F.col("a").alias("node")), ["bucket", "node"], "left_anti").select("bucket", "node")
-        rest = stored(unsettled(others, labels), "held")
-        forget(held)
-        held = rest
+    held = stored(grouped_buckets(unsettled(met.where("bucket IS NOT NULL").select("bucket", "node"), labels)), "held")
     if held.limit(1).count():
-        labels = with_links(labels, compared_buckets(held, texts, k, percent, tile_rows, tile_bytes))
+        labels = with_links(labels, compared_groups(held, texts, k, percent, tile_rows, tile_bytes))
     forget(met, texts, held)
     return labels
 

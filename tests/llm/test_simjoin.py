@@ -117,7 +117,7 @@ def test_copies_linked_only_through_one_another(spark):
         docs.append((1000 - i, " ".join(w)))
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
     want = sorted(brute(docs))
-    for tiles in ({}, {"tile_rows": 7, "tile_bytes": 5000}, {"rounds": 0, "tile_rows": 7, "tile_bytes": 5000}):
+    for tiles in ({}, {"tile_rows": 7, "tile_bytes": 5000}):
         assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(df, k=4, percent=85, **tiles).collect()) == want
 
 
@@ -137,20 +137,22 @@ def test_rows_grow_with_a_group_and_not_with_its_square(spark):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(df, k=4, percent=85).collect()) == sorted(brute(docs))
 
 
-def test_buckets_that_share_components_are_not_compared_with_one_another(spark):
-    """A long row of texts, each like the next but one shares with it too little to link: no bucket holds the row."""
-    from spotflow.llm.simjoin import compared_buckets, unsettled
+def test_buckets_are_grouped_by_their_smallest_component(spark):
+    """A row of buckets, each with a set of the one before: no group holds the row, and none reaches beyond what it met."""
+    from spotflow.llm.simjoin import compared_groups, grouped_buckets, unsettled
 
-    rng = random.Random(6)
-    texts = [" ".join(f"w{rng.randint(0, 9999)}" for _ in range(30)) for _ in range(12)]
-    held = spark.createDataFrame([(i // 2 * 10 + j, i + j) for i in range(0, 10, 2) for j in (0, 1, 2) if i + j < 12], "bucket long, node long")
-    labels = spark.createDataFrame([(0, 0), (1, 0), (2, 0)], "node long, label long")
+    held = spark.createDataFrame([(100 + i, i + j) for i in range(0, 40, 2) for j in (0, 1, 2)] + [(200, 0), (200, 2), (300, 5), (300, 6), (300, 6)], "bucket long, node long")
+    labels = spark.createDataFrame([(5, 5), (6, 5)], "node long, label long")
     left = unsettled(held, labels)
-    assert sorted(r.bucket for r in left.select("bucket").distinct().collect()) == sorted({r.bucket for r in left.collect()})
-    rows = [(5, 1, 1), (5, 2, 2), (6, 2, 2), (6, 3, 3)]
-    same = [(n, texts[0] if n in (1, 3) else texts[5]) for n in (1, 2, 3)]
-    got = compared_buckets(spark.createDataFrame(rows, "bucket long, node long, label long"), spark.createDataFrame(same, "node long, text string"), 4, 85, 100, 1 << 20).collect()
-    assert got == []  # 1 and 3 are alike, and share no bucket
+    assert {r.bucket for r in left.collect()} == {100 + i for i in range(0, 40, 2)} | {200}
+    groups = {}
+    for r in grouped_buckets(left).collect():
+        groups.setdefault(r.group, set()).add(r.node)
+    assert groups[0] == {0, 1, 2} and len(groups) == 20 and max(map(len, groups.values())) <= 4
+    same = spark.createDataFrame([(n, "a b c d e f" if n in (1, 3) else "u v w x y z") for n in (1, 2, 3)], "node long, text string")
+    rows = spark.createDataFrame([(5, 1, 1), (5, 2, 2), (6, 2, 2), (6, 3, 3)], "group long, node long, label long")
+    assert compared_groups(rows, same, 4, 85, 100, 1 << 20).collect() == []  # 1 and 3 are alike, and share no group
+    assert {tuple(r) for r in compared_groups(rows.withColumn("group", rows.group * 0), same, 4, 85, 100, 1 << 20).collect()} == {(1, 3)}
 
 
 def test_links_rest_on_words(spark):
