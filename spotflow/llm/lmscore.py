@@ -1,8 +1,8 @@
 """Language-model scores: the marginal probability of a text over all its segmentations into pieces.
 
 An existing unigram vocabulary weights the pieces. A word's segmentations form a lattice; a forward recursion
-in log space sums over all of them, whole batches of words at a time. The weights start from the vocabulary's
-scores and are fitted to the distinct training words by expectation and maximisation over their lattices. A
+in log space sums over all of them, whole batches of words at a time. The weights are the vocabulary's scores; beside
+them, they can be fitted to the distinct training words by expectation and maximisation over their lattices. A
 training word has one more edge, from end to end, whose weight is its count. Every distinct word of the
 corpus is scored once and joined back to the texts: the commonest words, a bounded number, by broadcast, all
 others by a shuffle on the word.
@@ -30,11 +30,13 @@ HOT_WORDS, HOT_BYTES = 1 << 17, 64
 COUNTED, COUNTED_BYTES = 1 << 18, 48 << 20
 #: Words and bytes of words whose lattices are worked on at a time.
 LATTICE_ROWS, LATTICE_BYTES = 20_000, 1 << 18
-#: Rounds of expectation and maximisation.
-ROUNDS = 2
+#: Rounds of expectation and maximisation for the fitted weights.
+ROUNDS = 1
 #: Bins to an octave of counts, for finding the commonest words.
 BINS = 16
 HASH_BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Scores of a token: learned, by the vocabulary alone, learned with fitted weights.
+SCORES = ["score", "lattice", "fitted"]
 
 
 def load_pieces(path: str, shift: float = 2.7) -> dict:
@@ -149,12 +151,12 @@ class Lattices:
             out[target[new[x:y]]] = np.logaddexp.reduceat(out[source[a:b]] + cost[a:b], new[x:y] - a)
         return out
 
-    def marginals(self, words: list[str], logs: np.ndarray | None = None) -> np.ndarray:
-        """Natural log of the summed probability of all segmentations of each word."""
+    def marginals(self, words: list[str], *logs: np.ndarray) -> list[np.ndarray]:
+        """Natural log of the summed probability of all segmentations of each word, for each of the weights."""
         if not words:
-            return np.zeros(0)
+            return [np.zeros(0) for _ in logs]
         e = self.edges(words)
-        return self._forward(e, self.logs if logs is None else logs)[e["node"] + e["size"]]
+        return [self._forward(e, w)[e["node"] + e["size"]] for w in logs]
 
     def _forward(self, e: dict, logs: np.ndarray) -> np.ndarray:
         total = int(e["node"][-1] + e["size"][-1]) + 1
@@ -179,7 +181,8 @@ class Lattices:
 
 def word_log10(pieces: dict, word: str) -> float:
     """log10 of the summed probability of all segmentations of a word with the blank before it."""
-    return float(Lattices(pieces).marginals([word])[0]) / LN10
+    lattices = Lattices(pieces)
+    return float(lattices.marginals([word], lattices.logs)[0][0]) / LN10
 
 
 def folded_words(text: str | None) -> list[bytes]:
@@ -273,14 +276,15 @@ def hot_threshold(words: DataFrame, most: int) -> int:
 
 
 def score_texts(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", hot_words: int = HOT_WORDS, rounds: int = ROUNDS) -> DataFrame:
-    """key, held_out, n_tokens, n_known, train_tokens, base_score, score of every text.
+    """key, held_out, n_tokens, n_known, train_tokens, base_score, score, lattice_score, fitted_score of every text.
 
     Tokens are the words, A-Z lower-cased, and one end. base_score is the add-0.1 unigram score by the
-    counts of the training texts. score is the log10 probability of the text under the model: the sum over
-    its tokens of c / (N + V) + V / (N + V) * s, where c is the token's training count, N all and V the
-    distinct training tokens, and s the marginal of its lattice of pieces (the end is a piece of its own);
-    without training tokens it is s. A null or empty text is its end alone. A null key is held out. Repeated
-    rows are separate texts, each counted and scored. Other columns are dropped. Rows are numbered once and
+    counts of the training texts. lattice_score is the log10 of the marginal probability over all segmentations under the
+    vocabulary's scores: the sum over the tokens of the marginal s of their lattices of pieces (the end is a piece of its
+    own). score is that of the model which has learned the training texts, too: c / (N + V) + V / (N + V) * s for each token, where c is the
+    token's training count, N all and V the distinct training tokens; without training tokens it is s.
+    fitted_score is the same with weights fitted in `rounds` rounds; with none, it is score. A null or empty text is its end alone. A null
+    key is held out. Repeated rows are separate texts, each counted and scored. Other columns are dropped. Rows are numbered once and
     stored.
     """
     spark = docs.sparkSession
@@ -291,27 +295,33 @@ def score_texts(docs: DataFrame, path: str, text: str = "text", key: str = "doc_
     sums = counted.agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
     total, distinct = (sums.n or 0) + ends, (sums.v or 0) + (ends > 0)
     under = total + 0.1 * (distinct + 1)
-    logs = fitted(lattices, counted.where("n > 0"), ends, rounds)
+    logs = [lattices.logs, fitted(lattices, counted.where("n > 0"), ends, rounds)] if rounds else [lattices.logs]
     new = math.log(distinct / (total + distinct)) if total else 0.0
     own = lambda n: np.log(np.maximum(n, 1e-300) / max(total + distinct, 1))
     log10_of = lambda n, spelled: np.where(n > 0, np.logaddexp(own(n), new + spelled), new + spelled) / LN10
     sent = send(spark, (lattices, logs))
 
+    def values(n: np.ndarray, spelled: list[np.ndarray]) -> list[np.ndarray]:
+        """score, lattice_score, fitted_score of tokens."""
+        return [log10_of(n, spelled[0]), spelled[0] / LN10, log10_of(n, spelled[-1])]
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in lattice_slices(batches):
             use, logs = sent.value[1]
             n = batch.column(1).to_numpy(zero_copy_only=False).astype(float)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(log10_of(n, use.marginals(batch.column(0).to_pylist(), logs)))], ["word", "n", "lp"])
+            made = values(n, use.marginals(batch.column(0).to_pylist(), *logs))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, made)], ["word", "n", *SCORES])
 
-    words = stored(counted.select("word", "n").mapInArrow(score, "word string, n long, lp double"), "words")
+    words = stored(counted.select("word", "n").mapInArrow(score, "word string, n long, score double, lattice double, fitted double"), "words")
     forget(counted)
     hot = words.where((F.col("n") >= hot_threshold(words, hot_words)) & (F.octet_length("word") <= HOT_BYTES)).toArrow()  # at most hot_words of HOT_BYTES
-    common = send(spark, (hot.column("word").cast(pa.binary()).combine_chunks(), np.log10((hot.column("n").to_numpy() + 0.1) / under), hot.column("lp").to_numpy()))
-    end = (math.log10((ends + 0.1) / under), float(log10_of(np.array([float(ends)]), logs[-1:])[0]), int(ends > 0))
+    common = send(spark, (hot.column("word").cast(pa.binary()).combine_chunks(), [np.log10((hot.column("n").to_numpy() + 0.1) / under), *(hot.column(c).to_numpy() for c in SCORES)]))
+    end = [math.log10((ends + 0.1) / under), *(float(v[0]) for v in values(np.array([float(ends)]), [w[-1:] for w in logs]))]
+    end_known = int(ends > 0)
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row of the sums over common words for each text, with word null, and one for each other word in it."""
-        name, (spelt, bases, lps) = common.value
+        name, (spelt, tables) = common.value
         get = once(name, lambda: {w: i for i, w in enumerate(spelt.to_pylist())}).get
         for batch in batches:
             flat: list[bytes] = []
@@ -324,7 +334,7 @@ def score_texts(docs: DataFrame, path: str, text: str = "text", key: str = "doc_
             owner = np.repeat(np.arange(n), sizes)
             at = np.fromiter(map(get, flat, repeat(-1)), np.int64, len(flat))
             known = np.flatnonzero(at >= 0)
-            sums = [np.bincount(owner[known], weights=w, minlength=n) for w in (np.ones(len(known)), bases[at[known]], lps[at[known]])]
+            sums = [np.bincount(owner[known], weights=w, minlength=n) for w in (np.ones(len(known)), *(t[at[known]] for t in tables))]
             other = np.flatnonzero(at < 0)
             rare = Counter(zip(owner[other].tolist(), map(flat.__getitem__, other.tolist()), strict=True))
             rows = batch.column(0).to_numpy()
@@ -337,23 +347,22 @@ def score_texts(docs: DataFrame, path: str, text: str = "text", key: str = "doc_
                     pa.concat_arrays([pa.nulls(n, pa.string()), own_words]),
                     pa.array(np.concatenate([np.zeros(n, np.int64), np.fromiter(rare.values(), np.int64, m)])),
                     pa.array(np.concatenate([np.array(sizes, np.int64) + 1, blank.astype(np.int64)])),
-                    pa.array(np.concatenate([sums[0].astype(np.int64) + end[2], blank.astype(np.int64)])),
-                    pa.array(np.concatenate([sums[1] + end[0], blank])),
-                    pa.array(np.concatenate([sums[2] + end[1], blank])),
+                    pa.array(np.concatenate([sums[0].astype(np.int64) + end_known, blank.astype(np.int64)])),
+                    *(pa.array(np.concatenate([s + e, blank])) for s, e in zip(sums[1:], end, strict=True)),
                 ],
                 names,
             )
 
-    names = ["row", "word", "times", "n_tokens", "n_known", "base", "lp"]
-    parts = map_rows(base.select("row", "text"), part, "row long, word string, times long, n_tokens long, n_known long, base double, lp double", rows=1000)
+    names = ["row", "word", "times", "n_tokens", "n_known", "base", *SCORES]
+    parts = map_rows(base.select("row", "text"), part, "row long, word string, times long, n_tokens long, n_known long, base double, score double, lattice double, fitted double", rows=1000)
     # texts' own rows get a word of their own that no text has, so that they spread over the join
     keyed = parts.withColumn("word", F.coalesce("word", F.concat(F.lit(" "), F.col("row").cast("string"))))
-    joined = keyed.join(words.select("word", F.col("n").alias("w_n"), F.col("lp").alias("w_lp")), "word", "left")
+    joined = keyed.join(words.select("word", F.col("n").alias("w_n"), *(F.col(c).alias("w_" + c) for c in SCORES)), "word", "left")
     each = F.col("times").cast("double")
     summed = joined.groupBy("row").agg(
         F.sum("n_tokens").alias("n_tokens"),
         F.sum(F.col("n_known") + F.when(F.col("w_n") > 0, F.col("times")).otherwise(0)).alias("n_known"),
         F.sum(F.col("base") + F.when(F.col("w_n").isNull(), 0.0).otherwise(each * F.log10((F.col("w_n") + 0.1) / F.lit(under)))).alias("base_score"),
-        F.sum(F.col("lp") + F.coalesce(each * F.col("w_lp"), F.lit(0.0))).alias("score"),
+        *(F.sum(F.col(c) + F.coalesce(each * F.col("w_" + c), F.lit(0.0))).alias(c if c == "score" else c + "_score") for c in SCORES),
     )
-    return base.select("row", "key", "held_out").join(summed, "row").select(F.col("key").alias(key), "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score")
+    return base.select("row", "key", "held_out").join(summed, "row").select(F.col("key").alias(key), "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score", "lattice_score", "fitted_score")
