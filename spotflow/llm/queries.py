@@ -217,9 +217,10 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def viterbi_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Viterbi as the fold: the best path of every distinct word of `benchmark`, the model's scores read as log weights by rank."""
+    """Viterbi as the fold: the best path of every distinct word of `documents` and `benchmark`, the model's scores read as log weights by rank."""
     model = load_model(public_tokenizers.path("piece_bpe_32k.model"))
-    words = table(spark, sf_dir, "benchmark").select(F.explode(F.split(F.coalesce("text", F.lit("")), r"\s+")).alias("word")).where("word <> ''").distinct()
+    texts = table(spark, sf_dir, "documents").select("text").union(table(spark, sf_dir, "benchmark").select("text"))
+    words = texts.select(F.explode(F.split(F.coalesce("text", F.lit("")), r"\s+")).alias("word")).where("word <> ''").distinct()
     cuts = unit_cuts(words.select(F.lit(0).alias("number"), F.concat(F.lit(SPACE), "word").alias("unit"), F.lit(None).cast("binary").alias("whole")), as_unigrams(model))
     return cuts.select("unit", "cuts", (F.bit_count("cuts") - 1).alias("n_pieces"))
 
