@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import chain
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.displacement import lag_sums
+
 
 def steps(tracks: DataFrame, pixel_size: float = 1.0, by: list[str] | None = None, frame: str = "frame") -> DataFrame:
     """x, y scaled by pixel_size, then x_step, y_step (0 for a track's first row) and steplength."""
@@ -28,22 +35,47 @@ def last_rows(tracks: DataFrame, by: list[str], order: str) -> DataFrame:
     return tracks.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def msd(tracks: DataFrame, max_lag: int, mpp: float = 1.0, fps: float = 1.0, by: list[str] | None = None, scale: int | None = None) -> DataFrame:
+#: Frames in one block of a track, unless lags are longer.
+BLOCK = 4096
+
+
+def msd(tracks: DataFrame, max_lag: int, mpp: float = 1.0, fps: float = 1.0, by: list[str] | None = None, scale: int | None = None, block: int = BLOCK) -> DataFrame:
     """by, lag, time, msd, n: mean squared displacement over pairs exactly lag frames apart.
 
-    A detection looks no further ahead than its own track reaches. With scale, coordinates are whole multiples of 1/scale and are summed as integers, so that the result
-    doesn't depend on the order of rows.
+    Tracks are dealt in blocks of frames, each with as many frames behind it as the longest lag has; a task sums a block's displacements
+    for all lags, so rows grow with detections and not with lags. With scale, coordinates are whole multiples of 1/scale and are summed
+    as integers, so that the result doesn't depend on the order of rows. Rows without a position or frame take no part.
     """
     keys = by or ["particle"]
-    exact = (lambda c: F.round(F.col(c) * scale).cast("bigint")) if scale else F.col
-    now = tracks.select(*keys, F.col("frame").alias("_f"), exact("x").alias("_x"), exact("y").alias("_y"))
-    later = now.select(*keys, *(F.col(c).alias(c + "2") for c in ("_f", "_x", "_y")))
-    reach = F.least(F.lit(max_lag), F.max("_f").over(Window.partitionBy(*keys)) - F.col("_f")).cast("int")
-    ahead = now.withColumn("_reach", reach).where("_reach >= 1")
-    lagged = ahead.withColumn("lag", F.explode(F.sequence(F.lit(1), F.col("_reach")))).drop("_reach").withColumn("_f2", F.col("_f") + F.col("lag"))
-    pairs = lagged.join(later, [*keys, "_f2"])
-    dx, dy = F.col("_x2") - F.col("_x"), F.col("_y2") - F.col("_y")
-    found = pairs.groupBy(*keys, "lag").agg(F.sum(dx * dx + dy * dy).alias("_s"), F.count("*").alias("n"))
+    span = max(block, max_lag)
+    exact = (lambda c: F.round(F.col(c) * scale).cast("bigint")) if scale else (lambda c: F.col(c).cast("double"))
+    known = tracks.where(F.col("frame").isNotNull() & (F.abs("x") < float("inf")) & (F.abs("y") < float("inf")))  # neither null nor NaN
+    now = known.select(*keys, F.col("frame").cast("bigint").alias("_f"), exact("x").alias("_x"), exact("y").alias("_y"))
+    own = F.floor(F.col("_f") / span)
+    before = F.when(F.col("_f") - own * span < max_lag, own - 1)  # rows near a block's begin end pairs of the one before
+    dealt = now.withColumn("_b", F.explode(F.array_compact(F.array(own, before)))).withColumn("_own", F.floor(F.col("_f") / span) == F.col("_b"))
+    kinds = {f.name: f.dataType.simpleString() for f in dealt.schema}
+    value = kinds["_x"]
+
+    def sums(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Blocks come one after the other; the last one of a batch may go on in the next."""
+        rest = None
+        for pdf in chain(pdfs, [None]):
+            known = [p for p in (rest, pdf) if p is not None and len(p)]
+            if not known:
+                continue
+            rows = pd.concat(known, ignore_index=True)
+            group = rows.groupby([*keys, "_b"], sort=False, dropna=False).ngroup().to_numpy()
+            cut = len(rows) if pdf is None else int(np.searchsorted(group, group[-1]))
+            rest = rows.iloc[cut:]
+            if cut:
+                g, lag, s, n = lag_sums(*(rows[c].to_numpy()[:cut] if c else group[:cut] for c in ("", "_f", "_x", "_y", "_own")), max_lag)
+                first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))[g]
+                yield rows.iloc[first][keys].reset_index(drop=True).assign(lag=lag, _s=s, n=n)
+
+    ordered = dealt.repartition(*keys, "_b").sortWithinPartitions(*keys, "_b", "_f")
+    parts = ordered.mapInPandas(sums, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), f"lag int, _s {value}, n long"]))
+    found = parts.groupBy(*keys, "lag").agg(F.sum("_s").alias("_s"), F.sum("n").alias("n"))
     unit = mpp * mpp / (scale * scale if scale else 1)
     return found.select(*keys, "lag", (F.col("lag") / F.lit(float(fps))).alias("time"), (F.col("_s").cast("double") * F.lit(unit) / F.col("n")).alias("msd"), "n")
 
