@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import imaging
+from ..storage import stored
 
 LAB = ["int", "bg", "sig_pixel_size", "int_mean", "bg_mean"]
 
@@ -100,20 +101,24 @@ def corrected(measured: DataFrame, colour: str = "red", nominal: int | None = No
 def constant_positions(frames: DataFrame, positions: DataFrame, int_r2: float, bg_r2: float, gap_r2: float = 0.0, colour: str = "red", means: bool = False, most: int = 100_000) -> DataFrame:
     """Traces of fixed positions (particle, y, x) in every frame, without a shuffle of frames.
 
-    Positions are broadcast, at most `most` of them; more are dealt into groups, each with its own pass over the frames.
+    Positions are broadcast, at most `most` different ones; more are dealt into groups, each with its own pass over the frames. Repeated
+    ones are measured once, and have a row each.
     """
-    found = positions.select("particle", "y", "x")
+    found = stored(positions.groupBy("particle", "y", "x").agg(F.count("*").alias("copies")), "positions")
+    groups = -(-found.count() // most) * 2  # a pass over the frames for each, whose positions are broadcast
+    if groups <= 2:
+        return _fixed(frames, found, int_r2, bg_r2, gap_r2, colour, means)
+    parts = [found.where(F.pmod(F.xxhash64("particle", "y", "x"), F.lit(groups)) == g) for g in range(groups)]
+    return functools.reduce(DataFrame.union, (_fixed(frames, part, int_r2, bg_r2, gap_r2, colour, means) for part in parts))
+
+
+def _fixed(frames: DataFrame, found: DataFrame, int_r2: float, bg_r2: float, gap_r2: float, colour: str, means: bool) -> DataFrame:
     at = prefix(colour)
     names = [c for c in LAB if means or not c.endswith("mean")]
-    n = found.count()
-    if n > most:
-        # as many groups of positions as it takes; each is broadcast to a pass over the frames
-        groups = -(-n // most) * 2
-        parts = [constant_positions(frames, found.where(F.pmod(F.xxhash64("particle", "y", "x"), F.lit(groups)) == g), int_r2, bg_r2, gap_r2, colour, means, most) for g in range(groups)]
-        return functools.reduce(DataFrame.union, parts)
-    rows = found.collect()  # at most `most`
+    rows = found.collect()  # about half of `most`, at most `most` where they are all
     particles = np.array([r.particle for r in rows], np.int64)
     ys, xs = (np.array([r[c] for r in rows], float) for c in ("y", "x"))
+    again = np.repeat(np.arange(len(rows)), [r.copies for r in rows])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from ..operators.frames import images
@@ -121,8 +126,8 @@ def constant_positions(frames: DataFrame, positions: DataFrame, int_r2: float, b
         for batch in batches:
             for row, image in images(batch):
                 measured = imaging.lab_rois(image, ys, xs, int_r2, bg_r2, gap_r2)
-                fixed = [pa.array([row["video_id"]] * len(rows), pa.string()), pa.array([row["frame"]] * len(rows), pa.int32()), pa.array(particles), pa.array(ys), pa.array(xs)]
-                yield pa.RecordBatch.from_arrays([*fixed, *(pa.array(measured[c], from_pandas=True) for c in names)], ["video_id", "frame", "particle", "y", "x", *(at + c for c in names)])
+                fixed = [pa.array([row["video_id"]] * len(again), pa.string()), pa.array([row["frame"]] * len(again), pa.int32()), pa.array(particles[again]), pa.array(ys[again]), pa.array(xs[again])]
+                yield pa.RecordBatch.from_arrays([*fixed, *(pa.array(np.asarray(measured[c])[again], from_pandas=True) for c in names)], ["video_id", "frame", "particle", "y", "x", *(at + c for c in names)])
 
     schema = "video_id string, frame int, particle long, y double, x double, " + ", ".join(f"{at}{c} {'long' if c == 'sig_pixel_size' else 'double'}" for c in names)
     return corrected(frames.select("video_id", "frame", "nrows", "ncols", "px").mapInArrow(run, schema), colour)

@@ -195,3 +195,53 @@ def test_columns_of_other_names(spark):
     assert [tuple(r) for r in det.place_edges(df, 2.0, [], "k", "t", "v", "u").collect()] == [(1, 1, 2, 1, 2, 1.0)]
     assert {(r.k, r.place, r.n) for r in det.place_members(df, [], "k", "t", "v", "u").collect()} == {(1, 1, 7), (2, 2, 8), (3, 2, 9)}
     assert {(r.k, r.n_before, r.n_after) for r in det.link_degrees(df, 2.0, [], "k", "t", "v", "u").collect()} == {(1, 0, 2), (2, 1, 0), (3, 1, 0)}
+
+
+def brute_msd(rows, max_lag):
+    out = {}
+    for p, f, x, y in rows:
+        for p2, f2, x2, y2 in rows:
+            if p == p2 and 1 <= f2 - f <= max_lag:
+                s, n = out.get((p, f2 - f), (0.0, 0))
+                out[p, f2 - f] = (s + (x2 - x) ** 2 + (y2 - y) ** 2, n + 1)
+    return {k: (s / n, n) for k, (s, n) in out.items()}
+
+
+@pytest.mark.parametrize(("max_lag", "block"), [(3, 4), (7, 7), (40, 10), (150, 4096), (150, 20)])
+def test_msd_with_gaps_and_repeated_frames(spark, max_lag, block):
+    """Blocks of any size, lags by comparison or by transforms, whole numbers or not."""
+    import random
+
+    rng = random.Random(max_lag)
+    made = [(p, f, round(rng.random() * 30, 2), round(-5 + rng.random() * 9, 2)) for p in (1, 2, None) for f in range(-20, 280) if rng.random() < (0.9 if p == 1 else 0.2)]
+    made += [(1, f, 1.0, 2.0) for f in (3, 3, 4)] + [(7, 0, 1.0, 1.0), (8, 0, 1.0, 1.0), (8, 10**9, 2.0, 2.0)]
+    df = spark.createDataFrame([*made, (1, 5, None, 1.0), (1, 5, float("nan"), 1.0), (1, None, 1.0, 1.0)], "particle int, frame int, x double, y double").repartition(3)
+    want = brute_msd(made, max_lag)
+    for scale in (None, 100):
+        got = {(r.particle, r.lag): (r.msd, r.n) for r in motion.msd(df, max_lag, scale=scale, block=block).collect()}
+        assert got.keys() == want.keys() and all(got[k][1] == want[k][1] and got[k][0] == pytest.approx(want[k][0], rel=1e-9, abs=1e-9) for k in want)
+
+
+def test_transforms_equal_comparisons():
+    import numpy as np
+
+    from spotflow.functions.displacement import lag_sums
+
+    rng = np.random.default_rng(3)
+    frame = np.sort(rng.choice(5000, 3000, replace=False))
+    x, y = np.cumsum(rng.integers(-9, 10, 3000)), np.cumsum(rng.integers(-9, 10, 3000))
+    a, b = (lag_sums(np.zeros(3000, np.int64), frame, x, y, frame < 4000, 700, many) for many in (128, 10**9))
+    assert all((u == v).all() for u, v in zip(a, b)) and len(a[1]) == 700
+
+
+def test_repeated_positions(spark):
+    import numpy as np
+
+    from spotflow.operators import photometry
+
+    frames = fr.frames_from_array(spark, np.random.default_rng(1).random((2, 12, 12)).astype(np.float32))
+    at = [(1, 3.0, 4.0)] * 50 + [(2, 5.5, 5.5), (3, 6.0, 6.0)]
+    df = spark.createDataFrame(at, "particle long, y double, x double")
+    whole = photometry.constant_positions(frames, df, 2, 8, 1)
+    parts = photometry.constant_positions(frames, df, 2, 8, 1, most=1)
+    assert whole.count() == 104 and sorted(map(str, whole.collect())) == sorted(map(str, parts.collect()))
