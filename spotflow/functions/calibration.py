@@ -102,17 +102,21 @@ def gain_density(x: np.ndarray, photons: float, rate: float, offset: float) -> n
 def fit_pixel(values: np.ndarray, bins: int = 100, least: int = 3) -> tuple[float, float, float]:
     """gain, offset and p-value of a pixel's values over time, by least chi-square over bins of more than `least`."""
     counts, edges = np.histogram(values, bins)
-    mids, width = (edges[1:] + edges[:-1]) / 2, edges[1] - edges[0]
+    return fit_counts(counts, edges, values.mean(), values.var(), least)
+
+
+def fit_counts(counts: np.ndarray, edges: np.ndarray, mean: float, spread: float, least: int = 3) -> tuple[float, float, float]:
+    """The same from the values' histogram, mean and variance; the first edge is their least one."""
+    mids, width, low, total = (edges[1:] + edges[:-1]) / 2, edges[1] - edges[0], edges[0], counts.sum()
     used = counts > least
     if used.sum() < 5:
         return math.nan, math.nan, 0.0
 
     def loss(w: np.ndarray) -> float:
         photons, rate = math.exp(min(w[0], 50)), math.exp(min(w[1], 50))
-        expected = len(values) * width * gain_density(mids[used], photons, rate, w[2])
+        expected = total * width * gain_density(mids[used], photons, rate, w[2])
         return float(np.sum((counts[used] - expected) ** 2 / counts[used]))
 
-    mean, spread, low = values.mean(), values.var(), values.min()
     offset = low - 0.05 * (mean - low)
     gain = max(spread / (2 * max(mean - offset, 1e-9)), 1e-9)
     start = np.array([math.log(max((mean - offset) / gain, 1e-9)), -math.log(gain), offset])
@@ -121,22 +125,42 @@ def fit_pixel(values: np.ndarray, bins: int = 100, least: int = 3) -> tuple[floa
     return math.exp(-best[1]), float(best[2]), chi2_survival(value, int(used.sum()) - 3)
 
 
-def random_pixel_calibration(frames: DataFrame, pixels: int = 400, least_p: float = 0.01) -> tuple[float, float]:
-    """Mean gain and offset of well-fitted pixels, `pixels` of them picked by a hash of their place."""
+def pixel_histograms(frames: DataFrame, pixels: int = 400, bins: int = 100) -> DataFrame:
+    """u, v, mean, spread, edges, counts: the values over time of `pixels` pixels, picked by a hash of their place.
 
+    Extents first, then counts: both are partial aggregates of fixed size, so a pixel's series is never gathered, however many frames there are.
+    Bins are those of numpy's histogram; null and NaN values don't count, and a pixel that never changes has no histogram.
+    """
+    spark = frames.sparkSession
     shape = frames.select("nrows", "ncols").first()
     every = [(u, v) for u in range(shape.nrows) for v in range(shape.ncols)]
     rng = np.random.default_rng(1)
     chosen = [every[i] for i in sorted(rng.permutation(len(every))[:pixels])]
     at = F.array(*(F.struct(F.lit(u).alias("u"), F.lit(v).alias("v")) for u, v in chosen))
-    picked = frames.select("ncols", "px", F.explode(at).alias("a")).select(F.col("a.u").alias("u"), F.col("a.v").alias("v"), F.get("px", F.col("a.u") * F.col("ncols") + F.col("a.v")).cast("double").alias("p"))
+    picked = frames.select("ncols", "px", F.explode(at).alias("a")).select(F.col("a.u").alias("u"), F.col("a.v").alias("v"), F.get("px", F.col("a.u") * F.col("ncols") + F.col("a.v")).cast("double").alias("p")).where(F.abs("p") < float("inf"))
+    ends = picked.groupBy("u", "v").agg(F.min("p").alias("low"), F.max("p").alias("high"), F.avg("p").alias("mean"), F.var_pop("p").alias("spread")).where("low < high").collect()  # a row a pixel
+    rows = [(r.u, r.v, r.mean, r.spread, np.linspace(r.low, r.high, bins + 1).tolist()) for r in ends]
+    known = spark.createDataFrame(rows, "u int, v int, mean double, spread double, edges array<double>")
+    edge = lambda k: F.get("edges", k)
+    rough = F.least(F.floor((F.col("p") - edge(F.lit(0))) * (bins / (edge(F.lit(bins)) - edge(F.lit(0))))), F.lit(bins - 1)).cast("int")
+    placed = picked.join(F.broadcast(known.select("u", "v", "edges")), ["u", "v"]).withColumn("_b", rough)
+    down, up = F.col("p") < edge(F.col("_b")), (F.col("p") >= edge(F.col("_b") + 1)) & (F.col("_b") < bins - 1)
+    counted = placed.groupBy("u", "v", (F.col("_b") - down.cast("int") + up.cast("int")).alias("bin")).count()
+    lists = counted.groupBy("u", "v").agg(F.map_from_entries(F.collect_list(F.struct("bin", "count"))).alias("_n"))
+    full = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda k: F.coalesce(F.element_at("_n", k), F.lit(0)).cast("bigint"))
+    return known.join(lists, ["u", "v"]).select("u", "v", "mean", "spread", "edges", full.alias("counts"))
+
+
+def random_pixel_calibration(frames: DataFrame, pixels: int = 400, least_p: float = 0.01) -> tuple[float, float]:
+    """Mean gain and offset of well-fitted pixels, `pixels` of them picked by a hash of their place; fitted to their histograms."""
 
-    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values = np.concatenate([b.column(2).to_numpy(zero_copy_only=False) for b in batches])
-        gain, offset, p = fit_pixel(values)
-        yield pa.RecordBatch.from_arrays([pa.array([gain]), pa.array([offset]), pa.array([p])], ["gain", "offset", "p"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [fit_counts(np.array(n), np.array(edges), mean, spread) for _, _, mean, spread, edges, n in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([m[k] for m in made], pa.float64()) for k in range(3)], ["gain", "offset", "p"])
 
-    row = picked.groupBy("u", "v").applyInArrow(run, "gain double, offset double, p double").where(F.col("p") > least_p).agg(F.avg("gain").alias("gain"), F.avg("offset").alias("offset")).first()
+    fitted = pixel_histograms(frames, pixels).repartition("u", "v").mapInArrow(run, "gain double, offset double, p double")
+    row = fitted.where(F.col("p") > least_p).agg(F.avg("gain").alias("gain"), F.avg("offset").alias("offset")).first()
     if row.gain is None:
         raise ValueError("no pixel fits the camera's density")
     return row.gain, row.offset

@@ -135,3 +135,25 @@ def test_spot_fit():
     u, v = np.mgrid[:15, :15]
     image = 50 * np.exp(-((u - 7.3) ** 2 + (v - 6.8) ** 2) / (2 * 1.7**2)) + 11
     assert fit_spot(image, 7, 7, 5) == pytest.approx((7.3, 6.8, 50, 1.7, 11), abs=1e-4)
+
+
+def test_pixel_histograms_equal_the_series(spark):
+    """Merged counts are numpy's histogram of each pixel's whole series, and give the same fit."""
+    from spotflow.functions.calibration import fit_counts, pixel_histograms, random_pixel_calibration
+    from spotflow.operators.frames import frames_from_array
+
+    rng = np.random.default_rng(4)
+    video = (100 + rng.gamma(6.0, 8.0, (500, 4, 5))).astype(np.float32)
+    video[:, 0, 0] = 7.0
+    video[3, 1, 1] = np.nan
+    frames = frames_from_array(spark, video).repartition(5)
+    rows = pixel_histograms(frames, 20).collect()
+    assert sorted((r.u, r.v) for r in rows) == [(u, v) for u in range(4) for v in range(5) if (u, v) != (0, 0)]
+    for r in rows:
+        own = video[:, r.u, r.v].astype(float)
+        own = own[~np.isnan(own)]
+        counts, edges = np.histogram(own, 100)
+        assert r.counts == counts.tolist() and np.allclose(r.edges, edges) and np.isclose(r.mean, own.mean()) and np.isclose(r["spread"], own.var())
+        assert np.allclose(fit_counts(np.array(r.counts), np.array(r.edges), r.mean, r["spread"]), fit_pixel(own), rtol=1e-3, atol=1e-3)
+    gain, offset = random_pixel_calibration(frames, 20, 0.0)
+    assert np.isfinite(gain) and np.isfinite(offset)
