@@ -134,7 +134,20 @@ def characterise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fr.characterised(positive, 3).select("video_id", "frame", "u", "v", *r6("rg", "signal"), F.when(F.col("rg") > 1e-6, F.round("ecc", 6)).alias("ecc"))
 
 
-@query()
+_LOCATED = ["mass", "y", "x", "Rg", "ecc", "signal", "raw_mass", "raw_bg_median", "raw_mass_corrected", "Rg_gpu", "raw_mass_gpu", "signal_gpu", "ecc_gpu"]
+
+
+@query(_WALK + f""", cand AS (SELECT video_id, frame, u0, v0, max_by(y, n) AS y, max_by(x, n) AS x, max_by(mass, n) AS mass FROM wlk GROUP BY ALL),
+kept AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY u0, v0) - 1 AS seq FROM cand a WHERE mass > 0 AND NOT EXISTS (SELECT 1 FROM cand b WHERE b.frame = a.frame AND (b.u0, b.v0) <> (a.u0, a.v0)
+  AND (b.y - a.y) * (b.y - a.y) + (b.x - a.x) * (b.x - a.x) < 9 AND (b.mass > a.mass OR b.mass = a.mass AND (b.u0, b.v0) < (a.u0, a.v0)))),
+chr AS (SELECT c.frame, c.u0, c.v0, sum(b.p * (i * i + j * j)) AS spread, sum(b.p) AS m0, max(b.p) AS top, max(b.p) FILTER (i = 0 AND j = 0) AS own, sqrt(pow(sum(b.p * sin(2 * atan2(j, i))), 2) + pow(sum(b.p * cos(2 * atan2(j, i))), 2)) AS skew
+  FROM kept c CROSS JOIN dsc JOIN band b ON b.frame = c.frame AND b.u = c.u0 + i AND b.v = c.v0 + j GROUP BY ALL),
+raw AS (SELECT c.frame, c.u0, c.v0, sum(p) FILTER (i * i + j * j <= 1) AS s, quantile_cont(p, 0.5) FILTER (i * i + j * j BETWEEN 1 AND 4) AS b
+  FROM kept c CROSS JOIN range(-2, 3) r(i) CROSS JOIN range(-2, 3) q(j) JOIN px ON px.frame = c.frame AND px.u = CAST(round(c.y) AS INTEGER) + i AND px.v = CAST(round(c.x) AS INTEGER) + j GROUP BY ALL),
+raw0 AS (SELECT c.frame, c.u0, c.v0, sum(p) AS s FROM kept c CROSS JOIN dsc JOIN px ON px.frame = c.frame AND px.u = c.u0 + i AND px.v = c.v0 + j GROUP BY ALL),
+every AS (SELECT kept.*, sqrt(spread / mass) AS Rg, skew / (mass - own) AS ecc, top AS signal, raw.s AS raw_mass, raw.b AS raw_bg_median, raw.s - 5 * raw.b AS raw_mass_corrected, sqrt(spread / m0) AS Rg_gpu, raw0.s AS raw_mass_gpu, top AS signal_gpu, skew / (m0 - own) AS ecc_gpu
+  FROM kept JOIN chr USING (frame, u0, v0) JOIN raw USING (frame, u0, v0) JOIN raw0 USING (frame, u0, v0))
+SELECT video_id, frame, CAST(seq AS INTEGER) AS seq, {rounded(*_LOCATED)} FROM every""")
 def locate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every step of locating: band pass, maxima, walk, close pairs, character, raw signal."""
     params = TrackingParams(3, noise_size=1, smoothing_size=3, separation=3, cpu_processed=True, characterize=True, sig_radius=1, bg_radius=2)
@@ -395,6 +408,16 @@ def nearest_track(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("particle", F.col("nearest_particle").alias("nearest_other"), *r6("distance"))
 
 
+@query(f"""WITH {SQL['ev']}, {SQL['det']}, p AS (SELECT a.frame, a.seq AS l, b.seq AS r, (a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x) AS d2 FROM det a JOIN det b ON a.frame = b.frame AND a.seq % 2 = 0 AND b.seq % 2 = 1),
+n AS (SELECT * FROM p WHERE d2 < 4), f AS (SELECT frame, l, arg_min(r, row(d2, r)) AS r FROM n GROUP BY ALL), g AS (SELECT frame, r, arg_min(l, row(d2, l)) AS l FROM n GROUP BY ALL)
+SELECT frame, l AS left_id, r AS right_id, round(sqrt(d2), 6) AS distance FROM f JOIN g USING (frame, l, r) JOIN n USING (frame, l, r)""")
+def matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections of two engines, those of even and of odd number, that are each other's nearest."""
+    found = lens.detections(spark, sf_dir)
+    both = det.matched(found.where("seq % 2 = 0"), found.where("seq % 2 = 1"), 2.0)
+    return both.select("frame", "left_id", "right_id", *r6("distance"))
+
+
 @query("WITH r AS (SELECT min(value) AS a, max(value) AS b, count(*) AS n FROM events) SELECT CAST(least(floor((value - a) / ((b - a) / 50)), 49) AS INTEGER) AS bin, count(*) AS count, round(count(*) / (any_value(n) * any_value((b - a) / 50)), 8) AS density FROM events CROSS JOIN r GROUP BY 1")
 def histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return det.histogram(lens.events(spark, sf_dir), "value", 50).select("bin", "count", F.round("density", 8).alias("density"))
