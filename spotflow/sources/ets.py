@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .ranges import FRAMES, Read, framed, reader
+from .ranges import FRAMES, Read, framed, opened, reader
 
 #: Numpy kinds of the format's sample codes.
 KINDS = {1: "<i1", 2: "<u1", 3: "<i2", 4: "<u2", 5: "<i4", 6: "<u4", 9: "<f4"}
@@ -68,7 +68,7 @@ def write_ets(videos: dict[int, dict[int, np.ndarray]], code: int = 4) -> bytes:
     return bytes(body)
 
 
-def read_ets(spark: SparkSession, path: str, channel: int | None = None, compact_missing: bool = False, glob: str = "*.ets", frames: int = FRAMES) -> DataFrame:
+def read_ets(spark: SparkSession, path: str, channel: int | None = None, compact_missing: bool = False, glob: str = "*.ets", frames: int = FRAMES, open_file: Callable[[str], Read] = opened) -> DataFrame:
     """video_id (path), channel, frame, nrows, ncols, px; samples by the file's code, missing frames left out.
 
     frame keeps the file's numbers; with compact_missing they are counted through. With a channel, the bytes of
@@ -82,7 +82,7 @@ def read_ets(spark: SparkSession, path: str, channel: int | None = None, compact
                 k = counts[c] = counts.get(c, -1) + 1
                 yield {"channel": c, "frame": k if compact_missing else f, "offset": offset} | {n: header[n] for n in ("code", "width", "height")}
 
-    return framed(spark, path, glob, listed, listed_chunk, ["channel", "frame"], frames)
+    return framed(spark, path, glob, listed, listed_chunk, ["channel", "frame"], frames, open_file)
 
 
 def channels(spark: SparkSession, path: str) -> DataFrame:

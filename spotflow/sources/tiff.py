@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .ranges import FRAMES, Read, framed, listing, reader
+from .ranges import FRAMES, Read, framed, listing, opened, reader
 
 #: Sizes of TIFF field types.
 TYPE_SIZE = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8, 13: 4, 16: 8, 17: 8, 18: 8}
@@ -146,9 +146,9 @@ def listed_page(read: Read, one: dict) -> np.ndarray:
     return page(read, dict(one["tags"]))
 
 
-def read_tiff(spark: SparkSession, path: str, glob: str = "*.tif*", frames: int = FRAMES) -> DataFrame:
+def read_tiff(spark: SparkSession, path: str, glob: str = "*.tif*", frames: int = FRAMES, open_file: Callable[[str], Read] = opened) -> DataFrame:
     """video_id (path), frame, nrows, ncols, px of all files below path; a task reads ranges of `frames` pages."""
-    return framed(spark, path, glob, pages, listed_page, ["frame"], frames)
+    return framed(spark, path, glob, pages, listed_page, ["frame"], frames, open_file)
 
 
 def manifest(spark: SparkSession, path: str, experiment: str, glob: str = "*.tif") -> DataFrame:

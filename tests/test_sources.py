@@ -218,3 +218,62 @@ def test_extract_traces(spark):
     out = extract_traces(frames_from_array(spark, a[:2]), frames_from_array(spark, a))
     n = out["static"].count()
     assert n and out["traces"].count() == 6 * n and out["tracks"].count() > 0
+
+
+def mounted(spark, name, folder):
+    """A path with a scheme that only Hadoop knows."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    conf.set(f"fs.viewfs.mounttable.{name}.link./data", f"file://{folder}")
+    return f"viewfs://{name}/data"
+
+
+def noting(folder, log):
+    """Opens what lies behind the mount, and notes which bytes are read; other files can't be opened."""
+
+    def open_file(uri):
+        import os
+
+        name = uri.rsplit("/", 1)[-1]
+        if not name.startswith("open"):
+            raise OSError(uri)
+
+        def read(at, n):
+            with open(os.path.join(log, f"{os.getpid()}"), "a") as note:
+                note.write(f"{name} {at} {n}\n")
+            with open(os.path.join(folder, name), "rb") as f:
+                f.seek(at)
+                return f.read(n)
+
+        return read
+
+    return open_file
+
+
+def test_remote_files_are_read_by_ranges(spark, tmp_path):
+    """One store holds files that workers can open, of which they read their own bytes, and some that only Spark can read."""
+    data, log = tmp_path / "data", tmp_path / "log"
+    data.mkdir()
+    log.mkdir()
+    a = (np.random.default_rng(0).random((9, 40, 50)) * 200).astype(np.uint16)
+    (data / "open.tif").write_bytes(write_tiff(a))
+    (data / "closed.tif").write_bytes(write_tiff(a + 1))
+    path = mounted(spark, "videos", data)
+    rows = read_tiff(spark, path, frames=2, open_file=noting(str(data), str(log))).collect()
+    got = {(r.video_id.rsplit("/", 1)[-1], r.frame): r.px for r in rows}
+    assert len(rows) == len(got) == 18 and all(got["open.tif", k] == a[k].ravel().tolist() and got["closed.tif", k] == (a[k] + 1).ravel().tolist() for k in range(9))
+    reads = [line.split() for f in log.iterdir() for line in f.read_text().splitlines()]
+    pixels = [int(n) for _, _, n in reads if int(n) == 4000]
+    assert len(pixels) == 9 and sum(int(n) for _, _, n in reads) < 9 * 4000 + 9 * 400 and {r[0] for r in reads} == {"open.tif"}
+    assert read_tiff(spark, path).count() == 18  # nobody but Spark opens them
+
+
+def test_remote_channels_are_read_alone(spark, tmp_path):
+    data, log = tmp_path / "data", tmp_path / "log"
+    data.mkdir()
+    log.mkdir()
+    (data / "open.ets").write_bytes(write_ets({c: {f: np.full((16, 16), 10 * c + f) for f in range(3)} for c in (0, 1)}))
+    path = mounted(spark, "channels", data)
+    rows = read_ets(spark, path, channel=1, open_file=noting(str(data), str(log))).collect()
+    assert sorted((r.frame, r.px[0]) for r in rows) == [(0, 10.0), (1, 11.0), (2, 12.0)]
+    reads = [line.split() for f in log.iterdir() for line in f.read_text().splitlines()]
+    assert sum(int(n) == 512 for _, _, n in reads) == 3  # of six chunks
