@@ -150,7 +150,7 @@ def background_pixels(frames: DataFrame, cutoff: float = 0.985) -> DataFrame:
 
 
 def locate_frame(image: np.ndarray, params: TrackingParams, minmass: float | None = None) -> dict[str, np.ndarray]:
-    """Detections of one frame in raster order of their candidates; minmass stands in for that of params."""
+    """Detections of one frame in raster order of their candidates (u, v); minmass stands in for that of params."""
     raw = image.max() - image if params.invert else image
     p = imaging.bandpass(raw, params.variance, params.smoothing_size, params.threshold) if params.preprocess else np.where(raw >= params.threshold, raw, 0.0)
     planes = imaging.centres(p, params.diameter)
@@ -174,7 +174,7 @@ def locate_frame(image: np.ndarray, params: TrackingParams, minmass: float | Non
     if params.topn is not None:
         kept = np.sort(np.lexsort((x, y, -mass))[: params.topn])
         u, v, y, x, mass = (a[kept] for a in (u, v, y, x, mass))
-    out = {"mass": mass, "y": y, "x": x}
+    out = {"u": u, "v": v, "mass": mass, "y": y, "x": x}
     if params.cpu_processed:
         out["Rg"], out["ecc"], out["signal"] = imaging.character(p, u, v, mass, params.diameter)
     if params.sig_radius is not None:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import detections as det
 from ..operators import frames as fr
-from ..operators import motion, photometry
+from ..operators import motion, photometry, tiles
 from ..operators.link import link, relinked_counts
 from ..params import TrackingParams
 from . import lens, web
@@ -64,6 +64,29 @@ def locate_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _unwalked(processed, 3, 3)
 
 
+@query(ORACLES["bandpass"])
+def bandpass_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The band pass in tiles of three by three pixels, with a halo of one."""
+    return tiles.tile_pixels(tiles.bandpassed_tiles(lens.frames(spark, sf_dir), 1, 3, tile=3)).select("video_id", "frame", "u", "v", *r6("p"))
+
+
+@query(ORACLES["locate_slice"])
+def locate_slice_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Centroids at local maxima, each found by the tile that owns its pixel."""
+    from ..functions import imaging
+
+    def pick(image):
+        import numpy as np
+
+        p = imaging.bandpass(image, 1, 3)
+        mass, c0, c1 = imaging.centres(p, 3)
+        u, v = np.nonzero(imaging.maxima(p, 3) & (mass > 0))
+        return u, v, {"mass": mass[u, v], "c0": c0[u, v], "c1": c1[u, v]}
+
+    found = tiles.picked_tiles(lens.frames(spark, sf_dir), pick, ["mass", "c0", "c1"], 4, tile=3)
+    return found.select("frame", *r6("mass"), F.round(F.col("u") + F.col("c0"), 6).alias("y"), F.round(F.col("v") + F.col("c1"), 6).alias("x"))
+
+
 def _unwalked(processed: DataFrame, diameter: int, separation: float) -> DataFrame:
     from ..functions import imaging
 

@@ -157,3 +157,27 @@ def test_pixel_histograms_equal_the_series(spark):
         assert np.allclose(fit_counts(np.array(r.counts), np.array(r.edges), r.mean, r["spread"]), fit_pixel(own), rtol=1e-3, atol=1e-3)
     gain, offset = random_pixel_calibration(frames, 20, 0.0)
     assert np.isfinite(gain) and np.isfinite(offset)
+
+
+@pytest.mark.parametrize(("tile", "spread"), [(17, True), (40, False), (1000, True)])
+def test_tiles_of_any_size_give_the_same(spark, tile, spread):
+    """Band pass and detections of whole frames, from tiles with halos."""
+    from spotflow.operators import tiles
+    from spotflow.operators.frames import bandpassed, frames_from_array, locate, pixels
+    from spotflow.params import TrackingParams
+
+    rng = np.random.default_rng(2)
+    spots = [(float(y), float(x), 400.0) for y, x in rng.random((60, 2)) * [110, 130]]
+    frames = frames_from_array(spark, np.stack([spot_image(spots, shape=(110, 131), seed=k) for k in range(2)]))
+    for replicate in (False, True):
+        got = tiles.tile_pixels(tiles.bandpassed_tiles(frames, 1, 5, 0.5, replicate, tile, spread)).collect()
+        want = pixels(bandpassed(frames, 1, 5, 0.5, replicate)).collect()
+        assert {(r.frame, r.u, r.v): r.p for r in got} == {(r.frame, r.u, r.v): r.p for r in want} and len(got) == len(want)
+    params = TrackingParams(7, minmass=50, separation=6, cpu_processed=True, characterize=True, sig_radius=3, bg_radius=6)
+    got, want = tiles.locate_tiles(frames, params, tile, spread).collect(), locate(frames, params).collect()
+    clean = lambda rows: sorted(tuple(v if isinstance(v, (str, int)) else None if v is None or v != v else round(v, 9) for k, v in r.asDict().items() if k != "seq") for r in rows)
+    assert clean(got) == clean(want) and len(want) > 40
+    order = lambda rows: [(r.frame, round(r.y, 9), round(r.x, 9)) for r in sorted(rows, key=lambda r: (r.frame, r.seq))]
+    assert order(got) == order(want)
+    with pytest.raises(ValueError):
+        tiles.locate_tiles(frames, TrackingParams(7, topn=3))
