@@ -277,3 +277,33 @@ def test_remote_channels_are_read_alone(spark, tmp_path):
     assert sorted((r.frame, r.px[0]) for r in rows) == [(0, 10.0), (1, 11.0), (2, 12.0)]
     reads = [line.split() for f in log.iterdir() for line in f.read_text().splitlines()]
     assert sum(int(n) == 512 for _, _, n in reads) == 3  # of six chunks
+
+
+def test_a_stream_of_frames_from_growing_files(spark, tmp_path):
+    """Pages added later, half-written ones and new files are located once, over restarts."""
+    from spotflow.operators.frames import locate
+    from spotflow.params import TrackingParams
+    from spotflow.streaming.frames import frame_stream
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    a, b = video(6, seed=1), video(4, seed=2)
+
+    def run():
+        found = locate(frame_stream(spark, str(folder), frames=2), TrackingParams(7, minmass=100))
+        q = found.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).start()
+        q.processAllAvailable()
+        q.stop()
+        rows = spark.read.parquet(str(tmp_path / "out")).collect()
+        return sorted((r.video_id.rsplit("/", 1)[-1], r.frame, r.seq) for r in rows)
+
+    whole = lambda *files: sorted((name, r.frame, r.seq) for name, v in files for r in locate(frames_from_array(spark, v), TrackingParams(7, minmass=100)).collect())
+    (folder / "a.tif").write_bytes(write_tiff(a[:3]))
+    assert run() == whole(("a.tif", a[:3]))
+    data = write_tiff(a)
+    (folder / "a.tif").write_bytes(data[: len(data) - 500])  # the last page is half there
+    (folder / "b.tif").write_bytes(write_tiff(b))
+    assert run() == whole(("a.tif", a[:5]), ("b.tif", b))
+    (folder / "a.tif").write_bytes(data)
+    assert run() == whole(("a.tif", a), ("b.tif", b))
+    assert run() == whole(("a.tif", a), ("b.tif", b))
