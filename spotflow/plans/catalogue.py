@@ -132,6 +132,30 @@ def walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fr.walked(fr.bandpassed(lens.frames(spark, sf_dir), 1, 3), 3, 3).select("video_id", "frame", "u", "v", *r6("y", "x", "mass"))
 
 
+_REFINE = f"""WITH RECURSIVE {SQL['px']}, {band_sql(1, 3)}, {centre_sql(1)}, {maxima_sql(3)},
+cnt AS (SELECT frame, u, v, coalesce(c0, 0) AS c0, coalesce(c1, 0) AS c1, mass FROM cen),
+rfn AS (
+  SELECT video_id, frame, u AS u0, v AS v0, least(greatest(u, 1), 6) AS u, least(greatest(v, 1), 6) AS v, 0 AS n FROM top WHERE p > 0
+  UNION ALL
+  SELECT video_id, frame, u0, v0, nu, nv, n + 1 FROM (
+    SELECT r.*, least(greatest(r.u + CASE WHEN c0 > 0.6 THEN 1 WHEN c0 < -0.6 THEN -1 ELSE 0 END, 1), 6) AS nu, least(greatest(r.v + CASE WHEN c1 > 0.6 THEN 1 WHEN c1 < -0.6 THEN -1 ELSE 0 END, 1), 6) AS nv
+    FROM rfn r JOIN cnt ON cnt.frame = r.frame AND cnt.u = r.u AND cnt.v = r.v) WHERE n < 10 AND (nu <> u OR nv <> v)
+), lst AS (SELECT video_id, frame, u0, v0, max_by(u, n) AS u, max_by(v, n) AS v FROM rfn GROUP BY ALL)
+SELECT lst.video_id, lst.frame, u0 AS u, v0 AS v, round(any_value(lst.u + c0), 6) AS y, round(any_value(lst.v + c1), 6) AS x, round(any_value(mass), 6) AS mass, round(max(b.p), 6) AS signal
+FROM lst JOIN cnt ON cnt.frame = lst.frame AND cnt.u = lst.u AND cnt.v = lst.v CROSS JOIN dsc JOIN band b ON b.frame = lst.frame AND b.u = lst.u + i AND b.v = lst.v + j GROUP BY lst.video_id, lst.frame, u0, v0"""
+
+
+@query(_REFINE)
+def refine_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates refined with the centroid taken anew at each step."""
+    return fr.refined(fr.bandpassed(lens.frames(spark, sf_dir), 1, 3), 3, 3).select("video_id", "frame", "u", "v", *r6("y", "x", "mass", "signal"))
+
+
+@query(f"WITH {SQL['px']}, t AS (SELECT frame, max(p) AS t FROM px GROUP BY frame) SELECT video_id, px.frame, u, v, round(t - p, 6) AS p FROM px JOIN t ON t.frame = px.frame")
+def invert_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fr.pixels(fr.inverted(lens.frames(spark, sf_dir))).select("video_id", "frame", "u", "v", *r6("p"))
+
+
 #: Mass limit, largest radius of gyration and separation of the query below.
 _LIMITS = (3.0, 0.75, 3)
 
@@ -240,6 +264,14 @@ def roi_lab(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("video_id", "frame", "particle", "red_sig_pixel_size", *r6(*_LAB_COLUMNS))
 
 
+@query(f"WITH {SQL['px']}, pos(particle, y, x) AS (VALUES (0, 0.25, 0.5), (1, 3.5, 4.25)), {_LAB.replace('s - b * n', 's - b * 9')}")
+def roi_nominal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Background taken for a nominal area of nine pixels, in the frame or not."""
+    frames = lens.frames(spark, sf_dir)
+    found = photometry.lab_roi(frames, _positions(frames, (0.25, 0.5), (3.5, 4.25)), 2, 8, 1, means=True)
+    return photometry.corrected(found, nominal=9).select("video_id", "frame", "particle", "red_sig_pixel_size", *r6(*_LAB_COLUMNS))
+
+
 @query(f"WITH {SQL['px']}, pos(particle, y, x) AS (VALUES (0, 2.5, 2.5), (1, 5.25, 6.0)), {_LAB}")
 def constant_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = spark.createDataFrame([(0, 2.5, 2.5), (1, 5.25, 6.0)], "particle long, y double, x double")
