@@ -249,10 +249,12 @@ WITH RECURSIVE tab AS (
   SELECT conv_id, turn, CASE way WHEN 4 THEN 'user' ELSE role END AS role,
          CASE way WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
   FROM h, range(0, 2) c(copy) WHERE way <> 0 AND (copy = 0 OR way = 3)
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM d
 ), n AS (
-  SELECT *, row_number() OVER o AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS again, left(role, 1) AS c, lag(left(role, 1)) OVER o AS before,
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS again, left(role, 1) AS c, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before,
          rtrim(text, E' \t\n\r\x0b\x0c') AS body
-  FROM d WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+  FROM o
 ), f AS (
   SELECT *, CASE WHEN body = '' THEN 'b' WHEN again > 1 THEN 'd' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault FROM n
 ), counted AS (
