@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import stored
+from ..storage import forget, stored
 
 
 def with_cells(points: DataFrame, size: float, y: str, x: str, spread: bool) -> DataFrame:
@@ -207,6 +207,69 @@ def distance_ranks(left: DataFrame, right: DataFrame, limit: float, left_id: str
     return near.select(*(by or []), F.col("a").alias(left_id), F.col("b").alias(right_id), F.sqrt("d2").alias("distance"), (F.row_number().over(w) - 1).alias("rank"))
 
 
+#: A cell of the tree has sixteen below it; those at the bottom hold so many places at most, or are this many levels deep.
+LEAF, DEEPEST = 32, 14
+
+
+def nearest_k(left: DataFrame, right: DataFrame, k: int, left_id: str, right_id: str, by: list[str] | None = None, y: str = "y", x: str = "x", others: bool = False) -> DataFrame:
+    """by, left_id, right_id, distance, rank (from 0): the k nearest points of right for each of left, however far; ties to the smaller id.
+
+    Places of right form a tree of cells, each with the box round its places and their number. Places of left go down the tree, level
+    by level: of the cells below those that are still open, one is dropped if it is farther than some others reach that have k points. What is left of each
+    place is a few cells, however far apart the two tables are and however crowded they are. Copies of a place go down as one; of a right place its
+    k smallest ids count. With others, a point of right with the same id doesn't count. Points without a position have no
+    neighbours and are none; a group (by) that right doesn't have gives no rows.
+    """
+    keys, want = by or [], k + bool(others)
+    finite = lambda df: df.where((F.abs(y) < float("inf")) & (F.abs(x) < float("inf")))
+    video = F.xxhash64(*keys) if keys else F.lit(0).cast("long")
+    placed = lambda df, name: finite(df).select(*keys, video.alias("_v"), F.col(name).alias("_id"), F.col(y).cast("double").alias("_y"), F.col(x).cast("double").alias("_x"))
+    own, there = stored(placed(left, left_id), "left"), placed(right, right_id)
+    spot = [*keys, "_v", "_y", "_x"]
+    first = there.withColumn("_n", F.row_number().over(Window.partitionBy(*spot).orderBy("_id"))).where(F.col("_n") <= want)
+    held = stored(first.groupBy(*spot).agg(F.array_sort(F.collect_list("_id")).alias("_ids")), "places")  # `want` ids a place at most
+    low = held.agg(F.min("_y"), F.max("_y"), F.min("_x"), F.max("_x")).first()
+    extent = max(low[1] - low[0], low[3] - low[2]) if low[0] is not None else 0.0
+    side = (extent or 1.0) * (1 + 1e-9)
+
+    def cells(level: int) -> DataFrame:
+        """by, _cy, _cx, what they are part of, their boxes, and how many points they have."""
+        size = side / 4.0**level
+        at = held.withColumns({"_cy": F.floor((F.col("_y") - F.lit(low[0] or 0.0)) / size), "_cx": F.floor((F.col("_x") - F.lit(low[2] or 0.0)) / size)})
+        return at.groupBy(*keys, "_v", "_cy", "_cx").agg(F.min("_y").alias("_y0"), F.max("_y").alias("_y1"), F.min("_x").alias("_x0"), F.max("_x").alias("_x1"), F.sum(F.size("_ids")).alias("_n"), F.count("*").alias("_places"))
+
+    open_ = stored(own.select(*spot).distinct().withColumns({"_cy": F.lit(0).cast("long"), "_cx": F.lit(0).cast("long")}), "open")
+    level = 0
+    while level < DEEPEST and (cells(level).agg(F.max("_places")).first()[0] or 0) > LEAF:
+        level += 1
+        below = cells(level).withColumns({"_py": F.floor(F.col("_cy") / 4), "_px": F.floor(F.col("_cx") / 4)})
+        up = open_.withColumnsRenamed({"_cy": "_py", "_cx": "_px"})
+        same = [up["_v"] == below["_v"], up["_py"] == below["_py"], up["_px"] == below["_px"], *(up[c].eqNullSafe(below[c]) for c in keys)]
+        both = up.join(below, same).select(*(up[c] for c in spot), below["_cy"], below["_cx"], "_y0", "_y1", "_x0", "_x1", "_n")
+        near = lambda c, a, b: F.greatest(F.col(a) - F.col(c), F.col(c) - F.col(b), F.lit(0.0))
+        far = lambda c, a, b: F.greatest(F.abs(F.col(c) - F.col(a)), F.abs(F.col(c) - F.col(b)))
+        square = lambda f: f("_y", "_y0", "_y1") * f("_y", "_y0", "_y1") + f("_x", "_x0", "_x1") * f("_x", "_x0", "_x1")
+        of = Window.partitionBy(*spot)
+        ranged = both.withColumns({"_near": square(near), "_far": square(far)})
+        ranged = ranged.withColumn("_upto", F.sum("_n").over(of.orderBy("_far").rangeBetween(Window.unboundedPreceding, Window.currentRow)))
+        ranged = ranged.withColumn("_limit", F.min(F.when(F.col("_upto") >= want, F.col("_far"))).over(of))
+        kept = stored(ranged.where(F.col("_near") <= F.coalesce("_limit", F.lit(float("inf")))).select(*spot, "_cy", "_cx"), "open")
+        forget(open_)
+        open_ = kept
+    size = side / 4.0**level
+    leaves = held.select(*(F.col(c).alias(f"_k{n}") for n, c in enumerate(keys)), F.col("_v").alias("_w"), F.floor((F.col("_y") - F.lit(low[0] or 0.0)) / size).alias("_ly"), F.floor((F.col("_x") - F.lit(low[2] or 0.0)) / size).alias("_lx"), F.col("_y").alias("_yb"), F.col("_x").alias("_xb"), "_ids")
+    on = [F.col("_v") == F.col("_w"), F.col("_cy") == F.col("_ly"), F.col("_cx") == F.col("_lx"), *(F.col(c).eqNullSafe(F.col(f"_k{n}")) for n, c in enumerate(keys))]
+    d2 = (F.col("_y") - F.col("_yb")) * (F.col("_y") - F.col("_yb")) + (F.col("_x") - F.col("_xb")) * (F.col("_x") - F.col("_xb"))
+    pairs = open_.join(leaves, on).select(*spot, d2.alias("_d2"), F.explode("_ids").alias("_b"))
+    best = pairs.withColumn("_n", F.row_number().over(Window.partitionBy(*spot).orderBy("_d2", "_b"))).where(F.col("_n") <= want)
+    lists = stored(best.groupBy(*spot).agg(F.array_sort(F.collect_list(F.struct("_d2", "_b"))).alias("_best")), "nearest")
+    found = lists.select(*(F.col(c).alias(f"_k{n}") for n, c in enumerate(keys)), F.col("_v").alias("_w"), F.col("_y").alias("_yb"), F.col("_x").alias("_xb"), "_best")
+    same = [F.col("_v") == F.col("_w"), F.col("_y") == F.col("_yb"), F.col("_x") == F.col("_xb"), *(F.col(c).eqNullSafe(F.col(f"_k{n}")) for n, c in enumerate(keys))]
+    chosen = F.slice(F.filter("_best", lambda p: p["_b"] != F.col("_id")) if others else F.col("_best"), 1, k)
+    rows = own.join(found, same).select(*keys, "_id", F.posexplode(chosen).alias("rank", "_p"))
+    return rows.select(*keys, F.col("_id").alias(left_id), F.col("_p._b").alias(right_id if right_id != left_id else f"nearest_{right_id}"), F.sqrt("_p._d2").alias("distance"), "rank")
+
+
 def matched(left: DataFrame, right: DataFrame, limit: float = 0.01, by: tuple[str, ...] = ("frame",), order: str = "seq") -> DataFrame:
     """by, order of left, of right, distance: detections of two engines that are each other's nearest within limit."""
     keys = list(by)

@@ -12,6 +12,7 @@ from ..operators import frames as fr
 from ..operators import motion, photometry, tiles
 from ..operators.link import link, relinked_counts
 from ..params import TrackingParams
+from ..storage import stored
 from . import lens, web
 from .lens import SQL, band_sql, centre_sql, maxima_sql
 
@@ -463,6 +464,14 @@ def nearest_track(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("particle", F.col("nearest_particle").alias("nearest_other"), *r6("distance"))
 
 
+@query(f"WITH {SQL['ev']}, {SQL['trk']}, m AS (SELECT particle, avg(x) AS x, avg(y) AS y FROM trk GROUP BY particle), d AS (SELECT a.particle, b.particle AS other, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2 FROM m a JOIN m b ON a.particle <> b.particle) SELECT particle, other AS nearest_other, round(sqrt(d2), 6) AS distance, CAST(row_number() OVER (PARTITION BY particle ORDER BY d2, other) - 1 AS INTEGER) AS rank FROM d QUALIFY row_number() OVER (PARTITION BY particle ORDER BY d2, other) <= 3")
+def nearest_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three nearest other tracks of each, however far."""
+    means = stored(motion.track_spread(lens.tracks(spark, sf_dir)), "means")
+    found = det.nearest_k(means, means, 3, "particle", "particle", others=True)
+    return found.select("particle", F.col("nearest_particle").alias("nearest_other"), *r6("distance"), "rank")
+
+
 @query(f"""WITH {SQL['ev']}, {SQL['det']}, p AS (SELECT a.frame, a.seq AS l, b.seq AS r, (a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x) AS d2 FROM det a JOIN det b ON a.frame = b.frame AND a.seq % 2 = 0 AND b.seq % 2 = 1),
 n AS (SELECT * FROM p WHERE d2 < 4), f AS (SELECT frame, l, arg_min(r, row(d2, r)) AS r FROM n GROUP BY ALL), g AS (SELECT frame, r, arg_min(l, row(d2, l)) AS l FROM n GROUP BY ALL)
 SELECT frame, l AS left_id, r AS right_id, round(sqrt(d2), 6) AS distance FROM f JOIN g USING (frame, l, r) JOIN n USING (frame, l, r)""")

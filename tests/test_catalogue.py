@@ -245,3 +245,34 @@ def test_repeated_positions(spark):
     whole = photometry.constant_positions(frames, df, 2, 8, 1)
     parts = photometry.constant_positions(frames, df, 2, 8, 1, most=1)
     assert whole.count() == 104 and sorted(map(str, whole.collect())) == sorted(map(str, parts.collect()))
+
+
+@pytest.mark.parametrize(("k", "others"), [(1, False), (4, True), (60, False)])
+def test_nearest_without_a_limit(spark, monkeypatch, k, others):
+    """Clusters, copies, far and lonely points, several videos: the k nearest by brute force."""
+    import random
+
+    monkeypatch.setattr(det, "LEAF", 3)
+    rng = random.Random(k)
+    def points(n, base):
+        out = []
+        for i in range(n):
+            v = rng.choice(["a", "b", None])
+            cy, cx = rng.choice([(0, 0), (1e6, 1e6), (5, 3)])
+            out.append((v, base + i, round(cy + rng.random() * 2, 1), round(cx + rng.gauss(0, 1), 1)))
+        return out
+    left, right = points(120, 0), points(90, 60)
+    left += [("a", 500, -1e9, 0.0), ("c", 501, 0.0, 0.0), ("a", 502, None, 0.0), ("b", 503, float("nan"), 1.0)] + left[:5]
+    right += [("a", 600 + i, 7.0, 7.0) for i in range(9)] + [("a", 700, float("inf"), 0.0), ("d", 701, 0.0, 0.0)]
+    kind = "video_id string, seq long, y double, x double"
+    got = det.nearest_k(spark.createDataFrame(left, kind).repartition(3), spark.createDataFrame(right, kind), k, "seq", "seq", ["video_id"], others=others)
+    found = sorted(((r.video_id, r.seq, r.rank, r.nearest_seq, round(r.distance, 9)) for r in got.collect()), key=str)
+    ok = lambda p: p[2] is not None and abs(p[2]) < float("inf") and abs(p[3]) < float("inf")
+    want = []
+    for v, i, y, x in filter(ok, left):
+        near = sorted(((y - q[2]) ** 2 + (x - q[3]) ** 2, q[1]) for q in right if q[0] == v and ok(q) and not (others and q[1] == i))
+        want += [(v, i, n, b, round(d**0.5, 9)) for n, (d, b) in enumerate(near[:k])]
+    assert found == sorted(want, key=str)
+    empty = spark.createDataFrame([], kind)
+    full = spark.createDataFrame(right, kind)
+    assert det.nearest_k(full, empty, k, "seq", "seq").count() == det.nearest_k(empty, full, k, "seq", "seq").count() == 0
