@@ -52,6 +52,26 @@ def map_images(frames: DataFrame, fn: Callable[[np.ndarray], np.ndarray]) -> Dat
     return frames.mapInArrow(run, ", ".join(f"`{n}` {kinds[n]}" for n in names))
 
 
+def map_chunks(frames: DataFrame, fn: Callable[[np.ndarray], np.ndarray], size: int = 16) -> DataFrame:
+    """video_id, frame, nrows, ncols, px after fn, which takes `size` successive frames of a video as an array [frame, row, column].
+
+    For steps that look at several frames, as a mean over time does. Chunks begin at multiples of size; frames that aren't there are left
+    out, so a chunk may be shorter. fn gives as many frames as it gets. A task holds a chunk at a time, and the frames of a chunk
+    are brought together by one shuffle.
+    """
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = sorted(((row["frame"], image) for batch in batches for row, image in images(batch)), key=lambda f: f[0])
+        made = np.asarray(fn(np.stack([image for _, image in found])), float)
+        if made.ndim != 3 or len(made) != len(found):
+            raise ValueError("a chunk's function has to give as many frames as it gets")
+        n, h, w = made.shape
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()] * n, pa.string()), pa.array([f for f, _ in found], pa.int32()), pa.array([h] * n, pa.int32()), pa.array([w] * n, pa.int32()), pa.array([m.ravel() for m in made], pa.list_(pa.float64()))], ["video_id", "frame", "nrows", "ncols", "px"])
+
+    chunk = F.floor(F.col("frame") / size).alias("chunk")
+    return frames.select("video_id", "frame", "nrows", "ncols", "px").groupBy("video_id", chunk).applyInArrow(run, "video_id string, frame int, nrows int, ncols int, px array<double>")
+
+
 def bandpassed(frames: DataFrame, noise_size: float, smoothing_size: int, threshold: float = 0.0, replicate: bool = False) -> DataFrame:
     if noise_size >= smoothing_size:
         raise ValueError("noise_size has to be below smoothing_size")

@@ -181,3 +181,20 @@ def test_tiles_of_any_size_give_the_same(spark, tile, spread):
     assert order(got) == order(want)
     with pytest.raises(ValueError):
         tiles.locate_tiles(frames, TrackingParams(7, topn=3))
+
+
+def test_chunks_of_frames(spark):
+    from spotflow.operators.frames import frames_from_array, map_chunks
+
+    video = np.random.default_rng(8).random((7, 3, 4)).astype(np.float32)
+    frames = frames_from_array(spark, video).repartition(3).where("frame <> 4")
+    less = map_chunks(frames, lambda a: a - a.mean(axis=0), 3).collect()
+    kept = [0, 1, 2, 3, 5, 6]
+    for r in less:
+        own = [k for k in kept if k // 3 == r.frame // 3]
+        assert np.allclose(r.px, (video[r.frame].astype(float) - video[own].astype(float).mean(axis=0)).ravel())
+    assert sorted(r.frame for r in less) == kept
+    halves = map_chunks(frames, lambda a: a[:, ::2], 2).first()
+    assert (halves.nrows, halves.ncols, len(halves.px)) == (2, 4, 8)
+    with pytest.raises(Exception, match="as many frames"):
+        map_chunks(frames, lambda a: a[:1], 3).collect()
