@@ -70,3 +70,19 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert [tuple(r) for r in contamination(docs, none).select("n_words", "contaminated").collect()] == [(2, False)]
     assert contamination(docs.where("false"), none).collect() == []
+
+
+def test_a_benchmark_beyond_the_workers_against_sql(spark):
+    """With 1 kB of items in a worker at most, windows are joined; the SQL of op3 has the same result."""
+    import duckdb
+
+    from spotflow.llm.queries import ORACLES
+
+    folder = "/root/testdata/sf0.001"
+    docs, items = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "benchmark"))
+    columns = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    got = sorted(map(tuple, contamination(docs.select("doc_id", "text"), items, item_bytes=1 << 10).select(*columns).collect()))
+    db = duckdb.connect()
+    for n in ("documents", "benchmark"):
+        db.sql(f"CREATE VIEW {n} AS SELECT * FROM '{folder}/{n}.parquet'")
+    assert got == sorted(db.sql(ORACLES["op3_decontaminate"]).select(*columns).fetchall()) and any(r[5] for r in got)
