@@ -8,11 +8,10 @@ multiplied. The covariance that these make is decomposed by LAPACK, and tasks pr
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import free_name, map_rows, send
@@ -45,29 +44,14 @@ def sums(df: DataFrame, columns: list[str]) -> tuple[int, list[int]]:
     return int(row[0]), [int(s or 0) for s in row[1:]]
 
 
-#: The JVM compiles no method of more bytecodes; Spark is told to give up a stage's one method before it gets as long.
-COMPILED = {"spark.sql.codegen.hugeMethodLimit": "8000"}
-
-
-@contextmanager
-def settings(spark: SparkSession, values: dict[str, str]):
-    """The session's settings, changed for what runs inside."""
-    before = {k: spark.conf.get(k, None) for k in values}
-    try:
-        for k, v in values.items():
-            spark.conf.set(k, v)
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
 def covariance(df: DataFrame, columns: list[str], means: list[float], n: int) -> np.ndarray:
-    """Covariance of columns, divisor n: a sum for each pair of the upper triangle, all in one aggregation."""
-    centred = df.selectExpr(*(f"CAST(`{c}` AS DOUBLE) - CAST('{m!r}' AS DOUBLE) AS c{k}" for k, (c, m) in enumerate(zip(columns, means, strict=True))))
+    """Covariance of columns, divisor n: a sum for each pair of the upper triangle, all in one aggregation.
+
+    Columns hold no nulls; that Spark is told so halves the aggregation's time.
+    """
+    centred = df.selectExpr(*(f"coalesce(CAST(`{c}` AS DOUBLE) - CAST('{m!r}' AS DOUBLE), 0D) AS c{k}" for k, (c, m) in enumerate(zip(columns, means, strict=True))))
     pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
-    with settings(df.sparkSession, COMPILED):
-        row = centred.agg(*(F.expr(f"sum(c{i} * c{j})").alias(f"s{i}_{j}") for i, j in pairs)).first()
+    row = centred.agg(*(F.expr(f"sum(c{i} * c{j})").alias(f"s{i}_{j}") for i, j in pairs)).first()
     out = np.zeros((len(columns), len(columns)))
     for (i, j), s in zip(pairs, row, strict=True):
         out[i, j] = out[j, i] = (s or 0.0) / n
