@@ -139,6 +139,28 @@ def illumination_corrected(frames: DataFrame, sigma: float = 30.0, gain: float =
     return map_images(frames, lambda p: (p - offset) / profile)
 
 
+def mean_images(frames: DataFrame) -> DataFrame:
+    """video_id, frame (0), nrows, ncols, px: the temporal mean of each video, as a frame of its own."""
+    means = mean_frames(frames, "video_id").groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("u", "v", "p"))).alias("m"), (F.max("u") + 1).cast("int").alias("nrows"), (F.max("v") + 1).cast("int").alias("ncols"))
+    return means.select("video_id", F.lit(0).alias("frame"), "nrows", "ncols", F.transform("m", lambda x: x["p"]).alias("px"))
+
+
+def illumination_corrected_by_video(frames: DataFrame, sigma: float = 30.0, gain: float = 1.0, offset: float = 0.0) -> DataFrame:
+    """illumination_corrected() for many videos at once, each by the blurred temporal mean of its own frames.
+
+    Profiles stay a table, a row a video, joined to the frames and divided by in the JVM; nothing reaches the driver. Frames of
+    a video have one shape.
+    """
+
+    def profile(mean: np.ndarray) -> np.ndarray:
+        made = imaging.blur(mean, sigma) if sigma else mean
+        return made / made.max()
+
+    profiles = map_images(mean_images(gain_corrected(frames, gain, offset)), profile).select("video_id", F.col("px").alias("_profile"))
+    joined = frames.join(profiles, "video_id")
+    return joined.withColumn("px", F.zip_with("px", "_profile", lambda p, q: (p.cast("double") - offset) / (q * gain))).select(*frames.columns)
+
+
 def foam_mask(frames: DataFrame, block: int = 91, dilations: int = 5) -> DataFrame:
     """1 where a pixel exceeds the Gaussian mean of its block, grown by cross-shaped dilations."""
     sigma = (block - 1) / 6.0

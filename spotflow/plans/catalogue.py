@@ -214,6 +214,12 @@ def illumination_divide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fr.pixels(fr.illumination_corrected(lens.frames(spark, sf_dir), 0.0, 2.0, -1.0)).select("video_id", "frame", "u", "v", *r6("p"))
 
 
+@query(f"WITH {SQL['px']}, m AS (SELECT video_id, u, v, avg((p - -1) / 2) AS m FROM px GROUP BY ALL), t AS (SELECT video_id, max(m) AS t FROM m GROUP BY video_id) SELECT px.video_id, frame, px.u, px.v, round((p - -1) / (m / t * 2), 6) AS p FROM px JOIN m ON px.video_id = m.video_id AND px.u = m.u AND px.v = m.v JOIN t ON t.video_id = px.video_id")
+def illumination_by_video(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames over the profile of their own video, for all videos at once."""
+    return fr.pixels(fr.illumination_corrected_by_video(lens.frames(spark, sf_dir), 0.0, 2.0, -1.0)).select("video_id", "frame", "u", "v", *r6("p"))
+
+
 @query(f"WITH {SQL['px']} SELECT video_id, frame, u, v, round((p - 3.5) / 1.7, 6) AS p FROM px WHERE u < 5 AND v < 3")
 def gain_and_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fr.pixels(fr.cropped(fr.gain_corrected(lens.frames(spark, sf_dir), 1.7, 3.5), 5, 3)).select("video_id", "frame", "u", "v", *r6("p"))

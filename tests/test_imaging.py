@@ -198,3 +198,17 @@ def test_chunks_of_frames(spark):
     assert (halves.nrows, halves.ncols, len(halves.px)) == (2, 4, 8)
     with pytest.raises(Exception, match="as many frames"):
         map_chunks(frames, lambda a: a[:1], 3).collect()
+
+
+def test_profiles_of_many_videos_at_once(spark):
+    """Each video is corrected as it would be alone."""
+    from spotflow.operators.frames import frames_from_array, illumination_corrected, illumination_corrected_by_video
+
+    rng = np.random.default_rng(6)
+    videos = {"a": 50 + 9 * rng.random((4, 8, 9)), "b": 20 + 40 * rng.random((3, 6, 5))}
+    tables = {k: frames_from_array(spark, v.astype(np.float32), k) for k, v in videos.items()}
+    got = {(r.video_id, r.frame): r.px for r in illumination_corrected_by_video(tables["a"].union(tables["b"]), 1.5, 2.0, 3.0).collect()}
+    for k, t in tables.items():
+        for r in illumination_corrected(t, 1.5, 2.0, 3.0).collect():
+            assert np.allclose(got[k, r.frame], r.px, rtol=1e-9)
+    assert len(got) == 7
