@@ -3,6 +3,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from spotflow.operators import detections as det
 from spotflow.operators import frames as fr
@@ -168,6 +169,16 @@ def test_edges_of_copies_travel_as_places(spark, tmp_path):
     assert shuffled(spark) - before < 4000 and len(pairs) == 40 + 2 * 39 and {(r.n_src, r.n_dst) for r in pairs} == {(100, 100)}
 
 
+@pytest.mark.parametrize("name", ["link_edges_grid"])
+def test_every_edge_of_copies_is_a_row(spark, tmp_path, name):
+    """Three detections at one place, two in range of them in the next frame: six edges, each with its ends."""
+    at = [(0, "00:00", 10.0)] * 3 + [(0, "06:00", 12.0)] * 2 + [(0, "06:00", 400.0)]
+    made = [(i, f"2024-01-01 {t}:00", u, v, '{"k": 5}') for i, (u, t, v) in enumerate(at)]
+    spark.createDataFrame(made, "event_id long, ts string, user_id long, value double, props string").withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(str(tmp_path / "events.parquet"))
+    got = QUERIES[name](spark, str(tmp_path)).collect()
+    assert sorted((r.frame, r.src, r.dst, r.d2) for r in got) == [(1, a, b, 4.0) for a in (0, 1, 2) for b in (3, 4)]
+
+
 def test_places_stand_for_their_edges(spark):
     """Pairs of places and their members together are the edges; degrees count them."""
     import random
