@@ -169,7 +169,7 @@ def test_edges_of_copies_travel_as_places(spark, tmp_path):
     assert shuffled(spark) - before < 4000 and len(pairs) == 40 + 2 * 39 and {(r.n_src, r.n_dst) for r in pairs} == {(100, 100)}
 
 
-@pytest.mark.parametrize("name", ["link_edges_grid"])
+@pytest.mark.parametrize("name", ["link_edges_grid", "link_edges_theta"])
 def test_every_edge_of_copies_is_a_row(spark, tmp_path, name):
     """Three detections at one place, two in range of them in the next frame: six edges, each with its ends."""
     at = [(0, "00:00", 10.0)] * 3 + [(0, "06:00", 12.0)] * 2 + [(0, "06:00", 400.0)]
