@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -192,12 +194,14 @@ def pairs_within(left: DataFrame, right: DataFrame, limit: float, left_id: str,
 def nearest(left: DataFrame, right: DataFrame, limit: float, left_id: str, right_id: str, y: str = "y", x: str = "x", by: list[str] | None = None, others: bool = False) -> DataFrame:
     """by, left_id, right_id, distance of the nearest point of right within limit (exclusive), ties to the smaller id.
 
-    With others, a point of right with the same id doesn't count, as where a table is compared with itself.
+    With others, a point of right with the same id doesn't count, as where a table is compared with itself. nearest_k() finds it, so a
+    crowd within limit costs no more than its points.
     """
-    near = pairs_within(left, right, limit, left_id, right_id, by, y, x)
-    if others:
-        near = near.where("a <> b")
-    return near.groupBy(*(by or []), F.col("a").alias(left_id)).agg(F.min(F.struct("d2", "b")).alias("best")).select(*(by or []), left_id, F.col("best.b").alias(f"nearest_{right_id}"), F.sqrt("best.d2").alias("distance"))
+    keys = by or []
+    known = [F.col(c).isNotNull() for c in keys]
+    left, right = (df.where(reduce(lambda p, q: p & q, known)) if known else df for df in (left, right))
+    found = nearest_k(left, right, 1, left_id, right_id, by, y, x, others, limit).withColumnRenamed(f"nearest_{right_id}" if right_id == left_id else right_id, "_b")
+    return found.groupBy(*keys, left_id).agg(F.min(F.struct("distance", "_b")).alias("best")).select(*keys, left_id, F.col("best._b").alias(f"nearest_{right_id}"), F.col("best.distance").alias("distance"))
 
 
 def distance_ranks(left: DataFrame, right: DataFrame, limit: float, left_id: str, right_id: str, by: list[str] | None = None) -> DataFrame:
@@ -211,8 +215,8 @@ def distance_ranks(left: DataFrame, right: DataFrame, limit: float, left_id: str
 LEAF, DEEPEST = 32, 14
 
 
-def nearest_k(left: DataFrame, right: DataFrame, k: int, left_id: str, right_id: str, by: list[str] | None = None, y: str = "y", x: str = "x", others: bool = False) -> DataFrame:
-    """by, left_id, right_id, distance, rank (from 0): the k nearest points of right for each of left, however far; ties to the smaller id.
+def nearest_k(left: DataFrame, right: DataFrame, k: int, left_id: str, right_id: str, by: list[str] | None = None, y: str = "y", x: str = "x", others: bool = False, limit: float | None = None) -> DataFrame:
+    """by, left_id, right_id, distance, rank (from 0): the k nearest points of right for each of left, however far or nearer than limit; ties to the smaller id.
 
     Places of right form a tree of cells, each with the box round its places and their number. Places of left go down the tree, level
     by level: of the cells below those that are still open, one is dropped if it is farther than some others reach that have k points. What is left of each
@@ -253,14 +257,16 @@ def nearest_k(left: DataFrame, right: DataFrame, k: int, left_id: str, right_id:
         ranged = both.withColumns({"_near": square(near), "_far": square(far)})
         ranged = ranged.withColumn("_upto", F.sum("_n").over(of.orderBy("_far").rangeBetween(Window.unboundedPreceding, Window.currentRow)))
         ranged = ranged.withColumn("_limit", F.min(F.when(F.col("_upto") >= want, F.col("_far"))).over(of))
-        kept = stored(ranged.where(F.col("_near") <= F.coalesce("_limit", F.lit(float("inf")))).select(*spot, "_cy", "_cx"), "open")
+        in_reach = ranged if limit is None else ranged.where(F.col("_near") < limit * limit)
+        kept = stored(in_reach.where(F.col("_near") <= F.coalesce("_limit", F.lit(float("inf")))).select(*spot, "_cy", "_cx"), "open")
         forget(open_)
         open_ = kept
     size = side / 4.0**level
     leaves = held.select(*(F.col(c).alias(f"_k{n}") for n, c in enumerate(keys)), F.col("_v").alias("_w"), F.floor((F.col("_y") - F.lit(low[0] or 0.0)) / size).alias("_ly"), F.floor((F.col("_x") - F.lit(low[2] or 0.0)) / size).alias("_lx"), F.col("_y").alias("_yb"), F.col("_x").alias("_xb"), "_ids")
     on = [F.col("_v") == F.col("_w"), F.col("_cy") == F.col("_ly"), F.col("_cx") == F.col("_lx"), *(F.col(c).eqNullSafe(F.col(f"_k{n}")) for n, c in enumerate(keys))]
     d2 = (F.col("_y") - F.col("_yb")) * (F.col("_y") - F.col("_yb")) + (F.col("_x") - F.col("_xb")) * (F.col("_x") - F.col("_xb"))
-    pairs = open_.join(leaves, on).select(*spot, d2.alias("_d2"), F.explode("_ids").alias("_b"))
+    pairs = open_.join(leaves, on).select(*spot, d2.alias("_d2"), "_ids")
+    pairs = (pairs if limit is None else pairs.where(F.col("_d2") < limit * limit)).select(*spot, "_d2", F.explode("_ids").alias("_b"))
     best = pairs.withColumn("_n", F.row_number().over(Window.partitionBy(*spot).orderBy("_d2", "_b"))).where(F.col("_n") <= want)
     lists = stored(best.groupBy(*spot).agg(F.array_sort(F.collect_list(F.struct("_d2", "_b"))).alias("_best")), "nearest")
     found = lists.select(*(F.col(c).alias(f"_k{n}") for n, c in enumerate(keys)), F.col("_v").alias("_w"), F.col("_y").alias("_yb"), F.col("_x").alias("_xb"), "_best")

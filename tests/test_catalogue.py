@@ -287,3 +287,29 @@ def test_nearest_without_a_limit(spark, monkeypatch, k, others):
     empty = spark.createDataFrame([], kind)
     full = spark.createDataFrame(right, kind)
     assert det.nearest_k(full, empty, k, "seq", "seq").count() == det.nearest_k(empty, full, k, "seq", "seq").count() == 0
+
+
+def test_nearest_in_a_crowd_makes_no_pairs(spark):
+    """2,000 points within one limit of each other: rows of stages grow with points, not with their four million pairs."""
+    points = spark.sql("SELECT id AS seq, CAST(id % 50 AS DOUBLE) / 10 AS y, CAST(id DIV 50 AS DOUBLE) / 10 AS x FROM range(2000) UNION ALL SELECT 5000, 90.0D, 0.0D UNION ALL SELECT 5001, 90.0D, 10.0D")
+    pairs = det.nearest(points, points, 10.0, "seq", "seq", others=True)
+    assert max(rows_joined(pairs)) < 400_000
+    near = {r.seq: (r.nearest_seq, round(r.distance, 9)) for r in pairs.collect()}
+    assert near[0] == (1, 0.1) and near[1999] == (1949, 0.1) and len(near) == 2000
+
+
+def rows_joined(df):
+    """Rows out of each join of a query that has run."""
+    df.collect()
+    seen, stack = [], [df._jdf.queryExecution().executedPlan()]
+    while stack:
+        node = stack.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            stack.append(node.executedPlan())
+            continue
+        if node.nodeName().endswith("QueryStage") or "QueryStage" in node.nodeName():
+            stack.append(node.plan())
+        if "Join" in node.nodeName() and node.metrics().contains("numOutputRows"):
+            seen.append(node.metrics().apply("numOutputRows").value())
+        stack += [node.children().apply(i) for i in range(node.children().size())]
+    return seen
