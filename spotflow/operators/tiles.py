@@ -21,10 +21,18 @@ from .frames import images, locate_frame
 
 #: Side of a tile in pixels.
 TILE = 1024
+#: Pixels of tiles that go on together.
+AT_ONCE = 1 << 20
 #: Where a tile's px lies in its frame, which part of it is its own, and how wide the frame is.
 PLACE = ["top", "left", "own_top", "own_left", "own_rows", "own_cols", "width"]
 
 
+def listed(parts: list[np.ndarray]) -> pa.Array:
+    """Arrays of doubles as one column of lists."""
+    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts), pa.float64()))
+
+
 def tiled(frames: DataFrame, tile: int, halo: int, spread: bool = True) -> DataFrame:
     """frames with a row for each tile: px is the tile with its halo, PLACE says where it is.
 
@@ -34,16 +42,29 @@ def tiled(frames: DataFrame, tile: int, halo: int, spread: bool = True) -> DataF
     kinds = {f.name: f.dataType.simpleString() for f in frames.schema}
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The tiles of a batch's frames, in rows of batches that hold AT_ONCE pixels and one tile at most."""
         for batch in batches:
+            source, where, parts, held = [], [], [], 0
+
+            def made() -> pa.RecordBatch:
+                own = [batch.column(batch.schema.names.index(n)).take(pa.array(source, pa.int32())) for n in kept]
+                return pa.RecordBatch.from_arrays([*own, *(pa.array(x, pa.int32()) for x in zip(*where, strict=True)), listed(parts)], [*kept, "nrows", "ncols", *PLACE, "px"])
+
             for k, (_, image) in enumerate(images(batch)):
                 h, w = image.shape
                 for top in range(0, h, tile):
                     for left in range(0, w, tile):
                         a, c = max(0, top - halo), max(0, left - halo)
                         part = image[a : top + tile + halo, c : left + tile + halo]
-                        where = [*part.shape, a, c, top, left, min(tile, h - top), min(tile, w - left), w]
-                        own = [batch.column(batch.schema.names.index(n)).slice(k, 1) for n in kept]
-                        yield pa.RecordBatch.from_arrays([*own, *(pa.array([x], pa.int32()) for x in where), pa.array([part.ravel()], pa.list_(pa.float64()))], [*kept, "nrows", "ncols", *PLACE, "px"])
+                        source.append(k)
+                        where.append((*part.shape, a, c, top, left, min(tile, h - top), min(tile, w - left), w))
+                        parts.append(part.ravel())
+                        held += part.size
+                        if held >= AT_ONCE:
+                            yield made()
+                            source, where, parts, held = [], [], [], 0
+            if parts:
+                yield made()
 
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in kept), *(f"{c} int" for c in ("nrows", "ncols", *PLACE)), "px array<double>"])
     made = frames.select(*kept, "nrows", "ncols", "px").mapInArrow(cut, schema)
@@ -55,11 +76,15 @@ def map_tiles(frames: DataFrame, fn: Callable[[np.ndarray], np.ndarray], reach:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            videos, numbers, parts = [], [], []
             for row, image in images(batch):
                 a, c = row["own_top"] - row["top"], row["own_left"] - row["left"]
                 part = fn(image)[a : a + row["own_rows"], c : c + row["own_cols"]]
-                numbers = [row["frame"], row["own_top"], row["own_left"], *part.shape]
-                yield pa.RecordBatch.from_arrays([pa.array([row["video_id"]], pa.string()), *(pa.array([x], pa.int32()) for x in numbers), pa.array([part.ravel()], pa.list_(pa.float64()))], ["video_id", "frame", "top", "left", "nrows", "ncols", "px"])
+                videos.append(row["video_id"])
+                numbers.append((row["frame"], row["own_top"], row["own_left"], *part.shape))
+                parts.append(part.ravel())
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(videos, pa.string()), *(pa.array(x, pa.int32()) for x in zip(*numbers, strict=True)), listed(parts)], ["video_id", "frame", "top", "left", "nrows", "ncols", "px"])
 
     return tiled(frames.select("video_id", "frame", "nrows", "ncols", "px"), tile, reach, spread).mapInArrow(run, "video_id string, frame int, top int, left int, nrows int, ncols int, px array<double>")
 
@@ -82,9 +107,9 @@ def picked_tiles(frames: DataFrame, pick: Callable[[np.ndarray], tuple[np.ndarra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, image in images(batch):
-                u, v, found = pick(image)
-                yield _own(row, u, v, found, columns, ["u", "v"])
+            own = [_own(row, *pick(image), columns, ["u", "v"]) for row, image in images(batch)]
+            if own:
+                yield from pa.Table.from_batches(own).combine_chunks().to_batches()
 
     return tiled(frames.select("video_id", "frame", "nrows", "ncols", "px"), tile, reach, spread).mapInArrow(run, ", ".join(["video_id string, frame int, u int, v int", *(f"{c} double" for c in columns)]))
 

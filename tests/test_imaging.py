@@ -212,3 +212,27 @@ def test_profiles_of_many_videos_at_once(spark):
         for r in illumination_corrected(t, 1.5, 2.0, 3.0).collect():
             assert np.allclose(got[k, r.frame], r.px, rtol=1e-9)
     assert len(got) == 7
+
+
+def test_tiles_of_a_batch_go_on_together():
+    """Nine tiles of each of two frames are one batch, not eighteen."""
+    import pyarrow as pa
+    from pyspark.sql.types import StructType
+
+    from spotflow.operators.tiles import tiled
+
+    class Table:
+        schema = StructType.fromDDL("video_id string, frame int, nrows int, ncols int, px array<double>")
+        columns = schema.names
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, fn, _):
+            self.fn = fn
+            return self
+
+    batch = pa.record_batch({"video_id": ["a", "b"], "frame": pa.array([1, 2], pa.int32()), "nrows": pa.array([8, 8], pa.int32()), "ncols": pa.array([8, 8], pa.int32()), "px": [[float(k) for k in range(64)]] * 2})
+    (made,) = tiled(Table(), 3, 1, spread=False).fn([batch])
+    assert made.num_rows == 18 and made.column("video_id").to_pylist() == ["a"] * 9 + ["b"] * 9
+    assert made.column("px").to_pylist()[0] == [float(8 * u + v) for u in range(4) for v in range(4)]
