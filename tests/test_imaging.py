@@ -217,12 +217,12 @@ def test_profiles_of_many_videos_at_once(spark):
 def test_tiles_of_a_batch_go_on_together():
     """Nine tiles of each of two frames are one batch, not eighteen."""
     import pyarrow as pa
-    from pyspark.sql.types import StructType
+    from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructType
 
     from spotflow.operators.tiles import tiled
 
     class Table:
-        schema = StructType.fromDDL("video_id string, frame int, nrows int, ncols int, px array<double>")
+        schema = StructType().add("video_id", StringType()).add("frame", IntegerType()).add("nrows", IntegerType()).add("ncols", IntegerType()).add("px", ArrayType(DoubleType()))
         columns = schema.names
 
         def select(self, *_):
