@@ -9,6 +9,7 @@ from spotflow.operators import detections as det
 from spotflow.operators import frames as fr
 from spotflow.operators import motion
 from spotflow.plans import web
+from spotflow.plans import catalogue
 from spotflow.plans.catalogue import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -313,3 +314,22 @@ def rows_joined(df):
             seen.append(node.metrics().apply("numOutputRows").value())
         stack += [node.children().apply(i) for i in range(node.children().size())]
     return seen
+
+
+def test_edges_travel_as_few_copies_of_their_detections(spark, tmp_path):
+    """20,000 places in ten frames, each looked for in blocks: no copy for every cell round it. The edges are those of all pairs."""
+    made = spark.sql("SELECT CAST(id % 10 AS BIGINT) AS frame, id AS seq, CAST(pmod(xxhash64(id), 200000) AS DOUBLE) / 100 - 500 AS y, CAST(pmod(xxhash64(id, 1), 200000) AS DOUBLE) / 100 AS x FROM range(20000)")
+    made.write.parquet(str(tmp_path / "points"))
+    points = spark.read.parquet(str(tmp_path / "points"))
+    before = shuffled(spark)
+    got = sorted((r.frame, r.src, r.dst, r.d2) for r in det.link_edges(points, 15.0, [], "seq").collect())
+    assert shuffled(spark) - before < 90_000  # with nine copies it is over 200,000
+    c = duckdb.connect()
+    want = c.sql(f"WITH p AS (SELECT * FROM '{tmp_path}/points/*.parquet') SELECT b.frame, a.seq, b.seq, (a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x) AS d2 FROM p a JOIN p b ON b.frame = a.frame + 1 WHERE (a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x) < 225").fetchall()
+    assert got == sorted(want) and len(got) > 5000
+
+
+def test_fast_rounding_is_rounding(spark):
+    values = [0.1234565, 2.5e-7, 224.99999949999, 1.0000005, 3.3333333, 7.7777775, 0.0, 1e7 + 0.1234565]
+    df = spark.createDataFrame([(v,) for v in values], "d2 double")
+    assert df.select(catalogue.r6_fast("d2")).collect() == df.select(*catalogue.r6("d2")).collect()
