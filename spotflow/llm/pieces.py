@@ -115,12 +115,12 @@ def lattice(units: DataFrame, model: dict) -> DataFrame:
     that keeps a unit's edges together behind a row of its own, and they are grouped in passing, without a
     shuffle or a sort of rows. An edge travels as one number: rank, start, size and the mark of disorder. For
     merges the edges are two bit sets, of the cuts at an edge's ends and of those within it, by rank, start
-    and size; else they are cost, start and size. A unit is ordered if all its pieces are. Units of more than
+    and size; else they are a list of cost, start and size for each character that they end at, which has an edge of its own, too. A unit is ordered if all its pieces are. Units of more than
     LONGEST characters have no edges.
     """
     merges, longest = model["merges"], model["longest"]
     shortest = 2 if merges else 1
-    costs = -np.array(list(ranked(model)))
+    costs = -np.array([*ranked(model), min(model["scores"].values()) - 10.0])  # the last one is that of a character without a piece
     n = F.length("unit")
     own = F.sequence(F.lit(-1), n - shortest)
     starts = units.select("number", "unit", "whole", F.explode(F.when(F.col("unit").isNotNull() & n.between(shortest, LONGEST), own).otherwise(F.array(F.lit(-1)))).alias("start"))
@@ -131,7 +131,7 @@ def lattice(units: DataFrame, model: dict) -> DataFrame:
     joined = parts.join(F.broadcast(piece_table(units, model)), "key", "left").where("piece = part OR start < 0")  # one vocabulary: of fixed size
     code = F.when(alone, -1 - F.col("number").cast("long")).otherwise(F.col("code") + F.col("start") * 128 + F.col("size") * 2)
     found = joined.select(code.alias("code"), F.when(alone, F.col("unit")).alias("unit"), F.when(alone, F.col("whole")).alias("whole"))
-    fields = [("ends", pa.int64()), ("inner", pa.int64())] if merges else [("cost", pa.float64()), ("start", pa.int32()), ("size", pa.int32())]
+    kinds = "array<struct<ends:bigint,inner:bigint>>" if merges else "array<array<struct<cost:double,start:int,size:int>>>"
 
     def grouped(batch: pa.RecordBatch) -> pa.RecordBatch:
         code = batch.column(0).to_numpy(zero_copy_only=False)
@@ -139,18 +139,29 @@ def lattice(units: DataFrame, model: dict) -> DataFrame:
         begin, own = np.flatnonzero(first), np.flatnonzero(~first)
         run = (np.cumsum(first) - 1)[own]
         edge = np.sort(run << 40 | code[own]) if merges else code[own]
+        at = pa.array(begin)
+        unit = batch.column(1).take(at)
         start, size, rank = edge >> 7 & 63, edge >> 1 & 63, edge >> 13 & 0x7FFFFFF
         one = np.int64(1)
+        counts = np.bincount(run, minlength=len(begin))
         if merges:
-            edges = [pa.array((one << start) | (one << (start + size))), pa.array((one << (start + size)) - (one << (start + one)))]
+            edges = pa.StructArray.from_arrays([pa.array((one << start) | (one << (start + size))), pa.array((one << (start + size)) - (one << (start + one)))], ["ends", "inner"])
         else:
-            edges = [pa.array(costs[rank]), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32))]
-        counts = np.append(0, np.cumsum(np.bincount(run, minlength=len(begin)))).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(counts), pa.StructArray.from_arrays(edges, [name for name, _ in fields]))
+            counts = np.where(counts > 0, pc.fill_null(pc.utf8_length(unit), 0).to_numpy(zero_copy_only=False), 0)  # of characters, from here on
+            first_char = np.cumsum(counts) - counts
+            chars = first_char[run] + start
+            alone = np.ones(int(counts.sum()), bool)
+            alone[chars[size == 1]] = False
+            spelled = np.flatnonzero(alone)
+            start = np.append(start, spelled - np.repeat(first_char, counts)[spelled])
+            size, rank, end = np.append(size, np.ones(len(spelled), np.int64)), np.append(rank, np.full(len(spelled), len(costs) - 1)), np.append(chars + size - 1, spelled)
+            by_end = np.argsort(end, kind="stable")
+            ways = pa.StructArray.from_arrays([pa.array(costs[rank[by_end]]), pa.array(start[by_end].astype(np.int32)), pa.array(size[by_end].astype(np.int32))], ["cost", "start", "size"])
+            edges = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(end, minlength=len(alone)))).astype(np.int32)), ways)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), edges)
         ordered = np.ones(len(begin), bool)
         ordered[run[(code[own] & 1).astype(bool)]] = False
-        at = pa.array(begin)
-        return pa.RecordBatch.from_arrays([pa.array((-1 - code[begin]).astype(np.int32)), batch.column(1).take(at), pa.array(ordered), lists, batch.column(2).take(at)], ["number", "unit", "ordered", "edges", "whole"])
+        return pa.RecordBatch.from_arrays([pa.array((-1 - code[begin]).astype(np.int32)), unit, pa.array(ordered), lists, batch.column(2).take(at)], ["number", "unit", "ordered", "edges", "whole"])
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The last unit of a batch waits for the next one."""
@@ -165,8 +176,7 @@ def lattice(units: DataFrame, model: dict) -> DataFrame:
         if held:
             yield from map(grouped, pa.Table.from_batches(held).combine_chunks().to_batches())
 
-    kinds = {pa.float64(): "double", pa.int32(): "int", pa.int64(): "bigint"}
-    return found.mapInArrow(group, f"number int, unit string, ordered boolean, edges array<struct<{','.join(f'{name}:{kinds[kind]}' for name, kind in fields)}>>, whole binary")
+    return found.mapInArrow(group, f"number int, unit string, ordered boolean, edges {kinds}, whole binary")
 
 
 def merged_cuts(edges: Column, n: Column, ordered: Column) -> Column:
@@ -184,29 +194,25 @@ def merged_cuts(edges: Column, n: Column, ordered: Column) -> Column:
     return F.when(ordered, once_over).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), every, merge))
 
 
-def viterbi_cuts(edges: Column, n: Column, unknown: float) -> Column:
-    """Bit set of cuts of the path of highest score; a character without a piece costs `unknown`.
+def viterbi_cuts(edges: Column) -> Column:
+    """Bit set of cuts of the path of highest score over edges by character, see lattice(): each is looked at once.
 
     Of equal paths the one with the longest last edge is taken.
     """
     first = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(1).cast("long").alias("cuts")))
 
-    def step(best: Column, end: Column) -> Column:
-        arriving = F.filter(edges, lambda e: e["start"] + e["size"] == end)
+    def step(best: Column, arriving: Column) -> Column:
         ways = F.transform(arriving, lambda e: F.struct((F.get(best, e["start"])["score"] - e["cost"]).alias("score"), e["size"].alias("size"), F.get(best, e["start"])["cuts"].alias("cuts")))
-        last = F.get(best, end - 1)
-        spelled = F.when(F.exists(arriving, lambda e: e["size"] == 1), F.array().cast("array<struct<score:double,size:int,cuts:bigint>>")).otherwise(F.array(F.struct((last["score"] + F.lit(unknown)).alias("score"), F.lit(1).alias("size"), last["cuts"].alias("cuts"))))
-        top = F.array_max(F.concat(ways, spelled))
-        return F.concat(best, F.array(F.struct(top["score"].alias("score"), top["cuts"].bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), end)).alias("cuts"))))
+        end = F.call_function("shiftleft", F.lit(1).cast("long"), F.size(best))
+        return F.concat(best, F.transform(F.array(F.array_max(ways)), lambda top: F.struct(top["score"].alias("score"), top["cuts"].bitwiseOR(end).alias("cuts"))))
 
-    return F.element_at(F.aggregate(F.sequence(F.lit(1), n), first, step), -1)["cuts"]
+    return F.element_at(F.aggregate(edges, first, step), -1)["cuts"]
 
 
 def unit_cuts(units: DataFrame, model: dict) -> DataFrame:
     """number, unit, cuts, whole of units(number, unit, whole); cuts are null where a unit has no edges."""
     edges = lattice(units, model)
-    n, unknown = F.length("unit"), min(model["scores"].values()) - 10.0
-    cuts = merged_cuts(F.col("edges"), n, F.col("ordered")) if model["merges"] else viterbi_cuts(F.col("edges"), n, unknown)
+    cuts = merged_cuts(F.col("edges"), F.length("unit"), F.col("ordered")) if model["merges"] else viterbi_cuts(F.col("edges"))
     return edges.select("number", "unit", F.when(F.size("edges") > 0, cuts).alias("cuts"), "whole")
 
 

@@ -103,3 +103,11 @@ def test_viterbi_against_enumeration(spark):
         best = max(price([u[i:j] for i, j in itertools.pairwise((0, *c, len(u)))]) for k in range(len(u)) for c in itertools.combinations(range(1, len(u)), k))
         assert abs(price(parts_of(u, got.get(u))) - best) < 1e-9, u
         assert abs(price(viterbi_parts(u, scores, 3)) - best) < 1e-9
+
+
+def test_unigram_edges_come_by_character(spark):
+    """The fold looks at each edge once: a list for each character, with an edge of its own where no piece is."""
+    model = {"scores": {"a": -3.0, "ab": -4.0, "bé": -1.0}, "merges": False, "disordered": set(), "longest": 2}
+    units = spark.createDataFrame([(0, "abé", None), (1, "xx", None), (2, None, None), (3, "a" * 70, None)], "number int, unit string, whole binary")
+    got = {r.number: [sorted((e.start, e.size, e.cost) for e in ends) for ends in r.edges] for r in pieces.lattice(units, model).collect()}
+    assert got == {0: [[(0, 1, 3.0)], [(0, 2, 4.0), (1, 1, 14.0)], [(1, 2, 1.0), (2, 1, 14.0)]], 1: [], 2: [], 3: []}
