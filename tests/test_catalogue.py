@@ -333,3 +333,11 @@ def test_fast_rounding_is_rounding(spark):
     values = [0.1234565, 2.5e-7, 224.99999949999, 1.0000005, 3.3333333, 7.7777775, 0.0, 1e7 + 0.1234565]
     df = spark.createDataFrame([(v,) for v in values], "d2 double")
     assert df.select(catalogue.r6_fast("d2")).collect() == df.select(*catalogue.r6("d2")).collect()
+
+
+def test_edges_leave_out_what_has_no_frame(spark):
+    made = [("a", 0, 1, 1.0, 1.0), ("a", 1, 2, 2.0, 1.0), ("a", None, 3, 1.0, 1.0), ("a", None, 4, 1.0, 200.0), (None, 1, 5, 1.0, 1.0), ("a", -1, 6, 1.0, -1.0)]
+    df = spark.createDataFrame(made, "video_id string, frame int, seq long, y double, x double")
+    edges = det.link_edges(df, 3.0, ["video_id"], "seq")
+    assert sorted(map(tuple, edges.collect())) == [("a", 0, 6, 1, 4.0), ("a", 1, 1, 2, 1.0)]
+    assert det.link_edges(df.where("seq > 9"), 3.0, ["video_id"], "seq").collect() == []
