@@ -116,7 +116,7 @@ def lattice(units: DataFrame, model: dict) -> DataFrame:
     shuffle or a sort of rows. An edge travels as one number: rank, start, size and the mark of disorder. For
     merges the edges are two bit sets, of the cuts at an edge's ends and of those within it, by rank, start
     and size; else they are a list of cost, start and size for each character that they end at, which has an edge of its own, too. A unit is ordered if all its pieces are. Units of more than
-    LONGEST characters have no edges.
+    LONGEST characters have no edges: merged_parts() and viterbi_parts() give theirs, by encode() and unit_paths().
     """
     merges, longest = model["merges"], model["longest"]
     shortest = 2 if merges else 1
@@ -256,9 +256,42 @@ def merged_parts(unit: str, scores: dict[str, float]) -> list[str]:
     return [p for p in part if p]
 
 
-def viterbi_parts(unit: str, scores: dict[str, float], longest: int) -> list[str]:
-    """The best path of a unit that is too long for the bits of a long."""
-    unknown = min(scores.values()) - 10.0
+def unit_paths(units: DataFrame, model: dict) -> DataFrame:
+    """unit, cuts, n_pieces, sizes of units(number, unit, whole) for a unigram model: the best path of each, of any length.
+
+    sizes are the characters of its pieces. Up to LONGEST characters they are those between the cuts, or of one each where there are no
+    edges; a longer unit has no cuts and its path by viterbi_parts(), which takes time and memory by its length.
+    """
+    sent = send(units.sparkSession, model)  # one vocabulary: of fixed size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores, longest = sent.value[1]["scores"], sent.value[1]["longest"]
+        unknown = min(scores.values()) - 10.0
+        for batch in batches:
+            unit, cuts = batch.columns
+            n = pc.fill_null(pc.utf8_length(unit), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            every = (np.int64(2) << np.minimum(n, LONGEST)) - 1
+            bits = np.where(pc.is_valid(cuts).to_numpy(zero_copy_only=False), pc.fill_null(cuts, 0).to_numpy(zero_copy_only=False), every)
+            long = np.flatnonzero(n > LONGEST)
+            bits[long] = 1  # no sizes from here
+            row, end = np.nonzero(np.unpackbits(bits.astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+            own = np.flatnonzero(end > 0)
+            sizes, counts = (end[own] - end[own - 1]).astype(np.int32), np.bincount(row[own], minlength=len(n))
+            begin = np.cumsum(counts) - counts
+            paths = [np.fromiter(map(len, viterbi_parts(unit[k].as_py(), scores, longest, unknown)), np.int32) for k in long.tolist()]
+            if paths:
+                sizes = np.insert(sizes, np.repeat(begin[long], [len(p) for p in paths]), np.concatenate(paths))
+                counts[long] = [len(p) for p in paths]
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), pa.array(sizes))
+            yield pa.RecordBatch.from_arrays([unit, cuts, pa.array(counts.astype(np.int32)), lists], ["unit", "cuts", "n_pieces", "sizes"])
+
+    return unit_cuts(units, model).select("unit", "cuts").mapInArrow(run, "unit string, cuts long, n_pieces int, sizes array<int>")
+
+
+def viterbi_parts(unit: str, scores: dict[str, float], longest: int, unknown: float | None = None) -> list[str]:
+    """The best path of a unit that is too long for the bits of a long; unknown: the score of a character without a piece."""
+    if unknown is None:
+        unknown = min(scores.values()) - 10.0
     best: list[tuple[float, int]] = [(0.0, 0)]
     for end in range(1, len(unit) + 1):
         ways = [(best[end - k][0] + scores[unit[end - k : end]], k) for k in range(1, min(longest, end) + 1) if unit[end - k : end] in scores]

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import stored, table
-from .pieces import SPACE, as_unigrams, encode, load_model, unit_cuts
+from .pieces import SPACE, as_unigrams, encode, load_model, unit_paths
 from . import quality
 from .lmscore import score_texts
 from .simjoin import jaccard_components
@@ -221,8 +221,7 @@ def viterbi_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = load_model(public_tokenizers.path("piece_bpe_32k.model"))
     texts = table(spark, sf_dir, "documents").select("text").union(table(spark, sf_dir, "benchmark").select("text"))
     words = texts.select(F.explode(F.split(F.coalesce("text", F.lit("")), r"\s+")).alias("word")).where("word <> ''").distinct()
-    cuts = unit_cuts(words.select(F.lit(0).alias("number"), F.concat(F.lit(SPACE), "word").alias("unit"), F.lit(None).cast("binary").alias("whole")), as_unigrams(model))
-    return cuts.select("unit", "cuts", (F.bit_count("cuts") - 1).alias("n_pieces"))
+    return unit_paths(words.select(F.lit(0).alias("number"), F.concat(F.lit(SPACE), "word").alias("unit"), F.lit(None).cast("binary").alias("whole")), as_unigrams(model))
 
 
 @query

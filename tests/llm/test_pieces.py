@@ -77,6 +77,37 @@ def test_viterbi_of_a_vocabulary(spark):
         assert len(got) == r.n_pieces and abs(price(got) - price(want)) < 1e-9
 
 
+def test_viterbi_of_words_of_any_length(spark, tmp_path):
+    """Words whose cuts don't fit a long have their best path, too."""
+    from spotflow.llm.queries import QUERIES
+
+    words = ["thanonre" * k for k in (1, 7, 8, 9, 40)] + ["a" * 61, "a" * 62, "é\U0001f600x" * 30, "ab,1" * 5000, "x"]
+    spark.createDataFrame([(" ".join(words[:6]),), (None,), (" \n".join(words[6:]),)], "text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(words[1],)], "text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    model = pieces.as_unigrams(load_model(PATH))
+    unknown = min(model["scores"].values()) - 10.0
+    rows = {r.unit[1:]: r for r in QUERIES["viterbi_units"](spark, str(tmp_path)).collect()}
+    assert sorted(rows) == sorted(words)
+    for word, r in rows.items():
+        ends = list(itertools.accumulate(r.sizes))
+        got = [r.unit[b - n : b] for n, b in zip(r.sizes, ends, strict=True)]
+        want = viterbi_parts(r.unit, model["scores"], model["longest"])
+        price = [sum(model["scores"].get(p, unknown) for p in parts if len(p) == 1 or p in model["scores"]) for parts in (got, want)]
+        assert "".join(got) == r.unit and r.n_pieces == len(got) and all(len(p) == 1 or p in model["scores"] for p in got)
+        assert price[0] == pytest.approx(price[1], abs=1e-6)
+        assert (r.cuts is None) == (len(r.unit) > pieces.LONGEST)
+        assert r.cuts is None or got == parts_of(r.unit, r.cuts)
+
+
+def test_paths_without_edges(spark):
+    """Of characters that no piece holds, each is one; units of several batches keep their sizes."""
+    model = {"scores": {"a": -3.0, "ab": -4.0}, "merges": False, "disordered": set(), "longest": 2}
+    units = ["xx", "aab", "ab" * 40, "x" * 62, "x" * 63, "a", "ba" * 40]
+    found = pieces.unit_paths(spark.createDataFrame([(k, u, None) for k, u in enumerate(units)], "number int, unit string, whole binary"), model)
+    got = {r.unit: r.sizes for r in found.collect()}
+    assert got == {"xx": [1, 1], "aab": [1, 2], "ab" * 40: [2] * 40, "x" * 62: [1] * 62, "x" * 63: [1] * 63, "a": [1], "ba" * 40: [1] + [2] * 39 + [1]}
+
+
 def test_null_and_empty_ids(spark):
     df = spark.createDataFrame([(None, 1), ([], 2), ([278], 3)], "ids array<int>, decoded int")
     assert [r.decoded for r in decode(df, PATH).collect()][:2] == [None, ""]
