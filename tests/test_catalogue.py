@@ -202,6 +202,15 @@ def test_places_stand_for_their_edges(spark):
     assert degrees == {r[2]: (back[r[2]], ahead[r[2]]) for r in made}
 
 
+def test_place_pairs_need_no_join(spark):
+    """A place goes to its block and those beside it, and the pairs of a block are made in passing."""
+    points = spark.range(900).selectExpr("id AS seq", "CAST(id % 3 AS INT) AS frame", "(id DIV 3) % 20 * 1.0 AS y", "id DIV 60 * 1.0 AS x")
+    pairs = det.place_edges(points, 2.0, [], "seq")
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+    assert pairs.count() == pairs.distinct().count() == 2 * (20 * 15 + 2 * 19 * 15 + 2 * 20 * 14 + 4 * 19 * 14)
+
+
 def test_columns_of_other_names(spark):
     df = spark.createDataFrame([(0, 1, 0.0, 0.0, 7), (1, 2, 1.0, 0.0, 8), (1, 3, 1.0, 0.0, 9)], "t int, k long, v double, u double, n int")
     assert [tuple(r) for r in det.place_edges(df, 2.0, [], "k", "t", "v", "u").collect()] == [(1, 1, 2, 1, 2, 1.0)]
