@@ -202,6 +202,29 @@ def test_places_stand_for_their_edges(spark):
     assert degrees == {r[2]: (back[r[2]], ahead[r[2]]) for r in made}
 
 
+def test_counts_in_range_by_brute_force():
+    """Whole numbers on the border, copies, one strip, far from zero, none; and however few are looked at together."""
+    import numpy as np
+    from spotflow.functions.spacetime import near_counts
+
+    rng = np.random.default_rng(3)
+    kinds = [lambda n: rng.integers(0, 60, (n, 2)) * 1.0, lambda n: rng.random((n, 2)) * 80, lambda n: np.stack([rng.exponential(50, n).round(2), rng.integers(0, 100, n)], 1)]
+    kinds += [lambda n: rng.random((n, 2)) * 9, lambda n: rng.random((n, 2)) * 50 + 1e12, lambda n: rng.integers(-3, 3, (n, 2)) * 5.0]
+    for trial in range(60):
+        (n, m), kind = rng.integers(0, 150, 2), kinds[trial % len(kinds)]
+        src, dst, weight = kind(n), kind(m), rng.integers(1, 5, n)
+        d2 = (src[None, :, 0] - dst[:, None, 0]) ** 2 + (src[None, :, 1] - dst[:, None, 1]) ** 2
+        for at_once in (1, 70, 1 << 17):
+            assert near_counts(src, weight, dst, 15.0, at_once).tolist() == ((d2 < 225) * weight[None, :]).sum(axis=1).tolist()
+
+
+def test_degrees_of_a_crowd_make_no_pairs(spark):
+    """Two frames of 150,000 places in range of one another: 2.25e10 edges, counted and not made."""
+    points = spark.range(300_000).selectExpr("id AS seq", "CAST(id % 2 AS INT) AS frame", "id DIV 2 * 1e-5 AS y", "(id DIV 2) % 7 * 1.0 AS x")
+    got = det.link_degrees(points, 10.0, [], "seq").groupBy("frame", "n_before", "n_after").count().collect()
+    assert sorted(tuple(r) for r in got) == [(0, 0, 150_000, 150_000), (1, 150_000, 0, 150_000)]
+
+
 def test_place_pairs_need_no_join(spark):
     """A place goes to its block and those beside it, and the pairs of a block are made in passing."""
     points = spark.range(900).selectExpr("id AS seq", "CAST(id % 3 AS INT) AS frame", "(id DIV 3) % 20 * 1.0 AS y", "id DIV 60 * 1.0 AS x")
